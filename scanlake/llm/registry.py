@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from scanlake.llm import mixing
+from scanlake.llm import language, mixing, packing, simhash, url_filter
 
 _MODULES = {
+    "op2_simhash": simhash,
+    "op3_url_filter": url_filter,
     "op5_mixing": mixing,
+    "op6_language": language,
+    "op10_packing": packing,
 }
 
 
