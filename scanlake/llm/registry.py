@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from scanlake.llm import language, mixing, packing, simhash, url_filter
+from scanlake.llm import imatch, language, mixing, packing, pii, quality, simhash, suffix_dedup, url_filter
 
 _MODULES = {
+    "op1_suffix_dedup": suffix_dedup,
     "op2_simhash": simhash,
     "op3_url_filter": url_filter,
     "op5_mixing": mixing,
     "op6_language": language,
+    "op7_quality": quality,
+    "op8_imatch": imatch,
+    "op9_pii": pii,
     "op10_packing": packing,
 }
 
