@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from scanlake.llm import imatch, language, mixing, packing, pii, quality, simhash, suffix_dedup, url_filter
+from scanlake.llm import imatch, language, mixing, packing, pii, quality, simhash, suffix_dedup, toxicity, url_filter
 
 _MODULES = {
     "op1_suffix_dedup": suffix_dedup,
     "op2_simhash": simhash,
     "op3_url_filter": url_filter,
+    "op4_toxicity": toxicity,
     "op5_mixing": mixing,
     "op6_language": language,
     "op7_quality": quality,
