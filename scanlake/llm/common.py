@@ -18,6 +18,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+def sealed(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator: a later filter stays above it, where the columns are computed already,
+    instead of being rewritten in terms of their expressions and evaluated anew for each reference."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one is set only where none is configured."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

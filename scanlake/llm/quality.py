@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import words
+from scanlake.llm.common import sealed, words
 
 #: Buckets of the hashed word unigrams and bigrams.
 BUCKETS = 1 << 14
@@ -71,7 +71,7 @@ def rules(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, ke
     covered = F.aggregate(F.zip_with("p", F.slice("p", 2, F.size("p")), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW)))), F.lit(0), lambda acc, x: acc + x)
     d = d.withColumn("n_repeat_words", F.when(F.col("p").isNull(), 0).otherwise(covered).cast("long")).drop("s", "p")
     d = d.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    return d.withColumn("kept", ~F.col("base_failed") & (F.round("llr", 6) >= threshold))
+    return sealed(d.withColumn("kept", ~F.col("base_failed") & (F.round("llr", 6) >= threshold)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
