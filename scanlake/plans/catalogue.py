@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
-from scanlake.plans import similarity  # noqa: F401
-from scanlake.plans import layout  # noqa: F401
+
+from scanlake.plans import evaluate, imagestats, layout, similarity  # noqa: F401

@@ -128,9 +128,9 @@ def ssim_global_pairs(spark, sf_dir):
     "weighted_vote",
     """WITH o AS (SELECT l_orderkey, l_suppkey, l_quantity AS area, CASE WHEN l_discount < 0.01 THEN NULL ELSE -l_discount * 10 END AS logit, -l_tax AS h_ll, CASE WHEN l_linenumber % 2 = 0 THEN -0.5 END AS v_ll FROM lineitem),
     m AS (SELECT l_orderkey, list_sort(list(area))[len(list(area)) // 2 + 1] AS med FROM o GROUP BY l_orderkey)
-    SELECT o.l_orderkey, o.l_suppkey, round(sum((logit + 0.2371 * (coalesce(h_ll, 0) + coalesce(v_ll, 0))) * area / med), 6) AS score, CAST(count(*) AS BIGINT) AS n
+    SELECT o.l_orderkey, o.l_suppkey, round(sum((logit + 0.237123456 * (coalesce(h_ll, 0) + coalesce(v_ll, 0))) * area / med), 6) AS score, CAST(count(*) AS BIGINT) AS n
     FROM o JOIN m ON o.l_orderkey = m.l_orderkey GROUP BY o.l_orderkey, o.l_suppkey HAVING NOT bool_or(logit IS NULL)""",
 )
 def weighted_vote(spark, sf_dir):
     o = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.col("l_quantity").alias("area"), F.when(F.col("l_discount") >= 0.01, -F.col("l_discount") * 10).alias("logit"), (-F.col("l_tax")).alias("h_ll"), F.when(F.col("l_linenumber") % 2 == 0, -0.5).alias("v_ll"))
-    return S.weighted_vote(o, "l_orderkey", "l_suppkey", 0.2371).select("l_orderkey", "l_suppkey", F.round("score", 6).alias("score"), "n")
+    return S.weighted_vote(o, "l_orderkey", "l_suppkey", 0.237123456).select("l_orderkey", "l_suppkey", F.round("score", 6).alias("score"), "n")
