@@ -26,7 +26,7 @@ def fill(sources: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_epochs:
     before, rest, all_ = rising.rowsBetween(Window.unboundedPreceding, -1), rising.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
     level = (F.lit(float(share)) * F.sum("source_size").over(all_) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest)
     w = w.withColumn("level", level)
-    w = w.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(all_))
+    w = w.withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(all_))
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("w")))
     return w.select("skey", "source", "source_size", target.alias("target"))
 
@@ -34,7 +34,7 @@ def fill(sources: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_epochs:
 def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: str = "mix-0", keep: tuple = ()) -> DataFrame:
     """Words that a mix takes of each document.
 
-    docs: doc_id, text, source; ``keep`` names further columns to carry. Returns doc_id, size, source_size, target,
+    docs: doc_id, text, source; ``keep`` names further columns to carry. Returns doc_id, source, size, source_size, target,
     taken, copies. Every document of a source is taken floor(target / size) whole times; the fraction left is filled
     with further copies in the order of a seeded digest until the source's words are within half a document of the
     target. The place of a document in that order comes from sums per (source, digest bucket), so that a hot source
@@ -58,7 +58,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_epochs: floa
     own = Window.partitionBy("skey", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.join(plan, ["skey", "bucket"]).withColumn("below", F.col("below") + F.coalesce(F.sum("size").over(own), F.lit(0)))
     copies = F.col("whole") + F.when(F.col("below") + F.col("size") / 2 <= F.col("need"), 1).otherwise(0)
-    return placed.select("doc_id", *keep, "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.cast("long").alias("copies"))
+    return placed.select("doc_id", *keep, "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.cast("long").alias("copies"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ levels AS (
           - coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
          / sum(w) OVER (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev
   FROM weighed),
-level AS (SELECT min(lev) AS lev FROM levels WHERE lev <= cap / w),
+level AS (SELECT max(lev) AS lev FROM levels WHERE lev <= cap / w),
 targets AS (
   SELECT source, source_size, CASE WHEN level.lev IS NULL THEN cap ELSE least(cap, level.lev * w) END AS target
   FROM levels, level),
