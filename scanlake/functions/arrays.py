@@ -37,8 +37,8 @@ def upper_median(value: Column) -> Column:
 def softmax_over(distance: Column, sigma_sq: Column, window: WindowSpec) -> Column:
     """exp(-(d - min) / 2s) over its sum; uniform where the scale or the sum vanishes."""
     n = F.count(F.lit(1)).over(window)
-    raw = F.exp(-(distance - F.min(distance).over(window)) / (2 * sigma_sq))
-    return F.when(sigma_sq <= 1e-30, 1.0 / n).otherwise(raw / F.sum(raw).over(window))
+    raw = F.exp(-F.try_divide(distance - F.min(distance).over(window), 2 * sigma_sq))
+    return F.when(sigma_sq <= 1e-30, 1.0 / n).otherwise(F.try_divide(raw, F.sum(raw).over(window)))
 
 
 def resample(values: Column, n: int) -> Column:
