@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import math
+import os
+import unicodedata
 import zlib
+from array import array
 
 import pandas as pd
 import pyarrow as pa
@@ -16,38 +20,87 @@ from scanlake.llm.common import Scratch
 LENGTH, END = 2048, 0
 #: Pieces that are packed together; each group leaves one sequence open at most when the search succeeds.
 GROUP = 2000
-#: Chunks whose ids a worker remembers.
-REMEMBERED = 300_000
-_known: dict[str, dict[bytes, bytes]] = {}
+#: Chunks a generation of a worker's memory holds; a worker keeps two, and those used last pass from the older to the newer.
+REMEMBERED = 220_000
+_known: dict[str, list[dict[bytes, bytes]]] = {}
+#: What the tokenizer cuts its input into, for the tokenizers that the short way below holds for.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def byte_letters() -> dict[int, str]:
+    """The characters that byte-level vocabularies write bytes with: visible Latin-1 ones as they are, the others from U+0100 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [x for x in range(256) if x not in seen]
+    return {x: chr(x) for x in seen} | {x: chr(256 + k) for k, x in enumerate(rest)}
+
+
+def is_word_bpe(tokenizer) -> bool:
+    """Whether it lowers, drops white space and encodes PARTS one by one."""
+    steps = json.loads(tokenizer.to_str())
+    normal = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])]
+    cuts = (steps["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": PARTS} and cuts[0]["behavior"] == "Removed"
 
 
 def chunk_ids(tokenizer_path: str):
     """A function from texts to their ids as bytes (unsigned, little-endian, 32 bits).
 
-    The tokenizer drops white space and never joins across it, so the ids of a text are those of its chunks between
-    ASCII white space; each worker asks the tokenizer once for a chunk and remembers a bounded number of them. A-Z
-    are lowered first, as the tokenizer does, but for texts that may hold its special tokens.
+    A tokenizer that drops white space and never joins across it gives a text the ids of its chunks between ASCII
+    white space, and a chunk those of its parts. Each worker asks for a part once and remembers a bounded number of
+    chunks; parts go to the tokenizer's model past its slow normalisers. Chunks whose lower case or composition could
+    differ go through the whole tokenizer, and so do all texts for other tokenizers and those that may hold special
+    tokens.
     """
+    import regex
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallel part
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    known = _known.setdefault(tokenizer_path, {})
+    whole = Tokenizer.from_file(tokenizer_path)
+    short = is_word_bpe(whole)
+    model, find, letters = Tokenizer(whole.model), regex.compile(PARTS).findall, str.maketrans(byte_letters())
+    kept = _known.setdefault(tokenizer_path, [{}, {}])
+
+    def packed(some: list[str], by) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in by.encode_batch_fast(some, add_special_tokens=False)]
+
+    def parts(chunk: bytes) -> list[bytes] | None:
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[:-1].isalpha() and chunk[-1] in b".,":
+            return [chunk[:-1], chunk[-1:]]
+        text = chunk.decode()
+        if not chunk.isascii():
+            if "\u03a3" in text or not unicodedata.is_normalized("NFC", text):
+                return None
+            text = text.lower()
+        return [x.encode() for x in ([text] if text.isalpha() else find(text))]
+
+    def learn(new: list[bytes], known: dict[bytes, bytes]) -> None:
+        cut = {x: parts(x) for x in new}
+        odd = [x for x, y in cut.items() if y is None]
+        known.update(zip(odd, packed([x.decode() for x in odd], whole), strict=True))
+        unknown = list({y for x in cut.values() if x for y in x}.difference(known))
+        known.update(zip(unknown, packed([x.decode() if x.isascii() else x.decode("latin-1").translate(letters) for x in unknown], model), strict=True))
+        known.update((x, b"".join(map(known.__getitem__, y))) for x, y in cut.items() if y is not None and y != [x])
 
     def ids(texts: list[str | None]):
         for a in range(0, len(texts), 256):
-            parts = []
-            for text in texts[a : a + 256]:
-                raw = (text or "").encode("utf-8", "replace")
-                parts.append((raw if b"<|" in raw else raw.lower()).split())
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = list(set().union(*parts).difference(known))
-            for b in range(0, len(new), 4096):
-                some = new[b : b + 4096]
-                for chunk, found in zip(some, tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
-                    known[chunk] = b"".join(x.to_bytes(4, "little") for x in found.ids)
-            for part in parts:
-                yield b"".join(map(known.__getitem__, part))
+            some = [x or "" for x in texts[a : a + 256]]
+            if not short or any("<|" in x for x in some):
+                yield from packed(some, whole)
+                continue
+            if len(kept[0]) > REMEMBERED:
+                kept[:] = [{}, kept[0]]
+            known, older = kept
+            cut = [x.encode("utf-8", "replace").lower().split() for x in some]
+            if new := set().union(*cut).difference(known):
+                if again := new.intersection(older):
+                    known.update((x, older[x]) for x in again)
+                    new -= again
+                learn(list(new), known)
+            for own in cut:
+                yield b"".join(map(known.__getitem__, own))
 
     return ids
 
@@ -117,30 +170,33 @@ def better(a: list[int], b: list[int], room: int, sizes: list[int]) -> tuple[int
 
 
 def search(bins: list[list[int]], sizes: list[int], length: int) -> list[list[int]]:
-    """Empties sequences by moves between those with room, each of which raises the sum of squared fills.
+    """Empties sequences by exchanges between those with room, each of which raises the sum of squared fills.
 
-    The least filled sequence gives to the others, fullest first, until it is empty or no exchange helps; the search
-    ends when the room left in the others couldn't hold another whole sequence, or all have been tried.
+    The least filled sequence gives to the others, fullest first, until it is empty or no exchange helps; then the
+    next. Rounds end when one changes nothing, or when the room of the others can't hold another whole sequence.
     """
-    full = [b for b in bins if sum(sizes[k] for k in b) == length]
-    open_ = sorted(([sum(sizes[k] for k in b), b] for b in bins if sum(sizes[k] for k in b) < length), key=lambda x: x[0])
-    stuck = []
-    while open_ and sum(length - f for f, _ in [*open_[1:], *stuck]) >= open_[0][0]:
-        fill, a = open_.pop(0)
-        for other in sorted([*open_, *stuck], key=lambda x: -x[0]):
-            while a and other[0] < length:
-                gain, x, y = better(a, other[1], length - other[0], sizes)
-                if not gain or other[0] + gain <= fill:
-                    break
-                a = [k for k in a if k not in x] + y
-                other[1] = [k for k in other[1] if k not in y] + x
-                other[0], fill = other[0] + gain, fill - gain
-            if not a:
+    open_ = [[sum(sizes[k] for k in b), b] for b in bins]
+    full, changed = [b for f, b in open_ if f == length], True
+    open_ = [x for x in open_ if x[0] < length]
+    while changed:
+        changed, turn = False, sorted(open_, key=lambda x: x[0])
+        for donor in turn:
+            others = sorted((x for x in open_ if x is not donor and x[0] < length and x[1]), key=lambda x: -x[0])
+            if not donor[1] or donor[0] == length:
+                continue
+            if sum(length - x[0] for x in others) < donor[0]:
                 break
-        if a:
-            stuck.append([fill, a])
-        open_ = sorted((x for x in open_ if x[0] < length or full.append(x[1])), key=lambda x: x[0])
-    return full + [b for _, b in [*open_, *stuck]]
+            for other in others:
+                while donor[1] and other[0] < length:
+                    gain, x, y = better(donor[1], other[1], length - other[0], sizes)
+                    if not gain or other[0] + gain <= donor[0]:
+                        break
+                    donor[1] = [k for k in donor[1] if k not in x] + y
+                    other[1] = [k for k in other[1] if k not in y] + x
+                    other[0], donor[0], changed = other[0] + gain, donor[0] - gain, True
+        full += [b for f, b in open_ if f == length]
+        open_ = [x for x in open_ if x[1] and x[0] < length]
+    return full + [b for _, b in open_]
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int = END, with_ids: bool = False, group: int = GROUP) -> DataFrame:
