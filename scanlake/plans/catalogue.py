@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from scanlake.plans import catalog, evaluate, imagestats, kernels, layout, similarity  # noqa: F401
+from scanlake.plans import catalog, evaluate, imagestats, kernels, layout, report, similarity  # noqa: F401
