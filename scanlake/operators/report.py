@@ -78,11 +78,16 @@ def resolve(names: DataFrame, catalog: DataFrame, name: str) -> DataFrame:
     return d.select(*names.columns, F.coalesce("k0_", "k1_", "k2_").alias("resolved"))
 
 
-def shipped(fonts: DataFrame, eras: DataFrame, family: str) -> DataFrame:
-    """(family, era): eras, a fixed list of (era, start, family), with a family that holds the font's normalised name or is held by it, and that began no earlier than the font."""
+def shipped(fonts: DataFrame, eras: DataFrame, family: str, bound: int = 10_000) -> DataFrame:
+    """(family, era): eras, a fixed list of (era, start, family), with a family that holds the font's normalised name or is held by it, and that began no earlier than the font.
+
+    The list may have ``bound`` rows, which is checked before it is sent to every task.
+    """
+    if eras.limit(bound + 1).count() > bound:
+        raise ValueError(f"the list of eras has more than {bound} rows")
     a = fonts.withColumn("n_", F.lower(F.regexp_replace(family, "[^A-Za-z0-9]", "")))
     b = eras.select("era", "start", F.lower(F.regexp_replace("family", "[^A-Za-z0-9]", "")).alias("m_"))
-    near = a.join(F.broadcast(b.limit(10_000)), (F.contains("n_", F.col("m_")) | F.contains("m_", F.col("n_"))) & (F.col("birth") <= F.col("start")))
+    near = a.join(F.broadcast(b), (F.contains("n_", F.col("m_")) | F.contains("m_", F.col("n_"))) & (F.col("birth") <= F.col("start")))
     return near.select(family, "era").distinct()
 
 
