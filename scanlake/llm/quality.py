@@ -29,7 +29,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> list[float]:
     document. The counts are combined before the shuffle, and one number per bucket comes to the driver.
     """
     good = labels.where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(1))
-    known = docs.select("doc_id", "text").join(good, "doc_id", "left")
+    known = docs.select("doc_id", "text").join(good.hint("shuffle_merge"), "doc_id", "left")  # the labels grow with the corpus: never broadcast
     each = known.select(F.coalesce("good", F.lit(0)).alias("good"), words(F.col("text")).alias("w")).select("good", F.explode(grams(F.col("w"))).alias("bucket"))
     rows = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target")).collect()
     raw, target = [SMOOTHING] * BUCKETS, [SMOOTHING] * BUCKETS
