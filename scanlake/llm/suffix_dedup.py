@@ -23,6 +23,10 @@ BUCKET_ANCHORS, BYTES_AN_ANCHOR = 1 << 18, 18
 HOT = 4096
 
 
+#: Bytes of an Arrow batch.
+ARROW_BYTES = "8m"
+
+
 def packed(docs: DataFrame, block_bytes: int) -> DataFrame:
     """block, bytes, data: documents (doc_id, text) packed together, compressed."""
 
@@ -115,12 +119,13 @@ class Known:
         self.context_cuts = np.searchsorted(bucket[self.first], np.arange(self.buckets + 1))
 
     def contexts(self):
-        """(bucket, blob) of the distinct contexts of each bucket."""
+        """(bucket, number, blob) of the distinct contexts of each bucket."""
+        press = zstandard.ZstdCompressor(3)
         for k in np.flatnonzero(np.diff(self.context_cuts)):
             f = self.first[self.context_cuts[k] : self.context_cuts[k + 1]]
             rows = self.block.contexts(self.p[f], self.a[f], self.b[f])
             blob = rows.tobytes() + (self.p[f] - self.a[f]).astype(np.uint8).tobytes() + (self.b[f] - self.a[f] + 1).astype(np.uint8).tobytes() + self.low[self.context_cuts[k] : self.context_cuts[k + 1]].tobytes()
-            yield int(k), len(f), blob
+            yield int(k), len(f), press.compress(blob)
 
     def removed(self, answers: list[tuple[int, bytes]]) -> np.ndarray:
         """For each byte of the block whether it goes."""
@@ -143,11 +148,17 @@ class Known:
         return np.cumsum(edge)[: b.n] > 0
 
 
+def rows_of(batch: pa.RecordBatch, *names: str):
+    """Rows of large values one at a time, so that a single one is held outside Arrow."""
+    for k in range(batch.num_rows):
+        yield tuple(batch.column(x)[k].as_py() for x in names)
+
+
 def by_bucket(batches):
     """Lists of rows of one bucket each, from rows sorted by bucket."""
     now, held = None, []
     for batch in batches:
-        for row in zip(*[batch.column(k).to_pylist() for k in range(batch.num_columns)], strict=True):
+        for row in rows_of(batch, *batch.schema.names):
             if row[0] != now:
                 if held:
                     yield now, held
@@ -181,7 +192,9 @@ def sorted_buckets(depth: int):
     wide, left = depth - K + depth, depth - K
 
     def run(batches):
+        open_ = zstandard.ZstdDecompressor()
         for bucket, rows in by_bucket(batches):
+            rows = [(*x[:2], open_.decompress(x[2])) for x in rows]
             text = np.concatenate([np.frombuffer(x[2], np.uint8, x[1] * wide).reshape(-1, wide) for x in rows])
             off = np.concatenate([np.frombuffer(x[2], np.uint8, x[1], x[1] * wide) for x in rows]).astype(np.int64)
             count = np.concatenate([np.frombuffer(x[2], np.uint8, x[1], x[1] * (wide + 1)) for x in rows]).astype(np.int64)
@@ -237,6 +250,8 @@ def dedup(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, w
         raise ValueError("depth must lie between 48 and 128")
     spark = docs.sparkSession
     scratch = Scratch(spark)
+    # rows hold blobs of up to a block, so Arrow batches are kept to a few of them
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = scratch.save(packed(text.where("doc_id IS NOT NULL"), block_bytes), "blocks")
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
@@ -245,14 +260,14 @@ def dedup(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, w
 
     def send(batches):
         for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            for block, data in rows_of(batch, "block", "data"):
                 rows = [(k, block, len(h), (h & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (h >> np.uint64(32)).astype("<u2").tobytes() + around.tobytes() + np.packbits(several).tobytes()) for k, h, several, around in Known(data, depth, buckets).anchors()]
                 columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["bucket", "block", "n", "blob"])
 
     def send_contexts(batches):
         for batch in batches:
-            for block, data, flags in zip(*[batch.column(x).to_pylist() for x in ("block", "data", "flags")], strict=True):
+            for block, data, flags in rows_of(batch, "block", "data", "flags"):
                 known = Known(data, depth, buckets)
                 known.take([(x["bucket"], x["bits"]) for x in flags])
                 rows = [(k, block, n, blob) for k, n, blob in known.contexts()]
@@ -263,7 +278,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, w
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         for batch in batches:
-            for data, flags, masks in zip(*[batch.column(x).to_pylist() for x in ("data", "flags", "masks")], strict=True):
+            for data, flags, masks in rows_of(batch, "data", "flags", "masks"):
                 known = Known(data, depth, buckets)
                 known.take([(x["bucket"], x["bits"]) for x in flags or []])
                 gone = known.removed([(x["bucket"], x["bits"]) for x in masks or []])
