@@ -43,6 +43,16 @@ def finish(x: np.ndarray, length) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def evened(h: np.ndarray) -> np.ndarray:
+    """A permutation of the hashes that spreads the small ones, which anchors have as the least of many, over the range."""
+    mask = np.uint64((1 << HASH_BITS) - 1)
+    with np.errstate(over="ignore"):
+        for m in (_M1, _M2):
+            h = (h * m) & mask
+            h ^= h >> np.uint64(HASH_BITS // 2)
+    return h
+
+
 class Block:
     """Runs of windows of some documents' bytes laid end to end.
 
@@ -99,7 +109,7 @@ class Block:
         with np.errstate(over="ignore"):
             total = np.r_[np.uint64(0), np.cumsum(self.data[x : y + self.depth].astype(np.uint64) * _UP[: n + self.depth])]
             c = finish((total[b + self.depth] - total[a]) * _DOWN[a], b - a + self.depth)
-        return p + x, a + x, b + x, low[a] >> np.uint64(64 - HASH_BITS), own[np.searchsorted(lo, a, side="right") - 1], c
+        return p + x, a + x, b + x, evened(low[a] >> np.uint64(64 - HASH_BITS)), own[np.searchsorted(lo, a, side="right") - 1], c
 
     def singles(self, a: np.ndarray, b: np.ndarray, p: np.ndarray, h: np.ndarray, doc: np.ndarray):
         """Runs as one run a window: s, p, doc and a hash of the window's bytes."""
