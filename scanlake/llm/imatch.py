@@ -80,10 +80,10 @@ def in_turn(docs: DataFrame, groups: int) -> DataFrame:
     own = F.array(F.struct(F.col("range_").alias("r"), F.lit(0).alias("carried")))
     before = F.when(F.array_contains(bounds, F.col("id_")), F.array(F.struct((F.col("range_") + 1).alias("r"), F.lit(1).alias("carried")))).otherwise(F.slice(own, 1, 0))
     around = F.when(F.col("id_") == F.lit(top), F.array(F.struct(F.lit(0).alias("r"), F.lit(1).alias("carried")))).otherwise(F.slice(own, 1, 0))
-    dealt = d.withColumn("to_", F.explode(F.concat(own, before, around))).drop("range_")
-    order = Window.partitionBy("to_.r").orderBy(F.col("to_.carried"), F.col("id_").desc(), F.xxhash64("body"))
-    dealt = dealt.withColumn("next_body", F.lead("body").over(order)).withColumn("next_sig", F.lead("sig").over(order))
-    return dealt.where("to_.carried = 0").drop("to_", "id_")
+    dealt = d.withColumn("to_", F.explode(F.concat(own, before, around))).withColumns({"to_r": F.col("to_.r"), "to_carried": F.col("to_.carried"), "to_tie": F.xxhash64("body")}).drop("range_", "to_")
+    order = Window.partitionBy("to_r").orderBy(F.col("to_carried"), F.col("id_").desc(), F.col("to_tie"))
+    after = dealt.withColumn("after", F.lead(F.struct("body", "sig")).over(order)).where("to_carried = 0")
+    return after.withColumns({"next_body": F.col("after.body"), "next_sig": F.col("after.sig")}).drop("to_r", "to_carried", "to_tie", "id_", "after")
 
 
 def fingerprint(docs: DataFrame, bits: list[int]) -> DataFrame:
