@@ -21,7 +21,7 @@ LENGTH, END = 2048, 0
 #: Pieces that are packed together; each group leaves one sequence open at most when the search succeeds.
 GROUP = 2000
 #: Chunks a generation of a worker's memory holds; a worker keeps two, and those used last pass from the older to the newer.
-REMEMBERED = 220_000
+REMEMBERED = 320_000
 _known: dict[str, list[dict[bytes, bytes]]] = {}
 #: What the tokenizer cuts its input into, for the tokenizers that the short way below holds for.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -173,12 +173,14 @@ def search(bins: list[list[int]], sizes: list[int], length: int) -> list[list[in
     """Empties sequences by exchanges between those with room, each of which raises the sum of squared fills.
 
     The least filled sequence gives to the others, fullest first, until it is empty or no exchange helps; then the
-    next. Rounds end when one changes nothing, or when the room of the others can't hold another whole sequence.
+    next. Rounds end when one changes nothing, when the room of the others can't hold another whole sequence, or when
+    there are as few sequences as the sizes need at least.
     """
+    least = -(-sum(sizes) // length)
     open_ = [[sum(sizes[k] for k in b), b] for b in bins]
     full, changed = [b for f, b in open_ if f == length], True
     open_ = [x for x in open_ if x[0] < length]
-    while changed:
+    while changed and len(full) + len(open_) > least:
         changed, turn = False, sorted(open_, key=lambda x: x[0])
         for donor in turn:
             others = sorted((x for x in open_ if x is not donor and x[0] < length and x[1]), key=lambda x: -x[0])
