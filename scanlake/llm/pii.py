@@ -9,7 +9,7 @@ KEY = "scanlake-demo-key"
 ROUNDS = 8
 #: What is looked for, tried in this order at each place of a text.
 PATTERNS = [
-    r"[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]++\.)++\p{L}{2,}",
+    r"[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++){0,126}\.\p{L}{2,}",
     r"(?<![\p{L}\p{N}])[0-9a-f]{32,128}(?![\p{L}\p{N}])",
     r"(?<![\p{L}\p{N}])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3}[ .\-]?\d{3,4}(?!\d)",
     r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)(?!\p{L})",

@@ -319,6 +319,13 @@ def test_pii(spark, docs, rows, empty):
     assert whole.columns == [*docs.columns, "n_found"] and whole.count() == len(rows) and pii.pseudonymise(empty).count() == 0
 
 
+def test_emails_before_full_stops(spark):
+    texts = ["Mail john@example.com. Thanks", "john@mail.example.com... and", "to john@example.com.", "to john@example.com", "john@example.com, or john@example.com.4"]
+    got = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_found for r in got] == [1, 1, 1, 1, 2]
+    assert all("john@" not in r.text for r in got) and got[0].text.endswith("@example.com. Thanks") and got[1].text.endswith("@mail.example.com... and")
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
