@@ -36,15 +36,20 @@ def simhash(parts: list[bytes]) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the SimHash as a signed long, of every row of doc_id, text."""
+def text_print(text: str | None) -> int:
+    return simhash(shingles(text))
+
+
+def fingerprints(docs: DataFrame, of=text_print) -> DataFrame:
+    """The columns of docs but text, and fp, of(text) as a signed long (by default the SimHash), of every row."""
+    rest = [c for c in docs.columns if c != "text"]
 
     def run(batches):
         for batch in batches:
-            fp = np.array([simhash(shingles(x)) for x in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.array([of(x) for x in batch.column("text").to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(fp.view(np.int64))], [*rest, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp bigint")
+    return docs.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text") + ", fp bigint")
 
 
 def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +162,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Repeated rows are returned each; an empty table gives no rows. Texts are read whole.
     """
     scratch = Scratch(docs.sparkSession)
-    prints = scratch.save(fingerprints(docs), "prints")
+    prints = scratch.save(fingerprints(docs.select("doc_id", "text")), "prints")
     first = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     part = components(near_links(first), scratch).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     named = first.join(part, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -165,15 +170,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(named.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the document with the smallest doc_id, once.
+def keep_one(docs: DataFrame, of=text_print, linked=None) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component one row, that with the smallest doc_id.
 
-    Rows with a null doc_id stay only where a component has no other, one of them.
+    A null doc_id comes after all others; rows of one doc_id go by the hash of their text. linked gives the links (u, v)
+    between fingerprints of(text), from docs, their first rows (fp, first: no_id, doc_id, text_) and a Scratch; by
+    default SimHashes within the threshold. No component is read by one task: its first row is a minimum, combined
+    before the shuffle.
     """
-    firsts = near_duplicates(docs).select(F.col("component_id").alias("kept_id")).distinct()
-    kept = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("kept_row", F.row_number().over(once)).where("kept_row = 1").drop("kept_row")
+    scratch = Scratch(docs.sparkSession)
+    rows = docs.withColumn("text_", F.xxhash64("text"))
+    prints = scratch.save(fingerprints(rows.select("doc_id", "text_", "text"), of), "prints")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_")
+    firsts = scratch.save(prints.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
+    links = linked(rows, firsts, scratch) if linked else near_links(firsts)
+    part = components(links, scratch).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    named = firsts.join(part, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_").alias("kept_text"))
+    found = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_") == F.col("kept_text")), "left_semi")
+    once = Window.partitionBy("doc_id", "text_").orderBy(F.lit(0))  # repeated rows are alike
+    return found.withColumn("kept_row", F.row_number().over(once)).where("kept_row = 1").select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

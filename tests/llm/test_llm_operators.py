@@ -144,6 +144,14 @@ def test_simhash(spark, rows, docs):
     assert sorted(kept.doc_id) == sorted(set(brute_components(prints).values())) and list(kept.columns) == docs.columns
 
 
+def test_keep_one_keeps_a_row_of_every_component(spark):
+    rng = random.Random(3)
+    a, b, c, d, e = (" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(99)) for _ in range(60)) for _ in range(5))
+    given = [(None, a), (None, a), (None, b), (None, c), (1, c), (2, d), (2, e), (0, d), (3, e), (3, e)]
+    kept = simhash.keep_one(spark.createDataFrame(given, "doc_id long, text string")).collect()
+    assert sorted((r.text, r.doc_id is None, r.doc_id or 0) for r in kept) == sorted([(a, True, 0), (b, True, 0), (c, False, 1), (d, False, 0), (e, False, 2)])
+
+
 def test_simhash_links_every_pair_within_three_bits(spark):
     rng = random.Random(3)
     prints = {}
