@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from scanlake.llm import imatch, language, mixing, packing, pii, quality, repeats, simhash, suffix_dedup, toxicity, url_filter
+from scanlake.llm import imatch, language, mixing, near_sets, packing, pii, quality, repeats, simhash, suffix_dedup, toxicity, url_filter
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, w string, g string, block string, salt string"
 
@@ -172,6 +172,30 @@ def test_simhash_links_every_pair_within_three_bits(spark):
     assert groups(lambda k: root.get(prints[k], prints[k])) == groups(lambda k: want[k])
 
 
+@pytest.mark.parametrize("next_", [1, 12])
+def test_near_sets_are_exact(spark, monkeypatch, next_):
+    """Against all pairs, also where the groups of a token count as large."""
+    monkeypatch.setattr(near_sets, "NEXT", next_)
+    rng = random.Random(8)
+    given = [(None, None), (None, ""), (5000, "One two")]
+    for k in range(12):
+        base = [rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(rng.choice((12, 40, 150)))]
+        for j in range(8):
+            w = ["common", "words", "at", "the", "start", *base]
+            for _ in range(rng.randrange(5)):
+                w[rng.randrange(5, len(w))] = f"x{rng.randrange(9)}"
+            given.append((100 * k + j, " ".join(w)))
+    sets = [set(simhash.shingles(t, 5)) for _, t in given]
+    group = list(range(len(given)))
+    for i in range(len(given)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                group = [group[j] if g == group[i] else g for g in group]
+    want = {min((i is None, i or 0) for (i, _), g in zip(given, group, strict=True) if g == name) for name in set(group)}
+    kept = near_sets.keep_unlike(spark.createDataFrame(given, "doc_id long, text string").repartition(3)).collect()
+    assert len(kept) == len(want) == len(set(group)) > 12 and {(r.doc_id is None, r.doc_id or 0) for r in kept} == want
+
+
 def test_url_filter(spark):
     urls = ["https://www.EXAMPLE.com/en/1", "http://example.com/en/", "http://a.example.com/en?x", "http://com", "x.net/es/", None, "", "ftp://m.net/fr/2#a", "http://net/de/", "http://anet/es/", "http://user.com/", "://", "http://www.example.com/en/%2F?a://b"]
     pages = spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)] + [(1, urls[1], "h")], "page_id bigint, url string, stack string")
