@@ -13,8 +13,8 @@ BUCKETS = 1 << 18
 RAREST, COMMONEST = 0.01, 0.3
 #: A text with fewer terms in the band is fingerprinted by all its terms.
 LEAST_TERMS = 8
-#: Of each lexicon subset the first of its bits in a term's hash and their number: it holds a term whose bits are all 0.
-SUBSETS = [(3 * j, 5 + j % 4) for j in range(16)]
+#: Bits of a term's hash that name its lexicon subset: the 2^PARTS subsets hold every term once.
+PARTS = 4
 EMPTY = "--------"
 
 
@@ -40,7 +40,11 @@ def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONES
 
 
 def signatures(found: Column, bits: list[int]) -> Column:
-    """One signature per lexicon subset from a text's sorted term hashes; those without a term in a subset are EMPTY."""
+    """One signature per lexicon subset from a text's sorted term hashes; EMPTY for a text without words.
+
+    Where a text has no term in a subset, the subset is widened to the two, four, ... it lies among until one is there,
+    so every used term reaches the fingerprint and texts with different ones differ.
+    """
     table = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
 
     def in_band(h: Column) -> Column:
@@ -50,15 +54,16 @@ def signatures(found: Column, bits: list[int]) -> Column:
     band = F.filter(found, in_band)
     used = F.transform(F.array(band), lambda b: F.when(F.size(b) >= LEAST_TERMS, b).otherwise(found))
 
-    def one(t: Column, first: int, width: int) -> Column:
-        own = F.filter(t, lambda h: h.bitwiseAND(F.lit(((1 << width) - 1) << first)) == 0)
-        return F.transform(F.array(own), lambda x: F.when(F.size(x) == 0, F.lit(EMPTY)).otherwise(F.substring(F.lower(F.lpad(F.hex(F.xxhash64(x)), 16, "0")), 1, 8)))[0]
+    def one(t: Column, part: int, wider: int = 0) -> Column:
+        own = t if wider == PARTS else F.filter(t, lambda h: F.shiftrightunsigned(h, 64 - PARTS + wider) == part >> wider)
+        none = F.lit(EMPTY) if wider == PARTS else one(t, part, wider + 1)
+        return F.transform(F.array(own), lambda x: F.when(F.size(x) == 0, none).otherwise(F.substring(F.lower(F.lpad(F.hex(F.xxhash64(x)), 16, "0")), 1, 8)))[0]
 
-    return F.transform(used, lambda t: F.array(*[one(t, *s) for s in SUBSETS]))[0]
+    return F.transform(used, lambda t: F.array(*[one(t, part) for part in range(1 << PARTS)]))[0]
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal signatures among the subsets in which either text has a term; 1 for equal fingerprints."""
+    """Share of equal signatures, 0 if one text alone has no word; 1 for equal fingerprints."""
     pairs = F.arrays_zip(a.alias("x"), b.alias("y"))
     same = F.size(F.filter(pairs, lambda p: (p["x"] == p["y"]) & (p["x"] != EMPTY)))
     some = F.size(F.filter(pairs, lambda p: (p["x"] != EMPTY) | (p["y"] != EMPTY)))

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from scanlake.llm import imatch, language, mixing, near_sets, packing, pii, quality, repeats, simhash, suffix_dedup, toxicity, url_filter
 
@@ -331,6 +332,16 @@ def test_imatch(spark, rows, docs, empty):
     assert one.near_next[0] == 1.0
 
 
+def test_imatch_signs_every_term(spark):
+    """Texts of different words differ in fingerprint, however few words they have; each of many words counts."""
+    long = [f"w{k}" for k in range(200)]
+    texts = [f"only{k}" for k in range(40)] + [f"a{k} b{k} c{k} d{k}" for k in range(40)] + [" ".join(long[:k] + long[k + 1 :]) for k in range(200)] + [""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = imatch.fingerprint(d, imatch.lexicon(d, commonest=1.0)).withColumn("near", imatch.likeness(F.col("sig"), F.array(*[F.lit(imatch.EMPTY)] * 16))).toPandas()
+    assert len({tuple(x) for x in got.sig}) == len(texts)
+    assert all((imatch.EMPTY in x) == (t == "") for x, t in zip(got.sig, got.body, strict=True)) and (got.near == (got.body == "")).all()
+
+
 def test_pii(spark, docs, rows, empty):
     card, bad_card = "4111 1111-1111 1111", "4111111111111112"
     text = f"Mail jo.ä@mail.example.com, call +1 (212) 555-0187; ip 10.0.0.255 not 300.1.1.1. Card {card} or {bad_card}, ssn 078-05-1120 but 000-05-1120, born 1990-02-28, not 1990-02-30, 28.02.1990, key {'0af' * 14}."
