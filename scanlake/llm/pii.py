@@ -7,16 +7,24 @@ from pyspark.sql import functions as F
 
 KEY = "scanlake-demo-key"
 ROUNDS = 8
+ISO, SSN = r"\d{4}-\d{2}-\d{2}(?![\d\-])", r"\d{3}-\d{2}-\d{4}(?![\d\-])"
+#: North American numbers in groups of 3, 3 and 4, and those with a leading 0 or 00 in any groups.
+NANP = r"(?:1[ .\-])?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!-?[\p{L}\p{N}])"
+TRUNK = r"\(?0(?:(?=[1-9]\d{0,4}\)?[ .\-/]\(?\d)(?:[ .\-/]?\(?\d\)?){8,11}|0(?=[1-9]\d{0,4}[ .\-/]\(?\d)(?:[ .\-/]?\(?\d\)?){7,13})(?![\p{L}\p{N}])"
+NATIONAL = rf"(?<![\p{{L}}\p{{N}}])(?<!\d[\-/.,])(?:{NANP}|{TRUNK})"
 #: What is looked for, tried in this order at each place of a text.
 PATTERNS = [
     r"[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++){0,126}\.\p{L}{2,}",
     r"(?<![\p{L}\p{N}])[0-9a-f]{32,128}(?![\p{L}\p{N}])",
-    r"(?<![\p{L}\p{N}])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3}[ .\-]?\d{3,4}(?!\d)",
+    r"(?<![\p{L}\p{N}])\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)",
+    r"(?<![\p{L}\p{N}])\+\(?\d(?:[ .\-/]?\(?\d\)?){6,14}(?!\d)",
     r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)(?!\p{L})",
-    r"(?<![\p{L}\p{N}\-/.])\d{4}-\d{2}-\d{2}(?![\d\-])",
+    rf"(?<![\p{{L}}\p{{N}}\-/.]){ISO}",
     r"(?<![\p{L}\p{N}\-/.])\d{1,2}([/.])\d{1,2}\1\d{4}(?!\d)",
-    r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    r"(?<![\p{L}\p{N}])\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])",
+    rf"(?<![\p{{L}}\p{{N}}\-]){SSN}",
+    NATIONAL,
+    # cards: a run of groups with 13 digits or more, in which they are looked for by whole groups
+    rf"(?<![\p{{L}}\p{{N}}])(?=\d(?:[ \-]?\d){{12}})\d++(?![\p{{L}}\p{{N}}])(?:(?:-| (?!{ISO}|{SSN}|{NANP}))\d++(?![\p{{L}}\p{{N}}]))*+",
 ]
 ANY = "|".join(PATTERNS)
 #: Days of an era; dates are permuted within theirs, counted from 1900-01-01. The square of DAY_SIDE.
@@ -86,18 +94,62 @@ def shifted(day: Column, key: str) -> Column:
     )
 
 
+def card(m: Column, key: str) -> Column:
+    """Another card of as many digits with a right check digit, written alike."""
+    number = digits(m)
+    return bound(permute(F.substring(number, F.lit(1), F.length(number) - 1), "card", key), lambda body: refill(m, F.concat(body, F.pmod(-luhn(body, 1), F.lit(10)).cast("string"))))
+
+
+def cards(run: Column, key: str) -> Column:
+    """struct(text, n): a run of digit groups with its cards replaced, and their number.
+
+    A card is the longest sequence of whole groups from a place on with 13 to 19 digits and a right check digit; places are
+    tried from the left.
+    """
+
+    def is_card(d: Column) -> Column:
+        return F.length(d).between(13, 19) & (luhn(d, 0) % 10 == 0)
+
+    def scan(g: Column) -> Column:
+        def part(i: Column, j: Column) -> Column:
+            return F.array_join(F.slice(g, i + 1, j - i + 1), "")
+
+        def step(s: Column, i: Column) -> Column:
+            ends = F.filter(F.sequence(i, F.least(i + 18, F.size(g) - 1)), lambda j: bound(digits(part(i, j)), is_card))
+            last = bound(F.array_max(ends), lambda j: F.when(j.isNull(), F.struct(F.concat(s["text"], g[i]).alias("text"), s["n"].alias("n"), s["skip"].alias("skip"))).otherwise(F.struct(F.concat(s["text"], bound(part(i, j), lambda m: card(m, key))).alias("text"), (s["n"] + 1).alias("n"), (j + 1).alias("skip"))))
+            return F.when(i < s["skip"], s).otherwise(last)
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(0).alias("skip")), step, lambda s: F.struct(s["text"].alias("text"), s["n"].alias("n")))
+
+    return bound(F.regexp_extract_all(run, F.lit(r"\d+[ \-]?"), F.lit(0)), scan)
+
+
+def joined(text: Column, pattern: str, stands: Column) -> Column:
+    """The text with what stands for them (structs with text) in place of the matches of pattern."""
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), stands, lambda a, b: F.concat(a, F.coalesce(b["text"], F.lit("")))), "")
+
+
+def places(stands: Column) -> Column:
+    return F.aggregate(stands, F.lit(0), lambda acc, x: acc + x["n"])
+
+
 def pseudonym(m: Column, key: str = KEY) -> Column:
-    """What stands for a candidate; the candidate itself where its validation fails.
+    """struct(text, n): what stands for a candidate and the number of replaced places in it; the candidate itself where its validation fails.
 
-    Emails keep their domain; keys of 32 or more hexadecimal digits keep their length; telephone numbers keep what is before
-    their last 10 digits (all permuted if fewer); IPv4 addresses, cards with a right check digit (kept right), social security numbers
+    Emails keep their domain; keys of 32 or more hexadecimal digits keep their length; telephone numbers (with a leading + in any groups, NANP,
+    TRUNK) keep what is before their last 10 digits (all permuted if fewer); IPv4 addresses, cards with a right check digit (kept right), social security numbers
     and calendar dates are permuted within their kind.
     """
     hidden = F.sha2(F.concat_ws(":", F.lit(key), m), 512)
     email = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws(":", F.lit(key), F.substring_index(m, "@", 1)), 256), 1, 10), F.lit("@"), F.substring_index(m, "@", -1))
     number = digits(m)
-    tail = F.least(F.lit(10), F.length(number))
-    phone = bound(number, lambda d: refill(m, F.concat(F.substring(d, F.lit(1), F.length(d) - tail), permute(F.substring(d, F.length(d) - tail + 1, tail), "phone", key))))
+
+    def changed(new: Column) -> Column:
+        return bound(new, lambda x: F.struct(x.alias("text"), (x != m).cast("int").alias("n")))
+
+    def phone(x: Column) -> Column:
+        return bound(digits(x), lambda d: bound(F.least(F.lit(10), F.length(d)), lambda tail: refill(x, F.concat(F.substring(d, F.lit(1), F.length(d) - tail), permute(F.substring(d, F.length(d) - tail + 1, tail), "phone", key)))))
+
     octets = F.split(m, r"\.")
     ip_ok = F.forall(octets, lambda x: x.cast("int") <= 255)
     word = F.lit(65536).cast("long")
@@ -105,8 +157,6 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
         feistel(octets[0].cast("long") * 256 + octets[1].cast("long"), octets[2].cast("long") * 256 + octets[3].cast("long"), word, word, F.lit("ip"), key),
         lambda s: F.concat_ws(".", *[x.cast("string") for side in ("a", "b") for x in (F.floor(s[side] / 256), s[side] % 256)]),
     )
-    card_ok = luhn(number, 0) % 10 == 0
-    card = bound(permute(F.substring(number, F.lit(1), F.length(number) - 1), "card", key), lambda body: refill(m, F.concat(body, F.pmod(-luhn(body, 1), F.lit(10)).cast("string"))))
     iso = m.try_cast("date")
     parts = F.split(m, r"[/.]")
     day_first = parts[1].cast("int") <= 12
@@ -114,16 +164,20 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     mark = F.regexp_extract(m, r"[/.]", 0)
     written = bound(shifted(other, key), lambda d: F.when(day_first, F.concat_ws("", F.date_format(d, "dd"), mark, F.date_format(d, "MM"), mark, F.date_format(d, "yyyy"))).otherwise(F.concat_ws("", F.date_format(d, "MM"), mark, F.date_format(d, "dd"), mark, F.date_format(d, "yyyy"))))
     ssn_ok = ~m.rlike(r"^(000|666|9)|-00-|-0000$")
-    return (
+
+    def phones(run: Column) -> Column:
+        return bound(F.transform(F.regexp_extract_all(run, F.lit(NATIONAL), F.lit(0)), lambda x: F.struct(phone(x).alias("text"), F.lit(1).alias("n"))), lambda s: F.struct(joined(run, NATIONAL, s).alias("text"), places(s).alias("n")))
+
+    one = (
         F.when(m.contains("@"), email)
         .when(m.rlike(r"^[0-9a-f]{32,}$"), F.substring(hidden, F.lit(1), F.length(m)))
-        .when(m.startswith("+"), phone)
+        .when(m.startswith("+") | m.rlike(f"^(?:{NATIONAL})$"), phone(m))
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.when(ip_ok, ip).otherwise(m))
         .when(m.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.when(iso.isNotNull(), F.date_format(shifted(iso, key), "yyyy-MM-dd")).otherwise(m))
         .when(m.rlike(r"^\d{1,2}[/.]\d{1,2}[/.]\d{4}$"), F.when(other.isNotNull(), written).otherwise(m))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(ssn_ok, refill(m, permute(number, "ssn", key))).otherwise(m))
-        .otherwise(F.when(card_ok, card).otherwise(m))
     )
+    return bound(one, lambda x: F.when(x.isNotNull(), changed(x)).otherwise(bound(cards(m, key), lambda c: F.when(c["n"] > 0, c).otherwise(phones(m)))))
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -137,9 +191,8 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     maybe = F.coalesce(F.col("text").rlike(r"@|\d|[0-9a-f]{32}"), F.lit(False))
     d = docs.withColumn("found_", F.when(maybe, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
     d = d.withColumn("stands_", F.when(F.size("found_") > 0, F.transform("found_", lambda m: pseudonym(m, key))))
-    new = F.array_join(F.zip_with(F.split("text", ANY, -1), "stands_", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("found_", "stands_", lambda a, b: a != b), lambda x: x))
-    d = d.withColumn("n_found", F.when(F.col("stands_").isNotNull(), changed).otherwise(0).cast("long"))
+    new = joined(F.col("text"), ANY, F.col("stands_"))
+    d = d.withColumn("n_found", F.when(F.col("stands_").isNotNull(), places(F.col("stands_"))).otherwise(0).cast("long"))
     d = d.withColumn("text", F.when(F.col("stands_").isNotNull(), new).otherwise(F.col("text")))
     return d.select(*columns, "n_found")
 

@@ -369,6 +369,21 @@ def test_emails_before_full_stops(spark):
     assert all("john@" not in r.text for r in got) and got[0].text.endswith("@example.com. Thanks") and got[1].text.endswith("@mail.example.com... and")
 
 
+def test_cards_and_telephones_in_company(spark):
+    card = "4111111111111111"
+    given = [
+        (f"{card} 123", card, 1), ("4111 1111 1111 1111 12/25", "4111 1111 1111 1111", 1), (f"12 {card}", card, 1), (f"{card} 5500000000000004", card, 2),
+        (f"on 5 2024-01-31 {card} 078-05-1120", "2024-01-31", 3), ("4111111111111112 123", None, 0), ("4111 1111 1111 1112", None, 0),
+        ("call (212) 555-0187 now", "(212) 555-0187", 1), ("tel.212-555-0187.", "212-555-0187", 1), ("+44 20 7946 0958", "7946 0958", 1), ("+33 1 23 45 67 89", "23 45 67 89", 1),
+        ("+49 30 12345678", "12345678", 1), ("+44 (0)20 7946 0958", "7946 0958", 1), ("+1 212 555 0187 12", "212 555 0187", 1), ("030 12345678", "030 12345678", 1), ("0049 30 12345678", "12345678", 1), ("12 030 12345678", "030 12345678", 1),
+        ("5 + 1234567, 0.123 and 12 34", None, 0),
+    ]
+    d = spark.createDataFrame([(k, t) for k, (t, *_) in enumerate(given)], "doc_id long, text string")
+    for (text, gone, n), new in zip(given, pii.pseudonymise(d).orderBy("doc_id").collect(), strict=True):
+        assert new.n_found == n and (new.text == text if gone is None else gone not in new.text), (text, new)
+        assert re.sub(r"\d", "0", new.text) == re.sub(r"\d", "0", text)
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
