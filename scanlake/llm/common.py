@@ -24,21 +24,65 @@ def sealed(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
+def carried(docs: DataFrame, keep: tuple, own: tuple) -> tuple[Column, list[Column]]:
+    """One struct column of the columns to carry, and how to select them from it afterwards.
+
+    Inside an operator no name of the caller's can meet one of its own. A carried column that is called like one of the
+    operator's results comes back with ``_given`` after its name (again until it is free).
+    """
+    taken, names = {x.lower() for x in own} | {x.lower() for x in keep}, []
+    for name in keep:
+        new = name
+        while new.lower() in {x.lower() for x in own} or (new != name and new.lower() in taken):
+            new += "_given"
+        taken.add(new.lower())
+        names.append(new)
+    # a struct without fields can't be written, so there is always one
+    packed = F.struct(*[docs[f"`{x}`"].alias(f"c{k}") for k, x in enumerate(keep)], F.lit(0).alias("none")).alias("carried_")
+    return packed, [F.col(f"carried_.c{k}").alias(x) for k, x in enumerate(names)]
+
+
+def sample(rows: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
+    """At most ``most`` rows, those first by a hash of the key, then of the whole row; the same whatever the partitions.
+
+    Rows are counted first and those beyond a little more than the share wanted go before anything is sorted, so that the
+    sort holds about ``most`` rows, however many there are. A key's repeated rows count as rows.
+    """
+    total = rows.count()
+    if total > most:
+        wide = 1 << 30
+        rows = rows.where(F.pmod(F.xxhash64(key), F.lit(wide)) < min(wide, int(wide * (1.1 * most + 100) / total)))
+    columns = [F.col(c) for c in rows.columns]
+    return rows.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 30)), key, F.xxhash64(*columns)).limit(most)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where none is configured."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Only a local session, where driver and executors are one process, may be without one; it gets a temporary folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = os.path.join(tempfile.gettempdir(), "scanlake-shared")
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 class Scratch:
-    """Intermediate tables in the shared folder: they cut the lineage and outlive a lost executor."""
+    """Intermediate tables in the shared folder: they cut the lineage and outlive a lost executor.
+
+    A table is dropped by name when nothing reads it any more; the rest goes when the driver ends, since the returned
+    DataFrames read it until then.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/scanlake-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        self.files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.files.mkdirs(path)
+        self.files.deleteOnExit(path)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -46,6 +90,4 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), True)

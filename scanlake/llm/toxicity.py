@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most labelled documents the chain is fitted on, chosen by hash, and most features of a category.
+from scanlake.llm.common import Scratch, sample
+
+#: Most labelled rows the chain is fitted on, chosen by hash, and most features of a category, those with the greatest chi-square.
 MAX_TRAIN, MAX_FEATURES = 8_000, 384
 FOLDS = 4
 PREFIXES = (4, 5, 6)
-#: A feature must be in so many documents of a category, and its chi-square so high.
-LEAST_DOCS, LEAST_CHI2 = 5, 20.0
+#: A feature must be in this share of a category's rows, in two of them at least, and its chi-square so high (one in a thousand by chance).
+LEAST_SHARE, LEAST_CHI2 = 0.002, 10.83
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -84,15 +86,19 @@ class Chain:
         return x[:, len(self.known) :]
 
 
-def fit(labelled: DataFrame, categories: list[str], max_train: int = MAX_TRAIN) -> Chain:
-    """Fits the chain on at most ``max_train`` rows of doc_id, text and a 0/1 column for each category.
+def fit(labelled: DataFrame, categories: list[str], max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> Chain:
+    """Fits the chain on at most ``max_train`` rows of doc_id, text and a 0/1 column for each category (null: 0).
 
-    Features are chosen on the executors, by counts combined before the shuffle; the driver gets the chosen ones
-    (MAX_FEATURES a category at most) and their counts in the sample, which both parameters bound. Within the
-    training rows an earlier category's probability is out of fold: from a model that hasn't seen the row's fold.
+    The sample is written once. Its features are counted on the executors, combined before the shuffle; the driver
+    gets the chosen ones (``max_features`` a category at most) and their counts in the sample, which both parameters
+    bound. Within the training rows an earlier category's probability is out of fold: from a model that hasn't seen
+    the row's fold; rows of one doc_id share a fold. Rows without doc_id or text can be sampled like others; a text
+    has one row in memory at a time. Without rows, or without positive ones, the chain finds none.
     """
-    chosen = labelled.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).distinct()
-    rows = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text", F.array(*[F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in categories]).alias("y"))
+    scratch = Scratch(labelled.sparkSession)
+    y = F.array(*[F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in categories])
+    rows = labelled.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text", y.alias("y"))
+    rows = scratch.save(sample(rows, max_train, "id"), "sample")
 
     def seen(batches):
         for batch in batches:
@@ -103,18 +109,19 @@ def fit(labelled: DataFrame, categories: list[str], max_train: int = MAX_TRAIN)
                     n[name] = n[name] + one if name in n else one
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([x.tolist() for x in n.values()], pa.list_(pa.int64()))], ["name", "n"])
 
-    totals = [1] + [F.sum(F.col("y")[k]).alias(f"y{k}") for k in range(len(categories))]
-    size = rows.agg(F.count("*").alias("n"), *totals[1:]).first()
-    total = size["n"] or 0
+    size = rows.agg(F.count("*").alias("n"), *[F.sum(F.col("y")[k]).alias(f"y{k}") for k in range(len(categories))]).first()
+    total = float(size["n"])
     sums = rows.select("text", "y").mapInArrow(seen, "name string, n array<bigint>").groupBy("name").agg(F.sum(F.col("n")[0]).alias("n"), *[F.sum(F.col("n")[k + 1]).alias(f"n{k}") for k in range(len(categories))])
+    sums = scratch.save(sums.where("n > 1"), "features")
     known: dict[str, int] = {}
     for k in range(len(categories)):
         pos = float(size[f"y{k}"] or 0)
-        a, b = F.col(f"n{k}").cast("double"), (F.col("n") - F.col(f"n{k}")).cast("double")
-        c, d = F.lit(pos) - a, F.lit(total - pos) - b
-        chi2 = F.lit(float(total)) * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * F.lit(pos) * F.lit(total - pos))
         if 0 < pos < total:
-            for row in sums.where((a >= LEAST_DOCS) & (c + d > 0)).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "name").limit(MAX_FEATURES).select("name").collect():
+            a, b = F.col(f"n{k}").cast("double"), (F.col("n") - F.col(f"n{k}")).cast("double")
+            c, d = pos - a, (total - pos) - b
+            chi2 = total * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * pos * (total - pos))
+            often = sums.where((a >= max(2.0, LEAST_SHARE * pos)) & (c + d > 0)).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
+            for row in often.orderBy(F.desc("chi2"), "name").limit(max_features).select("name").collect():
                 known.setdefault(row["name"], len(known))
     chain = Chain(categories, known, [])
     data = []
@@ -124,25 +131,31 @@ def fit(labelled: DataFrame, categories: list[str], max_train: int = MAX_TRAIN)
         def counted(batches):
             for batch in batches:
                 found = [features(x, shared.value) for x in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("y").cast(pa.list_(pa.int64())), pa.array([list(f.items()) for f, _ in found], pa.map_(pa.string(), pa.int64())), pa.array([n for _, n in found], pa.int64())], ["id", "y", "found", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y").cast(pa.list_(pa.int64())), pa.array([list(f.items()) for f, _ in found], pa.map_(pa.string(), pa.int64())), pa.array([n for _, n in found], pa.int64())], ["id", "y", "found", "n"])
 
-        data = sorted(rows.mapInArrow(counted, "id string, y array<bigint>, found map<string,bigint>, n bigint").collect(), key=lambda r: (r["id"], r["n"]))
+        data = sorted(rows.mapInArrow(counted, "id string, y array<bigint>, found map<string,bigint>, n bigint").collect(), key=lambda r: (r["id"], r["n"], sorted(r["found"].items())))
     x = chain.matrix([(r["found"], r["n"]) for r in data])
     y = np.array([r["y"] for r in data], dtype=float).reshape(len(data), len(categories))
-    fold = np.array([zlib.crc32(r["id"].encode()) % FOLDS for r in data], dtype=int)
-    for k in range(len(categories)):
+    fit_chain(chain, x, y, [r["id"] for r in data])
+    return chain
+
+
+def fit_chain(chain: Chain, x: np.ndarray, y: np.ndarray, ids: list[str]) -> None:
+    """Fits one model a category on the features x, each with the out-of-fold probabilities of those before it as further columns."""
+    fold = np.array([zlib.crc32(i.encode()) % FOLDS for i in ids], dtype=int)
+    for k in range(y.shape[1]):
         chain.models.append(Linear.fitted(x, y[:, k]))
         out = np.zeros(len(x))
         for f in range(FOLDS):
             out[fold == f] = Linear.fitted(x[fold != f], y[fold != f, k]).p(x[fold == f])
         x = np.c_[x, out]
-    return chain
 
 
 def judge(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
     """doc_id, p_<category> of each, and flagged (the last category at the threshold or above) for every row of doc_id, text.
 
-    Texts are read whole. Null or empty text has no feature and gets what the chain says of that. A chain fitted
+    The first category of the query, "junk" (quality 0), is no toxicity; its probability is an input of the toxic model.
+    Texts are read whole, one in memory besides its batch. Null or empty text has no feature and gets what the chain says of that. A chain fitted
     without positive rows finds none. Repeated rows are judged each; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
@@ -159,8 +172,9 @@ def judge(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    # labels are sampled first, MAX_TRAIN of them, which bounds what is sent to every task
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     labels = labels.select("doc_id", (F.col("quality") == 0).cast("int").alias("junk"), "toxic").where("doc_id IS NOT NULL")
-    sample = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
-    chain = fit(docs.join(F.broadcast(sample), "doc_id"), ["junk", "toxic"])
+    chosen = sample(labels, MAX_TRAIN)
+    chain = fit(docs.join(F.broadcast(chosen), "doc_id"), ["junk", "toxic"])
     return judge(docs, chain).withColumnRenamed("flagged", "toxic")
