@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import Scratch, words
+from scanlake.llm.common import Scratch, carried, words
 
 BUCKETS = 4096
 
@@ -40,13 +40,15 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_epochs: floa
     target. The place of a document in that order comes from sums per (source, digest bucket), so that a hot source
     is spread over all buckets and no task holds a whole one.
 
-    Null text: size 0, never taken. Null source: a source of its own, last. Repeated rows are mixed like any others.
-    Empty table: no rows.
+    Null text: size 0, never taken. Null source: a source of its own, last. Repeated rows are mixed like any others;
+    rows of one doc_id and size go by the hash of what is carried, so that ties fall alike in every run. Very long texts
+    are only counted. Empty table: no rows. A carried column that is called like a result: see ``carried``.
     """
     spark = docs.sparkSession
+    held, given = carried(docs, keep, ("doc_id", "source", "size", "source_size", "target", "taken", "copies"))
     draw = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = docs.select("doc_id", *keep, "source", F.size(words(F.col("text"))).cast("long").alias("size"))
-    sized = sized.withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).withColumn("draw", draw)
+    sized = docs.select("doc_id", held, "source", F.size(words(F.col("text"))).cast("long").alias("size"))
+    sized = sized.withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).withColumns({"draw": draw, "tie": F.xxhash64("carried_")})
     sized = sized.withColumn("bucket", F.pmod(F.conv(F.substring("draw", 1, 8), 16, 10).cast("long"), F.lit(BUCKETS)).cast("int"))
     sized = Scratch(spark).save(sized, "sizes")
     buckets = sized.groupBy("skey", "bucket").agg(F.sum("size").alias("in_bucket"), F.first("source", ignorenulls=True).alias("source"))
@@ -55,10 +57,10 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_epochs: floa
     sources = sources.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")).drop("source")
     earlier = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     plan = buckets.withColumn("below", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0))).drop("in_bucket", "source").join(sources, "skey")
-    own = Window.partitionBy("skey", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("skey", "bucket").orderBy("draw", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.join(plan, ["skey", "bucket"]).withColumn("below", F.col("below") + F.coalesce(F.sum("size").over(own), F.lit(0)))
     copies = F.col("whole") + F.when(F.col("below") + F.col("size") / 2 <= F.col("need"), 1).otherwise(0)
-    return placed.select("doc_id", *keep, "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.cast("long").alias("copies"))
+    return placed.select("doc_id", *given, "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.cast("long").alias("copies"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
