@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanlake.llm.common import carried
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Pages of a shard of the sweep, about.
+SHARD = 1_000_000
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
@@ -41,22 +45,25 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", salts: int
 
     Pages and interval ends are sorted together by key and swept once; each page takes the stack of the last end
     before it. The sweep runs in ``salts`` shards that each hold all interval ends (sent by shuffle, never broadcast)
-    and a share of the pages, so no host, however hot, gathers in one task.
+    and a share of the pages, so no host, however hot, gathers in one task. By default the shards follow the number of
+    pages, SHARD of them each.
 
-    The longest fitting rule wins (then block, then code point order). Null url: empty host and path, the default.
-    Repeated pages are judged like any others; empty tables give no rows; without rules all get the default.
+    The longest fitting rule wins (then block, then code point order). Null url: empty host and path, the default. Urls are
+    read whole. Repeated pages are judged like any others; empty tables give no rows; without rules all get the default.
+    A carried column that is called like a result: see ``carried``.
     """
     if not salts:
-        salts = 4 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salts = max(4 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pages.count() // SHARD))
+    held, given = carried(pages, keep, ("page_id", "host", "path", "rule", "verdict"))
     host, path = host_and_path(F.col("url"))
-    page = pages.select("page_id", "url", *keep).withColumn("host", host).withColumn("path", path)
-    page = page.select(F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).alias("salt"), key(F.col("host")).alias("key"), F.lit(1).alias("kind"), "page_id", *keep, "host", "path")
+    page = pages.select("page_id", "url", held).withColumn("host", host).withColumn("path", path)
+    page = page.select(F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).alias("salt"), key(F.col("host")).alias("key"), F.lit(1).alias("kind"), "page_id", "carried_", "host", "path")
     ends = stacks(rules).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"), "key", F.lit(0).alias("kind"), "stack")
     sweep = Window.partitionBy("salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
     swept = page.unionByName(ends, allowMissingColumns=True).withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
     first = F.get(F.filter("stack", lambda r: F.col("path").startswith(r.path)), F.lit(0))
     swept = swept.withColumn("best", first)
-    return swept.select("page_id", *keep, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    return swept.select("page_id", *given, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
