@@ -176,20 +176,24 @@ def keep_one(docs: DataFrame, of=text_print, linked=None) -> DataFrame:
     A null doc_id comes after all others; rows of one doc_id go by the hash of their text. linked gives the links (u, v)
     between fingerprints of(text), from docs, their first rows (fp, first: no_id, doc_id, text_) and a Scratch; by
     default SimHashes within the threshold. No component is read by one task: its first row is a minimum, combined
-    before the shuffle.
+    before the shuffle. Null or empty texts are one group, like any equal texts. Texts are read whole; an empty table
+    gives no rows; columns besides doc_id and text are returned as they are, whatever their names.
     """
-    scratch = Scratch(docs.sparkSession)
-    rows = docs.withColumn("text_", F.xxhash64("text"))
-    prints = scratch.save(fingerprints(rows.select("doc_id", "text_", "text"), of), "prints")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_")
+    scratch, names = Scratch(docs.sparkSession), docs.columns
+    # all columns of the caller's travel in one struct, so that none can meet one of these
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_"), F.struct(*[docs[f"`{c}`"] for c in names]).alias("row_"))
+    rows = rows.withColumn("same_", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_").cast("string")))
+    prints = scratch.save(fingerprints(rows.select("doc_id", "text_", "same_", "text"), of), "prints")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_", "same_")
     firsts = scratch.save(prints.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
     links = linked(rows, firsts, scratch) if linked else near_links(firsts)
     part = components(links, scratch).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     named = firsts.join(part, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_").alias("kept_text"))
-    found = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_") == F.col("kept_text")), "left_semi")
-    once = Window.partitionBy("doc_id", "text_").orderBy(F.lit(0))  # repeated rows are alike
-    return found.withColumn("kept_row", F.row_number().over(once)).where("kept_row = 1").select(docs.columns)
+    kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.same_").alias("same_"))
+    # the join and the window (repeated rows are alike) share one key, so texts are shuffled once
+    once = Window.partitionBy("same_").orderBy(F.xxhash64("row_"))
+    found = rows.select("same_", "row_").join(kept, "same_", "left_semi").withColumn("nth_", F.row_number().over(once)).where("nth_ = 1")
+    return found.select(*[F.col("row_")[c].alias(c) for c in names])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
