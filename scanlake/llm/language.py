@@ -9,11 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scanlake.llm.common import Scratch, carried, sample
+
 #: Buckets of the hashed n-grams (a power of two) and the orders of the n-grams.
 BITS, ORDERS = 15, (1, 2, 3)
 #: Most labelled documents the model is fitted on, chosen by hash.
 MAX_TRAIN = 20_000
-STEP = 1 << 18
+#: Most languages, and so the size of what is sent to every task: MAX_LANGS * 2**BITS numbers.
+MAX_LANGS = 256
+#: Code points counted at a time, and numbers of the table taken at a time.
+STEP, CELLS = 1 << 18, 1 << 22
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -49,18 +54,30 @@ def steps(texts: list[str]):
         yield first, held
 
 
-def totals(texts: list[str], table: np.ndarray) -> np.ndarray:
-    """Sum of the table's rows over the n-grams of each text."""
-    out = np.zeros((len(texts), table.shape[1]))
+def counts(texts: list[str]):
+    """(text, bucket, n) of the n-grams of each text, a bounded number of code points at a time, as arrays sorted by text and bucket."""
     for first, held in steps(texts):
         c = np.concatenate([*held, np.zeros(max(ORDERS), dtype="<u4")])
         ends = np.cumsum([len(x) for x in held])
-        starts, n = ends - [len(x) for x in held], int(ends[-1])
+        n = int(ends[-1])
         for a in range(0, n, STEP):
             b = min(n, a + STEP)
-            each = table[grams(c[a : b + max(ORDERS)], b - a)].sum(axis=0)
-            here = np.flatnonzero((starts < b) & (ends > a))
-            out[first + here] += np.add.reduceat(each, np.maximum(starts[here] - a, 0), axis=0)
+            which = np.searchsorted(ends, np.arange(a, b), side="right")
+            key, times = np.unique(((first + which) << (BITS + 1) | grams(c[a : b + max(ORDERS)], b - a)).ravel(), return_counts=True)
+            bucket = key & ((2 << BITS) - 1)
+            real = bucket < 1 << BITS
+            yield key[real] >> (BITS + 1), bucket[real], times[real]
+
+
+def totals(texts: list[str], table: np.ndarray) -> np.ndarray:
+    """Sparse counts of each text times the table: the rows are taken CELLS numbers at a time, whatever the number of languages."""
+    out = np.zeros((len(texts), table.shape[1]))
+    step = max(1, CELLS // max(1, table.shape[1]))
+    for text, bucket, n in counts(texts):
+        for a in range(0, len(text), step):
+            own = text[a : a + step]
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            out[own[starts]] += np.add.reduceat(table[bucket[a : a + step]] * n[a : a + step, None], starts, axis=0)
     return out
 
 
@@ -79,30 +96,36 @@ def counted(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
 
 
-def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, smoothing: float = 0.1) -> tuple[list[str], np.ndarray]:
-    """Languages and the log-probability of every bucket in each, from at most ``max_train`` rows of doc_id, lang, text.
+def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, smoothing: float = 0.1, max_langs: int = MAX_LANGS) -> tuple[list[str], np.ndarray]:
+    """Languages and a table: the log-probability of every bucket in each, and in the last row the log of its prior.
 
-    What comes to the driver is one count per language and bucket, 2**BITS at most for each language of the sample.
+    Learned from at most ``max_train`` rows of doc_id, lang, text, where none is null. The prior is a language's share of
+    those rows. What comes to the driver, and later goes to every task, is one number per language and bucket; that there
+    are ``max_langs`` languages at most is checked.
     """
-    chosen = labelled.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).distinct()
-    rows = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
-    n = rows.mapInArrow(counted, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(n["lang"].unique())
+    rows = labelled.select("doc_id", "lang", "text").where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
+    rows = Scratch(labelled.sparkSession).save(sample(rows, max_train), "sample")
+    shares = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()}
+    if len(shares) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
+    n = rows.select("lang", "text").mapInArrow(counted, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    langs = sorted(shares)
     table = np.full(((1 << BITS) + 1, len(langs)), smoothing)
     table[n["bucket"], n["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(dtype=int)] += n["n"]
-    table = np.log(table / table[:-1].sum(axis=0)) if len(langs) else table
-    table[-1] = 0
+    if langs:
+        table = np.log(table / table[:-1].sum(axis=0))
+        table[-1] = np.log([shares[x] / sum(shares.values()) for x in langs])
     return langs, table
 
 
 def identify(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
-    """doc_id, lang_pred, score (the posterior) of every row of doc_id, text, and held_out where there is such a column.
+    """lang_pred and score (the posterior) of every row of docs, with its other columns but text.
 
-    Null text, or one without a letter: ``und``, 0. The same where no language was learned. Repeated rows are judged
+    A column that is called like one of these two comes back as ``carried`` names it. Null text, or one without a letter: ``und``, 0. The same where no language was learned. Repeated rows are judged
     each; an empty table gives no rows. A text is scored whole, in steps of bounded size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    names = [x for x in docs.columns if x != "text"]
+    held, given = carried(docs, tuple(x for x in docs.columns if x != "text"), ("lang_pred", "score"))
 
     def score(batches):
         for batch in batches:
@@ -110,15 +133,15 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
             own = [k for k, x in enumerate(texts) if x and langs and LETTER.search(x)]
             pred, p = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
             if own:
-                ll = totals([texts[k] for k in own], shared.value)
+                ll = totals([texts[k] for k in own], shared.value) + shared.value[-1]
                 post = np.exp(ll - ll.max(axis=1, keepdims=True))
                 post /= post.sum(axis=1, keepdims=True)
                 best = post.argmax(axis=1)
                 pred[own], p[own] = np.array(langs, dtype=object)[best], post[np.arange(len(own)), best]
-            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names], pa.array(pred, pa.string()), pa.array(p)], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("carried_"), pa.array(pred, pa.string()), pa.array(p)], ["carried_", "lang_pred", "score"])
 
-    kinds = dict(docs.dtypes)
-    return docs.mapInArrow(score, ", ".join([*[f"{x} {kinds[x]}" for x in names], "lang_pred string", "score double"]))
+    rows = docs.select(held, "text")
+    return rows.mapInArrow(score, f"carried_ {dict(rows.dtypes)['carried_']}, lang_pred string, score double").select(*given, "lang_pred", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -283,12 +283,52 @@ def test_language(spark, docs, rows, empty):
     one = language.totals(["öäü abc " * 90_000, "abc"], table)
     assert np.allclose(one[1], language.totals(["abc"], table)[0])
     c = language.codes("öäü abc " * 90_000)
-    assert np.allclose(one[0], table[language.grams(np.r_[c, np.zeros(3, "<u4")], len(c))].sum(axis=(0, 1)))
+    found = language.grams(np.r_[c, np.zeros(3, "<u4")], len(c))
+    assert np.allclose(one[0], table[found[found < 1 << language.BITS]].sum(axis=0))
     assert language.identify(empty.select("doc_id", "text"), langs, table).count() == 0
     nothing = language.fit(labelled.limit(0))
     assert set(language.identify(more, *nothing).toPandas().lang_pred) == {"und"}
 
 
+def plain_bucket(gram: str) -> int:
+    """The bucket of a lower-cased n-gram, code point by code point."""
+    mask, h = (1 << 64) - 1, 0
+    for c in gram:
+        h = ((h ^ ord(c)) * 0x9E3779B97F4A7C15) & mask
+        h ^= h >> 29
+    return (((h + len(gram)) * 0xBF58476D1CE4E5B9) & mask) >> 49
+
+
+def test_language_is_naive_bayes(spark):
+    """Fit and posterior against sums over every n-gram, one at a time; unequal shares show the prior."""
+    rng, given = random.Random(9), []
+    for i in range(60):
+        lang = "ab"[i % 6 == 0]
+        given.append((i, " ".join("".join(rng.choice("Abcdé" if lang == "a" else "cdéfg") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 9))), lang))
+    d = spark.createDataFrame(given, "doc_id long, text string, lang string")
+    langs, table = language.fit(d)
+    got = {r.doc_id: r for r in language.identify(d.withColumn("score", F.lit("mine")), langs, table).collect()}
+    count = {x: Counter() for x in "ab"}
+    split = lambda t: [t.lower()[k : k + n] for n in (1, 2, 3) for k in range(len(t) - n + 1)]
+    ends = lambda t: [t.lower()[-1:] + "\0", t.lower()[-2:] + "\0", t.lower()[-1:] + "\0\0"]
+    whole = lambda t: split(t) + [x for x in ends(t) if len(x) > 1 and x[0] != "\0"][: 3 if len(t) > 1 else 2]
+    for _, t, x in given:
+        count[x].update(plain_bucket(g) for g in whole(t))
+    for i, t, _ in given:
+        ll = {x: np.log(sum(y == x for *_, y in given) / len(given)) for x in "ab"}
+        for g in whole(t):
+            for x in "ab":
+                ll[x] += np.log((count[x][plain_bucket(g)] + 0.1) / (sum(count[x].values()) + 0.1 * (1 << 15)))
+        best = max(ll, key=ll.get)
+        assert got[i].lang_pred == best and got[i].score == pytest.approx(1 / (1 + np.exp(min(ll.values()) - max(ll.values()))), abs=1e-6) and got[i].score_given == "mine"
+    with pytest.raises(ValueError):
+        language.fit(d, max_langs=1)
+    repeated = spark.createDataFrame([(1, f"t{k}", "a") for k in range(50)], "doc_id long, text string, lang string")
+    from scanlake.llm.common import sample
+
+    assert sample(repeated, 10).count() == 10 and sample(d, 1000).count() == 60
+
+
 def measures(t):
     w, seen, dup = re.findall(r"[^\x20\x09-\x0D]+", t or ""), set(), 0
     for line in (t or "").split("\n"):
