@@ -353,6 +353,34 @@ def test_quality(spark, rows, docs, empty):
     assert quality.rules(empty, ratios).count() == 0 and quality.rules(docs, ratios).where("kept").count() == got.kept.sum()
 
 
+def test_quality_ratios(spark, rows, docs):
+    """Ratios and their mean against counts in plain Python, also where the set of ids tells no two apart."""
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def buckets(t):
+        w = [x.encode() for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        one = [xxhash.xxh64_intdigest(x, 42) for x in w]
+        return [signed(h) % quality.BUCKETS for h in [*one, *(xxhash.xxh64_intdigest(y, h) for h, y in zip(one, w[1:], strict=False))]]
+
+    good = {i for i in range(50) if i % 4}
+    labels = spark.createDataFrame([(i, int(i in good)) for i in range(50)] + [(1, 1), (None, 1)], "doc_id bigint, quality int")
+    raw, target = [0.5] * quality.BUCKETS, [0.5] * quality.BUCKETS
+    for i, t, *_ in rows:
+        for b in buckets(t):
+            raw[b] += 1
+            target[b] += i in good
+    want = np.log(target) - np.log(sum(target)) - np.log(raw) + np.log(sum(raw))
+    ratios = quality.fit(docs, labels)
+    assert np.allclose(ratios, want)
+    got = quality.rules(docs.withColumn("llr", F.col("text")), ratios, keep=("llr", "w"))
+    assert got.columns[:3] == ["doc_id", "llr_given", "w"]
+    for r in got.collect():
+        own = [round(want[b], 4) for b in buckets(r.llr_given)]
+        assert r.llr == pytest.approx(sum(own) / len(own) if own else 0, abs=1e-3)
+
+
 def test_imatch(spark, rows, docs, empty):
     got = imatch.compare_edited(docs, groups=5).toPandas()
     order = sorted(((i, t or "") for i, t, *_ in rows), reverse=True)
