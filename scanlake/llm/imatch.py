@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanlake.llm.common import words
 
-#: Buckets in which document frequencies are counted; terms that share one share its frequency.
-BUCKETS = 1 << 18
 #: The band of inverse document frequency, as shares of all documents that hold a term.
-RAREST, COMMONEST = 0.01, 0.3
-#: A text with fewer terms in the band is fingerprinted by all its terms.
-LEAST_TERMS = 8
-#: Bits of a term's hash that name its lexicon subset: the 2^PARTS subsets hold every term once.
-PARTS = 4
+RAREST, COMMONEST = 0.002, 0.3
+#: Randomised lexicons, besides the whole band.
+LEXICONS = 16
 EMPTY = "--------"
+#: Bytes of text of a range of documents that follow each other, about, and most ranges.
+RANGE_BYTES, MOST_RANGES = 128 << 20, 4096
 
 
 def terms(text: Column) -> Column:
@@ -24,42 +24,33 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONEST) -> list[int]:
-    """Bit set of the buckets whose share of documents lies in the band, as signed longs.
+    """Hashes of the terms whose share of documents lies in the band.
 
-    Document frequencies are counted over all documents and combined before the shuffle; the bits are packed by 64
-    buckets on the executors, so that BUCKETS / 64 numbers at most come to the driver.
+    Document frequencies are counted by term over all documents, combined before the shuffle. What comes to the driver is
+    bounded: a document of t distinct terms holds up to t of them, and each is in ``rarest`` of all documents, so that
+    there are mean(t) / rarest at most, whatever the corpus.
     """
     n = docs.count()
-    held = docs.select(F.explode(F.array_distinct(F.transform(terms(F.col("text")), lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")))).alias("bucket"))
-    band = held.groupBy("bucket").count().where((F.col("count") >= rarest * n) & (F.col("count") <= commonest * n))
-    packed = band.groupBy(F.expr("bucket div 64").cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, bucket % 64)")).alias("bits"))
-    bits = [0] * (BUCKETS // 64)
-    for row in packed.collect():
-        bits[row["at"]] = row["bits"]
-    return bits
+    held = docs.select(F.explode(terms(F.col("text"))).alias("term"))
+    band = held.groupBy("term").count().where((F.col("count") >= rarest * n) & (F.col("count") <= commonest * n))
+    return sorted(r["term"] for r in band.select("term").collect())
 
 
-def signatures(found: Column, bits: list[int]) -> Column:
-    """One signature per lexicon subset from a text's sorted term hashes; EMPTY for a text without words.
+def signatures(found: str, lexicon: list[int]) -> Column:
+    """LEXICONS + 1 signatures from a column of a text's sorted term hashes; all EMPTY for a text without words, none for others.
 
-    Where a text has no term in a subset, the subset is widened to the two, four, ... it lies among until one is there,
-    so every used term reaches the fingerprint and texts with different ones differ.
+    A text's terms are those of the band, or all of its own where it has none in the band. The last signature is the hash
+    of all of them. Each other belongs to a family of lexicons, every next one a random half of the one before; the
+    smallest one that still holds a term of the text counts, and the signature is the hash of the terms in it. The
+    families are drawn independently, by a hash of the term and the family's number.
     """
-    table = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
-
-    def in_band(h: Column) -> Column:
-        bucket = F.pmod(h, F.lit(BUCKETS))
-        return F.getbit(F.get(table, F.shiftright(bucket, 6).cast("int")), F.pmod(bucket, F.lit(64)).cast("int")) == 1
-
-    band = F.filter(found, in_band)
-    used = F.transform(F.array(band), lambda b: F.when(F.size(b) >= LEAST_TERMS, b).otherwise(found))
-
-    def one(t: Column, part: int, wider: int = 0) -> Column:
-        own = t if wider == PARTS else F.filter(t, lambda h: F.shiftrightunsigned(h, 64 - PARTS + wider) == part >> wider)
-        none = F.lit(EMPTY) if wider == PARTS else one(t, part, wider + 1)
-        return F.transform(F.array(own), lambda x: F.when(F.size(x) == 0, none).otherwise(F.substring(F.lower(F.lpad(F.hex(F.xxhash64(x)), 16, "0")), 1, 8)))[0]
-
-    return F.transform(used, lambda t: F.array(*[one(t, part) for part in range(1 << PARTS)]))[0]
+    band = f"filter(all_, h -> h IN ({', '.join(f'{x}L' if x > -(1 << 63) else 'bigint(-9223372036854775808)' for x in lexicon)}))" if lexicon else "slice(all_, 1, 0)"
+    short = "substring(lower(lpad(hex({}), 16, '0')), 1, 8)".format
+    smallest = "filter(t, (h, i) -> shiftright(drawn[i], bits) = 0)"
+    drawn = "transform(t, h -> shiftrightunsigned(xxhash64(h, {}), 1))".format
+    each = [short(f"transform(array({drawn(k)}), drawn -> transform(array(length(bin(array_min(drawn)))), bits -> xxhash64({smallest}))[0])[0]") for k in range(LEXICONS)]
+    signed = f"IF(size(t) = 0, array_repeat('{EMPTY}', {LEXICONS + 1}), array({', '.join(each)}, {short('xxhash64(t)')}))"
+    return F.expr(f"transform(transform(array({found}), all_ -> transform(array({band}), b -> IF(size(b) > 0, b, all_))[0]), t -> {signed})[0]")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -70,45 +61,60 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(same.cast("double") / some)
 
 
-def in_turn(docs: DataFrame, groups: int) -> DataFrame:
+def in_turn(docs: DataFrame, groups: int | None = None) -> DataFrame:
     """Adds to every row the text and signatures of the next by descending doc_id, after the last those of the first.
 
-    Rows are dealt by ranges of doc_id; the first row of each range goes to the range before it too, and the first of
-    all to the last range. Null doc_id comes last; rows of one doc_id go by the hash of their text.
+    Rows are dealt by ranges of doc_id, whose number follows the bytes of text unless ``groups`` gives it; an id whose rows
+    fill several ranges is cut by the hash of its texts, so neither null ids (which come last) nor the rows of one id
+    meet in one task. Every bound is a row that exists: the first of its range, which goes to the range before it too; the
+    first of all goes to the last range. Rows of one id go by the hash of their text.
+    """
+    d = docs.withColumns({"id_": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "tie_": F.xxhash64("body")})
+    at, least = F.struct("id_", "tie_"), 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fine = max(groups or least, MOST_RANGES)
+    row = d.agg(F.sum(F.octet_length("body")).alias("bytes"), F.max(at).alias("top"), F.percentile_approx("id_", [k / fine for k in range(1, fine)], 10_000).alias("cuts")).first()
+    groups = groups or min(MOST_RANGES, max(least, -(-(row["bytes"] or 0) // RANGE_BYTES)))
+    cuts = [row["cuts"][k * fine // groups - 1] for k in range(1, groups)] if row["cuts"] else []
+    hot = {x: m for x, m in Counter(cuts).items() if m > 1}
+    bounds = [(x, (1 << 63) - 1) for x in set(cuts) - set(hot)]
+    if hot:
+        part = F.floor((F.col("tie_") / F.lit(2.0**64) + 0.5) * F.element_at(F.create_map(*[F.lit(y).cast("long") for x in hot.items() for y in x]), F.col("id_")))
+        own = d.select("id_", "tie_").where(F.col("id_").isin(list(hot)))
+        bounds += [(r["id_"], r["tie_"]) for r in own.groupBy("id_", part.alias("part")).agg(F.max("tie_").alias("tie_")).collect()]
+    bound = F.array(*[F.struct(F.lit(x).cast("long").alias("id_"), F.lit(t).cast("long").alias("tie_")) for x, t in sorted(bounds)])
+    first = F.col("id_").isin(list(set(cuts) - set(hot))) | (F.array_contains(bound, at) if hot else F.lit(False))
+    d = d.withColumn("range_", F.size(F.filter(bound, lambda b: b < at)) if bounds else F.lit(0))
+    none = F.array().cast("array<struct<r: int, carried: int>>")
+    goes = lambda r, carried: F.array(F.struct(r.cast("int").alias("r"), F.lit(carried).alias("carried")))
+    before = F.when(first, goes(F.col("range_") + 1, 1)).otherwise(none)
+    top = row["top"] or (0, 0)
+    around = F.when((F.col("id_") == top[0]) & (F.col("tie_") == top[1]), goes(F.lit(0), 1)).otherwise(none)
+    dealt = d.withColumn("to_", F.explode(F.concat(goes(F.col("range_"), 0), before, around))).withColumns({"r_": F.col("to_.r"), "carried_": F.col("to_.carried")})
+    order = Window.partitionBy("r_").orderBy("carried_", F.col("id_").desc(), F.col("tie_").desc())
+    after = dealt.withColumn("after_", F.lead(F.struct("body", "sig")).over(order)).where("carried_ = 0")
+    return after.select(*docs.columns, F.col("after_.body").alias("next_body"), F.col("after_.sig").alias("next_sig"))
+
+
+def fingerprint(docs: DataFrame, lexicon: list[int]) -> DataFrame:
+    """doc_id, body (null text: empty), sig of every row of doc_id, text; other columns are not carried.
+
+    Texts are read whole; an empty text has EMPTY signatures; repeated rows are returned each; no rows for no rows.
     """
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    d = docs.withColumn("id_", id_)
-    row = d.agg(F.percentile_approx("id_", [k / groups for k in range(1, groups)] or [0.5], 10_000).alias("cuts"), F.max("id_").alias("top")).first()
-    cuts, top = sorted(set(row["cuts"] or [])), row["top"] if row["top"] is not None else 0
-    bounds = F.array(*[F.lit(x).cast("long") for x in cuts]) if cuts else F.array().cast("array<bigint>")
-    d = d.withColumn("range_", F.size(F.filter(bounds, lambda b: b < F.col("id_"))))
-    own = F.array(F.struct(F.col("range_").alias("r"), F.lit(0).alias("carried")))
-    before = F.when(F.array_contains(bounds, F.col("id_")), F.array(F.struct((F.col("range_") + 1).alias("r"), F.lit(1).alias("carried")))).otherwise(F.slice(own, 1, 0))
-    around = F.when(F.col("id_") == F.lit(top), F.array(F.struct(F.lit(0).alias("r"), F.lit(1).alias("carried")))).otherwise(F.slice(own, 1, 0))
-    dealt = d.withColumn("to_", F.explode(F.concat(own, before, around))).withColumns({"to_r": F.col("to_.r"), "to_carried": F.col("to_.carried"), "to_tie": F.xxhash64("body")}).drop("range_", "to_")
-    order = Window.partitionBy("to_r").orderBy(F.col("to_carried"), F.col("id_").desc(), F.col("to_tie"))
-    after = dealt.withColumn("after", F.lead(F.struct("body", "sig")).over(order)).where("to_carried = 0")
-    return after.withColumns({"next_body": F.col("after.body"), "next_sig": F.col("after.sig")}).drop("to_r", "to_carried", "to_tie", "id_", "after")
-
-
-def fingerprint(docs: DataFrame, bits: list[int]) -> DataFrame:
-    """doc_id, body (null text: empty), sig of every row of doc_id, text."""
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body")).withColumn("found", terms(F.col("body")))
-    return found.withColumn("sig", signatures(F.col("found"), bits)).drop("found")
+    return found.withColumn("sig", signatures("found", lexicon)).drop("found")
 
 
 def compare_edited(docs: DataFrame, groups: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness and that to the next document's.
 
     Null or empty text: an empty text, all of whose signatures are EMPTY. Texts are read whole. A single document is
-    its own next. Repeated rows are returned each; an empty table gives no rows.
+    its own next. Repeated rows are returned each; an empty table gives no rows; other columns are not carried.
     """
-    bits = lexicon(docs.select("text"))
-    groups = groups or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = in_turn(fingerprint(docs, bits), groups).withColumn("n_chars", F.length("body").cast("long"))
+    band = lexicon(docs.select("text"))
+    d = in_turn(fingerprint(docs, band), groups).withColumn("n_chars", F.length("body").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     d = d.withColumn("edited", F.concat(F.substring("body", F.lit(1), F.length("body") - cut), F.substring("next_body", F.lit(1), cut)))
-    d = d.withColumn("edited_found", terms(F.col("edited"))).withColumn("edited_sig", signatures(F.col("edited_found"), bits))
+    d = d.withColumn("edited_found", terms(F.col("edited"))).withColumn("edited_sig", signatures("edited_found", band))
     return d.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         F.array_join("sig", "").alias("fingerprint"), F.array_join("edited_sig", "").alias("edited_fingerprint"),

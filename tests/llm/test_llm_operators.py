@@ -400,12 +400,75 @@ def test_imatch(spark, rows, docs, empty):
     assert one.near_next[0] == 1.0
 
 
+def plain_signatures(text: str, band: set[int]) -> list[str]:
+    import struct
+
+    import xxhash
+
+    mask = (1 << 64) - 1
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    of_long = lambda x, seed: xxhash.xxh64_intdigest(struct.pack("<q", x), seed)
+
+    def of_int(x: int, seed: int) -> int:  # Spark's hash of an int has the 64-bit hash's tail for four bytes
+        return xxhash.xxh64_intdigest(struct.pack("<i", x), seed)
+
+    def of_array(xs) -> int:
+        h = 42
+        for x in xs:
+            h = of_long(x, h)
+        return h
+
+    own = sorted({signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.findall(r"[^\x20\x09-\x0D]+", text)})
+    t = [x for x in own if x in band] or own
+    if not t:
+        return [imatch.EMPTY] * (imatch.LEXICONS + 1)
+    out = []
+    for k in range(imatch.LEXICONS):
+        drawn = [(of_int(k, of_long(x, 42)) & mask) >> 1 for x in t]
+        bits = len(bin(min(drawn))) - 2
+        out.append(of_array(x for x, d in zip(t, drawn, strict=True) if d >> bits == 0))
+    return [f"{h:016x}"[:8] for h in [*out, of_array(t)]]
+
+
+def test_imatch_against_plain_python(spark, rows, docs):
+    """Lexicon, signatures and likeness; ids that many rows have are cut within."""
+    import xxhash
+
+    held, n = Counter(), len(rows)
+    for _, t, *_ in rows:
+        held.update(set(re.findall(r"[^\x20\x09-\x0D]+", t or "")))
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    band = {signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w, k in held.items() if 0.02 * n <= k <= 0.3 * n}
+    assert band == set(imatch.lexicon(docs, 0.02, 0.3)) and len(band) > 10
+    got = imatch.fingerprint(docs, sorted(band)).collect()
+    assert len(got) == n and all(r.sig == plain_signatures(r.body, band) for r in got)
+    few = imatch.fingerprint(docs, []).where("doc_id < 9").collect()
+    assert all(r.sig == plain_signatures(r.body, set()) for r in few)
+    hot = spark.createDataFrame([(None if k % 3 else 7 if k % 2 else k, f"text {k} " * (k % 5)) for k in range(300)], "doc_id long, text string")
+    order = sorted(((-1 if r.doc_id is None else r.doc_id, r.tie, r.text) for r in hot.withColumn("tie", F.xxhash64("text")).collect()), reverse=True)
+    want = Counter()
+    for k, (i, _, t) in enumerate(order):
+        after, cut = order[(k + 1) % len(order)][2], len(t) // 3
+        want[None if i < 0 else i, hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()] += 1
+    got = imatch.compare_edited(hot.repartition(5), groups=8).collect()
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == want
+
+
+def test_imatch_finds_edited_texts(spark):
+    """A text with a third replaced keeps some of its fingerprint, unrelated texts share none or little."""
+    rng = random.Random(6)
+    words_ = [f"w{k}" for k in range(3000)]
+    d = spark.createDataFrame([(k, " ".join(rng.choice(words_) for _ in range(rng.choice((12, 60, 400))))) for k in range(300)], "doc_id long, text string")
+    got = imatch.compare_edited(d).toPandas()
+    assert (got.near_edited > 0).mean() > 0.95 and got.near_edited.mean() > 0.3 and got.near_next.mean() < 0.1
+
+
 def test_imatch_signs_every_term(spark):
     """Texts of different words differ in fingerprint, however few words they have; each of many words counts."""
     long = [f"w{k}" for k in range(200)]
     texts = [f"only{k}" for k in range(40)] + [f"a{k} b{k} c{k} d{k}" for k in range(40)] + [" ".join(long[:k] + long[k + 1 :]) for k in range(200)] + [""]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = imatch.fingerprint(d, imatch.lexicon(d, commonest=1.0)).withColumn("near", imatch.likeness(F.col("sig"), F.array(*[F.lit(imatch.EMPTY)] * 16))).toPandas()
+    got = imatch.fingerprint(d, imatch.lexicon(d, commonest=1.0)).withColumn("near", imatch.likeness(F.col("sig"), F.array(*[F.lit(imatch.EMPTY)] * (imatch.LEXICONS + 1)))).toPandas()
     assert len({tuple(x) for x in got.sig}) == len(texts)
     assert all((imatch.EMPTY in x) == (t == "") for x, t in zip(got.sig, got.body, strict=True)) and (got.near == (got.body == "")).all()
 
