@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "scanlake-demo-key"
+from scanlake.llm.common import carried
+
 ROUNDS = 8
+#: Characters that are permuted among themselves: those of e-mail names, and those of hexadecimal keys.
+NAME, HEXADECIMAL = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"), ("0123456789abcdef",)
+#: Steps of a walk along a permutation to the next value of the right form; a step misses it with 5 % or less.
+WALK = 24
 ISO, SSN = r"\d{4}-\d{2}-\d{2}(?![\d\-])", r"\d{3}-\d{2}-\d{4}(?![\d\-])"
 #: North American numbers in groups of 3, 3 and 4, and those with a leading 0 or 00 in any groups.
 NANP = r"(?:1[ .\-])?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!-?[\p{L}\p{N}])"
@@ -83,14 +88,79 @@ def refill(shape: Column, number: Column) -> Column:
     return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), step)["out"]
 
 
+def spelled(text: Column, alphabets: tuple[str, ...], kind: str, key: str) -> Column:
+    """A text permuted among those of its length with characters of the same alphabets at the same places; others stay.
+
+    Each half in turn is shifted, character by character, by a digest of the other, which whoever has the key can take back.
+    """
+
+    def shift(chars: Column, by: Column, i: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor(F.length(chars) / 32).cast("int"))
+        stream = F.array_join(F.transform(blocks, lambda k: F.sha2(F.concat_ws(":", F.lit(key), F.lit(kind), i.cast("string"), k.cast("string"), by), 512)), "")
+
+        def one(c: Column, n: Column, stream: Column) -> Column:
+            out = c
+            for letters in alphabets:
+                at = F.instr(F.lit(letters), c)
+                step = F.conv(F.substring(stream, 4 * n + 1, F.lit(4)), 16, 10).cast("int")
+                out = F.when(at > 0, F.substring(F.lit(letters), F.pmod(at - 1 + step, F.lit(len(letters))) + 1, F.lit(1))).otherwise(out)
+            return out
+
+        return bound(stream, lambda x: F.array_join(F.transform(F.split(chars, ""), lambda c, n: F.when(c != "", one(c, n, x)).otherwise("")), ""))
+
+    left = F.floor(F.length(text) / 2).cast("int")
+    start = F.struct(F.substring(text, F.lit(1), left).alias("a"), F.substring(text, left + 1, F.length(text)).alias("b"))
+    return bound(F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, lambda s, i: F.struct(s["b"].alias("a"), shift(s["a"], s["b"], i).alias("b"))), lambda s: F.concat(s["a"], s["b"]))
+
+
+def walked(first: Column, step, right) -> Column:
+    """The first value of the right form along a permutation: within that form this is a permutation too."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda s, _: F.when(right(s), s).otherwise(step(s)))
+
+
 def shifted(day: Column, key: str) -> Column:
-    """The pseudonym of a date: another of its era."""
-    n = F.datediff(day, F.lit("1900-01-01").cast("date"))
-    place = F.pmod(n, F.lit(ERA))
+    """The pseudonym of a date: another of its era, with a year of 1 to 9999."""
     side = F.lit(DAY_SIDE).cast("long")
+
+    def step(d: Column) -> Column:
+        def at(n: Column) -> Column:
+            place, era = F.pmod(n, F.lit(ERA)), F.floor(n / ERA)
+            return bound(
+                feistel(F.floor(place / DAY_SIDE), F.pmod(place, F.lit(DAY_SIDE)), side, side, F.concat(F.lit("day"), era.cast("string")), key),
+                lambda s: F.date_add(F.lit("1900-01-01").cast("date"), (era * ERA + s["a"] * DAY_SIDE + s["b"]).cast("int")),
+            )
+
+        return bound(F.datediff(d, F.lit("1900-01-01").cast("date")), at)
+
+    return walked(step(day), step, lambda d: F.year(d).between(1, 9999))
+
+
+def formed(day: Column, month: Column, year: Column, least_day: Column, most_day: Column, most_month: Column, kind: Column, key: str) -> Column:
+    """struct(day, month, year): the pseudonym of a date among the dates of its 200 years with days and months in these limits."""
+    span, months = 200, most_month.cast("long")
+    block = F.floor(year / span)
+
+    def step(s: Column) -> Column:
+        pair = feistel(s["day"] - least_day, F.pmod(s["year"], F.lit(span)) * months + s["month"] - 1, (most_day - least_day + 1).cast("long"), months * span, F.concat_ws(":", F.lit("date"), kind, block.cast("string")), key)
+        return bound(pair, lambda p: F.struct((p["a"] + least_day).cast("long").alias("day"), (F.pmod(p["b"], months) + 1).cast("long").alias("month"), (block * span + F.floor(p["b"] / months)).cast("long").alias("year")))
+
+    def right(s: Column) -> Column:
+        y = s["year"]
+        leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+        last = F.when(s["month"] == 2, F.when(leap, 29).otherwise(28)).when(s["month"].isin(4, 6, 9, 11), 30).otherwise(31)
+        return (y >= 1) & (s["day"] <= last)
+
+    return walked(step(F.struct(day.cast("long").alias("day"), month.cast("long").alias("month"), year.cast("long").alias("year"))), step, right)
+
+
+def social(m: Column, key: str) -> Column:
+    """Another valid social security number: areas 001 to 899 but 666, groups from 01, serial numbers from 0001."""
+    n = F.transform(F.split(m, "-"), lambda x: x.cast("long"))
+    area = n[0] - 1 - F.when(n[0] > 666, 1).otherwise(0)
+    rest = (n[1] - 1) * 9999 + n[2] - 1
     return bound(
-        feistel(F.floor(place / DAY_SIDE), F.pmod(place, F.lit(DAY_SIDE)), side, side, F.concat(F.lit("day"), F.floor(n / ERA).cast("string")), key),
-        lambda s: F.date_add(F.lit("1900-01-01").cast("date"), (F.floor(n / ERA) * ERA + s["a"] * DAY_SIDE + s["b"]).cast("int")),
+        feistel(area, rest, F.lit(898).cast("long"), F.lit(99 * 9999).cast("long"), F.lit("ssn"), key),
+        lambda s: F.concat_ws("-", F.lpad((s["a"] + 1 + F.when(s["a"] >= 665, 1).otherwise(0)).cast("string"), 3, "0"), F.lpad((F.floor(s["b"] / 9999) + 1).cast("string"), 2, "0"), F.lpad((s["b"] % 9999 + 1).cast("string"), 4, "0")),
     )
 
 
@@ -133,16 +203,20 @@ def places(stands: Column) -> Column:
     return F.aggregate(stands, F.lit(0), lambda acc, x: acc + x["n"])
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """struct(text, n): what stands for a candidate and the number of replaced places in it; the candidate itself where its validation fails.
 
-    Emails keep their domain; keys of 32 or more hexadecimal digits keep their length; telephone numbers (with a leading + in any groups, NANP,
-    TRUNK) keep what is before their last 10 digits (all permuted if fewer); IPv4 addresses, cards with a right check digit (kept right), social security numbers
-    and calendar dates are permuted within their kind.
+    All are permutations within the format. E-mail names and keys of 32 or more hexadecimal digits: letter by letter within
+    their alphabets (the domain stays; a name with other than ASCII characters has no bounded alphabet and becomes ``u``
+    and 32 digits of a digest). Telephone numbers (with a leading + in any groups, NANP, TRUNK) keep what is before their
+    last 10 digits (all permuted if fewer). IPv4 addresses, cards with a right check digit (kept right) and valid social
+    security numbers stay valid. A date stays a date that is written and read alike: year first and day first with two
+    digits each share a permutation, so those stay linked; fields of one digit keep one, and a month-first date (its day
+    above 12) has a day above 12 again.
     """
-    hidden = F.sha2(F.concat_ws(":", F.lit(key), m), 512)
-    email = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws(":", F.lit(key), F.substring_index(m, "@", 1)), 256), 1, 10), F.lit("@"), F.substring_index(m, "@", -1))
-    number = digits(m)
+    name = F.substring_index(m, "@", 1)
+    unbounded = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws(":", F.lit(key), name), 256), 1, 32))
+    email = F.concat(F.when(name.rlike(r"^[\x00-\x7F]*$"), spelled(name, NAME, "name", key)).otherwise(unbounded), F.lit("@"), F.substring_index(m, "@", -1))
 
     def changed(new: Column) -> Column:
         return bound(new, lambda x: F.struct(x.alias("text"), (x != m).cast("int").alias("n")))
@@ -158,11 +232,24 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
         lambda s: F.concat_ws(".", *[x.cast("string") for side in ("a", "b") for x in (F.floor(s[side] / 256), s[side] % 256)]),
     )
     iso = m.try_cast("date")
-    parts = F.split(m, r"[/.]")
-    day_first = parts[1].cast("int") <= 12
-    other = F.concat_ws("-", parts[2], F.lpad(F.when(day_first, parts[1]).otherwise(parts[0]), 2, "0"), F.lpad(F.when(day_first, parts[0]).otherwise(parts[1]), 2, "0")).try_cast("date")
     mark = F.regexp_extract(m, r"[/.]", 0)
-    written = bound(shifted(other, key), lambda d: F.when(day_first, F.concat_ws("", F.date_format(d, "dd"), mark, F.date_format(d, "MM"), mark, F.date_format(d, "yyyy"))).otherwise(F.concat_ws("", F.date_format(d, "MM"), mark, F.date_format(d, "dd"), mark, F.date_format(d, "yyyy"))))
+
+    def written(parts: Column) -> Column:
+        day_first = parts[1].cast("int") <= 12
+        day, month, year = F.when(day_first, parts[0]).otherwise(parts[1]), F.when(day_first, parts[1]).otherwise(parts[0]), parts[2]
+        iso_form = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
+        two = day_first & (F.length(day) == 2) & (F.length(month) == 2)
+        least = F.when(day_first, 1).otherwise(13)
+        most_day, most_month = F.when(F.length(day) == 1, 9).otherwise(31), F.when(F.length(month) == 1, 9).otherwise(12)
+        kind = F.concat(F.when(day_first, "d").otherwise("m"), F.length(day).cast("string"), F.length(month).cast("string"))
+
+        def spell(d: Column) -> Column:
+            new_day, new_month = F.lpad(d["day"].cast("string"), F.length(day), F.lit("0")), F.lpad(d["month"].cast("string"), F.length(month), F.lit("0"))
+            return F.concat(F.when(day_first, new_day).otherwise(new_month), mark, F.when(day_first, new_month).otherwise(new_day), mark, F.lpad(d["year"].cast("string"), 4, "0"))
+
+        own = bound(formed(day.cast("int"), month.cast("int"), year.cast("int"), least, most_day, most_month, kind, key), spell)
+        return F.when(iso_form.isNull(), m).when(two, bound(shifted(iso_form, key), lambda d: F.concat(F.date_format(d, "dd"), mark, F.date_format(d, "MM"), mark, F.date_format(d, "yyyy")))).otherwise(own)
+
     ssn_ok = ~m.rlike(r"^(000|666|9)|-00-|-0000$")
 
     def phones(run: Column) -> Column:
@@ -170,32 +257,38 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
 
     one = (
         F.when(m.contains("@"), email)
-        .when(m.rlike(r"^[0-9a-f]{32,}$"), F.substring(hidden, F.lit(1), F.length(m)))
+        .when(m.rlike(r"^[0-9a-f]{32,}$"), spelled(m, HEXADECIMAL, "hex", key))
+        .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(ssn_ok, social(m, key)).otherwise(m))
         .when(m.startswith("+") | m.rlike(f"^(?:{NATIONAL})$"), phone(m))
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.when(ip_ok, ip).otherwise(m))
         .when(m.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.when(iso.isNotNull(), F.date_format(shifted(iso, key), "yyyy-MM-dd")).otherwise(m))
-        .when(m.rlike(r"^\d{1,2}[/.]\d{1,2}[/.]\d{4}$"), F.when(other.isNotNull(), written).otherwise(m))
-        .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(ssn_ok, refill(m, permute(number, "ssn", key))).otherwise(m))
+        .when(m.rlike(r"^\d{1,2}[/.]\d{1,2}[/.]\d{4}$"), bound(F.split(m, r"[/.]"), written))
     )
     return bound(one, lambda x: F.when(x.isNotNull(), changed(x)).otherwise(bound(cards(m, key), lambda c: F.when(c["n"] > 0, c).otherwise(phones(m)))))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with their text's personal data replaced, and n_found, the number of replaced places.
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """docs with their text's personal data replaced under a secret key, and n_found, the number of replaced places.
 
     A text is cut at the candidates and put together again with what stands for them; texts without a digit or @ skip
     that. Equal values get equal pseudonyms everywhere, as the permutations depend on the key alone. Null text stays
-    null, with 0 found. Texts are read whole; repeated rows are treated alike; an empty table gives no rows.
+    null, with 0 found. Texts are read whole, within their row; repeated rows are treated alike; an empty table gives no
+    rows. A caller's column n_found comes back as ``carried`` names it.
     """
-    columns = docs.columns
+    held, given = carried(docs, tuple(c for c in docs.columns if c != "text"), ("text", "n_found"))
+    names = dict(zip([c for c in docs.columns if c != "text"], given, strict=True))
     maybe = F.coalesce(F.col("text").rlike(r"@|\d|[0-9a-f]{32}"), F.lit(False))
-    d = docs.withColumn("found_", F.when(maybe, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
-    d = d.withColumn("stands_", F.when(F.size("found_") > 0, F.transform("found_", lambda m: pseudonym(m, key))))
-    new = joined(F.col("text"), ANY, F.col("stands_"))
-    d = d.withColumn("n_found", F.when(F.col("stands_").isNotNull(), places(F.col("stands_"))).otherwise(0).cast("long"))
-    d = d.withColumn("text", F.when(F.col("stands_").isNotNull(), new).otherwise(F.col("text")))
-    return d.select(*columns, "n_found")
+    d = docs.select(held, "text", F.when(maybe, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("found"))
+    d = d.withColumn("stands", F.when(F.size("found") > 0, F.transform("found", lambda m: pseudonym(m, key))))
+    new = joined(F.col("text"), ANY, F.col("stands"))
+    d = d.withColumn("n_found", F.when(F.col("stands").isNotNull(), places(F.col("stands"))).otherwise(0).cast("long"))
+    d = d.withColumn("new", F.when(F.col("stands").isNotNull(), new).otherwise(F.col("text")))
+    return d.select(*[F.col("new").alias("text") if c == "text" else names[c] for c in docs.columns], "n_found")
+
+
+#: The query's key. A corpus gets a secret one of its own.
+QUERY_KEY = "op9"
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "text", "n_found")
+    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), QUERY_KEY).select("doc_id", "text", "n_found")

@@ -477,7 +477,7 @@ def test_pii(spark, docs, rows, empty):
     card, bad_card = "4111 1111-1111 1111", "4111111111111112"
     text = f"Mail jo.ä@mail.example.com, call +1 (212) 555-0187; ip 10.0.0.255 not 300.1.1.1. Card {card} or {bad_card}, ssn 078-05-1120 but 000-05-1120, born 1990-02-28, not 1990-02-30, 28.02.1990, key {'0af' * 14}."
     d = spark.createDataFrame([(1, text, "x"), (2, "again " + text, "x"), (3, None, "x"), (4, "", "x"), (5, "no data 12 34", "x"), (5, "no data 12 34", "x")], "doc_id bigint, text string, n_found string")
-    got = pii.pseudonymise(d.drop("n_found")).orderBy("doc_id").collect()
+    got = pii.pseudonymise(d, "key").orderBy("doc_id").collect()
     new = got[0]["text"]
     assert got[0]["n_found"] == 8 and got[1]["text"] == "again " + new and got[2]["text"] is None and got[3]["text"] == "" and got[4]["text"] == "no data 12 34" and len(got) == 6
     for gone in ("jo.ä@", "555-0187", "10.0.0.255", card, "078-05-1120", "1990-02-28", "28.02.1990", "0af0af"):
@@ -489,13 +489,13 @@ def test_pii(spark, docs, rows, empty):
     assert sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(digits)) % 10 == 0
     iso, dotted = re.search(r"born (\d{4})-(\d\d)-(\d\d)", new).groups(), re.search(r"(\d\d)\.(\d\d)\.(\d{4}), key", new).groups()
     assert iso == dotted[::-1]
-    whole = pii.pseudonymise(docs)
-    assert whole.columns == [*docs.columns, "n_found"] and whole.count() == len(rows) and pii.pseudonymise(empty).count() == 0
+    whole = pii.pseudonymise(docs, "key")
+    assert whole.columns == [*docs.columns, "n_found"] and pii.pseudonymise(d, "key").columns == ["doc_id", "text", "n_found_given", "n_found"] and whole.count() == len(rows) and pii.pseudonymise(empty, "key").count() == 0
 
 
 def test_emails_before_full_stops(spark):
     texts = ["Mail john@example.com. Thanks", "john@mail.example.com... and", "to john@example.com.", "to john@example.com", "john@example.com, or john@example.com.4"]
-    got = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    got = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()
     assert [r.n_found for r in got] == [1, 1, 1, 1, 2]
     assert all("john@" not in r.text for r in got) and got[0].text.endswith("@example.com. Thanks") and got[1].text.endswith("@mail.example.com... and")
 
@@ -510,7 +510,7 @@ def test_cards_and_telephones_in_company(spark):
         ("5 + 1234567, 0.123 and 12 34", None, 0),
     ]
     d = spark.createDataFrame([(k, t) for k, (t, *_) in enumerate(given)], "doc_id long, text string")
-    for (text, gone, n), new in zip(given, pii.pseudonymise(d).orderBy("doc_id").collect(), strict=True):
+    for (text, gone, n), new in zip(given, pii.pseudonymise(d, "key").orderBy("doc_id").collect(), strict=True):
         assert new.n_found == n and (new.text == text if gone is None else gone not in new.text), (text, new)
         assert re.sub(r"\d", "0", new.text) == re.sub(r"\d", "0", text)
 
@@ -524,6 +524,67 @@ def test_feistel_is_a_permutation(spark):
     assert days.distinct().count() == 3000
 
 
+def plain_feistel(a, b, sizes, tweak, key="key"):
+    for i in range(8):
+        digest = hashlib.sha256(f"{key}:{tweak}:{i}:{b}".encode()).hexdigest()
+        a, b = b, (a + int(digest[:15], 16) % sizes[i % 2]) % sizes[i % 2]
+    return a, b
+
+
+def plain_spelled(text, alphabets, kind, key="key"):
+    def shift(own, by, i):
+        stream = "".join(hashlib.sha512(f"{key}:{kind}:{i}:{k}:{by}".encode()).hexdigest() for k in range(len(own) // 32 + 1))
+        out = ""
+        for n, c in enumerate(own):
+            letters = next((x for x in alphabets if c in x), c)
+            out += letters[(letters.index(c) + int(stream[4 * n : 4 * n + 4], 16)) % len(letters)]
+        return out
+
+    a, b = text[: len(text) // 2], text[len(text) // 2 :]
+    for i in range(8):
+        a, b = b, shift(a, b, i)
+    return a + b
+
+
+def test_pseudonyms_against_plain_python(spark):
+    import datetime
+
+    rng = random.Random(1)
+    ssn = [f"{rng.choice([x for x in range(1, 900) if x != 666]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}" for _ in range(300)]
+    names = ["a", "Jo.Smith+x", "jo_smith99", "x" * 70, "A-1"]
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (32, 40, 128)]
+    days = [datetime.date(1950, 1, 1) + datetime.timedelta(days=rng.randrange(40000)) for _ in range(200)]
+    forms = [f"{x:%d/%m/%Y}" for x in days] + [f"{x:%m/%d/%Y}" for x in days if x.day > 12] + [f"{x.day}.{x.month}.{x.year}" for x in days]
+    given = [*ssn, *[f"{x}@example.com" for x in names], *keys, *forms, "31/12/9999", "1/1/0001", "0001-01-01"]
+    d = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    new = [r.text for r in pii.pseudonymise(d, "key").orderBy("doc_id").collect()]
+    for old, own in zip(ssn, new, strict=False):
+        a, g, n = map(int, old.split("-"))
+        x, y = plain_feistel(a - 1 - (a > 666), (g - 1) * 9999 + n - 1, (898, 99 * 9999), "ssn")
+        assert own == f"{x + 1 + (x >= 665):03d}-{y // 9999 + 1:02d}-{y % 9999 + 1:04d}"
+        assert not re.search(r"^(000|666|9)|-00-|-0000$", own)
+    at = len(ssn)
+    assert new[at : at + len(names)] == [plain_spelled(x, pii.NAME, "name") + "@example.com" for x in names]
+    at += len(names)
+    assert new[at : at + len(keys)] == [plain_spelled(x, pii.HEXADECIMAL, "hex") for x in keys]
+    at += len(keys)
+
+    def read(x):
+        a, b, y = map(int, re.split("[/.]", x))
+        return datetime.date(y, b, a) if b <= 12 else datetime.date(y, a, b)
+
+    for old, own in zip(forms, new[at:], strict=False):
+        assert re.sub(r"\d", "0", old) == re.sub(r"\d", "0", own), (old, own)
+        read(own)  # a date
+        assert (int(re.split("[/.]", old)[1]) > 12) == (int(re.split("[/.]", own)[1]) > 12)
+    two = {f: n for f, n in zip(forms, new[at:], strict=False)}
+    assert len(set(two.values())) == len(two)
+    assert all(len(x) == len(y) for x, y in zip(given[-3:], new[-3:], strict=True))
+    every = spark.createDataFrame([(k, f"{m}/{n}/2001") for k, (m, n) in enumerate((m, n) for m in range(1, 10) for n in range(13, 29))], "doc_id long, text string")
+    got = [r.text for r in pii.pseudonymise(every, "key").collect()]
+    assert len(set(got)) == len(got) and all(re.fullmatch(r"[1-9]/(1[3-9]|2\d|3[01])/2\d{3}", x) for x in got)
+
+
 def test_packing(spark, rows, docs, empty):
     from tokenizers import Tokenizer
 
