@@ -9,6 +9,7 @@ import unicodedata
 import zlib
 from array import array
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from scanlake.llm.common import Scratch
 
 LENGTH, END = 2048, 0
-#: Pieces that are packed together; each group leaves one sequence open at most when the search succeeds.
-GROUP = 2000
+#: Sequences' worth of tokens that are packed together.
+GROUP = 256
 #: Chunks a generation of a worker's memory holds; a worker keeps two, and those used last pass from the older to the newer.
 REMEMBERED = 320_000
 _known: dict[str, list[dict[bytes, bytes]]] = {}
@@ -133,10 +134,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int
 
 
 def first_bins(sizes: list[int], length: int) -> list[list[int]]:
-    """A start for the search: best fit, longest first; open sequences are kept by free room."""
+    """A cheap start for the search: pieces as they come, each to the open sequence it fits best; open ones are kept by free room."""
     bins, by_room, rooms = [], [[] for _ in range(length + 1)], 0
-    for k in sorted(range(len(sizes)), key=lambda k: -sizes[k]):
-        size = sizes[k]
+    for k, size in enumerate(sizes):
         fit = rooms >> size
         if fit:
             room = (fit & -fit).bit_length() - 1 + size
@@ -154,78 +154,120 @@ def first_bins(sizes: list[int], length: int) -> list[list[int]]:
     return bins
 
 
-def better(a: list[int], b: list[int], room: int, sizes: list[int]) -> tuple[int, list[int], list[int]]:
-    """What to send from sequence a to the fuller sequence b against what, so that b grows most: a move, one for one, two for one or one for two."""
-    best = (0, [], [])
-    ones = [([k], sizes[k]) for k in a]
-    twos = [([k, m], sizes[k] + sizes[m]) for i, k in enumerate(a[:24]) for m in a[i + 1 : 24]]
-    back = [([], 0), *[([k], sizes[k]) for k in b]]
-    pairs = [([k, m], sizes[k] + sizes[m]) for i, k in enumerate(b[:24]) for m in b[i + 1 : 24]]
-    for gives, takes in ((ones, back), (twos, back[1:]), (ones, pairs)):
-        for x, p in gives:
-            for y, q in takes:
-                if best[0] < p - q <= room:
-                    best = (p - q, x, y)
-    return best
+class Search:
+    """Local search over sequences: exchanges that each raise the sum of squared fills, until sequences empty.
 
+    The least filled open sequence gives to the others: a piece for none (a move), one piece for one, two for one, or one for
+    two. Every partner and every piece is looked at, and of a kind the exchange that raises the sum most is made; the next
+    kind is tried where the one before has none left. A sequence that is full is closed. It ends when a round
+    over all open sequences changes nothing, or when there are as few sequences as the tokens need at least. ``made`` counts
+    the exchanges by kind, and ``emptied`` the sequences they emptied.
+    """
 
-def search(bins: list[list[int]], sizes: list[int], length: int) -> list[list[int]]:
-    """Empties sequences by exchanges between those with room, each of which raises the sum of squared fills.
+    def __init__(self, sizes: list[int], bins: list[list[int]], length: int):
+        self.sizes, self.members, self.closed = np.array(sizes, dtype=np.int64), [list(b) for b in bins], len(bins)
+        self.where = np.empty(len(sizes), np.int64)
+        for b, own in enumerate(bins):
+            self.where[own] = b
+        self.fill = np.append(np.bincount(self.where, self.sizes, len(bins)).astype(np.int64), length + 1)
+        self.length, self.least = length, -(-int(self.sizes.sum()) // length)
+        self.open = set(np.flatnonzero(self.fill[:-1] < length).tolist())
+        self.where[self.fill[self.where] >= length] = self.closed
+        self.left, self.emptied = len(bins), 0
+        self.made = {"move": 0, "one for one": 0, "two for one": 0, "one for two": 0}
+
+    def best(self, donor: int, give: np.ndarray, take: np.ndarray, partner: np.ndarray) -> tuple[int, int] | None:
+        """Which of give (sums of pieces) against which of take (sums of a partner's pieces) raises the sum of squares most."""
+        net = give[:, None] - take
+        raised = np.where((net > 0) & (net <= self.length - self.fill[partner]) & (partner != donor), net * (self.fill[partner] - self.fill[donor] + net), 0)
+        k = int(raised.argmax()) if raised.size else 0
+        return divmod(k, len(take)) if raised.size and raised.flat[k] > 0 else None
+
+    def exchange(self, donor: int) -> tuple[str, list[int], list[int], int] | None:
+        """An exchange (kind, given, taken, partner), or none."""
+        own = self.members[donor]
+        mine, others = self.sizes[own], np.fromiter(self.open, np.int64, len(self.open))
+        if found := self.best(donor, mine, np.zeros(len(others), np.int64), others):
+            return "move", [own[found[0]]], [], int(others[found[1]])
+        if found := self.best(donor, mine, self.sizes, self.where):
+            return "one for one", [own[found[0]]], [found[1]], int(self.where[found[1]])
+        a, b = np.triu_indices(len(own), 1)
+        if found := self.best(donor, mine[a] + mine[b], self.sizes, self.where):
+            return "two for one", [own[a[found[0]]], own[b[found[0]]]], [found[1]], int(self.where[found[1]])
+        for other in self.open - {donor}:
+            if self.length - self.fill[other] >= 1 and len(self.members[other]) > 1:
+                pair = np.array(self.members[other])
+                a, b = np.triu_indices(len(pair), 1)
+                if found := self.best(donor, mine, self.sizes[pair[a]] + self.sizes[pair[b]], np.full(len(a), other)):
+                    return "one for two", [own[found[0]]], [int(pair[a[found[1]]]), int(pair[b[found[1]]])], other
+        return None
+
+    def make(self, donor: int, kind: str, given: list[int], taken: list[int], partner: int) -> None:
+        self.made[kind] += 1
+        self.members[donor] = [k for k in self.members[donor] if k not in given] + taken
+        self.members[partner] = [k for k in self.members[partner] if k not in taken] + given
+        self.where[given], self.where[taken] = partner, donor
+        net = int(self.sizes[given].sum() - self.sizes[taken].sum())
+        self.fill[partner] += net
+        self.fill[donor] -= net
+        if self.fill[partner] == self.length:
+            self.open.discard(partner)
+            self.where[self.members[partner]] = self.closed
+        if not self.members[donor]:
+            self.open.discard(donor)
+            self.left, self.emptied = self.left - 1, self.emptied + 1
+
+    def run(self) -> list[list[int]]:
+        changed = True
+        while changed and self.left > self.least:
+            changed = False
+            for donor in sorted(self.open, key=lambda b: (self.fill[b], b)):
+                while donor in self.open and self.left > self.least and (found := self.exchange(donor)):
+                    self.make(donor, *found)
+                    changed = True
+        return [b for b in self.members if b]
 
-    The least filled sequence gives to the others, fullest first, until it is empty or no exchange helps; then the
-    next. Rounds end when one changes nothing, when the room of the others can't hold another whole sequence, or when
-    there are as few sequences as the sizes need at least.
-    """
-    least = -(-sum(sizes) // length)
-    open_ = [[sum(sizes[k] for k in b), b] for b in bins]
-    full, changed = [b for f, b in open_ if f == length], True
-    open_ = [x for x in open_ if x[0] < length]
-    while changed and len(full) + len(open_) > least:
-        changed, turn = False, sorted(open_, key=lambda x: x[0])
-        for donor in turn:
-            others = sorted((x for x in open_ if x is not donor and x[0] < length and x[1]), key=lambda x: -x[0])
-            if not donor[1] or donor[0] == length:
-                continue
-            if sum(length - x[0] for x in others) < donor[0]:
-                break
-            for other in others:
-                while donor[1] and other[0] < length:
-                    gain, x, y = better(donor[1], other[1], length - other[0], sizes)
-                    if not gain or other[0] + gain <= donor[0]:
-                        break
-                    donor[1] = [k for k in donor[1] if k not in x] + y
-                    other[1] = [k for k in other[1] if k not in y] + x
-                    other[0], donor[0], changed = other[0] + gain, donor[0] - gain, True
-        full += [b for f, b in open_ if f == length]
-        open_ = [x for x in open_ if x[1] and x[0] < length]
-    return full + [b for _, b in open_]
+
+def search(bins: list[list[int]], sizes: list[int], length: int) -> list[list[int]]:
+    return Search(sizes, bins, length).run()
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int = END, with_ids: bool = False, group: int = GROUP) -> DataFrame:
     """Places every piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
-    The tokens' table is written once; its pieces are dealt by a salt into groups of about ``group`` rows, whatever
-    their keys, and each group is packed by the local search on its own. Repeated rows are packed each; an empty
-    table gives no rows.
+    The tokens' table is written once; its pieces are dealt by a salt into groups of about ``group`` sequences' worth of tokens,
+    whatever their keys, and each group is packed by the local search on its own. What a group leaves in sequences that are not
+    full is dealt and packed once more with that of others, so groups cost no sequence each. Null text counts as empty: the end
+    token alone. A very long text is one row of tokens at a time in memory and goes on as its pieces. Repeated rows are
+    packed each; an empty table gives no rows; other columns are not carried.
     """
-    cut = Scratch(docs.sparkSession).save(pieces(docs, tokenizer_path, length, end, with_ids), "pieces")
-    groups = max(1, math.ceil(cut.count() / group))
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["salt", "doc_id", "piece"], ignore_index=True)
-        sizes = rows["length"].tolist()
-        seq, at = [0] * len(sizes), [0] * len(sizes)
-        for s, own in enumerate(search(first_bins(sizes, length), sizes, length)):
-            here = 0
-            for k in own:
-                seq[k], at[k] = (int(rows["grp"].iloc[0]) << 32) + s, here
-                here += sizes[k]
-        return rows[names].assign(sequence_id=seq, offset=at)
-
-    kind = dict(cut.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids + ", sequence_id bigint, offset bigint"
-    return cut.withColumn("grp", F.pmod("salt", F.lit(groups))).groupBy("grp").applyInPandas(place, schema)
+    scratch = Scratch(docs.sparkSession)
+    cut = scratch.save(pieces(docs, tokenizer_path, length, end, with_ids), "pieces")
+    names = [c for c in cut.columns if c != "salt"]
+
+    def groups(rows: DataFrame) -> int:
+        return max(1, math.ceil((rows.agg(F.sum("length")).first()[0] or 0) / (length * group)))
+
+    def place(first: int):
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(["salt", "doc_id", "piece", "ids_crc32"], ignore_index=True)
+            sizes = rows["length"].tolist()
+            seq, at, filled = [0] * len(sizes), [0] * len(sizes), [0] * len(sizes)
+            for s, own in enumerate(search(first_bins(sizes, length), sizes, length)):
+                here, fill = 0, sum(sizes[k] for k in own)
+                for k in own:
+                    seq[k], at[k], filled[k] = ((first + int(rows["grp"].iloc[0])) << 32) + s, here, fill
+                    here += sizes[k]
+            return rows[[*names, "salt"]].assign(sequence_id=seq, offset=at, filled=filled)
+
+        return run
+
+    schema = ", ".join(f"{c} {t}" for c, t in cut.dtypes if c != "salt") + ", salt bigint, sequence_id bigint, offset bigint, filled bigint"
+    first = groups(cut)
+    placed = scratch.save(cut.withColumn("grp", F.pmod("salt", F.lit(first))).groupBy("grp").applyInPandas(place(0), schema), "placed")
+    rest = placed.where(F.col("filled") < length).select(*names, F.pmod(F.xxhash64("salt", "sequence_id"), F.lit(1 << 32)).alias("salt"))
+    again = rest.withColumn("grp", F.pmod("salt", F.lit(groups(rest)))).groupBy("grp").applyInPandas(place(first), schema)
+    return placed.where(F.col("filled") == length).unionByName(again).select(*names, "sequence_id", "offset")
 
 
 def default_tokenizer() -> str:

@@ -595,7 +595,7 @@ def test_packing(spark, rows, docs, empty):
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         for k, a in enumerate(range(0, len(ids), 256)):
             want[i, k, a, len(ids[a : a + 256]), zlib.crc32(ids[a : a + 256].tobytes())] += 1
-    got = packing.pack(docs, path, length=256, group=40, with_ids=True).toPandas()
+    got = packing.pack(docs, path, length=256, group=3, with_ids=True).toPandas()
     assert multiset(got, ["doc_id", "piece", "start", "length", "ids_crc32"]) == want
     assert all(zlib.crc32(x) == y for x, y in zip(got.ids, got.ids_crc32, strict=True))
     for _, own in got.sort_values("offset").groupby("sequence_id"):
@@ -612,6 +612,15 @@ def test_tokens_of_odd_texts():
     assert [np.frombuffer(x, "<u4").tolist() for x in packing.chunk_ids(path)(odd)] == [whole.encode(x or "", add_special_tokens=False).ids for x in odd]
 
 
+def test_tokens_of_the_whole_small_corpus():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    texts = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").text.tolist()
+    whole = [x.ids for x in Tokenizer.from_file(path).encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.chunk_ids(path)(texts)] == whole
+
+
 def test_local_search_empties_bins():
     sizes = [6, 6, 5, 5, 4, 4, 3, 3, 2, 2]
     bins = [[k] for k in range(len(sizes))]
@@ -619,6 +628,42 @@ def test_local_search_empties_bins():
     assert sorted(k for b in done for k in b) == list(range(10)) and all(sum(sizes[k] for k in b) <= 10 for b in done) and len(done) == 4
 
 
+@pytest.mark.parametrize("low, high", [(1, 100), (1, 30), (20, 70), (30, 35), (51, 60)])
+def test_local_search_against_its_rules(low, high):
+    """Every exchange raises the sum of squared fills, all four kinds happen, and at the end none is left."""
+    rng = random.Random(low)
+    sizes = [rng.randint(low, high) for _ in range(150)]
+    start = [[k] for k in range(len(sizes))]
+    own = packing.Search(sizes, start, 100)
+    make, squares = own.make, lambda: sum(sum(sizes[k] for k in b) ** 2 for b in own.members)
+
+    def watched(*args):
+        before = squares()
+        make(*args)
+        assert squares() > before
+
+    own.make = watched
+    done = own.run()
+    assert sorted(k for b in done for k in b) == list(range(150)) and all(sum(sizes[k] for k in b) <= 100 for b in done)
+    assert own.emptied == 150 - len(done) and len(done) <= len(packing.first_bins(sizes, 100))
+    if len(done) > own.least:
+        fills = [sum(sizes[k] for k in b) for b in done]
+        subsets = lambda b: [(sizes[k], 1) for k in b] + [(sizes[k] + sizes[m], 2) for i, k in enumerate(b) for m in b[:i]]
+        for i, a in enumerate(done):
+            for j, b in enumerate(done):
+                for p, n in subsets(a) if i != j else []:
+                    for q, m in [(0, 0), *subsets(b)]:
+                        if (n, m) in ((1, 0), (1, 1), (2, 1), (1, 2)) and 0 < p - q <= 100 - fills[j]:
+                            assert fills[j] - fills[i] + p - q <= 0
+
+
+def test_all_kinds_of_exchange():
+    rng = random.Random(1)
+    sizes = [rng.randint(2, 900) for _ in range(800)]
+    own = packing.Search(sizes, packing.first_bins(sizes, 2048), 2048)
+    assert len(own.run()) <= own.least + 1 and own.emptied > 0 and all(own.made.values())
+
+
 def test_registry_lists_ten_operators():
     from scanlake.llm import registry
 
