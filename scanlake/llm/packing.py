@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import os
@@ -154,6 +155,12 @@ def first_bins(sizes: list[int], length: int) -> list[list[int]]:
     return bins
 
 
+@functools.cache
+def couples(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of n places, as two arrays."""
+    return np.triu_indices(n, 1)
+
+
 class Search:
     """Local search over sequences: exchanges that each raise the sum of squared fills, until sequences empty.
 
@@ -191,15 +198,18 @@ class Search:
             return "move", [own[found[0]]], [], int(others[found[1]])
         if found := self.best(donor, mine, self.sizes, self.where):
             return "one for one", [own[found[0]]], [found[1]], int(self.where[found[1]])
-        a, b = np.triu_indices(len(own), 1)
+        a, b = couples(len(own))
         if found := self.best(donor, mine[a] + mine[b], self.sizes, self.where):
             return "two for one", [own[a[found[0]]], own[b[found[0]]]], [found[1]], int(self.where[found[1]])
-        for other in self.open - {donor}:
-            if self.length - self.fill[other] >= 1 and len(self.members[other]) > 1:
-                pair = np.array(self.members[other])
-                a, b = np.triu_indices(len(pair), 1)
-                if found := self.best(donor, mine, self.sizes[pair[a]] + self.sizes[pair[b]], np.full(len(a), other)):
-                    return "one for two", [own[found[0]]], [int(pair[a[found[1]]]), int(pair[b[found[1]]])], other
+        several = [x for x in others.tolist() if x != donor and len(self.members[x]) > 1]
+        if not several:
+            return None
+        flat = np.array([k for x in several for k in self.members[x]])
+        starts = np.cumsum([0, *[len(self.members[x]) for x in several[:-1]]])
+        pairs = [couples(len(self.members[x])) for x in several]
+        a, b = (flat[np.concatenate([s + p[side] for s, p in zip(starts, pairs, strict=True)])] for side in (0, 1))
+        if found := self.best(donor, mine, self.sizes[a] + self.sizes[b], self.where[a]):
+            return "one for two", [own[found[0]]], [int(a[found[1]]), int(b[found[1]])], int(self.where[a[found[1]]])
         return None
 
     def make(self, donor: int, kind: str, given: list[int], taken: list[int], partner: int) -> None:
@@ -236,8 +246,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int =
     """Places every piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     The tokens' table is written once; its pieces are dealt by a salt into groups of about ``group`` sequences' worth of tokens,
-    whatever their keys, and each group is packed by the local search on its own. What a group leaves in sequences that are not
-    full is dealt and packed once more with that of others, so groups cost no sequence each. Null text counts as empty: the end
+    whatever their keys, and each group is packed by the local search on its own. The sequences that a group leaves not
+    full are dealt once more, and the search goes on from them among those of others, so groups cost no sequence each. Null text counts as empty: the end
     token alone. A very long text is one row of tokens at a time in memory and goes on as its pieces. Repeated rows are
     packed each; an empty table gives no rows; other columns are not carried.
     """
@@ -248,26 +258,27 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int =
     def groups(rows: DataFrame) -> int:
         return max(1, math.ceil((rows.agg(F.sum("length")).first()[0] or 0) / (length * group)))
 
-    def place(first: int):
+    def place(first: int, again: bool):
         def run(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(["salt", "doc_id", "piece", "ids_crc32"], ignore_index=True)
-            sizes = rows["length"].tolist()
+            rows = rows.sort_values(["sequence_id", "offset"] if again else ["salt", "doc_id", "piece", "ids_crc32"], ignore_index=True)
+            sizes, base = rows["length"].tolist(), (first + int(rows["grp"].iloc[0])) << 32
+            start = [x.tolist() for x in rows.groupby("sequence_id").indices.values()] if again else first_bins(sizes, length)
             seq, at, filled = [0] * len(sizes), [0] * len(sizes), [0] * len(sizes)
-            for s, own in enumerate(search(first_bins(sizes, length), sizes, length)):
+            for s, own in enumerate(search(start, sizes, length)):
                 here, fill = 0, sum(sizes[k] for k in own)
                 for k in own:
-                    seq[k], at[k], filled[k] = ((first + int(rows["grp"].iloc[0])) << 32) + s, here, fill
+                    seq[k], at[k], filled[k] = base + s, here, fill
                     here += sizes[k]
-            return rows[[*names, "salt"]].assign(sequence_id=seq, offset=at, filled=filled)
+            return rows[names].assign(sequence_id=seq, offset=at, filled=filled)
 
         return run
 
-    schema = ", ".join(f"{c} {t}" for c, t in cut.dtypes if c != "salt") + ", salt bigint, sequence_id bigint, offset bigint, filled bigint"
-    first = groups(cut)
-    placed = scratch.save(cut.withColumn("grp", F.pmod("salt", F.lit(first))).groupBy("grp").applyInPandas(place(0), schema), "placed")
-    rest = placed.where(F.col("filled") < length).select(*names, F.pmod(F.xxhash64("salt", "sequence_id"), F.lit(1 << 32)).alias("salt"))
-    again = rest.withColumn("grp", F.pmod("salt", F.lit(groups(rest)))).groupBy("grp").applyInPandas(place(first), schema)
-    return placed.where(F.col("filled") == length).unionByName(again).select(*names, "sequence_id", "offset")
+    schema = ", ".join(f"{c} {t}" for c, t in cut.dtypes if c != "salt") + ", sequence_id bigint, offset bigint, filled bigint"
+    n = groups(cut)
+    placed = scratch.save(cut.withColumn("grp", F.pmod("salt", F.lit(n))).groupBy("grp").applyInPandas(place(0, False), schema), "placed")
+    rest = placed.where(F.col("filled") < length)
+    again = rest.withColumn("grp", F.pmod(F.xxhash64("sequence_id"), F.lit(groups(rest)))).groupBy("grp").applyInPandas(place(n, True), schema)
+    return placed.where(F.col("filled") == length).unionByName(again).drop("filled")
 
 
 def default_tokenizer() -> str:
