@@ -9,9 +9,12 @@ K = 16
 #: Bits of an anchor's hash; the other 20 bits of a sort key hold a place within a step.
 HASH_BITS = 44
 STEP = 1 << 19
-#: The cover sample: places whose residue mod PERIOD is in COVER. Every distance has two residues that far apart, and
-#: the next sampled place is GAP away at most.
-PERIOD, COVER, GAP = 13, (0, 1, 3, 9), 5
+#: The cover sample: places whose residue mod PERIOD is in COVER. For every two residues there is a shift below PERIOD that
+#: takes both into COVER, the numbers of SHIFT.
+PERIOD, COVER = 7, (0, 1, 3)
+SHIFT = [[next(d for d in range(PERIOD) if (x + d) % PERIOD in COVER and (y + d) % PERIOD in COVER) for y in range(PERIOD)] for x in range(PERIOD)]
+#: Suffixes of a bucket by leading bytes, about, which is sorted at a time.
+SUFFIXES = 1 << 17
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 _PLACE = np.uint64((1 << 20) - 1)
@@ -121,74 +124,123 @@ class Block:
                 c[k : k + 65536] = finish((view[s[k : k + 65536]].astype(np.uint64) * _UP[: self.depth]).sum(axis=1, dtype=np.uint64), self.depth)
         return s, np.repeat(p, n), np.repeat(doc, n), c
 
-    def contexts(self, p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The bytes of runs, a row each with the anchor at the same column, zeros where a run doesn't reach."""
-        wide = self.left + self.depth
-        padded = np.concatenate([np.zeros(self.left, np.uint8), self.data])
-        rows = np.lib.stride_tricks.sliding_window_view(padded, wide)[p].copy()
-        at = np.arange(wide)
-        rows[(at < (a - p + self.left)[:, None]) | (at >= (b - p + self.left + self.depth)[:, None])] = 0
-        return rows
-
-
-def ranks(keys: list[np.ndarray]) -> np.ndarray:
-    """Dense ranks of rows by the keys, the first the most significant."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), dtype=bool)
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
+    def contexts(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The bytes of runs one after the other."""
+        size = b - a + self.depth
+        ends = np.cumsum(size)
+        return self.data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(a - ends + size, size)]
+
+
+def dense(keys: np.ndarray) -> np.ndarray:
+    """Ranks of numbers, equal ones alike."""
+    order = np.argsort(keys)
+    new = np.zeros(len(order), dtype=np.int64)
+    s = keys[order]
+    new[1:] = s[1:] != s[:-1]
     out = np.empty(len(order), dtype=np.int64)
     out[order] = np.cumsum(new)
     return out
 
 
-def sort_windows(rows: np.ndarray, off: np.ndarray, count: np.ndarray, value: np.ndarray, depth: int) -> np.ndarray:
-    """For each context and place of a window in it, the least value among the contexts with that window.
+class Cover:
+    """Ranks of the suffixes at the places of the difference cover, by their first ``depth`` bytes or more.
+
+    Ranks by 16 bytes come from two words; those of twice the length and more from pairs of ranks, as a sampled place and
+    the one a multiple of PERIOD further are both in the sample.
+    """
 
-    rows: contexts as Block.contexts() lays them out, off the place of the anchor in a context's first window, count
-    its windows. Returns a column for each place o of the anchor in a window (0 to depth - K). The suffixes of one
-    place are one bucket and sorted on their own, so the working set is one bucket. They are ordered by their first
-    8 bytes; ties, mostly long ones, are resolved by the ranks of 32 bytes at the next place of the cover sample and
-    at the last one from which 32 bytes stay in the window, which are computed once for all buckets, and by the last 8.
+    def __init__(self, words: np.ndarray, n: int, depth: int):
+        periods = -(-n // PERIOD)
+        self.slot = np.full(PERIOD, -1)
+        self.slot[list(COVER)] = np.arange(len(COVER))
+        at = (np.arange(periods)[:, None] * PERIOD + np.array(COVER)).ravel()
+        at = np.minimum(at, n)
+        first = dense(words[at])
+        rank, reach = dense(first << 32 | dense(words[np.minimum(at + 8, len(words) - 1)])), 16
+        while reach < depth:
+            step = reach // PERIOD
+            ahead = np.zeros(len(rank), dtype=np.int64)
+            ahead[: -step * len(COVER) or None] = rank[step * len(COVER) :] + 1
+            rank, reach = dense(rank << 32 | ahead), step * PERIOD + reach
+        self.rank = rank
+
+    def __call__(self, places: np.ndarray) -> np.ndarray:
+        """The ranks of sampled places."""
+        return self.rank[places // PERIOD * len(COVER) + self.slot[places % PERIOD]]
+
+
+def in_order(places: np.ndarray, group: np.ndarray, cover: Cover) -> np.ndarray:
+    """The order of suffixes whose first bytes (PERIOD of them at least) are alike within a group; groups are numbered in order.
+
+    Two suffixes compare by the ranks at the shift that takes both into the sample, which depends on their residues only.
+    So a suffix's place is found residue by residue: how many suffixes of its group with that residue have a smaller rank
+    at their common shift.
     """
-    n, wide = rows.shape
-    left = depth - K
-    none = np.iinfo(np.int64).max
-    out = np.full((n, left + 1), none, dtype=np.int64)
-    if not n:
-        return out
-    padded = np.concatenate([rows, np.zeros((n, 64), np.uint8)], axis=1)
-
-    def word(c: int) -> np.ndarray:
-        return np.ascontiguousarray(padded[:, c : c + 8]).view("<u8").ravel()
-
-    sample: dict[int, np.ndarray] = {}
-
-    def rank(c: int) -> np.ndarray:
-        if c not in sample:
-            sample[c] = ranks([word(c + k) for k in (0, 8, 16, 24)])
-        return sample[c]
-
-    for o in range(left + 1):
-        c = left - o
-        mine = np.flatnonzero((off >= o) & (off - count < o))
-        if not len(mine):
+    residue, less = places % PERIOD, np.zeros(len(places), dtype=np.int64)
+    members = [np.flatnonzero(residue == r) for r in range(PERIOD)]
+    for x in range(PERIOD):
+        for y in range(PERIOD):
+            own, other = members[x], members[y]
+            if len(own) and len(other):
+                shift = SHIFT[x][y]
+                keys = np.sort(group[other] << 32 | cover(places[other] + shift))
+                less[own] += np.searchsorted(keys, group[own] << 32 | cover(places[own] + shift)) - np.searchsorted(keys, group[own] << 32)
+    return np.argsort(group << 32 | less)
+
+
+def tied(keys: np.ndarray) -> np.ndarray:
+    """Which of sorted numbers equal a neighbour."""
+    same = keys[1:] == keys[:-1]
+    return np.r_[False, same] | np.r_[same, False]
+
+
+def least_of_windows(text: np.ndarray, size: np.ndarray, value: np.ndarray, depth: int) -> np.ndarray:
+    """For each window of ``depth`` bytes in texts laid end to end the least value of a text with that window.
+
+    size: bytes of each text, value: its number. The suffixes that start a window are sorted one bucket by leading bytes
+    at a time: by their first 8 bytes, ties by the next 8, and the ties left, mostly long ones, by the ranks of the
+    cover sample, computed beforehand. Neighbours in that order that share ``depth`` bytes are equal windows. So beyond
+    the text the working set is the sample's ranks and one bucket.
+    """
+    n = len(text)
+    padded = np.concatenate([text, np.zeros(depth + 2 * PERIOD + 24, np.uint8)])
+    words = words_at(padded, n + depth + PERIOD).byteswap()
+    count = size - depth + 1
+    owner = np.repeat(np.arange(len(size)), count)
+    start = np.cumsum(size) - size
+    places = np.arange(len(owner)) + np.repeat(start - np.cumsum(count) + count, count)
+    least = value[owner]
+    lead = (words[places] >> np.uint64(48)).astype(np.uint16)
+    order = np.argsort(lead, kind="stable")
+    ends = np.cumsum(np.bincount(lead, minlength=1 << 16))
+    cover, a = None, 0
+    while a < len(order):
+        z = int(ends[max(int(lead[order[a]]), int(np.searchsorted(ends, a + SUFFIXES, side="right")) - 1)])
+        own, a = order[a:z], z
+        first = words[places[own]]
+        by = np.argsort(first)
+        own, first = own[by], first[by]
+        keep = tied(first)
+        own, first = own[keep], dense(first[keep])
+        if not len(own):
             continue
-        first = word(c)[mine]
-        order = np.argsort(first, kind="stable")
-        mine, first = mine[order], first[order]
-        tied = np.zeros(len(mine), dtype=bool)
-        tied[1:] = first[1:] == first[:-1]
-        tied[:-1] |= tied[1:]
-        out[mine[~tied], o] = value[mine[~tied]]
-        mine, first = mine[tied], first[tied]
-        if not len(mine):
+        second = dense(words[places[own] + 8])
+        both = first << 32 | second
+        by = np.argsort(both)
+        own, both = own[by], both[by]
+        keep = tied(both)
+        own, group = own[keep], dense(both[keep])
+        if not len(own):
             continue
-        near = next(x for x in range(c, c + GAP + 1) if x % PERIOD in COVER)
-        far = next(x for x in range(c + depth - 32, c + depth - 32 - GAP - 1, -1) if x % PERIOD in COVER)
-        group = ranks([first, rank(near)[mine], rank(far)[mine], word(c + depth - 8)[mine]])
-        low = np.full(int(group.max()) + 1, none, dtype=np.int64)
-        np.minimum.at(low, group, value[mine])
-        out[mine, o] = low[group]
-    return out
+        cover = cover or Cover(words, n, depth)
+        own = own[in_order(places[own], group, cover)]
+        p = places[own]
+        same = np.ones(len(p) - 1, dtype=bool)
+        for k in (*range(0, depth - 8, 8), depth - 8):
+            w = words[p + k]
+            same &= w[1:] == w[:-1]
+        window = np.cumsum(np.r_[0, ~same])
+        low = np.full(int(window[-1]) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(low, window, least[own])
+        least[own] = low[window]
+    return least

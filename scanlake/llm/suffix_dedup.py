@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanlake.llm.common import Scratch
-from scanlake.llm.repeats import HASH_BITS, K, Block, sort_windows
+from scanlake.llm.repeats import HASH_BITS, K, Block, least_of_windows, words_at
 
 DEPTH = 50
 #: Bytes of text of a block, the unit that is kept together (a longer document is a block of its own).
@@ -65,19 +65,30 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return (((h >> np.uint64(HASH_BITS - 32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
+def stretches(buckets: np.ndarray) -> dict[int, slice]:
+    """The stretch of each bucket that there is in an ascending list."""
+    if not len(buckets):
+        return {}
+    at = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
+    return {int(k): slice(int(x), int(y)) for k, x, y in zip(buckets[at], at, np.r_[at[1:], len(buckets)], strict=True)}
+
+
 class Known:
-    """A block's runs, its distinct anchors in order of hash, and what the buckets say of them."""
+    """A block's runs, its distinct anchors in order of hash, and what the buckets say of them.
+
+    Only buckets that the block has anchors in are held or sent, so a block costs its own text, however many buckets there are.
+    """
 
     def __init__(self, data: bytes, depth: int, buckets: int):
         self.ids, self.texts = opened(data)
         self.block = Block(self.texts, depth)
         self.h, self.which = np.unique(self.block.h, return_inverse=True)
         #: Buckets are ranges of the hash, so each is a stretch of the distinct anchors.
-        self.cuts = np.searchsorted(bucket_of(self.h, buckets), np.arange(buckets + 1))
+        self.cuts = stretches(bucket_of(self.h, buckets))
         self.buckets = buckets
 
     def anchors(self):
-        """(bucket, hashes, in several documents, different surroundings up to 255) for each bucket."""
+        """(bucket, hashes, in several documents, different surroundings) for each bucket; a count over HOT need not be exact."""
         b = self.block
         doc_id = self.ids[b.doc]
         low, high = np.full(len(self.h), np.iinfo(np.int64).max), np.full(len(self.h), np.iinfo(np.int64).min)
@@ -86,16 +97,15 @@ class Known:
         order = np.lexsort((b.c, self.which))
         w, c = self.which[order], b.c[order]
         new = np.r_[True, (w[1:] != w[:-1]) | (c[1:] != c[:-1])] if len(w) else np.empty(0, bool)
-        around = np.minimum(np.bincount(w[new], minlength=len(self.h)), 255).astype(np.uint8)
-        for k in np.flatnonzero(np.diff(self.cuts)):
-            s = slice(self.cuts[k], self.cuts[k + 1])
-            yield int(k), self.h[s], low[s] < high[s], around[s]
+        around = np.minimum(np.bincount(w[new], minlength=len(self.h)), 65535).astype("<u2")
+        for k, s in self.cuts.items():
+            yield k, self.h[s], low[s] < high[s], around[s]
 
     def take(self, answers: list[tuple[int, bytes]]) -> None:
         """The anchors' flags, and the distinct contexts that follow from them, sorted by bucket."""
         shared, hot = np.zeros(len(self.h), bool), np.zeros(len(self.h), bool)
         for k, bits in answers:
-            s = slice(self.cuts[k], self.cuts[k + 1])
+            s = self.cuts[k]
             n = s.stop - s.start
             flags = np.unpackbits(np.frombuffer(bits, np.uint8), count=2 * n)
             shared[s], hot[s] = flags[:n], flags[n:]
@@ -116,16 +126,15 @@ class Known:
         self.first = order[new]
         self.low = np.full(len(self.first), np.iinfo(np.int64).max)
         np.minimum.at(self.low, self.context, self.ids[self.doc])
-        self.context_cuts = np.searchsorted(bucket[self.first], np.arange(self.buckets + 1))
+        self.context_cuts = stretches(bucket[self.first])
 
     def contexts(self):
-        """(bucket, number, blob) of the distinct contexts of each bucket."""
+        """(bucket, number, blob) of the distinct contexts of each bucket: sizes, places of the anchor, least doc_ids, bytes."""
         press = zstandard.ZstdCompressor(3)
-        for k in np.flatnonzero(np.diff(self.context_cuts)):
-            f = self.first[self.context_cuts[k] : self.context_cuts[k + 1]]
-            rows = self.block.contexts(self.p[f], self.a[f], self.b[f])
-            blob = rows.tobytes() + (self.p[f] - self.a[f]).astype(np.uint8).tobytes() + (self.b[f] - self.a[f] + 1).astype(np.uint8).tobytes() + self.low[self.context_cuts[k] : self.context_cuts[k + 1]].tobytes()
-            yield int(k), len(f), press.compress(blob)
+        for k, s in self.context_cuts.items():
+            a, b, p = (x[self.first[s]] for x in (self.a, self.b, self.p))
+            blob = (b - a + 1).astype(np.uint8).tobytes() + (p - a).astype(np.uint8).tobytes() + self.low[s].tobytes() + self.block.contexts(a, b).tobytes()
+            yield k, len(a), press.compress(blob)
 
     def removed(self, answers: list[tuple[int, bytes]]) -> np.ndarray:
         """For each byte of the block whether it goes."""
@@ -133,16 +142,16 @@ class Known:
         wide = b.left + 1
         bits = np.zeros((len(self.first), wide), bool)
         for k, raw in answers:
-            s = slice(self.context_cuts[k], self.context_cuts[k + 1])
+            s = self.context_cuts[k]
             bits[s] = np.unpackbits(np.frombuffer(raw, np.uint8), count=(s.stop - s.start) * wide).reshape(-1, wide)
         edge = np.zeros(b.n + b.depth + 1, np.int32)
         later = self.ids[self.doc] > self.low[self.context]
         np.add.at(edge, self.a[later], 1)
         np.subtract.at(edge, self.b[later] + b.depth, 1)
         some = np.flatnonzero(~later & bits[self.context].any(axis=1))
-        for o in range(wide):
-            s = self.p[some] - o
-            s = s[bits[self.context[some], o] & (s >= self.a[some]) & (s <= self.b[some])]
+        for k in range(wide):
+            s = self.a[some] + k
+            s = s[bits[self.context[some], k] & (s <= self.b[some])]
             np.add.at(edge, s, 1)
             np.subtract.at(edge, s + b.depth, 1)
         return np.cumsum(edge)[: b.n] > 0
@@ -172,8 +181,8 @@ def flagged(batches):
     """bucket, block, bits: of the anchors of each block, which are in several documents and which are hot."""
     for bucket, rows in by_bucket(batches):
         h = [np.frombuffer(x[2], "<u4", x[1]).astype(np.uint64) | np.frombuffer(x[2], "<u2", x[1], 4 * x[1]).astype(np.uint64) << np.uint64(32) for x in rows]
-        several = [np.unpackbits(np.frombuffer(x[2], np.uint8, -1, 6 * x[1] + x[1]), count=x[1]).astype(bool) for x in rows]
-        around = [np.frombuffer(x[2], np.uint8, x[1], 6 * x[1]).astype(np.int64) for x in rows]
+        several = [np.unpackbits(np.frombuffer(x[2], np.uint8, -1, 8 * x[1]), count=x[1]).astype(bool) for x in rows]
+        around = [np.frombuffer(x[2], "<u2", x[1], 6 * x[1]).astype(np.int64) for x in rows]
         all_h = np.concatenate(h)
         order = np.argsort(all_h, kind="stable")
         starts = np.flatnonzero(np.r_[True, all_h[order][1:] != all_h[order][:-1]])
@@ -189,40 +198,44 @@ def flagged(batches):
 
 def sorted_buckets(depth: int):
     """From bucket, block, n, blob of contexts: bucket, block, bits of each context's windows that a smaller doc_id has too."""
-    wide, left = depth - K + depth, depth - K
+    wide = depth - K + 1
 
     def run(batches):
         open_ = zstandard.ZstdDecompressor()
         for bucket, rows in by_bucket(batches):
-            rows = [(*x[:2], open_.decompress(x[2])) for x in rows]
-            text = np.concatenate([np.frombuffer(x[2], np.uint8, x[1] * wide).reshape(-1, wide) for x in rows])
-            off = np.concatenate([np.frombuffer(x[2], np.uint8, x[1], x[1] * wide) for x in rows]).astype(np.int64)
-            count = np.concatenate([np.frombuffer(x[2], np.uint8, x[1], x[1] * (wide + 1)) for x in rows]).astype(np.int64)
-            low = np.concatenate([np.frombuffer(x[2], np.int64, x[1], x[1] * (wide + 2)) for x in rows])
+            size, off, low, text = [], [], [], []
+            for _, n, blob in rows:
+                raw = open_.decompress(blob)
+                size.append(np.frombuffer(raw, np.uint8, n).astype(np.int64) + depth - 1)
+                off.append(np.frombuffer(raw, np.uint8, n, n).astype(np.int64))
+                low.append(np.frombuffer(raw, np.int64, n, 2 * n))
+                text.append(np.frombuffer(raw, np.uint8, -1, 10 * n))
+            size, off, low, text = map(np.concatenate, (size, off, low, text))
             # equal contexts of several blocks count once, with their least doc_id
-            full = np.ascontiguousarray(np.concatenate([text, off[:, None].astype(np.uint8), count[:, None].astype(np.uint8), np.zeros((len(text), -(wide + 2) % 8), np.uint8)], axis=1)).view("<u8")
-            with np.errstate(over="ignore"):
-                mixed = (full * (np.arange(1, full.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))).sum(axis=1, dtype=np.uint64)
-                mixed ^= mixed >> np.uint64(32)
-            order = np.argsort(mixed, kind="stable")
-            new = np.r_[True, (full[order][1:] != full[order][:-1]).any(axis=1)]
-            which = np.empty(len(order), np.int64)
-            which[order] = np.cumsum(new) - 1
-            first = order[new]
+            ends = np.cumsum(size)
+            column = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(text)])
+            which = column.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.unique(which, return_index=True)[1]
             least = np.full(len(first), np.iinfo(np.int64).max)
             np.minimum.at(least, which, low)
             # a context whose anchor has no other shares its windows with none
-            anchor = np.ascontiguousarray(text[first][:, left : left + K]).view("<u8")
-            by = np.lexsort((anchor[:, 1], anchor[:, 0]))
-            same = (anchor[by][1:] == anchor[by][:-1]).all(axis=1)
-            alone = np.ones(len(first), bool)
-            alone[by] = ~(np.r_[False, same] | np.r_[same, False])
-            window = np.repeat(least[:, None], left + 1, axis=1)
-            rest = np.flatnonzero(~alone)
-            window[rest] = sort_windows(text[first[rest]], off[first[rest]], count[first[rest]], least[rest], depth)
+            anchor = words_at(np.concatenate([text, np.zeros(16, np.uint8)]), len(text) + 8)
+            at = (ends - size + off)[first]
+            by = np.lexsort((anchor[at + 8], anchor[at]))
+            same = (anchor[at[by]][1:] == anchor[at[by]][:-1]) & (anchor[at[by] + 8][1:] == anchor[at[by] + 8][:-1])
+            rest = np.zeros(len(first), bool)
+            rest[by] = np.r_[False, same] | np.r_[same, False]
+            window = np.repeat(least[:, None], wide, axis=1)
+            if rest.any():
+                chosen = first[rest]
+                inside = np.arange(wide) < (size[chosen] - depth + 1)[:, None]
+                laid = np.concatenate([text[e - s : e] for s, e in zip(size[chosen], ends[chosen], strict=True)])
+                own = window[rest]
+                own[inside] = least_of_windows(laid, size[chosen], least[rest], depth)
+                window[rest] = own
             bits = window[which] < low[:, None]
-            ends = np.cumsum([x[1] for x in rows])
-            packed_bits = [np.packbits(bits[e - x[1] : e].ravel()).tobytes() for x, e in zip(rows, ends, strict=True)]
+            cuts = np.cumsum([n for _, n, _ in rows])
+            packed_bits = [np.packbits(bits[e - n : e].ravel()).tobytes() for (_, n, _), e in zip(rows, cuts, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(rows), pa.int32()), pa.array([x[0] for x in rows], pa.int64()), pa.array(packed_bits, pa.binary())], ["bucket", "block", "bits"])
 
     return run
@@ -237,8 +250,8 @@ def dedup(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, w
     2. Suffixes are bucketed by a K-byte anchor within their first ``depth`` bytes (see Block). Each block sends the
        hashes of its distinct anchors; the buckets answer with a bit for each, whether another document has it.
     3. Blocks send the bytes around the anchors that others have, each distinct stretch once with its least doc_id.
-       The buckets sort the suffixes in them one place of the anchor at a time and resolve ties by the ranks of a
-       difference-cover sample, and answer with a bit for each suffix.
+       The buckets sort the suffixes of these stretches, one bucket by leading bytes at a time, and resolve long ties by the
+       ranks of a difference-cover sample of them, computed beforehand; they answer with a bit for each suffix.
     4. Blocks put the answers back on their documents.
 
     A group of copies sends a stretch once per block, however many copies there are; an anchor with very many

@@ -95,19 +95,37 @@ def test_suffix_dedup_returns_text_and_keeps_rows_without_id(spark):
     assert bytes(got[2]["kept"]) == b"x" * 60 and got[1]["n_removed"] == 0 and got[None]["n_removed"] == 0
 
 
-def test_window_sort_is_exact():
-    rng = np.random.default_rng(1)
-    text = bytes(rng.integers(97, 99, 400, dtype=np.uint8)) * 3
-    blocks = repeats.Block([text, text[100:500], b"short"], 50)
-    rows = blocks.contexts(blocks.p, blocks.a, blocks.b)
-    value = blocks.doc.astype(np.int64)
-    got = repeats.sort_windows(rows, blocks.p - blocks.a, blocks.b - blocks.a + 1, value, 50)
+@pytest.mark.parametrize("depth", [48, 50, 128])
+@pytest.mark.parametrize("suffixes", [1 << 17, 40])
+def test_window_sort_is_exact(monkeypatch, depth, suffixes):
+    """Long repeats at all distances, texts that differ late, and a bucket that is one letter."""
+    monkeypatch.setattr(repeats, "SUFFIXES", suffixes)
+    rng = np.random.default_rng(depth)
+    base = bytes(rng.integers(97, 99, 500, dtype=np.uint8))
+    texts = [base[: 200 + k] for k in range(0, 60, 7)] + [base[k : k + 150] for k in range(0, 90, 13)] + [base[:120] + b"x" + base[:160], b"a" * 300, b"a" * 290 + b"b" * 40, base]
+    texts += [base[:140] + bytes([65 + k]) for k in range(5)]
+    value = rng.permutation(len(texts)).astype(np.int64)
+    got = repeats.least_of_windows(np.frombuffer(b"".join(texts), np.uint8), np.array([len(x) for x in texts]), value, depth)
+    windows = [(k, x[s : s + depth]) for k, x in enumerate(texts) for s in range(len(x) - depth + 1)]
     least: dict[bytes, int] = {}
-    windows = [(k, int(s), bytes(blocks.data[s : s + 50])) for k in range(len(rows)) for s in range(blocks.a[k], blocks.b[k] + 1)]
-    assert sorted(s for _, s, _ in windows) == [*range(1151), *range(1200, 1551)]
-    for k, _, w in windows:
-        least[w] = min(least.get(w, 9), int(value[k]))
-    assert all(got[k, blocks.p[k] - s] == least[w] for k, s, w in windows)
+    for k, w in windows:
+        least[w] = min(least.get(w, 99), int(value[k]))
+    assert got.tolist() == [least[w] for _, w in windows]
+
+
+def test_suffixes_are_in_order():
+    """The cover's ranks put suffixes of one group into the order of their bytes."""
+    rng = np.random.default_rng(4)
+    text = bytes(rng.integers(97, 99, 60, dtype=np.uint8)) * 6 + bytes(rng.integers(97, 99, 300, dtype=np.uint8))
+    padded = np.frombuffer(text + bytes(100), np.uint8)
+    words = repeats.words_at(padded, len(text) + 60).byteswap()
+    cover = repeats.Cover(words, len(text), 50)
+    start = Counter(text[k : k + 8] for k in range(len(text) - 60)).most_common(1)[0][0]
+    places = np.array([k for k in range(len(text) - 60) if text[k : k + 8] == start])
+    got = places[repeats.in_order(places, np.zeros(len(places), np.int64), cover)]
+    assert len(places) > 5 and [text[k : k + 50] for k in got] == sorted(text[k : k + 50] for k in places)
+    for x in range(repeats.PERIOD):
+        assert all((x + repeats.SHIFT[x][y]) % repeats.PERIOD in repeats.COVER and (y + repeats.SHIFT[x][y]) % repeats.PERIOD in repeats.COVER for y in range(repeats.PERIOD))
 
 
 def brute_simhash(text):
