@@ -13,6 +13,7 @@ from array import array
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,9 @@ LENGTH, END = 2048, 0
 GROUP = 256
 #: Chunks a generation of a worker's memory holds; a worker keeps two, and those used last pass from the older to the newer.
 REMEMBERED = 320_000
-_known: dict[str, list[dict[bytes, bytes]]] = {}
+_known: dict[str, Stems] = {}
+#: Bytes of text cut at a time.
+STEP = 16 << 20
 #: What the tokenizer cuts its input into, for the tokenizers that the short way below holds for.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -44,65 +47,104 @@ def is_word_bpe(tokenizer) -> bool:
     return normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": PARTS} and cuts[0]["behavior"] == "Removed"
 
 
-def chunk_ids(tokenizer_path: str):
-    """A function from texts to their ids as bytes (unsigned, little-endian, 32 bits).
+class Stems:
+    """A worker's memory of the ids of stems (chunks without a last full stop or comma, or parts of chunks), of bounded size."""
 
-    A tokenizer that drops white space and never joins across it gives a text the ids of its chunks between ASCII
-    white space, and a chunk those of its parts. Each worker asks for a part once and remembers a bounded number of
-    chunks; parts go to the tokenizer's model past its slow normalisers. Chunks whose lower case or composition could
-    differ go through the whole tokenizer, and so do all texts for other tokenizers and those that may hold special
-    tokens.
-    """
-    import regex
+    def __init__(self, tokenizer_path: str):
+        import regex
+        from tokenizers import Tokenizer
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallel part
-    from tokenizers import Tokenizer
+        self.whole = Tokenizer.from_file(tokenizer_path)
+        self.short = is_word_bpe(self.whole)
+        self.tokenize, self.find, self.letters = self.whole.model.tokenize, regex.compile(PARTS).findall, str.maketrans(byte_letters())
+        self.kept: list[dict[bytes, bytes]] = [{}, {}]
 
-    whole = Tokenizer.from_file(tokenizer_path)
-    short = is_word_bpe(whole)
-    model, find, letters = Tokenizer(whole.model), regex.compile(PARTS).findall, str.maketrans(byte_letters())
-    kept = _known.setdefault(tokenizer_path, [{}, {}])
+    def packed(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def packed(some: list[str], by) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in by.encode_batch_fast(some, add_special_tokens=False)]
+    def part_ids(self, part: bytes) -> bytes:
+        return array("I", [x.id for x in self.tokenize(part.decode() if part.isascii() else part.decode("latin-1").translate(self.letters))]).tobytes()
 
-    def parts(chunk: bytes) -> list[bytes] | None:
+    def parts(self, chunk: bytes) -> list[bytes] | None:
+        """What the tokenizer cuts a chunk into; None if only the whole tokenizer can tell."""
         if chunk.isalpha():
             return [chunk]
-        if chunk[:-1].isalpha() and chunk[-1] in b".,":
-            return [chunk[:-1], chunk[-1:]]
         text = chunk.decode()
         if not chunk.isascii():
             if "\u03a3" in text or not unicodedata.is_normalized("NFC", text):
                 return None
             text = text.lower()
-        return [x.encode() for x in ([text] if text.isalpha() else find(text))]
+        return [x.encode() for x in ([text] if text.isalpha() else self.find(text))]
 
-    def learn(new: list[bytes], known: dict[bytes, bytes]) -> None:
-        cut = {x: parts(x) for x in new}
+    def learn(self, new: list[bytes], known: dict[bytes, bytes]) -> None:
+        cut = {x: self.parts(x) for x in new if not x.isalpha()}
         odd = [x for x, y in cut.items() if y is None]
-        known.update(zip(odd, packed([x.decode() for x in odd], whole), strict=True))
-        unknown = list({y for x in cut.values() if x for y in x}.difference(known))
-        known.update(zip(unknown, packed([x.decode() if x.isascii() else x.decode("latin-1").translate(letters) for x in unknown], model), strict=True))
-        known.update((x, b"".join(map(known.__getitem__, y))) for x, y in cut.items() if y is not None and y != [x])
-
-    def ids(texts: list[str | None]):
-        for a in range(0, len(texts), 256):
-            some = [x or "" for x in texts[a : a + 256]]
-            if not short or any("<|" in x for x in some):
-                yield from packed(some, whole)
-                continue
-            if len(kept[0]) > REMEMBERED:
-                kept[:] = [{}, kept[0]]
-            known, older = kept
-            cut = [x.encode("utf-8", "replace").lower().split() for x in some]
-            if new := set().union(*cut).difference(known):
-                if again := new.intersection(older):
-                    known.update((x, older[x]) for x in again)
-                    new -= again
-                learn(list(new), known)
-            for own in cut:
-                yield b"".join(map(known.__getitem__, own))
+        known.update(zip(odd, self.packed([x.decode() for x in odd]), strict=True))
+        for x in new:
+            if x not in cut:
+                known[x] = self.part_ids(x)
+        for x, own in cut.items():
+            if own is not None:
+                for y in own:
+                    if y not in known:
+                        known[y] = self.part_ids(y)
+                if own != [x]:
+                    known[x] = b"".join(map(known.__getitem__, own))
+
+    def ids(self, stems: list[bytes]) -> list[bytes]:
+        if len(self.kept[0]) > REMEMBERED:
+            self.kept = [{}, self.kept[0]]
+        known, older = self.kept
+        if new := [x for x in stems if x not in known]:
+            again = {x: older[x] for x in new if x in older}
+            known.update(again)
+            self.learn([x for x in new if x not in again], known)
+        return list(map(known.__getitem__, stems))
+
+
+def chunk_ids(tokenizer_path: str):
+    """A function from texts (a string array, or a list) to their ids as bytes (unsigned, little-endian, 32 bits).
+
+    A tokenizer that drops white space and never joins across it gives a text the ids of its chunks between ASCII
+    white space, and a chunk those of its parts. Texts are cut and their distinct chunks found in Arrow, STEP bytes of text at a
+    time; each worker asks for a part once and remembers a bounded number of them; parts go to the tokenizer's model past its
+    slow normalisers. Chunks whose lower case or composition could differ go through the whole tokenizer, and so do
+    all texts for other tokenizers and those that may hold special tokens.
+    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallel part
+    stems = _known.setdefault(tokenizer_path, Stems(tokenizer_path)) if tokenizer_path not in _known else _known[tokenizer_path]
+    binary, none = pa.large_binary(), pa.scalar(b"", pa.large_binary())
+
+    def cut(texts: pa.Array) -> list[bytes]:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        found = lists.flatten().dictionary_encode()
+        chunks = found.dictionary
+        last = pc.binary_slice(chunks.cast(binary), -1, None)
+        stem = pc.binary_slice(chunks.cast(binary), 0, -1)
+        ends = pc.and_(pc.is_in(last, pa.array([b".", b","], binary)), pc.string_is_ascii(chunks))
+        ends = pc.and_(ends, pc.if_else(ends, pc.ascii_is_alpha(pc.if_else(ends, stem, none).cast(pa.large_string())), False))
+        own = pa.array(stems.ids(pc.if_else(ends, stem, chunks.cast(binary)).to_pylist()), binary)
+        mark = pa.array(stems.ids([b"", b".", b","]), binary).take(pc.if_else(ends, pc.if_else(pc.equal(last, b","), 2, 1), 0))
+        each = pc.binary_join_element_wise(own, mark, none).take(found.indices)
+        return pc.binary_join(pa.LargeListArray.from_arrays(lists.offsets, each), none).to_pylist()
+
+    def ids(texts):
+        if not isinstance(texts, pa.Array):
+            texts = pa.array([(x or "").encode("utf-8", "replace").decode() for x in texts], pa.large_string())
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        special = pc.match_substring(texts, "<|") if stems.short else pa.array([True] * len(texts), pa.bool_())
+        a = 0
+        while a < len(texts):
+            z = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + STEP, side="right")))
+            some, odd = texts.slice(a, z - a), special.slice(a, z - a).to_pylist()
+            out = cut(some if not any(odd) else pc.if_else(special.slice(a, z - a), "", some)) if stems.short else [b""] * (z - a)
+            if any(odd):
+                at = [k for k, x in enumerate(odd) if x]
+                for k, x in zip(at, stems.packed([some[k].as_py() for k in at]), strict=True):
+                    out[k] = x
+            yield from out
+            a = z
 
     return ids
 
@@ -120,7 +162,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int
         ids, n, own = chunk_ids(tokenizer_path), 0, TaskContext.get().partitionId()
         for batch in batches:
             which, rows = [], []
-            for k, found in enumerate(ids(batch.column("text").to_pylist())):
+            for k, found in enumerate(ids(batch.column("text"))):
                 found += tail
                 for piece, a in enumerate(range(0, len(found), 4 * length)):
                     part = found[a : a + 4 * length]
