@@ -10,7 +10,8 @@ INNER, JOIN = 0.75, 0.2109375
 
 
 def quantized_ll(error: Column, sigma: Column) -> Column:
-    """Log-likelihood of a residual, flatter within INNER sigmas."""
+    """Log-likelihood of a residual, flatter within INNER sigmas (a sigma of 1e-12 at least)."""
+    sigma = F.greatest(sigma, F.lit(1e-12))
     z = error / sigma
     return F.when(F.abs(error) < INNER * sigma, -0.5 * (z / 2) * (z / 2)).otherwise(-0.5 * z * z + JOIN)
 

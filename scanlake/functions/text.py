@@ -18,22 +18,29 @@ def normalize_text(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
+def segments(key: Column) -> Column:
+    """The segments of a key after the first, without what stands in brackets."""
+    return F.transform(F.slice(F.split(key, r"\|"), 2, 1000), lambda seg: F.split_part(seg, F.lit("["), F.lit(1)))
+
+
 def key_version(key: Column) -> Column:
-    """``version=1.23`` -> 123, minor digits cut or filled to two; 0 if missing."""
-    major, minor = F.regexp_extract(key, r"version=(\d+)", 1), F.regexp_extract(key, r"version=\d+\.(\d+)", 1)
-    return F.when(major == "", 0).otherwise(F.expr("0") + F.coalesce(major.try_cast("int"), F.lit(0)) * 100 + F.coalesce(F.rpad(minor, 2, "0").try_cast("int"), F.lit(0))).cast("int")
+    """``|version=1.23`` -> 123: the first such segment, the minor part's first two digits, filled with zeros; 0 if missing."""
+    version = F.regexp_extract(key, r"\|version=([^|\[]*)", 1)
+    major = F.coalesce(F.split_part(version, F.lit("."), F.lit(1)).try_cast("int"), F.lit(0))
+    minor = F.rpad(F.regexp_replace(F.regexp_replace(version, r"^[^.]*", ""), r"[^0-9]", ""), 2, "0")
+    return (100 * major + minor.cast("int")).cast("int")
 
 
 def key_weight_italic(key: Column) -> Column:
     """struct(weight, italic) of a trailing ``-700Italic`` of the first segment, or null."""
     head = F.split_part(key, F.lit("|"), F.lit(1))
-    weight = F.regexp_extract(head, r"-(\d{3})(Italic)?$", 1)
-    return F.when(weight != "", F.struct(weight.cast("int").alias("weight"), (F.regexp_extract(head, r"-(\d{3})(Italic)?$", 2) != "").alias("italic")))
+    weight = F.regexp_extract(head, r"(?:^|-)([0-9]+)(?:Italic)?$", 1)
+    return F.when(weight != "", F.struct(weight.try_cast("int").alias("weight"), head.endswith("Italic").alias("italic")))
 
 
 def has_variant_tag(key: Column, tag: str) -> Column:
-    """Whether one of the segments of a key, without what stands in brackets, is the tag."""
-    return F.array_contains(F.split(F.regexp_replace(key, r"\[.*$", ""), r"\|"), tag)
+    """Whether a segment after the first, without what stands in brackets, is the tag."""
+    return F.array_contains(segments(key), tag)
 
 
 def strip_subset_prefix(name: Column) -> Column:

@@ -5,15 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanlake.functions.text import has_variant_tag, key_version, key_weight_italic, normalize_family
+from scanlake.functions.text import has_variant_tag, key_version, key_weight_italic, normalize_family, segments
 
-#: Fixed points of a key's preference score.
-KERN_POINTS, LIG_POINTS, PLAIN_POINTS, VINTAGE_POINTS = 4, 2, 1, -10
+#: Fixed points of a key's preference score, and the feature tags that count against it.
+KERN_POINTS, LIG_POINTS, SIZE_POINTS, VARIANT_POINTS = 4, 2, 1, -10
+FEATURE_TAGS = ("onum", "lnum", "smcp", "c2sc", "swsh", "salt", "titl", "hist", "allcaps")
+
+
+def is_feature_tag(segment: Column) -> Column:
+    """A feature variant's tag, a stylistic set ``ssNN`` among them."""
+    return segment.isin(*FEATURE_TAGS) | segment.rlike("^ss[0-9]{2}$")
 
 
 def preference(key: Column, has_kern: Column) -> Column:
-    """struct(version, score) by which entries of one name compare."""
-    score = F.when(has_kern, KERN_POINTS).otherwise(0) + F.when(has_variant_tag(key, "nolig"), 0).otherwise(LIG_POINTS) + F.when(key.contains("|"), 0).otherwise(PLAIN_POINTS) + F.when(has_variant_tag(key, "vintage"), VINTAGE_POINTS).otherwise(0)
+    """struct(version, score) by which entries of one name compare.
+
+    Points for a key that says of kerning what its font has, for ligatures and for the text size; each feature variant and each
+    weight instance counts against it.
+    """
+    variants = F.size(F.filter(segments(key), lambda s: is_feature_tag(s) | s.rlike("^wght[0-9]+$")))
+    points = lambda c, n: F.when(c, n).otherwise(0)
+    score = points(has_kern != key.contains("nokern"), KERN_POINTS) + points(has_variant_tag(key, "lig"), LIG_POINTS) + points(key.contains("opsz=10"), SIZE_POINTS) + VARIANT_POINTS * variants
     return F.struct(key_version(key).alias("version"), score.alias("score"))
 
 
@@ -26,21 +38,22 @@ def best_by_preference(entries: DataFrame, keys: list[str], key: str, has_kern:
 def select_by_criteria(entries: DataFrame, family: str, key: str, has_kern: str, weight: int | None = None, italic: bool | None = None, opsz: float | None = None, kern: bool | None = None, lig: bool | None = None) -> DataFrame:
     """The preferred entry among those that meet all the criteria given; none if none does (criteria are never relaxed).
 
-    The family must be equal after normalisation. An optical size holds for entries without that axis (columns
-    opsz_min and opsz_max null).
+    The family must be equal after normalisation; weight and slant are those of the key, and a key without them has none.
+    An optical size must be equal, but for entries without one (column opsz null). Kerning and ligatures are tags that the
+    key must have.
     """
     wi = key_weight_italic(F.col(key))
     ok = normalize_family(F.col("family")) == normalize_family(F.lit(family))
     if weight is not None:
-        ok = ok & (F.coalesce(wi["weight"], F.lit(400)) == weight)
+        ok = ok & (wi["weight"] == weight)
     if italic is not None:
-        ok = ok & (F.coalesce(wi["italic"], F.lit(False)) == F.lit(italic))
+        ok = ok & (wi["italic"] == F.lit(italic))
     if opsz is not None:
-        ok = ok & F.coalesce((F.col("opsz_min") <= opsz) & (F.col("opsz_max") >= opsz), F.lit(True))
+        ok = ok & (F.col("opsz").isNull() | (F.col("opsz") == opsz))
     if kern is not None:
-        ok = ok & (F.col(has_kern) == F.lit(kern))
+        ok = ok & has_variant_tag(F.col(key), "kern" if kern else "nokern")
     if lig is not None:
-        ok = ok & (has_variant_tag(F.col(key), "nolig") != F.lit(lig))
+        ok = ok & has_variant_tag(F.col(key), "lig" if lig else "nolig")
     return best_by_preference(entries.where(ok), [], key, has_kern).where(F.col(key).isNotNull())
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanlake.functions.text import strip_subset_prefix
+
 
 def lookup_span(boxes: DataFrame, spans: DataFrame, page: str, box: str) -> DataFrame:
     """(box, span_ord, how): the best ground-truth span of every box, or none.
@@ -24,11 +26,15 @@ def lookup_span(boxes: DataFrame, spans: DataFrame, page: str, box: str) -> Data
 
 
 def canonical_names(named: DataFrame, catalog: DataFrame, name: str) -> DataFrame:
-    """The catalog's key for a name: equal to its key or postscript name, else to its raw name, else the name as it is."""
-    by_ps = catalog.select(F.col("postscript_name").alias("ps_"), F.col("font_key").alias("k1_"))
-    by_raw = catalog.select(F.col("raw_name").alias("raw_"), F.col("font_key").alias("k2_"))
-    d = named.join(by_ps, named[name] == F.col("ps_"), "left").join(by_raw, named[name] == F.col("raw_"), "left")
-    return d.select(*named.columns, F.coalesce("k1_", "k2_", F.col(name)).alias("canonical"))
+    """Adds canonical: the name without its subset prefix where it is a catalog postscript name or key, else the postscript name of the first entry (by ``ord``) with that raw name, else the name without the prefix.
+
+    The catalog has one row a name on either side of the joins, so names that several entries share multiply nothing.
+    """
+    d = named.withColumn("raw_", strip_subset_prefix(F.col(name)))
+    known = catalog.select(F.explode(F.array("postscript_name", "font_key")).alias("raw_")).where("raw_ IS NOT NULL").distinct().withColumn("known_", F.lit(True))
+    by_raw = catalog.groupBy(F.col("raw_name").alias("raw_")).agg(F.min_by("postscript_name", "ord").alias("canonical_"))
+    d = d.join(known, "raw_", "left").join(by_raw, "raw_", "left")
+    return d.select(*named.columns, F.when(F.col("known_"), F.col("raw_")).otherwise(F.coalesce("canonical_", "raw_")).alias("canonical"))
 
 
 def is_hit(truth: Column, matched: Column) -> Column:
@@ -61,14 +67,22 @@ def accuracy(classified: DataFrame, cls: str, keys: tuple = ()) -> DataFrame:
     return d.withColumn("pct", F.when(F.col("compared") == 0, 100.0).otherwise(100.0 * F.col("primary_hits") / F.col("compared")))
 
 
-def interesting(rows: DataFrame, key: str, index: str, delta: str, n: int) -> DataFrame:
-    """The n / 2 most positive and most negative deltas of each key, short sides filled from the other by size, in order of index."""
+def interesting(rows: DataFrame, key: str, index: str, delta: str, n: int, best: str | None = None) -> DataFrame:
+    """n rows a key at most, in order of index: the n / 2 greatest deltas (by size) of either sign, then the greatest of the rest.
+
+    Deltas of 0 are never shown. Where a key has no delta at all (all null), the n rows with the least ``best`` are shown.
+    Ties go by index.
+    """
     half = n // 2
-    d = rows.where(F.col(delta) != 0).withColumn("side_", F.col(delta) > 0)
-    d = d.withColumn("k_", F.row_number().over(Window.partitionBy(key, "side_").orderBy(F.abs(delta).desc(), F.col(index))))
+    size, side = F.abs(F.col(delta)), F.col(delta) > 0
+    d = rows.withColumn("none_", F.count(delta).over(Window.partitionBy(key)) == 0)
+    d = d.where((F.col("none_") & F.lit(best is not None)) | (F.col(delta) != 0))
+    least = F.col(best) if best else F.lit(0)
+    d = d.withColumn("k_", F.row_number().over(Window.partitionBy(key, side).orderBy(size.desc(), F.col(index))))
     d = d.withColumn("late_", (F.col("k_") > half).cast("int"))
-    d = d.withColumn("r_", F.row_number().over(Window.partitionBy(key).orderBy("late_", F.abs(delta).desc(), F.col(index))))
-    return d.where(F.col("r_") <= 2 * half).drop("side_", "k_", "late_", "r_")
+    order = [F.when(F.col("none_"), 0).otherwise(F.col("late_")), F.when(F.col("none_"), least), size.desc(), F.col(index)]
+    d = d.withColumn("r_", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return d.where(F.col("r_") <= n).drop("none_", "k_", "late_", "r_")
 
 
 def report_order(rows: DataFrame, section: str, similarity: str, wrong_text: str) -> DataFrame:

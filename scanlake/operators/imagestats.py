@@ -26,10 +26,15 @@ def otsu(hist: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def border_mean(cells: DataFrame, keys: list[str], x: str, y: str, channels: list[str], border: int = 5) -> DataFrame:
-    """Mean of each channel over the border ring, by integer division; white without cells there."""
+    """Mean of each channel over the border ring, by integer division; white without cells there.
+
+    The ring is ``border`` wide, but no wider than a quarter of either side, and 1 at least.
+    """
     box = Window.partitionBy(*keys)
     d = cells.withColumn("mx_", F.max(x).over(box)).withColumn("my_", F.max(y).over(box))
-    ring = (F.col(x) < border) | (F.col(y) < border) | (F.col(x) > F.col("mx_") - border) | (F.col(y) > F.col("my_") - border)
+    quarter = F.floor((F.least("mx_", "my_") + 1) / 4)
+    d = d.withColumn("ring_", F.greatest(F.lit(1), F.least(F.lit(border), quarter)))
+    ring = (F.col(x) < F.col("ring_")) | (F.col(y) < F.col("ring_")) | (F.col(x) > F.col("mx_") - F.col("ring_")) | (F.col(y) > F.col("my_") - F.col("ring_"))
     mean = lambda c: F.coalesce(F.floor(F.sum(F.when(ring, F.col(c))) / F.nullif(F.count_if(ring), F.lit(0))), F.lit(255)).cast("int")
     return d.groupBy(*keys).agg(*[mean(c).alias(c) for c in channels])
 
@@ -40,10 +45,14 @@ def has_content(cells: DataFrame, keys: list[str], value: str, least: float = 10
 
 
 def contrast_percentiles(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, p1, p99): the first values with a hundredth and 99 hundredths of the pixels at or below; null if they don't differ."""
+    """(keys, p1, p99): the first values with a hundredth and 99 hundredths of the pixels at or below; null if they don't differ.
+
+    The hundredths are whole pixels, so below 100 pixels the first is none and p1 is 0.
+    """
     w = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     d = hist.withColumn("cum", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
-    found = d.groupBy(*keys).agg(F.min(F.when(F.col("cum") >= F.floor(F.col("total") / 100), F.col("v"))).alias("p1"), F.min(F.when(F.col("cum") >= F.floor(99 * F.col("total") / 100), F.col("v"))).alias("p99"))
+    low = F.min(F.when(F.col("cum") >= F.floor(F.col("total") / 100), F.col("v")))
+    found = d.groupBy(*keys).agg(F.when(F.max("total") < 100, 0).otherwise(low).alias("p1"), F.min(F.when(F.col("cum") >= F.floor(99 * F.col("total") / 100), F.col("v"))).alias("p99"))
     ok = F.col("p1") < F.col("p99")
     return found.select(*keys, F.when(ok, F.col("p1")).alias("p1"), F.when(ok, F.col("p99")).alias("p99"))
 

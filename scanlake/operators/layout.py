@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,16 +32,18 @@ def drop_outlier_words(words: DataFrame, keys: list[str], height: str, confidenc
 
 
 def split_by_height(words: DataFrame, keys: list[str], height: str, tie: str, ratio: float = 2.0, least: float = 10.0) -> DataFrame:
-    """Marks the words above the largest jump of a line's sorted heights, where that is ``ratio`` or more: column ``upper``.
+    """Marks the words above the largest jump of a line's sorted heights (1 at least each), where that is ``ratio`` or more: column ``upper``.
 
-    A jump from below ``least`` is none. The first of equal jumps counts.
+    The first of equal jumps counts. If the height below it is under ``least``, the line is not split, whatever its other jumps.
     """
     w = Window.partitionBy(*keys).orderBy(height, tie)
+    line = Window.partitionBy(*keys)
     before = F.lag(height).over(w)
-    jumps = words.withColumn("jump_", F.when((before >= least) & (F.col(height) / before >= ratio), F.col(height) / before))
-    has = F.max("jump_").over(Window.partitionBy(*keys))
-    best = F.min(F.when(F.col("jump_") == F.col("top_"), F.col(height))).over(Window.partitionBy(*keys))
-    return jumps.withColumn("top_", has).withColumn("cut_", best).withColumn("upper", F.coalesce(F.col(height) >= F.col("cut_"), F.lit(False))).drop("jump_", "top_", "cut_")
+    d = words.withColumn("below_", before).withColumn("jump_", F.greatest(F.col(height), F.lit(1)) / F.greatest("below_", F.lit(1)))
+    d = d.withColumn("jump_", F.when(F.col("below_").isNotNull() & (F.col("jump_") >= ratio), F.col("jump_")))
+    best = F.min(F.when(F.col("jump_").isNotNull(), F.struct((-F.col("jump_")).alias("j"), F.col(height).alias("h"), F.col("below_").alias("b")))).over(line)
+    d = d.withColumn("best_", best)
+    return d.withColumn("upper", F.coalesce((F.col("best_.b") >= least) & (F.col(height) >= F.col("best_.h")), F.lit(False))).drop("below_", "jump_", "best_")
 
 
 def coverage_valleys(boxes: DataFrame, key: str, y0: str, y1: str, confidence: str, least: float = 0.5, width: int = 2) -> DataFrame:
@@ -71,7 +72,7 @@ def lines_overlap(a: str, b: str) -> Column:
 
 
 def merge_overlapping_words(words: DataFrame, keys: list[str]) -> DataFrame:
-    """Ordered fold of each line's words by x: a gap of 2 px or less joins; an overlap of over half the narrower keeps the surer text, else both texts follow each other.
+    """Ordered fold of each line's words by x: a gap of 2 px or less joins; an overlap of over half of either (whole pixels) keeps the other's text if that is surer and as long in bytes, else both texts follow each other.
 
     The result of a merge is what the next word is compared with, so it is no window but a fold over the line's sorted
     words, of which there are few.
@@ -83,11 +84,12 @@ def merge_overlapping_words(words: DataFrame, keys: list[str]) -> DataFrame:
     def step(done: Column, r: Column) -> Column:
         cur = F.element_at(done, -1)
         end, bottom = F.greatest(cur["x"] + cur["width"], r["x"] + r["width"]), F.greatest(cur["y"] + cur["height"], r["y"] + r["height"])
-        covers = cur["x"] + cur["width"] - r["x"] > 0.5 * F.least(cur["width"], r["width"])
+        covers = F.greatest(cur["x"] + cur["width"] - r["x"], F.lit(0)) > F.floor(F.least(cur["width"], r["width"]) / 2)
+        better = (r["confidence"] > cur["confidence"]) & (F.octet_length(r["text"]) >= F.octet_length(cur["text"]))
         top = F.least(cur["y"], r["y"])
         joined = F.struct(
             cur["x"].alias("x"), cur["word_num"].alias("word_num"), top.alias("y"), (end - cur["x"]).alias("width"), (bottom - top).alias("height"),
-            F.when(covers, F.when(r["confidence"] > cur["confidence"], r["text"]).otherwise(cur["text"])).otherwise(F.concat(cur["text"], r["text"])).alias("text"),
+            F.when(covers, F.when(better, r["text"]).otherwise(cur["text"])).otherwise(F.concat(cur["text"], r["text"])).alias("text"),
             F.when(covers, F.greatest(cur["confidence"], r["confidence"])).otherwise((cur["confidence"] + r["confidence"]) / 2).alias("confidence"),
         )
         apart = r["x"] - (cur["x"] + cur["width"]) > 2
@@ -97,22 +99,27 @@ def merge_overlapping_words(words: DataFrame, keys: list[str]) -> DataFrame:
     return line.select(*keys, F.inline(F.aggregate("w", F.array().cast(kind), step)))
 
 
-def merge_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Greedy merge of horizontal runs (x1, x2, y1, y2): one joins the current head if it starts 2 px below its end or less and both ends are within 2 px of the head's."""
+def merge_runs(runs: DataFrame, keys: list[str], across: str = "x", along: str = "y") -> DataFrame:
+    """Greedy merge of runs (x1, x2, y1, y2) into lines: one joins the current head if it starts 2 px beyond its end or less and both its ends across are within 2 px of the head's; the head then ends where it ends.
+
+    Horizontal runs go by x1, then y1; with across="y" and along="x" vertical ones by y1, then x1. Adds thickness, 1 at least.
+    A fold over a key's sorted runs, of which there are as many as one region's lines have.
+    """
+    a1, a2, b1, b2 = f"{across}1", f"{across}2", f"{along}1", f"{along}2"
     kinds = dict(runs.dtypes)
+    rest = [c for c in runs.columns if c not in keys and c not in (a1, b1)]
+    fields = [a1, b1, *rest]
+    kind = "array<struct<" + ", ".join(f"{f}: {kinds[f]}" for f in fields) + ">>"
+
+    def step(done: Column, r: Column) -> Column:
+        cur = F.element_at(done, -1)
+        joins = (r[b1] <= cur[b2] + 2) & (F.abs(r[a1] - cur[a1]) <= 2) & (F.abs(r[a2] - cur[a2]) <= 2)
+        joined = F.struct(*[(r if f == b2 else cur)[f].alias(f) for f in fields])
+        return F.when((F.size(done) > 0) & joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(r))).cast(kind)
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for r in rows.sort_values(["x1", "y1"]).to_dict("records"):
-            cur = out[-1] if out else None
-            if cur is not None and r["y1"] <= cur["y2"] + 2 and abs(r["x1"] - cur["x1"]) <= 2 and abs(r["x2"] - cur["x2"]) <= 2:
-                cur["y2"] = max(cur["y2"], r["y2"])
-            else:
-                out.append(dict(r))
-        done = pd.DataFrame(out)
-        return done.assign(thickness=done["y2"] - done["y1"] + 1)
-
-    return runs.groupBy(*keys).applyInPandas(fold, ", ".join(f"{c} {kinds[c]}" for c in runs.columns) + ", thickness bigint")
+    one = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).cast(kind).alias("r"))
+    done = one.select(*keys, F.inline(F.aggregate("r", F.array().cast(kind), step)))
+    return done.select(*runs.columns, F.greatest(F.col(b2) - F.col(b1) + 1, F.lit(1)).cast("long").alias("thickness"))
 
 
 def smooth_runs(rows: DataFrame, keys: list[str], order: list[str], font: str, value: str, band: float) -> DataFrame:

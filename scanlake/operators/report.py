@@ -64,8 +64,8 @@ def placements(lines: DataFrame, dpi: int, page_height: str) -> DataFrame:
 
 
 def erased(lines: DataFrame, fills: DataFrame) -> DataFrame:
-    """(page, x, y, width, height): rectangles of detected lines (as thick as they are) and fills."""
-    a = lines.select("page", F.least("x1", "x2").alias("x"), F.least("y1", "y2").alias("y"), F.greatest(F.abs(F.col("x2") - F.col("x1")), "thickness").alias("width"), F.greatest(F.abs(F.col("y2") - F.col("y1")), "thickness").alias("height"))
+    """(page, x, y, width, height): rectangles of detected lines, wider and higher by their thickness, and of fills."""
+    a = lines.select("page", F.least("x1", "x2").alias("x"), F.least("y1", "y2").alias("y"), (F.abs(F.col("x2") - F.col("x1")) + F.col("thickness")).alias("width"), (F.abs(F.col("y2") - F.col("y1")) + F.col("thickness")).alias("height"))
     return a.unionByName(fills.select("page", "x", "y", "width", "height"))
 
 

@@ -10,16 +10,24 @@ from scanlake.queries import register
 from scanlake.session import table
 from scanlake.sources import specs
 
-KEYS_SQL = """k AS (SELECT p_partkey, p_brand, p_size % 2 = 0 AS kern, replace(p_brand, '#', '') || '-' || (CASE WHEN p_size % 3 = 0 THEN '700' ELSE '400' END) || (CASE WHEN p_size % 5 = 0 THEN 'Italic' ELSE '' END)
-  || (CASE WHEN p_partkey % 4 = 0 THEN '|nolig' ELSE '' END) || '|version=' || (p_partkey // 100) || '.' || (p_partkey % 100) AS key FROM part),
-v AS (SELECT *, CAST(regexp_extract(key, 'version=(\\d+)', 1) AS INTEGER) * 100 + CAST(rpad(regexp_extract(key, 'version=\\d+\\.(\\d+)', 1), 2, '0') AS INTEGER) AS version, (CASE WHEN kern THEN 4 ELSE 0 END) + (CASE WHEN contains(key, '|nolig') THEN 0 ELSE 2 END) AS score FROM k)"""
-KEYS_SQL = KEYS_SQL.replace("\\\\", "\\")
+KEYS_SQL = """k AS (SELECT p_partkey, p_brand, p_size % 2 = 0 AS kern, replace(p_brand, '#', '') || (CASE p_size % 3 WHEN 0 THEN '-700' WHEN 1 THEN '-400' ELSE '' END) || (CASE WHEN p_size % 5 = 0 THEN 'Italic' ELSE '' END)
+  || (CASE p_partkey % 3 WHEN 0 THEN '|kern' WHEN 1 THEN '|nokern' ELSE '' END) || (CASE p_partkey % 4 WHEN 0 THEN '|nolig' WHEN 1 THEN '|lig' ELSE '' END) || (CASE WHEN p_partkey % 7 = 0 THEN '|onum' WHEN p_partkey % 7 = 1 THEN '|ss07' ELSE '' END) || (CASE WHEN p_partkey % 11 = 0 THEN '|wght700[a|b]' ELSE '' END)
+  || (CASE WHEN p_partkey % 13 <> 0 THEN '|version=' || (p_partkey // 100) || '.' || (p_partkey % 100) ELSE '' END) || (CASE WHEN p_partkey % 5 = 0 THEN '[wght=400,opsz=10]' ELSE '' END) AS key FROM part),
+t AS (SELECT *, list_transform(string_split(key, '|')[2:], lambda s: string_split(s, '[')[1]) AS tags FROM k),
+u AS (SELECT *, string_split(substr(list_filter(tags, lambda s: starts_with(s, 'version='))[1], 9), '.') AS ver FROM t),
+v AS (SELECT *, CASE WHEN ver IS NULL THEN 0 ELSE 100 * CAST(ver[1] AS INTEGER) + CAST(substr(ver[2] || '0', 1, 2) AS INTEGER) END AS version, CASE WHEN kern <> (strpos(key, 'nokern') > 0) THEN 4 ELSE 0 END + CASE WHEN list_contains(tags, 'lig') THEN 2 ELSE 0 END + CASE WHEN strpos(key, 'opsz=10') > 0 THEN 1 ELSE 0 END
+  - 10 * len(list_filter(tags, lambda s: s IN ('onum', 'lnum', 'smcp', 'c2sc', 'swsh', 'salt', 'titl', 'hist', 'allcaps') OR regexp_full_match(s, 'ss[0-9][0-9]') OR regexp_full_match(s, 'wght[0-9]+'))) AS score FROM u)"""
 
 
 def keys(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    key = F.concat(F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("-"), F.when(F.col("p_size") % 3 == 0, "700").otherwise("400"), F.when(F.col("p_size") % 5 == 0, "Italic").otherwise(""), F.when(F.col("p_partkey") % 4 == 0, "|nolig").otherwise(""), F.lit("|version="), F.floor(F.col("p_partkey") / 100).cast("string"), F.lit("."), (F.col("p_partkey") % 100).cast("string"))
-    return p.select("p_partkey", "p_brand", F.col("p_brand").alias("family"), (F.col("p_size") % 2 == 0).alias("kern"), key.alias("key"))
+    size, part = F.col("p_size"), F.col("p_partkey")
+    key = F.concat(
+        F.replace("p_brand", F.lit("#"), F.lit("")), F.when(size % 3 == 0, "-700").when(size % 3 == 1, "-400").otherwise(""), F.when(size % 5 == 0, "Italic").otherwise(""),
+        F.when(part % 3 == 0, "|kern").when(part % 3 == 1, "|nokern").otherwise(""), F.when(part % 4 == 0, "|nolig").when(part % 4 == 1, "|lig").otherwise(""), F.when(part % 7 == 0, "|onum").when(part % 7 == 1, "|ss07").otherwise(""), F.when(part % 11 == 0, "|wght700[a|b]").otherwise(""),
+        F.when(part % 13 != 0, F.concat(F.lit("|version="), F.floor(part / 100).cast("string"), F.lit("."), (part % 100).cast("string"))).otherwise(""), F.when(part % 5 == 0, "[wght=400,opsz=10]").otherwise(""),
+    )
+    return p.select("p_partkey", "p_brand", F.col("p_brand").alias("family"), (size % 2 == 0).alias("kern"), F.when(part % 5 == 0, 10.0).alias("opsz"), key.alias("key"))
 
 
 @register("key_version", f"WITH {KEYS_SQL} SELECT p_partkey, key, version FROM v")
@@ -32,9 +40,23 @@ def preference_rank(spark, sf_dir):
     return C.best_by_preference(keys(spark, sf_dir), ["p_brand"], "key", "kern")
 
 
-@register("select_by_criteria", f"WITH {KEYS_SQL} SELECT key FROM v WHERE lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) = 'brand7' AND regexp_matches(key, '^[^|]*-700[|]') AND kern AND NOT contains(key, '|nolig') ORDER BY version DESC, score DESC, key LIMIT 1")
+CRITERIA = [("brand 7", 700, False, None, True, None), ("Brand#7", None, None, 10.0, None, True), ("BRAND 3", 400, True, None, False, None), ("brand 12", None, True, 9.0, None, False), ("brand", 400, None, None, None, None)]
+
+
+@register(
+    "select_by_criteria",
+    f"""WITH {KEYS_SQL}, c(n, family, weight, italic, opsz, kern, lig) AS (VALUES {', '.join(str((n, f.lower().replace(' ', '').replace('#', ''), *rest)).replace('None', 'NULL') for n, (f, *rest) in enumerate(CRITERIA))}),
+    f AS (SELECT v.*, regexp_extract(string_split(key, '|')[1], '-([0-9]+)(Italic)?$', 1) AS w, suffix(string_split(key, '|')[1], 'Italic') AS it FROM v),
+    m AS (SELECT c.n, f.key, row_number() OVER (PARTITION BY c.n ORDER BY version DESC, score DESC, key) AS k FROM f JOIN c ON replace(lower(p_brand), '#', '') = c.family AND (c.weight IS NULL OR w = CAST(c.weight AS VARCHAR)) AND (c.italic IS NULL OR (w <> '' AND it = c.italic))
+      AND (c.opsz IS NULL OR p_partkey % 5 <> 0 OR c.opsz = 10) AND (c.kern IS NULL OR list_contains(tags, CASE WHEN c.kern THEN 'kern' ELSE 'nokern' END)) AND (c.lig IS NULL OR list_contains(tags, CASE WHEN c.lig THEN 'lig' ELSE 'nolig' END)))
+    SELECT CAST(n AS INTEGER) AS n, key FROM m WHERE k = 1""",
+)
 def select_by_criteria(spark, sf_dir):
-    return C.select_by_criteria(keys(spark, sf_dir), "brand 7", "key", "kern", weight=700, italic=False, kern=True, lig=True)
+    k, out = keys(spark, sf_dir), None
+    for n, (family, weight, italic, opsz, kern, lig) in enumerate(CRITERIA):
+        one = C.select_by_criteria(k, family, "key", "kern", weight, italic, opsz, kern, lig).select(F.lit(n).alias("n"), "key")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register("normalize_family", "SELECT p_partkey, lower(regexp_replace(p_name || ' ' || p_brand, '[^A-Za-z0-9]', '', 'g')) AS family FROM part")

@@ -28,12 +28,18 @@ def span_overlap_best(spark, sf_dir):
 NAMES_SQL = "n AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'NATION_' || s_nationkey WHEN 1 THEN 'raw_' || s_nationkey ELSE 'other_' || s_nationkey END AS name FROM supplier)"
 
 
-@register("canonicalize_cascade", f"WITH {NAMES_SQL} SELECT s_suppkey, name, coalesce(a.n_name, b.n_name, name) AS canonical FROM n LEFT JOIN nation a ON n.name = a.n_name LEFT JOIN nation b ON n.name = 'raw_' || b.n_nationkey")
+@register(
+    "canonicalize_cascade",
+    """WITH n AS (SELECT s_suppkey, (CASE WHEN s_suppkey % 2 = 0 THEN 'ABCDEF+' ELSE '' END) || (CASE s_suppkey % 3 WHEN 0 THEN 'NATION_' WHEN 1 THEN 'raw_' ELSE 'other_' END) || s_nationkey AS name FROM supplier),
+    r AS (SELECT *, CASE WHEN strpos(name, '+') > 0 THEN substr(name, strpos(name, '+') + 1) ELSE name END AS raw FROM n)
+    SELECT s_suppkey, name, CASE WHEN EXISTS (SELECT 1 FROM nation WHERE n_name = raw OR 'ps_' || n_nationkey = raw) THEN raw ELSE coalesce((SELECT 'ps_' || min(n_nationkey) FROM nation WHERE 'raw_' || n_nationkey % 10 = raw), raw) END AS canonical FROM r""",
+)
 def canonicalize_cascade(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     kind = F.when(F.col("s_suppkey") % 3 == 0, "NATION_").when(F.col("s_suppkey") % 3 == 1, "raw_").otherwise("other_")
-    named = s.select("s_suppkey", F.concat(kind, F.col("s_nationkey").cast("string")).alias("name"))
-    catalog = table(spark, sf_dir, "nation").select(F.col("n_name").alias("postscript_name"), F.col("n_name").alias("font_key"), F.concat(F.lit("raw_"), F.col("n_nationkey").cast("string")).alias("raw_name"))
+    named = s.select("s_suppkey", F.concat(F.when(F.col("s_suppkey") % 2 == 0, "ABCDEF+").otherwise(""), kind, F.col("s_nationkey").cast("string")).alias("name"))
+    n = F.col("n_nationkey")
+    catalog = table(spark, sf_dir, "nation").select(n.alias("ord"), F.concat(F.lit("ps_"), n.cast("string")).alias("postscript_name"), F.col("n_name").alias("font_key"), F.concat(F.lit("raw_"), (n % 10).cast("string")).alias("raw_name"))
     return E.canonical_names(named, catalog, "name")
 
 
@@ -72,13 +78,17 @@ def accuracy_rollup(spark, sf_dir):
 
 @register(
     "interesting_obs_balanced",
-    """WITH d AS (SELECT l_orderkey, l_linenumber * 1000000 + l_partkey AS idx, round(l_discount - 0.05, 2) + round(l_quantity / 10000, 4) * (CASE WHEN l_discount < 0.05 THEN -1 ELSE 1 END) AS delta FROM lineitem), s AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, delta > 0 ORDER BY round(abs(delta), 6) DESC, idx) AS k FROM d WHERE delta <> 0),
-    r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN k > 2 THEN 1 ELSE 0 END, round(abs(delta), 6) DESC, idx) AS r FROM s) SELECT l_orderkey, CAST(idx AS BIGINT) AS idx, round(delta, 6) AS delta FROM r WHERE r <= 4""",
+    """WITH d AS (SELECT l_orderkey, l_linenumber * 1000000 + l_partkey AS idx, l_tax AS best, CASE WHEN l_orderkey % 7 <> 0 THEN round(round(l_discount - 0.05, 2) + round(l_quantity / 10000, 4) * (CASE WHEN l_discount < 0.05 THEN -1 ELSE 1 END), 6) END AS delta FROM lineitem),
+    p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY delta DESC, idx) AS k FROM d WHERE delta > 0 UNION ALL SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY delta, idx) FROM d WHERE delta < 0),
+    h AS (SELECT *, k <= 2 AS first FROM p), l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(delta) DESC, idx) AS m, 5 - (SELECT count(*) FROM h AS g WHERE g.first AND g.l_orderkey = h.l_orderkey) AS room FROM h WHERE NOT first),
+    w AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY best, idx) AS m FROM d WHERE l_orderkey NOT IN (SELECT l_orderkey FROM d WHERE delta IS NOT NULL))
+    SELECT l_orderkey, CAST(idx AS BIGINT) AS idx, delta FROM h WHERE first UNION ALL SELECT l_orderkey, idx, delta FROM l WHERE m <= room UNION ALL SELECT l_orderkey, idx, delta FROM w WHERE m <= 5""",
 )
 def interesting_obs_balanced(spark, sf_dir):
     sign = F.when(F.col("l_discount") < 0.05, -1).otherwise(1)
-    d = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("idx"), F.round(F.round(F.col("l_discount") - 0.05, 2) + F.round(F.col("l_quantity") / 10000, 4) * sign, 6).alias("delta"))
-    return E.interesting(d, "l_orderkey", "idx", "delta", 4)
+    delta = F.round(F.round(F.col("l_discount") - 0.05, 2) + F.round(F.col("l_quantity") / 10000, 4) * sign, 6)
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("idx"), F.col("l_tax").alias("best"), F.when(F.col("l_orderkey") % 7 != 0, delta).alias("delta"))
+    return E.interesting(d, "l_orderkey", "idx", "delta", 5, "best").drop("best")
 
 
 @register("report_order", f"WITH {LINES_SQL}, s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN 'ocr_wrong' ELSE class END AS shown_in, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey * 37 % 1000 AS DOUBLE) END AS similarity FROM c) SELECT o_orderkey, shown_in, CAST(row_number() OVER (PARTITION BY shown_in ORDER BY similarity NULLS FIRST, o_orderkey) AS INTEGER) AS place FROM s")

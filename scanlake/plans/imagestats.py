@@ -31,7 +31,7 @@ def otsu_threshold(spark, sf_dir):
     return I.otsu(I.histogram(px(spark, sf_dir), ["region"], "v"), ["region"])
 
 
-@register("contrast_percentiles", f"WITH {PX_SQL}, c AS (SELECT region, v, sum(n) OVER (PARTITION BY region ORDER BY v) AS cum, sum(n) OVER (PARTITION BY region) AS total FROM h), p AS (SELECT region, min(CASE WHEN cum >= total // 100 THEN v END) AS p1, min(CASE WHEN cum >= 99 * total // 100 THEN v END) AS p99 FROM c GROUP BY region) SELECT region, CASE WHEN p1 < p99 THEN p1 END AS p1, CASE WHEN p1 < p99 THEN p99 END AS p99 FROM p")
+@register("contrast_percentiles", f"WITH {PX_SQL}, c AS (SELECT region, v, sum(n) OVER (PARTITION BY region ORDER BY v) AS cum, sum(n) OVER (PARTITION BY region) AS total FROM h), p AS (SELECT region, CASE WHEN max(total) < 100 THEN 0 ELSE min(CASE WHEN cum >= total // 100 THEN v END) END AS p1, min(CASE WHEN cum >= 99 * total // 100 THEN v END) AS p99 FROM c GROUP BY region) SELECT region, CASE WHEN p1 < p99 THEN p1 END AS p1, CASE WHEN p1 < p99 THEN p99 END AS p99 FROM p")
 def contrast_percentiles(spark, sf_dir):
     return I.contrast_percentiles(I.histogram(px(spark, sf_dir), ["region"], "v"), ["region"])
 
@@ -43,7 +43,7 @@ def cells(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_brand", (F.col("p_partkey") % 50).cast("int").alias("x"), (F.floor(F.col("p_partkey") / 50) % 40).cast("int").alias("y"), (F.col("p_size") * 5).alias("r"), (F.col("p_partkey") % 256).cast("int").alias("g"), (F.floor("p_retailprice") % 256).cast("int").alias("b"))
 
 
-@register("border_mean", f"WITH {CELLS_SQL}, m AS (SELECT *, max(x) OVER (PARTITION BY p_brand) AS mx, max(y) OVER (PARTITION BY p_brand) AS my FROM c), k AS (SELECT * FROM m WHERE x < 5 OR y < 5 OR x > mx - 5 OR y > my - 5) SELECT p_brand, CAST(sum(r) // count(*) AS INTEGER) AS r, CAST(sum(g) // count(*) AS INTEGER) AS g, CAST(sum(b) // count(*) AS INTEGER) AS b FROM k GROUP BY p_brand")
+@register("border_mean", f"WITH {CELLS_SQL}, m AS (SELECT *, max(x) OVER (PARTITION BY p_brand) AS mx, max(y) OVER (PARTITION BY p_brand) AS my FROM c), q AS (SELECT *, greatest(1, least(5, (mx + 1) // 4, (my + 1) // 4)) AS g5 FROM m), k AS (SELECT * FROM q WHERE x < g5 OR y < g5 OR mx - x < g5 OR my - y < g5) SELECT p_brand, CAST(sum(r) // count(*) AS INTEGER) AS r, CAST(sum(g) // count(*) AS INTEGER) AS g, CAST(sum(b) // count(*) AS INTEGER) AS b FROM k GROUP BY p_brand")
 def border_mean(spark, sf_dir):
     return I.border_mean(cells(spark, sf_dir), ["p_brand"], "x", "y", ["r", "g", "b"])
 

@@ -12,13 +12,13 @@ from scanlake.sources.tsv import parse_tsv
 
 @register(
     "assemble_lines",
-    """WITH w AS (SELECT conv_id, turn, substr(text, 1, 40) AS text, turn * 10 AS x, conv_id % 7 AS y, length(text) AS width, 10 + turn % 3 AS height, CAST(turn * 7 % 100 AS DOUBLE) AS confidence, 12.0::DOUBLE + turn AS font_size_pt FROM conversations WHERE trim(text) <> '')
+    """WITH w AS (SELECT conv_id, turn, text, turn * 10 AS x, conv_id % 7 AS y, length(text) AS width, 10 + turn % 3 AS height, CAST(turn * 7 % 100 AS DOUBLE) AS confidence, 12.0::DOUBLE + turn AS font_size_pt FROM conversations WHERE trim(text) <> '')
     SELECT conv_id, string_agg(text, ' ' ORDER BY x, turn) AS text, CAST(min(x) AS BIGINT) AS x, CAST(min(y) AS BIGINT) AS y, CAST(max(x + width) - min(x) AS BIGINT) AS width, CAST(max(y + height) - min(y) AS BIGINT) AS height,
       round(avg(confidence), 6) AS confidence, min_by(font_size_pt, turn) AS font_size_pt, CAST(count(*) AS BIGINT) AS n_words FROM w GROUP BY conv_id""",
 )
 def assemble_lines(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    words = c.select("conv_id", "turn", F.substring("text", 1, 40).alias("text"), (F.col("turn") * 10).alias("x"), (F.col("conv_id") % 7).alias("y"), F.length("text").cast("long").alias("width"), (10 + F.col("turn") % 3).alias("height"), (F.col("turn") * 7 % 100).cast("double").alias("confidence"), (12.0 + F.col("turn")).alias("font_size_pt"))
+    words = c.select("conv_id", "turn", "text", (F.col("turn") * 10).alias("x"), (F.col("conv_id") % 7).alias("y"), F.length("text").cast("long").alias("width"), (10 + F.col("turn") % 3).alias("height"), (F.col("turn") * 7 % 100).cast("double").alias("confidence"), (12.0 + F.col("turn")).alias("font_size_pt"))
     return L.assemble_lines(words, ["conv_id"], "x", "turn").withColumn("confidence", F.round("confidence", 6))
 
 
@@ -52,9 +52,9 @@ def drop_outlier_words(spark, sf_dir):
 
 @register(
     "split_height_ratio",
-    f"""{WORDS}, j AS (SELECT *, CASE WHEN lag(h) OVER o >= 10 AND h / lag(h) OVER o >= 2 THEN h / lag(h) OVER o END AS jump FROM w WINDOW o AS (PARTITION BY l_orderkey ORDER BY h, l_linenumber, l_partkey)),
-    t AS (SELECT *, max(jump) OVER (PARTITION BY l_orderkey) AS top FROM j), c AS (SELECT *, min(CASE WHEN jump = top THEN h END) OVER (PARTITION BY l_orderkey) AS cut FROM t)
-    SELECT l_orderkey, CAST(count(*) FILTER (WHERE coalesce(h >= cut, false)) AS BIGINT) AS n_upper, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY l_orderkey""",
+    f"""{WORDS}, s AS (SELECT l_orderkey, list_sort(list(h)) AS hs FROM w GROUP BY l_orderkey), g AS (SELECT l_orderkey, hs, list_transform(range(1, len(hs)), lambda i: greatest(hs[i + 1], 1) / greatest(hs[i], 1)) AS jumps FROM s),
+    b AS (SELECT *, list_position(jumps, list_max(jumps)) AS spot FROM g)
+    SELECT l_orderkey, CAST(CASE WHEN len(jumps) > 0 AND list_max(jumps) >= 2 AND hs[spot] >= 10 THEN len(hs) - spot ELSE 0 END AS BIGINT) AS n_upper, CAST(len(hs) AS BIGINT) AS n FROM b""",
 )
 def split_height_ratio(spark, sf_dir):
     w = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey").alias("tie"), F.col("l_quantity").alias("h"))
@@ -110,15 +110,42 @@ def pitch_errors(spark, sf_dir):
     return L.pitch_errors(e, ["user_id"], "event_id", "value", "predicted").select("event_id", F.round("pitch_error", 6).alias("pitch_error"))
 
 
-@register("merge_overlapping_words")
+@register(
+    "merge_overlapping_words",
+    """WITH RECURSIVE w AS (SELECT l_orderkey, l_partkey AS word_num, CAST(l_linenumber * 20 AS BIGINT) AS x, CAST(l_quantity AS BIGINT) AS width, repeat(l_returnflag, 1 + l_suppkey % 3) AS text, l_discount * 1000 AS confidence FROM lineitem),
+    o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY x, word_num, width, text, confidence) AS i FROM w),
+    f AS (SELECT l_orderkey, i, 1 AS head, word_num, x, width, text, confidence FROM o WHERE i = 1
+      UNION ALL SELECT l_orderkey, i, head, word_num, x, width, text, confidence FROM (SELECT o.l_orderkey, o.i, CASE WHEN j THEN f.head ELSE f.head + 1 END AS head, CASE WHEN j THEN f.word_num ELSE o.word_num END AS word_num, CASE WHEN j THEN f.x ELSE o.x END AS x,
+        CASE WHEN j THEN greatest(f.x + f.width, o.x + o.width) - f.x ELSE o.width END AS width,
+        CASE WHEN NOT j THEN o.text WHEN NOT c THEN f.text || o.text WHEN o.confidence > f.confidence AND strlen(o.text) >= strlen(f.text) THEN o.text ELSE f.text END AS text,
+        CASE WHEN NOT j THEN o.confidence WHEN c THEN greatest(f.confidence, o.confidence) ELSE (f.confidence + o.confidence) / 2 END AS confidence
+        FROM f JOIN o ON o.l_orderkey = f.l_orderkey AND o.i = f.i + 1, LATERAL (SELECT o.x - (f.x + f.width) <= 2 AS j, greatest(f.x + f.width - o.x, 0) > f.width // 2 OR greatest(f.x + f.width - o.x, 0) > o.width // 2 AS c) t))
+    SELECT l_orderkey, x, word_num, CAST(0 AS BIGINT) AS y, width, CAST(10 AS BIGINT) AS height, text, round(confidence, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, head ORDER BY i DESC) AS last FROM f) WHERE last = 1""",
+)
 def merge_overlapping_words(spark, sf_dir):
-    """An ordered fold; no SQL twin."""
-    w = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("word_num"), (F.col("l_linenumber") * 20).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.col("l_quantity").cast("long").alias("width"), F.lit(10).cast("long").alias("height"), F.col("l_returnflag").alias("text"), (F.col("l_discount") * 1000).alias("confidence"))
-    return L.merge_overlapping_words(w, ["l_orderkey"])
+    w = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("word_num"), (F.col("l_linenumber") * 20).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.col("l_quantity").cast("long").alias("width"), F.lit(10).cast("long").alias("height"), F.expr("repeat(l_returnflag, cast(1 + l_suppkey % 3 AS int))").alias("text"), (F.col("l_discount") * 1000).alias("confidence"))
+    return L.merge_overlapping_words(w, ["l_orderkey"]).withColumn("confidence", F.round("confidence", 6))
+
+
+def runs_sql(a, b):
+    return f"""WITH RECURSIVE r AS (SELECT l_orderkey, CAST(l_linenumber // 4 AS BIGINT) AS {a}1, CAST(l_linenumber // 4 + 50 + l_linenumber % 2 * 2 AS BIGINT) AS {a}2, CAST(l_partkey % 12 AS BIGINT) AS {b}1, CAST(l_partkey % 12 + l_suppkey % 9 AS BIGINT) AS {b}2 FROM lineitem),
+    o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {a}1, {b}1, {a}2, {b}2) AS i FROM r),
+    f AS (SELECT l_orderkey, i, 1 AS head, {a}1, {a}2, {b}1, {b}2 FROM o WHERE i = 1
+      UNION ALL SELECT l_orderkey, i, head, {a}1, {a}2, {b}1, {b}2 FROM (SELECT o.l_orderkey, o.i, CASE WHEN j THEN f.head ELSE f.head + 1 END AS head, CASE WHEN j THEN f.{a}1 ELSE o.{a}1 END AS {a}1, CASE WHEN j THEN f.{a}2 ELSE o.{a}2 END AS {a}2, CASE WHEN j THEN f.{b}1 ELSE o.{b}1 END AS {b}1, o.{b}2
+        FROM f JOIN o ON o.l_orderkey = f.l_orderkey AND o.i = f.i + 1, LATERAL (SELECT o.{b}1 <= f.{b}2 + 2 AND abs(o.{a}1 - f.{a}1) <= 2 AND abs(o.{a}2 - f.{a}2) <= 2 AS j) t))
+    SELECT l_orderkey, {a}1, {a}2, {b}1, {b}2, greatest({b}2 - {b}1 + 1, 1) AS thickness FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, head ORDER BY i DESC) AS last FROM f) WHERE last = 1"""
 
 
-@register("merge_runs")
+def runs(spark, sf_dir, a, b):
+    n, long = F.col("l_linenumber"), lambda c: c.cast("long")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", long(F.floor(n / 4)).alias(f"{a}1"), long(F.floor(n / 4) + 50 + n % 2 * 2).alias(f"{a}2"), long(F.col("l_partkey") % 12).alias(f"{b}1"), long(F.col("l_partkey") % 12 + F.col("l_suppkey") % 9).alias(f"{b}2"))
+
+
+@register("merge_runs", runs_sql("x", "y"))
 def merge_runs(spark, sf_dir):
-    """An ordered fold; no SQL twin."""
-    r = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 5).alias("x1"), (F.col("event_id") % 5 + 50).alias("x2"), (F.col("event_id") % 300).alias("y1"), (F.col("event_id") % 300).alias("y2"))
-    return L.merge_runs(r, ["user_id"])
+    return L.merge_runs(runs(spark, sf_dir, "x", "y"), ["l_orderkey"])
+
+
+@register("merge_runs_vertical", runs_sql("y", "x"))
+def merge_runs_vertical(spark, sf_dir):
+    return L.merge_runs(runs(spark, sf_dir, "y", "x"), ["l_orderkey"], "y", "x")

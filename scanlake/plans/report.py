@@ -54,7 +54,7 @@ def affine_points(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
-@register("erased_boxes", "SELECT user_id % 10 AS page, CAST(event_id % 50 AS BIGINT) AS x, CAST(event_id % 40 AS BIGINT) AS y, CAST(100 AS BIGINT) AS width, CAST(2 AS BIGINT) AS height FROM events WHERE event_type = 'view' UNION ALL SELECT user_id % 10, event_id % 60, event_id % 70, 50, 50 FROM events WHERE event_type = 'click'")
+@register("erased_boxes", "SELECT user_id % 10 AS page, CAST(event_id % 50 AS BIGINT) AS x, CAST(event_id % 40 AS BIGINT) AS y, CAST(102 AS BIGINT) AS width, CAST(2 AS BIGINT) AS height FROM events WHERE event_type = 'view' UNION ALL SELECT user_id % 10, event_id % 60, event_id % 70, 50, 50 FROM events WHERE event_type = 'click'")
 def erased_boxes(spark, sf_dir):
     e, n = table(spark, sf_dir, "events").withColumn("page", F.col("user_id") % 10), lambda v: F.lit(v).cast("long")
     lines = e.where("event_type = 'view'").select("page", (F.col("event_id") % 50 + 100).alias("x1"), (F.col("event_id") % 50).alias("x2"), (F.col("event_id") % 40).alias("y1"), (F.col("event_id") % 40).alias("y2"), n(2).alias("thickness"))

@@ -206,3 +206,54 @@ def test_stream_resumes(spark, tmp_path):
 def test_partition_count_changes_nothing(spark, parts):
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").repartition(parts).withColumn("seq", F.lit("s"))
     assert round(similarity.sigma_sq(similarity.centroids(e, "label", "embedding")).first()["sigma_sq"], 9) == round(similarity.sigma_sq(similarity.centroids(e.coalesce(1), "label", "embedding")).first()["sigma_sq"], 9)
+
+
+def test_height_split_gives_up_where_the_largest_jump_starts_low(spark):
+    d = spark.createDataFrame([(1, h, k) for k, h in enumerate((2, 12, 30))] + [(2, h, k) for k, h in enumerate((12, 30, 31))], "line int, h int, k int")
+    got = layout.split_by_height(d, ["line"], "h", "k").orderBy("line", "k").collect()
+    assert [r["upper"] for r in got] == [False, False, False, False, True, True]
+
+
+def test_overlapping_words_keep_the_longer_text(spark):
+    d = spark.createDataFrame([(1, 0, 0, 0, 100, 10, "longword", 50.0), (1, 1, 5, 0, 90, 10, "x", 90.0)], "line int, word_num int, x int, y int, width int, height int, text string, confidence double")
+    assert [(r["text"], r["confidence"]) for r in layout.merge_overlapping_words(d, ["line"]).collect()] == [("longword", 90.0)]
+
+
+def test_merged_run_ends_where_the_last_one_ends(spark):
+    r = spark.createDataFrame([(1, 0, 50, 0, 30), (1, 0, 50, 5, 10)], "p int, x1 int, x2 int, y1 int, y2 int")
+    assert [(x["y2"], x["thickness"]) for x in layout.merge_runs(r, ["p"]).collect()] == [(10, 11)]
+
+
+def test_preference_points(spark):
+    keys = [("A-400|kern", True), ("A-400|nokern|lig", False), ("A-400|nokern", True), ("A-400|kern|onum", True), ("A-400|kern|wght700[x]", True), ("A-400|kern|ss01", True), ("A-400[opsz=10]|kern|nolig", True), ("A-400|vintage", True)]
+    d = spark.createDataFrame(list(enumerate(keys)), "n int, k struct<key: string, has_kern: boolean>")
+    got = d.select(catalog.preference(F.col("k.key"), F.col("k.has_kern")).alias("p"), "n").orderBy("n").collect()
+    assert [r["p"]["score"] for r in got] == [4, 6, 0, -6, -6, -6, 5, 4]
+
+
+def test_criteria_are_never_relaxed(spark):
+    keys = ["A", "A-400", "A-700|kern|lig", "A-400Italic|nokern|nolig"]
+    d = spark.createDataFrame([(k, "A b", True, o) for k, o in zip(keys, (None, 10.0, 12.0, None))], "key string, family string, has_kern boolean, opsz double")
+    pick = lambda **c: [r["key"] for r in catalog.select_by_criteria(d, "a-B", "key", "has_kern", **c).collect()]
+    assert pick(weight=500) == [] and pick(weight=400, italic=False) == ["A-400"] and pick(italic=True) == ["A-400Italic|nokern|nolig"]
+    assert pick(kern=True) == ["A-700|kern|lig"] and pick(lig=False) == ["A-400Italic|nokern|nolig"] and pick(opsz=12.0) == ["A-700|kern|lig"]
+
+
+def test_small_images(spark):
+    cells = spark.createDataFrame([(1, x, y, 10 if 3 <= x < 9 and 3 <= y < 9 else 200) for x in range(12) for y in range(12)], "p int, x int, y int, v int")
+    assert imagestats.border_mean(cells, ["p"], "x", "y", ["v"]).first()["v"] == 200
+    hist = imagestats.histogram(spark.createDataFrame([(1, 40 + k) for k in range(50)], "p int, v int"), ["p"], "v")
+    assert tuple(imagestats.contrast_percentiles(hist, ["p"]).first())[1:] == (0, 88)
+
+
+def test_interesting_rows_fill_up_and_fall_back(spark):
+    d = spark.createDataFrame([(1, k, x, 0.0) for k, x in enumerate((3.0, 2.0, 1.0, 0.0, -5.0))] + [(2, k, None, b) for k, b in enumerate((0.9, 0.1, 0.5, 0.2))] + [(3, 0, 0.0, 0.1)], "k int, i int, d double, best double")
+    got = evaluate.interesting(d, "k", "i", "d", 3, "best").orderBy("k", "i").collect()
+    assert [(r["k"], r["i"]) for r in got] == [(1, 0), (1, 1), (1, 4), (2, 1), (2, 2), (2, 3)]
+
+
+def test_names_that_entries_share_multiply_nothing(spark):
+    names = spark.createDataFrame([("ABC+raw",), ("ps1",), ("key2",), ("none",)], "name string")
+    entries = spark.createDataFrame([(0, "ps1", "key1", "raw"), (1, "ps1", "key2", "raw"), (2, "ps0", "key3", "raw")], "ord int, postscript_name string, font_key string, raw_name string")
+    got = {r["name"]: r["canonical"] for r in evaluate.canonical_names(names, entries, "name").collect()}
+    assert got == {"ABC+raw": "ps1", "ps1": "ps1", "key2": "key2", "none": "none"} and evaluate.canonical_names(names, entries, "name").count() == 4
