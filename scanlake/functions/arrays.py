@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,15 +30,20 @@ def upper_median_of(values: Column) -> Column:
 
 
 def upper_median(value: Column) -> Column:
-    """Aggregate form of upper_median_of."""
+    """Aggregate form of upper_median_of, for keys of a line's or a word's size; see upper_medians for others."""
     return upper_median_of(F.collect_list(value))
 
 
-def softmax_over(distance: Column, sigma_sq: Column, window: WindowSpec) -> Column:
-    """exp(-(d - min) / 2s) over its sum; uniform where the scale or the sum vanishes."""
-    n = F.count(F.lit(1)).over(window)
-    raw = F.exp(-F.try_divide(distance - F.min(distance).over(window), 2 * sigma_sq))
-    return F.when(sigma_sq <= 1e-30, 1.0 / n).otherwise(F.try_divide(raw, F.sum(raw).over(window)))
+def upper_medians(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(keys, name): upper_median for keys that may have any number of rows.
+
+    Equal values are counted first, combined before the shuffle; the middle is found from running counts, so no key is
+    gathered. Nulls don't count; a key without a value is left out.
+    """
+    n = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n_"))
+    w = Window.partitionBy(*keys)
+    n = n.withColumn("cum_", F.sum("n_").over(w.orderBy(value))).withColumn("half_", F.floor(F.sum("n_").over(w) / 2))
+    return n.where((F.col("cum_") > F.col("half_")) & (F.col("cum_") - F.col("n_") <= F.col("half_"))).select(*keys, F.col(value).alias(name))
 
 
 def resample(values: Column, n: int) -> Column:

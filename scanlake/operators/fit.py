@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rank_metrics(dist: DataFrame, query: str, own: str, in_family: Column) -> DataFrame:
-    """Mean reciprocal and top-1/5 ranks; a rank is one more than the number of strictly closer classes, so ties favour the truth."""
-    w = Window.partitionBy(query)
-    d = dist.withColumn("own_d", F.max(F.when(F.col("id") == F.col(own), F.col("d"))).over(w)).withColumn("family_d", F.min(F.when(in_family, F.col("d"))).over(w))
-    r = d.groupBy(query).agg((1 + F.count_if(F.col("d") < F.col("own_d"))).alias("strict"), (1 + F.count_if(F.col("d") < F.col("family_d"))).alias("family"))
+def rank_metrics(rows: DataFrame, own: str, in_family) -> DataFrame:
+    """Mean reciprocal and top-1/5 ranks of scored queries; a rank is one more than the number of strictly closer classes, so ties favour the truth.
+
+    in_family says of a class id whether it belongs to the family of the query's own class, whose nearest member counts.
+    """
+    d = lambda a: F.transform(a, lambda x: x["d"])
+    closer = lambda limit: 1 + F.size(F.filter("scores", lambda x: x["d"] < limit))
+    r = rows.withColumn("own_d", F.array_max(d(F.filter("scores", lambda x: x["id"] == F.col(own))))).withColumn("family_d", F.array_min(d(F.filter("scores", lambda x: in_family(x["id"])))))
+    r = r.select(closer(F.col("own_d")).alias("strict"), closer(F.col("family_d")).alias("family"))
     share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
     return r.agg(F.count("*").alias("n"), F.round(F.avg(1 / F.col("strict")), 6).alias("strict_mrr"), F.round(F.avg(1 / F.col("family")), 6).alias("family_mrr"), share(F.col("strict") == 1).alias("top1"), share(F.col("strict") <= 5).alias("top5"))
 
@@ -36,12 +41,29 @@ def normalize_scores(scores: DataFrame) -> DataFrame:
 
 
 def scatter_moments(samples: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, i, j, s): sums of products of deviations within each class, by dimension pair (i <= j), without gathering a class."""
-    long = samples.select(key, F.posexplode(vector).alias("dim", "v"))
-    mean = long.groupBy(key, "dim").agg(F.avg(F.col("v").cast("double")).alias("m")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda x: x["m"]).alias("mean"))
-    centred = samples.join(mean, key).select(key, F.zip_with(vector, "mean", lambda x, m: x.cast("double") - m).alias("z"))
-    cells = centred.select(key, F.posexplode("z").alias("i", "a"), "z").select(key, "i", "a", F.posexplode("z").alias("j", "b")).where("i <= j")
-    return cells.groupBy(key, "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s"))
+    """(key, i, j, s): sums of products of deviations within each class, by dimension pair (i <= j), without gathering a class.
+
+    Each Arrow batch adds up its own products, so d (d + 1) / 2 rows leave a batch and class, not a sample.
+    """
+    kind = dict(samples.dtypes)[key]
+
+    def run(batches):
+        for batch in batches:
+            x, ids = np.stack(batch.column("x").to_numpy(zero_copy_only=False)).astype(float) if batch.num_rows else np.zeros((0, 0)), batch.column("k")
+            x, names = np.c_[x, np.ones(len(x))], ids.to_pylist()
+            at = np.array([hash(n) for n in names])
+            for h in np.unique(at):
+                own = x[at == h]
+                i, j = np.triu_indices(own.shape[1])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(len(i), int(np.flatnonzero(at == h)[0])))), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array((own.T @ own)[i, j])], ["k", "i", "j", "s"])
+
+    rows = samples.select(F.col(key).alias("k"), F.transform(vector, lambda v: v.cast("double")).alias("x"))
+    sums = rows.mapInArrow(run, f"k {kind}, i int, j int, s double").groupBy("k", "i", "j").agg(F.sum("s").alias("s"))
+    last = Window.partitionBy("k")
+    sums = sums.withColumn("d", F.max("j").over(last)).withColumn("n", F.max(F.when((F.col("i") == F.col("d")) & (F.col("j") == F.col("d")), F.col("s"))).over(last))
+    one = sums.where("j = d AND i < d").select("k", F.col("i").alias("at"), (F.col("s") / F.col("n")).alias("mean"))
+    a, b = one.select("k", F.col("at").alias("i"), F.col("mean").alias("a")), one.select("k", F.col("at").alias("j"), F.col("mean").alias("b"))
+    return sums.where("j < d").join(a, ["k", "i"]).join(b, ["k", "j"]).select(F.col("k").alias(key), "i", "j", (F.col("s") - F.col("n") * F.col("a") * F.col("b")).alias("s"))
 
 
 def lda(samples: DataFrame, seq: str, key: str, vector: str, dims: int = 8, ridge: float = 1e-3) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanlake.functions.arrays import upper_median
+from scanlake.functions.arrays import upper_medians
 
 
 def diff(old: DataFrame, new: DataFrame, key: str, stamp: str) -> DataFrame:
@@ -38,24 +38,31 @@ def catalog_hash(entries: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def dominant(rows: DataFrame, page: str, key: str, em: str, keys: tuple = ()) -> DataFrame:
-    """The key on the most pages, then with the most rows, then the smallest, with its upper-median em."""
-    n = rows.where(F.col(key).isNotNull()).groupBy(*keys, key).agg(F.count_distinct(page).alias("pages"), F.count("*").alias("total"), upper_median(F.col(em)).alias("em"))
-    best = n.groupBy(*keys).agg(F.min(F.struct((-F.col("pages")).alias("p"), (-F.col("total")).alias("t"), F.col(key).alias("k"), F.col("em").alias("em"))).alias("b"))
-    return best.select(*keys, F.col("b.k").alias(key), (-F.col("b.p")).alias("pages"), (-F.col("b.t")).alias("total"), F.col("b.em").alias("em"))
+    """The key on the most pages, then with the most rows, then the smallest, with its upper-median em.
+
+    Rows are counted by key and page before the shuffle; only the winners' values are looked at for the median, which
+    gathers no key.
+    """
+    some = rows.where(F.col(key).isNotNull())
+    n = some.groupBy(*keys, key, page).agg(F.count("*").alias("n_")).groupBy(*keys, key).agg(F.count("*").alias("pages"), F.sum("n_").alias("total"))
+    best = n.groupBy(*keys).agg(F.min(F.struct((-F.col("pages")).alias("p"), (-F.col("total")).alias("t"), F.col(key).alias("k"))).alias("b"))
+    best = best.select(*keys, F.col("b.k").alias(key), (-F.col("b.p")).alias("pages"), (-F.col("b.t")).alias("total")).where(F.col(key).isNotNull())
+    return best.join(upper_medians(some.join(best.select(*keys, key), [*keys, key], "left_semi"), [*keys, key], em, "em"), [*keys, key], "left").select(*keys, key, "pages", "total", "em")
 
 
-def dominant_before(rows: DataFrame, page: str, key: str) -> DataFrame:
-    """(page, key): the dominant key of all the pages before each page; null for the first.
+def dominant_before(rows: DataFrame, page: str, key: str, keys: tuple = ()) -> DataFrame:
+    """(keys, page, dominant): the dominant key of all the pages before each page; null for the first.
 
-    Counts per page and key are added up along the pages; every page has a row for each key seen, so the windows hold
-    pages x keys rows, whatever the number of rows.
+    Only pages and keys that occur together are rows. A key's counts of pages and rows never fall, so the best key so far is
+    the best of all the counts reached so far: one running minimum over the best count of each page.
     """
-    n = rows.groupBy(page, key).agg(F.count("*").alias("n"))
-    grid = rows.select(page).distinct().withColumn("one_", F.lit(1)).join(rows.select(key).distinct().withColumn("one_", F.lit(1)), "one_").drop("one_")
-    before = Window.partitionBy(key).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
-    d = grid.join(n, [page, key], "left").withColumn("pages_", F.count("n").over(before)).withColumn("total_", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    best = F.min(F.when(F.col("pages_") > 0, F.struct((-F.col("pages_")).alias("p"), (-F.col("total_")).alias("t"), F.col(key).alias("k"))))
-    return d.groupBy(page).agg(best.alias("b")).select(page, F.col("b.k").alias("dominant"))
+    n = rows.where(F.col(key).isNotNull()).groupBy(*keys, page, key).agg(F.count("*").alias("n_"))
+    w = Window.partitionBy(*keys, key).orderBy(page)
+    state = F.struct((-F.row_number().over(w)).alias("p"), (-F.sum("n_").over(w)).alias("t"), F.col(key).alias("k"))
+    reached = n.withColumn("s_", state).groupBy(*keys, page).agg(F.min("s_").alias("s_"))
+    before = Window.partitionBy(*keys).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
+    pages = rows.select(*keys, page).distinct().join(reached, [*keys, page], "left")
+    return pages.withColumn("b_", F.min("s_").over(before)).select(*keys, page, F.col("b_.k").alias("dominant"))
 
 
 def pruned_or_all(scores: DataFrame, line: str, keep: Column) -> DataFrame:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanlake.functions.arrays import total
 from scanlake.functions.text import normalize_text
 
 
@@ -83,12 +84,14 @@ def shipped(fonts: DataFrame, eras: DataFrame, family: str, bound: int = 10_000)
 
     The list may have ``bound`` rows, which is checked before it is sent to every task.
     """
-    if eras.limit(bound + 1).count() > bound:
+    rows = eras.orderBy("era").limit(bound + 1).collect()
+    if len(rows) > bound:
         raise ValueError(f"the list of eras has more than {bound} rows")
-    a = fonts.withColumn("n_", F.lower(F.regexp_replace(family, "[^A-Za-z0-9]", "")))
-    b = eras.select("era", "start", F.lower(F.regexp_replace("family", "[^A-Za-z0-9]", "")).alias("m_"))
-    near = a.join(F.broadcast(b), (F.contains("n_", F.col("m_")) | F.contains("m_", F.col("n_"))) & (F.col("birth") <= F.col("start")))
-    return near.select(family, "era").distinct()
+    plain = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
+    listed = F.array(*[F.struct(F.lit(r["era"]).alias("era"), F.lit(r["start"]).alias("start"), plain(F.lit(r["family"])).alias("m")) for r in rows])
+    a = fonts.withColumn("n_", plain(F.col(family)))
+    near = F.filter(listed, lambda e: (F.contains("n_", e["m"]) | F.contains(e["m"], F.col("n_"))) & (F.col("birth") <= e["start"]))
+    return a.select(family, F.explode(F.transform(near, lambda e: e["era"])).alias("era")).distinct()
 
 
 def sampled(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
@@ -96,11 +99,11 @@ def sampled(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
-def similarity_softmax(scores: DataFrame, query: str, score: str, sharpness: float = 10.0) -> DataFrame:
-    """Adds prob: the softmax of correlation scores."""
-    w = Window.partitionBy(query)
-    e = F.exp(sharpness * (F.col(score) - F.max(score).over(w)))
-    return scores.withColumn("prob", e / F.sum(e).over(w))
+def similarity_softmax(rows: DataFrame, sharpness: float = 10.0) -> DataFrame:
+    """Adds prob to the scores (id, d) of each row: the softmax of the correlations d."""
+    e = lambda x: F.exp(sharpness * (x["d"] - F.col("top_")))
+    d = rows.withColumn("top_", F.array_max(F.transform("scores", lambda x: x["d"]))).withColumn("sum_", total(F.transform("scores", e)))
+    return d.withColumn("scores", F.transform("scores", lambda x: F.struct(x["id"].alias("id"), x["d"].alias("d"), (e(x) / F.col("sum_")).alias("prob")))).drop("top_", "sum_")
 
 
 def ocr_correction(votes: DataFrame, key: str, own: str, least: Column, ratio: float = 3.0) -> DataFrame:

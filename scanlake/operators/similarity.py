@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanlake.functions.arrays import dot, softmax_over, sqdist, total, upper_median
+from scanlake.functions.arrays import dot, sqdist, total, upper_median, upper_median_of
 
 
 def centroids(samples: DataFrame, key: str, vector: str, seq: str = "seq") -> DataFrame:
@@ -15,59 +15,91 @@ def centroids(samples: DataFrame, key: str, vector: str, seq: str = "seq") -> Da
     return mean.groupBy(seq, "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("vec"))
 
 
-def pairs(cents: DataFrame, seq: str = "seq") -> DataFrame:
-    """Squared distances of the unordered pairs of centroids of one sequence."""
-    a, b = cents.alias("a"), cents.alias("b")
-    return a.join(b, (F.col(f"a.{seq}") == F.col(f"b.{seq}")) & (F.col("a.id") < F.col("b.id"))).select(F.col(f"a.{seq}").alias(seq), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), sqdist(F.col("a.vec"), F.col("b.vec")).alias("d"))
+#: Most classes of one sequence, which travel together in one row; that there are no more is checked.
+MOST_CLASSES = 2_000
+
+
+def classes(cents: DataFrame, seq: str = "seq", most: int = MOST_CLASSES) -> DataFrame:
+    """(seq, classes): the centroids of each sequence as one array of (id, vec), by id; an error beyond ``most`` of them."""
+    both = F.array_sort(F.collect_list(F.struct("id", "vec")))
+    return cents.groupBy(seq).agg(F.when(F.count("*") > most, F.raise_error(F.lit(f"a sequence has more than {most} classes"))).otherwise(both).alias("classes"))
+
+
+def pair_distances(cents: DataFrame, seq: str = "seq") -> DataFrame:
+    """(seq, classes, pairs): the squared distances (a, b, d) of the unordered pairs of a sequence's centroids, within its row."""
+    later = lambda a, i: F.transform(F.slice("classes", i + 2, F.greatest(F.size("classes") - i - 1, F.lit(0))), lambda b: F.struct(a["id"].alias("a"), b["id"].alias("b"), sqdist(a["vec"], b["vec"]).alias("d")))
+    return classes(cents, seq).withColumn("pairs", F.flatten(F.transform("classes", later)))
 
 
 def sigma_sq(cents: DataFrame, seq: str = "seq") -> DataFrame:
-    """(seq, sigma_sq): the upper median of the pairs' distances."""
-    return pairs(cents, seq).groupBy(seq).agg(upper_median(F.col("d")).alias("sigma_sq"))
+    """(seq, sigma_sq): the upper median of the pairs' distances; null for a single class."""
+    return pair_distances(cents, seq).select(seq, upper_median_of(F.transform("pairs", lambda p: p["d"])).alias("sigma_sq"))
 
 
 def med_nn(cents: DataFrame, seq: str = "seq") -> DataFrame:
     """(seq, med_nn): the upper median of each centroid's distance to the nearest other."""
-    p = pairs(cents, seq)
-    both = p.select(seq, F.col("id_a").alias("id"), "d").unionByName(p.select(seq, F.col("id_b").alias("id"), "d"))
-    return both.groupBy(seq, "id").agg(F.min("d").alias("d")).groupBy(seq).agg(upper_median(F.col("d")).alias("med_nn"))
+    d = pair_distances(cents, seq)
+    near = F.transform("classes", lambda c: F.array_min(F.transform(F.filter("pairs", lambda p: (p["a"] == c["id"]) | (p["b"] == c["id"])), lambda p: p["d"])))
+    return d.select(seq, upper_median_of(F.array_compact(near)).alias("med_nn"))
+
+
+def distances(queries: DataFrame, cents: DataFrame, vector: str, seq: str = "seq", metric=sqdist) -> DataFrame:
+    """Adds scores, the distance (id, d) of every query to each class of its sequence, by id.
+
+    A query stays one row: its sequence's classes come with one row of an equality join on seq, whose size is bounded, and
+    all that follows is computed within the row.
+    """
+    q = queries.join(classes(cents, seq), seq)
+    return q.withColumn("scores", F.transform("classes", lambda c: F.struct(c["id"].alias("id"), metric(F.col(vector), c["vec"]).alias("d")))).drop("classes")
+
+
+def calibrated(rows: DataFrame, scale: DataFrame, seq: str = "seq") -> DataFrame:
+    """Adds prob to the scores: the softmax of the distances, exp(-(d - min) / 2s) over its sum; uniform where the scale or the sum vanishes. scale has sigma_sq, a row a sequence."""
+    d = rows.join(scale.select(seq, "sigma_sq"), seq).withColumn("low_", F.array_min(F.transform("scores", lambda x: x["d"])))
+    d = d.withColumn("raw_", F.transform("scores", lambda x: F.exp(-F.try_divide(x["d"] - F.col("low_"), 2 * F.col("sigma_sq"))))).withColumn("sum_", total(F.col("raw_")))
+    prob = lambda i: F.when(F.col("sigma_sq") <= 1e-30, 1.0 / F.size("scores")).otherwise(F.try_divide(F.get("raw_", i), F.col("sum_")))
+    return d.withColumn("scores", F.transform("scores", lambda x, i: F.struct(x["id"].alias("id"), x["d"].alias("d"), prob(i).alias("prob")))).drop("low_", "raw_", "sum_")
 
 
-def distances(queries: DataFrame, cents: DataFrame, query: str, vector: str, seq: str = "seq", metric=sqdist) -> DataFrame:
-    """Every query against the centroids of its sequence: an equality join on seq, never a cross join."""
-    q = queries.select(seq, query, F.col(vector).alias("q_vec"), *[c for c in queries.columns if c not in (seq, query, vector)])
-    return q.join(cents, seq).withColumn("d", metric(F.col("q_vec"), F.col("vec"))).drop("q_vec", "vec")
+def each(rows: DataFrame, query: str) -> DataFrame:
+    """The scores as a row each: query, then the scores' fields."""
+    return rows.select(query, F.inline("scores"))
 
 
-def calibrated(dist: DataFrame, scale: DataFrame, query: str, seq: str = "seq") -> DataFrame:
-    """Adds prob, the softmax of a query's distances."""
-    return dist.join(scale, seq).withColumn("prob", softmax_over(F.col("d"), F.col("sigma_sq"), Window.partitionBy(seq, query)))
+def top_k(rows: DataFrame, query: str, k: int, digits: int = 12) -> DataFrame:
+    """(query, id, prob, rank): the k best classes of each query by probability, then id, chosen within its row."""
+    order = F.array_sort(F.transform("scores", lambda x: F.struct((-F.round(x["prob"], digits)).alias("s"), x["id"].alias("id"), x["prob"].alias("prob"))))
+    best = F.transform(F.slice(order, 1, k), lambda x, i: F.struct(x["id"].alias("id"), x["prob"].alias("prob"), (i + 1).alias("rank")))
+    return rows.select(query, F.inline(best))
 
 
-def top_k(probs: DataFrame, query: str, k: int, digits: int = 12) -> DataFrame:
-    """The k best of each query by probability, then id; Spark prunes each partition before the shuffle."""
-    w = Window.partitionBy(query).orderBy(F.round("prob", digits).desc(), F.col("id"))
-    return probs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def ranked(rows: DataFrame, query: str, digits: int = 9) -> DataFrame:
+    """(query, id, d, rank): all classes of each query; equal distances share a rank, one more than the number of closer ones."""
+    near = lambda x: F.round(x["d"], digits)
+    rank = lambda x: 1 + F.size(F.filter("scores", lambda y: near(y) < near(x)))
+    return rows.select(query, F.inline(F.transform("scores", lambda x: F.struct(x["id"].alias("id"), x["d"].alias("d"), rank(x).alias("rank")))))
 
 
-def observation_stats(probs: DataFrame, query: str) -> DataFrame:
+def observation_stats(rows: DataFrame, query: str) -> DataFrame:
     """Least distance, least distance above it, entropy and greatest probability of each query."""
-    low = F.min("d").over(Window.partitionBy(query))
-    p = F.col("prob")
-    return probs.withColumn("low", low).groupBy(query).agg(F.min("d").alias("min_d"), F.min(F.when(F.col("d") > F.col("low"), F.col("d"))).alias("second_d"), (-F.sum(F.when(p > 1e-30, p * F.log(p)).otherwise(0.0))).alias("entropy"), F.max("prob").alias("best_prob"))
+    d, p = F.transform("scores", lambda x: x["d"]), F.transform("scores", lambda x: x["prob"])
+    low = F.array_min(d)
+    above = F.array_min(F.filter(d, lambda x: x > low))
+    return rows.select(query, low.alias("min_d"), above.alias("second_d"), (-total(F.transform(p, lambda x: F.when(x > 1e-30, x * F.log(x)).otherwise(0.0)))).alias("entropy"), F.array_max(p).alias("best_prob"))
 
 
 def fuse(parts: list[tuple[DataFrame, float]], query: str, floor: float = 1e-30) -> DataFrame:
-    """Weighted geometric mean of posteriors over the union of their ids; a missing one counts as ``floor``."""
+    """(query, scores): weighted geometric mean of posteriors (scores of id, prob) over the union of their ids; a missing one counts as ``floor``."""
     rows = None
     for k, (probs, weight) in enumerate(parts):
-        one = probs.select(query, "id", F.lit(k).alias("part"), (weight * F.log(F.greatest("prob", F.lit(floor)))).alias("lp"))
-        rows = one if rows is None else rows.unionByName(one)
-    filled = sum((F.coalesce(F.max(F.when(F.col("part") == k, F.col("lp"))), F.lit(weight) * F.log(F.lit(floor))) for k, (_, weight) in enumerate(parts)), F.lit(0.0))
-    raw = rows.groupBy(query, "id").agg(filled.alias("lp"))
-    w = Window.partitionBy(query)
-    e = F.exp(F.col("lp") - F.max("lp").over(w))
-    return raw.withColumn("prob", e / F.sum(e).over(w)).drop("lp")
+        one = probs.select(query, F.map_from_entries(F.transform("scores", lambda x: F.struct(x["id"], x["prob"]))).alias(f"m{k}_"))
+        rows = one if rows is None else rows.join(one, query, "full_outer")
+    maps = [F.col(f"m{k}_") for k in range(len(parts))]
+    ids = F.array_sort(F.array_distinct(F.flatten(F.array_compact(F.array(*[F.map_keys(m) for m in maps])))))
+    logs = lambda i: sum((F.lit(w) * F.log(F.greatest(F.coalesce(F.try_element_at(m, i), F.lit(floor)), F.lit(floor))) for m, (_, w) in zip(maps, parts, strict=True)), F.lit(0.0))
+    d = rows.withColumn("scores", F.transform(ids, lambda i: F.struct(i.alias("id"), logs(i).alias("lp"))))
+    d = d.withColumn("top_", F.array_max(F.transform("scores", lambda x: x["lp"]))).withColumn("sum_", total(F.transform("scores", lambda x: F.exp(x["lp"] - F.col("top_")))))
+    return d.select(query, F.transform("scores", lambda x: F.struct(x["id"].alias("id"), (F.exp(x["lp"] - F.col("top_")) / F.col("sum_")).alias("prob"))).alias("scores"))
 
 
 def zncc(a: Column, b: Column) -> Column:

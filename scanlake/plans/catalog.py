@@ -165,13 +165,13 @@ def dominant_key(spark, sf_dir):
 
 @register(
     "dominant_key_running",
-    """WITH e AS (SELECT date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS page, event_type, count(*) AS n FROM events GROUP BY ALL), g AS (SELECT * FROM (SELECT DISTINCT page FROM e), (SELECT DISTINCT event_type FROM e)),
-    c AS (SELECT g.page, g.event_type, count(n) OVER w AS pages, coalesce(sum(n) OVER w, 0) AS total FROM g LEFT JOIN e ON g.page = e.page AND g.event_type = e.event_type WINDOW w AS (PARTITION BY g.event_type ORDER BY g.page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY pages DESC, total DESC, event_type) AS k FROM c) SELECT CAST(page AS INTEGER) AS page, CASE WHEN pages > 0 THEN event_type END AS dominant FROM r WHERE k = 1""",
+    """WITH e AS (SELECT user_id % 7 AS document, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS page, event_type, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY ALL), g AS (SELECT * FROM (SELECT DISTINCT document, page FROM e), (SELECT DISTINCT event_type FROM e)),
+    c AS (SELECT g.document, g.page, g.event_type, count(n) OVER w AS pages, coalesce(sum(n) OVER w, 0) AS total FROM g LEFT JOIN e ON g.document = e.document AND g.page = e.page AND g.event_type = e.event_type WINDOW w AS (PARTITION BY g.document, g.event_type ORDER BY g.page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY document, page ORDER BY pages DESC, total DESC, event_type) AS k FROM c) SELECT CAST(document AS BIGINT) AS document, CAST(page AS INTEGER) AS page, CASE WHEN pages > 0 THEN event_type END AS dominant FROM r WHERE k = 1""",
 )
 def dominant_key_running(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("page"), "event_type")
-    return N.dominant_before(e, "page", "event_type")
+    e = table(spark, sf_dir, "events").where("event_id % 3 = 0").select((F.col("user_id") % 7).alias("document"), F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("page"), "event_type")
+    return N.dominant_before(e, "page", "event_type", ("document",))
 
 
 @register("midpoint_prune_fallback", "WITH s AS (SELECT l_orderkey, l_suppkey, l_quantity / 50 - 1 AS score FROM lineitem), p AS (SELECT * FROM s WHERE score >= -0.4) SELECT l_orderkey, l_suppkey, round(score, 6) AS score, false AS fallback FROM p UNION ALL SELECT l_orderkey, l_suppkey, round(score, 6), true FROM s WHERE l_orderkey NOT IN (SELECT l_orderkey FROM p)")

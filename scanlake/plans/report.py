@@ -86,14 +86,14 @@ def subsample_eval(spark, sf_dir):
 
 @register(
     "zncc_softmax",
-    f"""WITH {E_SQL}, m AS (SELECT e.vec_id, c.label AS id, avg(e.v * e.v) - avg(e.v) * avg(e.v) AS va, avg(c.m * c.m) - avg(c.m) * avg(c.m) AS vb, avg(e.v * c.m) - avg(e.v) * avg(c.m) AS cov FROM e JOIN c ON e.pos = c.pos GROUP BY e.vec_id, c.label),
+    f"""WITH {E_SQL}, m AS (SELECT e.vec_id, c.label AS id, avg(e.v * e.v) - avg(e.v) * avg(e.v) AS va, avg(c.m * c.m) - avg(c.m) * avg(c.m) AS vb, avg(e.v * c.m) - avg(e.v) * avg(c.m) AS cov FROM e JOIN c ON e.seq = c.seq AND e.pos = c.pos GROUP BY e.vec_id, c.label),
     z AS (SELECT vec_id, id, CASE WHEN sqrt(va * vb) < 1e-10 THEN 1.0 ELSE greatest(-1.0, least(1.0, cov / sqrt(va * vb))) END AS z FROM m), x AS (SELECT *, exp(10 * (z - max(z) OVER (PARTITION BY vec_id))) AS x FROM z)
     SELECT vec_id, id AS label, round(x / sum(x) OVER (PARTITION BY vec_id), 6) AS prob FROM x""",
 )
 def zncc_softmax(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    d = S.distances(v, S.centroids(v, "label", "embedding"), "vec_id", "embedding", metric=S.zncc)
-    return R.similarity_softmax(d, "vec_id", "d").select("vec_id", F.col("id").alias("label"), F.round("prob", 6).alias("prob"))
+    d = S.distances(v, S.centroids(v, "label", "embedding"), "embedding", metric=S.zncc)
+    return S.each(R.similarity_softmax(d), "vec_id").select("vec_id", F.col("id").alias("label"), F.round("prob", 6).alias("prob"))
 
 
 @register("ocr_correction", "WITH v AS (SELECT user_id * 100 + event_id % 100 AS k, CASE WHEN user_id % 2 = 0 THEN 'click' ELSE 'view' END AS own, event_type AS ch, count(*) / sum(count(*)) OVER (PARTITION BY user_id * 100 + event_id % 100, CASE WHEN user_id % 2 = 0 THEN 'click' ELSE 'view' END) AS prob FROM events GROUP BY 1, 2, 3), t AS (SELECT k, own, min_by(ch, struct_pack(a := -prob, b := ch)) AS top, max(prob) AS p, coalesce(max(CASE WHEN ch = own THEN prob END), 1e-30) AS own_p FROM v GROUP BY k, own) SELECT CAST(k AS BIGINT) AS k, CASE WHEN p > 0.235 AND p > 3 * own_p AND top <> own THEN top END AS correction FROM t")

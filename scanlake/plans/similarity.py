@@ -2,33 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scanlake.functions.arrays import sqdist
+from scanlake.functions.arrays import sqdist, upper_median_of
 from scanlake.operators import fit, similarity as S
 from scanlake.queries import register
 from scanlake.session import table
 
 E_SQL = """
-e AS (SELECT vec_id, label, CAST(v AS DOUBLE) AS v, pos FROM (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings)),
-c AS (SELECT label, pos, avg(v) AS m FROM e GROUP BY label, pos),
-cp AS (SELECT a.label AS id_a, b.label AS id_b, sum((a.m - b.m) * (a.m - b.m)) AS d FROM c a JOIN c b ON a.pos = b.pos AND a.label < b.label GROUP BY a.label, b.label),
-s AS (SELECT list_sort(list(d))[len(list(d)) // 2 + 1] AS sigma_sq FROM cp),
-dist AS (SELECT e.vec_id, any_value(e.label) AS own, c.label AS id, sum((e.v - c.m) * (e.v - c.m)) AS d FROM e JOIN c ON e.pos = c.pos GROUP BY e.vec_id, c.label),
-raw AS (SELECT *, exp(-(d - min(d) OVER (PARTITION BY vec_id)) / (2 * s.sigma_sq)) AS x FROM dist, s),
+e AS (SELECT vec_id, label, label % 2 AS seq, CAST(v AS DOUBLE) AS v, pos FROM (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings)),
+c AS (SELECT seq, label, pos, avg(v) AS m FROM e GROUP BY seq, label, pos),
+cp AS (SELECT a.seq, a.label AS id_a, b.label AS id_b, sum((a.m - b.m) * (a.m - b.m)) AS d FROM c a JOIN c b ON a.seq = b.seq AND a.pos = b.pos AND a.label < b.label GROUP BY a.seq, a.label, b.label),
+s AS (SELECT seq, list_sort(list(d))[len(list(d)) // 2 + 1] AS sigma_sq FROM cp GROUP BY seq),
+dist AS (SELECT e.seq, e.vec_id, any_value(e.label) AS own, c.label AS id, sum((e.v - c.m) * (e.v - c.m)) AS d FROM e JOIN c ON e.seq = c.seq AND e.pos = c.pos GROUP BY e.seq, e.vec_id, c.label),
+raw AS (SELECT dist.*, exp(-(d - min(d) OVER (PARTITION BY vec_id)) / (2 * s.sigma_sq)) AS x FROM dist JOIN s ON dist.seq = s.seq),
 p AS (SELECT *, x / sum(x) OVER (PARTITION BY vec_id) AS prob FROM raw)
 """
 
 
 def vectors(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(F.lit("all").alias("seq"), "vec_id", "label", "embedding")
+    """The embeddings in two sequences, that of the odd labels and that of the even ones."""
+    return table(spark, sf_dir, "embeddings").select((F.col("label") % 2).alias("seq"), "vec_id", "label", "embedding")
 
 
 def posteriors(spark, sf_dir):
     v = vectors(spark, sf_dir)
     c = S.centroids(v, "label", "embedding")
-    return S.calibrated(S.distances(v, c, "vec_id", "embedding"), S.sigma_sq(c), "vec_id")
+    return S.calibrated(S.distances(v, c, "embedding"), S.sigma_sq(c))
 
 
 @register("knn_softmax_topk", f"WITH {E_SQL} SELECT vec_id, id AS label, round(prob, 6) AS prob, k AS rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY round(prob, 12) DESC, id) AS INTEGER) AS k FROM p) WHERE k <= 3")
@@ -36,21 +36,22 @@ def knn_softmax_topk(spark, sf_dir):
     return S.top_k(posteriors(spark, sf_dir), "vec_id", 3).select("vec_id", F.col("id").alias("label"), F.round("prob", 6).alias("prob"), "rank")
 
 
-@register("raw_logits_rank", f"WITH {E_SQL} SELECT vec_id, id AS label, round(-d / (2 * sigma_sq), 6) AS logit, CAST(rank() OVER (PARTITION BY vec_id ORDER BY round(d, 9)) AS INTEGER) AS rank FROM dist, s")
+@register("raw_logits_rank", f"WITH {E_SQL} SELECT vec_id, id AS label, round(-d / (2 * sigma_sq), 6) AS logit, CAST(rank() OVER (PARTITION BY vec_id ORDER BY round(d, 9)) AS INTEGER) AS rank FROM dist JOIN s ON dist.seq = s.seq")
 def raw_logits_rank(spark, sf_dir):
-    w = Window.partitionBy("vec_id").orderBy(F.round("d", 9))
-    return posteriors(spark, sf_dir).select("vec_id", F.col("id").alias("label"), F.round(-F.col("d") / (2 * F.col("sigma_sq")), 6).alias("logit"), F.rank().over(w).alias("rank"))
+    rows = posteriors(spark, sf_dir)
+    scale = rows.select("vec_id", "sigma_sq", "scores")
+    return S.ranked(scale.withColumn("vec_id", F.struct("vec_id", "sigma_sq")), "vec_id").select("vec_id.vec_id", F.col("id").alias("label"), F.round(-F.col("d") / (2 * F.col("vec_id.sigma_sq")), 6).alias("logit"), "rank")
 
 
-@register("sigma_sq_pairwise", f"WITH {E_SQL} SELECT round(sigma_sq, 6) AS sigma_sq, CAST((SELECT count(*) FROM cp) AS BIGINT) AS n_pairs FROM s")
+@register("sigma_sq_pairwise", f"WITH {E_SQL} SELECT CAST(seq AS BIGINT) AS seq, round(sigma_sq, 6) AS sigma_sq, CAST((SELECT count(*) FROM cp WHERE cp.seq = s.seq) AS INTEGER) AS n_pairs FROM s")
 def sigma_sq_pairwise(spark, sf_dir):
-    p = S.pairs(S.centroids(vectors(spark, sf_dir), "label", "embedding"))
-    return p.groupBy("seq").agg(F.round(S.upper_median(F.col("d")), 6).alias("sigma_sq"), F.count("*").alias("n_pairs")).drop("seq")
+    p = S.pair_distances(S.centroids(vectors(spark, sf_dir), "label", "embedding"))
+    return p.select(F.col("seq").cast("long").alias("seq"), F.round(upper_median_of(F.transform("pairs", lambda x: x["d"])), 6).alias("sigma_sq"), F.size("pairs").alias("n_pairs"))
 
 
-@register("med_nn", f"WITH {E_SQL}, nn AS (SELECT id, min(d) AS d FROM (SELECT id_a AS id, d FROM cp UNION ALL SELECT id_b, d FROM cp) GROUP BY id) SELECT round(list_sort(list(d))[len(list(d)) // 2 + 1], 6) AS med_nn FROM nn")
+@register("med_nn", f"WITH {E_SQL}, nn AS (SELECT seq, id, min(d) AS d FROM (SELECT seq, id_a AS id, d FROM cp UNION ALL SELECT seq, id_b, d FROM cp) GROUP BY seq, id) SELECT CAST(seq AS BIGINT) AS seq, round(list_sort(list(d))[len(list(d)) // 2 + 1], 6) AS med_nn FROM nn GROUP BY seq")
 def med_nn(spark, sf_dir):
-    return S.med_nn(S.centroids(vectors(spark, sf_dir), "label", "embedding")).select(F.round("med_nn", 6).alias("med_nn"))
+    return S.med_nn(S.centroids(vectors(spark, sf_dir), "label", "embedding")).select(F.col("seq").cast("long").alias("seq"), F.round("med_nn", 6).alias("med_nn"))
 
 
 @register("obs_entropy", f"WITH {E_SQL}, l AS (SELECT *, min(d) OVER (PARTITION BY vec_id) AS low FROM p) SELECT vec_id, round(min(d), 6) AS min_d, round(min(CASE WHEN d > low THEN d END), 6) AS second_d, round(-sum(CASE WHEN prob > 1e-30 THEN prob * ln(prob) ELSE 0 END), 6) AS entropy, round(max(prob), 6) AS best_prob FROM l GROUP BY vec_id")
@@ -61,7 +62,7 @@ def obs_entropy(spark, sf_dir):
 @register(
     "fusion_geometric_mean",
     f"""WITH {E_SQL},
-    q AS (SELECT e.vec_id, c.label AS id, sum(abs(e.v - c.m)) AS d1 FROM e JOIN c ON e.pos = c.pos GROUP BY e.vec_id, c.label),
+    q AS (SELECT e.vec_id, c.label AS id, sum(abs(e.v - c.m)) AS d1 FROM e JOIN c ON e.seq = c.seq AND e.pos = c.pos GROUP BY e.vec_id, c.label),
     q2 AS (SELECT *, exp(-(d1 - min(d1) OVER (PARTITION BY vec_id)) / 2) AS y FROM q),
     q3 AS (SELECT vec_id, id, y / sum(y) OVER (PARTITION BY vec_id) AS prob FROM q2),
     f AS (SELECT p.vec_id, p.id, 0.7 * ln(greatest(p.prob, 1e-30)) + 0.3 * ln(greatest(q3.prob, 1e-30)) AS lp FROM p JOIN q3 ON p.vec_id = q3.vec_id AND p.id = q3.id),
@@ -72,9 +73,9 @@ def fusion_geometric_mean(spark, sf_dir):
     """Fuses the squared distance's posterior with that of the absolute distance."""
     v = vectors(spark, sf_dir)
     c = S.centroids(v, "label", "embedding")
-    by_abs = S.distances(v, c, "vec_id", "embedding", metric=lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y)), F.lit(0.0), lambda acc, x: acc + x))
-    one = S.calibrated(by_abs, v.select("seq", F.lit(1.0).alias("sigma_sq")).limit(1), "vec_id")
-    return S.fuse([(posteriors(spark, sf_dir), 0.7), (one, 0.3)], "vec_id").select("vec_id", F.col("id").alias("label"), F.round("prob", 6).alias("prob"))
+    by_abs = S.distances(v, c, "embedding", metric=lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y)), F.lit(0.0), lambda acc, x: acc + x))
+    one = S.calibrated(by_abs, S.sigma_sq(c).withColumn("sigma_sq", F.lit(1.0)))
+    return S.each(S.fuse([(posteriors(spark, sf_dir), 0.7), (one, 0.3)], "vec_id"), "vec_id").select("vec_id", F.col("id").alias("label"), F.round("prob", 6).alias("prob"))
 
 
 @register(
@@ -85,7 +86,7 @@ def fusion_geometric_mean(spark, sf_dir):
       round(avg(CASE WHEN strict = 1 THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(CASE WHEN strict <= 5 THEN 1.0 ELSE 0.0 END), 6) AS top5 FROM r""",
 )
 def eval_mrr_topk(spark, sf_dir):
-    return fit.rank_metrics(posteriors(spark, sf_dir), "vec_id", "label", F.col("id") % 3 == F.col("label") % 3)
+    return fit.rank_metrics(posteriors(spark, sf_dir), "label", lambda i: i % 3 == F.col("label") % 3)
 
 
 @register(

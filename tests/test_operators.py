@@ -27,10 +27,22 @@ def test_resample_and_project(spark):
 
 @pytest.mark.parametrize("sigma", [0.0, 1.0])
 def test_softmax(spark, sigma):
-    d = spark.createDataFrame([("s", 1, i, x, sigma) for i, x in enumerate([2.0, 2.0, 5.0])], "seq string, q int, id int, d double, s double")
-    p = similarity.calibrated(d.drop("s"), d.select("seq", F.col("s").alias("sigma_sq")).distinct(), "q")
+    q = spark.createDataFrame([("s", 1, [(i, x) for i, x in enumerate([2.0, 2.0, 5.0])], sigma)], "seq string, q int, scores array<struct<id: int, d: double>>, s double")
+    p = similarity.calibrated(q, q.select("seq", F.col("s").alias("sigma_sq")))
     top = similarity.top_k(p, "q", 2).orderBy("rank").collect()
-    assert abs(p.agg(F.sum("prob")).first()[0] - 1) < 1e-12 and [r["id"] for r in top] == [0, 1]
+    assert abs(similarity.each(p, "q").agg(F.sum("prob")).first()[0] - 1) < 1e-12 and [r["id"] for r in top] == [0, 1]
+
+
+def test_more_classes_than_the_bound_fail(spark):
+    c = spark.createDataFrame([("s", k, [1.0]) for k in range(4)], "seq string, id int, vec array<double>")
+    assert similarity.classes(c, most=4).count() == 1
+    with pytest.raises(Exception, match="more than 3 classes"):
+        similarity.classes(c, most=3).collect()
+
+
+def test_medians_of_any_number_of_rows(spark):
+    v = spark.createDataFrame([("a", x) for x in (5, 1, 1, 1, 9, 7)] + [("b", 2), ("b", 4), ("c", None)], "k string, v int")
+    assert {r["k"]: r["m"] for r in arrays.upper_medians(v, ["k"], "v", "m").collect()} == {"a": 5, "b": 4}
 
 
 def test_flat_rasters(spark):
@@ -40,9 +52,9 @@ def test_flat_rasters(spark):
 
 
 def test_fuse_fills_missing(spark):
-    a = spark.createDataFrame([(1, 0, 1.0)], "q int, id int, prob double")
-    b = spark.createDataFrame([(1, 1, 1.0)], "q int, id int, prob double")
-    got = {r["id"]: r["prob"] for r in similarity.fuse([(a, 0.5), (b, 0.5)], "q").collect()}
+    a = spark.createDataFrame([(1, [(0, 1.0)])], "q int, scores array<struct<id: int, prob: double>>")
+    b = spark.createDataFrame([(1, [(1, 1.0)])], "q int, scores array<struct<id: int, prob: double>>")
+    got = {r["id"]: r["prob"] for r in similarity.each(similarity.fuse([(a, 0.5), (b, 0.5)], "q"), "q").collect()}
     assert got[0] == pytest.approx(0.5) and got[1] == pytest.approx(0.5)
 
 

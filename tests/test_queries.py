@@ -45,6 +45,12 @@ def test_query_without_sql_runs(spark, name):
     assert queries.queries()[name](spark, SMALL).count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_no_query_plans_as_a_cross_join(spark, name):
+    plan = queries.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_entry(spark):
     import __spark_entry__
 
