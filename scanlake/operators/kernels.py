@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Bins of the profiles, cells a side and orientations of the gradient histogram, side of its raster.
 PROFILE, CELLS, ORIENTATIONS, SIDE = 16, 4, 8, 24
 INK_BELOW = 240
+#: Pixels of rasters of one size that are handled at once.
+STACK = 1 << 20
 
 
 def raster(px: bytes, width: int, height: int) -> np.ndarray:
@@ -21,152 +23,250 @@ def ink_box(img: np.ndarray, below: int = INK_BELOW) -> tuple[slice, slice] | No
     return (slice(ys.min(), ys.max() + 1), slice(xs.min(), xs.max() + 1)) if len(ys) else None
 
 
-def shifted(mask: np.ndarray, dy: int, dx: int) -> np.ndarray:
-    """The mask's value at (y + dy, x + dx), False outside."""
-    p = np.pad(mask, 1)
-    return p[1 + dy : 1 + dy + mask.shape[0], 1 + dx : 1 + dx + mask.shape[1]]
+def moved(masks: np.ndarray, dy: int, dx: int) -> np.ndarray:
+    """The masks' values (n, h, w) at (y + dy, x + dx), False outside."""
+    out = np.zeros_like(masks)
+    h, w = masks.shape[1:]
+    out[:, max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)] = masks[:, max(0, dy) : h + min(0, dy), max(0, dx) : w + min(0, dx)]
+    return out
 
 
 def spread(seed: np.ndarray, within: np.ndarray) -> np.ndarray:
-    """Cells of ``within`` that are 4-connected to the seed through it."""
+    """Cells of ``within`` (n, h, w) that are 4-connected to the seed through it."""
     now = seed & within
     while True:
-        grown = now | within & (shifted(now, 1, 0) | shifted(now, -1, 0) | shifted(now, 0, 1) | shifted(now, 0, -1))
+        grown = now | within & (moved(now, 1, 0) | moved(now, -1, 0) | moved(now, 0, 1) | moved(now, 0, -1))
         if (grown == now).all():
             return now
         now = grown
 
 
-def parts(mask: np.ndarray) -> int:
-    """Number of 4-connected parts."""
-    left, n = mask.copy(), 0
-    while left.any():
-        seed = np.zeros_like(left)
-        seed[np.unravel_index(left.argmax(), left.shape)] = True
-        left &= ~spread(seed, left)
-        n += 1
-    return n
-
-
-def runs_of(line: np.ndarray) -> np.ndarray:
-    """Lengths of the True stretches."""
-    edge = np.diff(np.concatenate([[0], line.astype(np.int8), [0]]))
-    return np.flatnonzero(edge == -1) - np.flatnonzero(edge == 1)
-
-
-def ink_runs(img: np.ndarray, below: int = 128) -> np.ndarray:
-    """Lengths of 2 or more of the ink stretches of the rows, then of the columns."""
-    lines = [runs_of(x) for x in [*(img < below), *(img < below).T]]
-    found = np.concatenate(lines) if lines else np.empty(0, int)
-    return found[found >= 2]
-
-
-def thin(mask: np.ndarray) -> np.ndarray:
-    """Zhang-Suen skeleton."""
-    now = mask.copy()
+def parts(masks: np.ndarray) -> np.ndarray:
+    """Number of 4-connected parts of each mask: the cells that are the smallest of theirs."""
+    own = np.arange(1, masks[0].size + 1, dtype=np.int32).reshape(masks.shape[1:])
+    far = np.int32(masks[0].size + 1)
+    label = np.where(masks, own, far)
+    while True:
+        p = np.pad(label, ((0, 0), (1, 1), (1, 1)), constant_values=far)
+        low = np.where(masks, np.minimum.reduce([label, p[:, 2:, 1:-1], p[:, :-2, 1:-1], p[:, 1:-1, 2:], p[:, 1:-1, :-2]]), far)
+        if (low == label).all():
+            return ((label == own) & masks).sum(axis=(1, 2))
+        label = low
+
+
+def runs_of(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, length) of the True stretches of each line."""
+    edge = np.diff(np.pad(lines.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    line, start = np.nonzero(edge == 1)
+    return line, np.nonzero(edge == -1)[1] - start
+
+
+def ink_runs(imgs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(raster, length) of the ink stretches of 2 or more along rows and columns, by raster, then length."""
+    ink = imgs < INK_BELOW
+    n, h, w = ink.shape
+    (a, x), (b, y) = runs_of(ink.reshape(n * h, w)), runs_of(ink.transpose(0, 2, 1).reshape(n * w, h))
+    which, length = np.r_[a // h, b // w], np.r_[x, y]
+    which, length = which[length >= 2], length[length >= 2]
+    order = np.lexsort((length, which))
+    return which[order], length[order]
+
+
+def stretched(imgs: np.ndarray) -> np.ndarray:
+    """Grey values (n, h, w) from the first to the last hundredth of the pixels over the whole range; flat rasters as they are."""
+    n, size = len(imgs), imgs[0].size
+    flat = np.sort(imgs.reshape(n, size), axis=1)
+    at = lambda k: flat[:, k - 1] if k else np.zeros(n, np.uint8)
+    low, high = at(size // 100).astype(np.float32), at(size * 99 // 100).astype(np.float32)
+    ok = (low < high)[:, None, None]
+    span = np.where(low < high, high - low, 1)[:, None, None]
+    new = np.floor((imgs.astype(np.float32) - low[:, None, None]) * np.float32(255) / span + np.float32(0.5))
+    return np.where(ok, np.clip(new, 0, 255), imgs).astype(np.uint8)
+
+
+def thin(masks: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Zhang-Suen skeletons; only ``inner`` cells are ever taken away."""
+    now = masks.copy()
     around = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
     while True:
         before = now
         for step in (0, 1):
-            p = [shifted(now, *d) for d in around]
-            n = sum(x.astype(int) for x in p)
-            turns = sum((~a & b).astype(int) for a, b in zip(p, p[1:] + p[:1], strict=True))
+            p = [moved(now, *d) for d in around]
+            n = sum(x.astype(np.int8) for x in p)
+            turns = sum((~a & b).astype(np.int8) for a, b in zip(p, p[1:] + p[:1], strict=True))
             up, right, down, left = p[0], p[2], p[4], p[6]
             clear = ~(up & right & down) & ~(right & down & left) if step == 0 else ~(up & right & left) & ~(up & down & left)
-            now = now & ~((n >= 2) & (n <= 6) & (turns == 1) & clear)
+            now = now & ~(inner & (n >= 2) & (n <= 6) & (turns == 1) & clear)
         if (now == before).all():
             return now
 
 
-def resampled(values: np.ndarray, n: int) -> np.ndarray:
-    return np.interp(np.linspace(0, len(values) - 1, n), np.arange(len(values)), values)
-
-
-def serif_score(img: np.ndarray) -> float:
-    """Ink of the outer rows over that of the middle third, less 1, within 0 and 1."""
-    box = ink_box(img)
-    if box is None or box[0].stop - box[0].start < 8:
-        return 0.0
-    rows = (img[box] < INK_BELOW).sum(axis=1).astype(float)
-    h = len(rows)
-    edge = int(np.clip(h // 8, 2, 4))
-    middle = rows[h // 3 : 2 * h // 3].mean()
-    return float(np.clip((np.r_[rows[:edge], rows[-edge:]].mean() / middle) - 1, 0, 1)) if middle > 0 else 0.0
-
-
-def descriptor(img: np.ndarray, below: int = 128) -> np.ndarray | None:
-    """The 63 shape features of a glyph: column profile, 6 scalars, counters, terminals, boundary, crossings, row profile, topology, symmetry, skeleton, corners, quadrants and stroke width; None without ink."""
-    box = ink_box(img, below)
-    if box is None:
-        return None
-    crop = img[box].astype(float)
-    mask = crop < below
-    ink = np.where(mask, 255 - crop, 0.0)
-    h, w = mask.shape
-    area, n, total = h * w, int(mask.sum()), ink.sum()
-    if total == 0:
-        return None
-    col, row = ink.sum(axis=0), ink.sum(axis=1)
-    ys = np.arange(h) + box[0].start
-    scalars = [w / h, n / area, (ys * row).sum() / total / img.shape[0], ink[:, : (w - 1) // 2 + 1].sum() / total, serif_score(img)]
-    runs = np.sort(ink_runs(img, below))
-    contrast = 1.0 if len(runs) < 4 else 1 - max(runs[len(runs) // 10], 1) / max(runs[9 * len(runs) // 10], 1)
-    frame = np.zeros_like(mask)
-    frame[[0, -1]], frame[:, [0, -1]] = True, True
-    hole = ~mask & ~spread(frame & ~mask, ~mask)
-    hy, hx = np.nonzero(hole)
-    counter = [len(hy) / area, hx.mean() / w, hy.mean() / h, (np.ptp(hx) + 1) / (np.ptp(hy) + 1)] if len(hy) else [0.0] * 4
-    eight = {(dy, dx): shifted(mask, dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx}
-    touching = sum(x.astype(int) for x in eight.values())
-    end = mask & (touching == 1)
-    # the way a terminal points is away from its only neighbour: up, right, down, left
-    ways = np.zeros(4)
-    for (dy, dx), there in eight.items():
-        k = (2 if dy < 0 else 0) if abs(dy) >= abs(dx) else (1 if dx < 0 else 3)
-        ways[k] += (end & there).sum()
-    terminals = ways / ways.sum() if ways.sum() else ways
-    inner = eight[-1, 0] & eight[1, 0] & eight[0, -1] & eight[0, 1]
-    boundary = int((mask & ~inner).sum())
-    bounds = [min(1.0, boundary / np.sqrt(n) / 10), min(1.0, 4 * np.pi * n / boundary**2) if boundary else 0.0]
-    crossings = [min(1.0, int((mask[min(h - 1, (k + 1) * h // 5)][1:] != mask[min(h - 1, (k + 1) * h // 5)][:-1]).sum()) / 20) for k in range(4)]
-    mirror = lambda m: float((m[:, : m.shape[1] // 2] == m[:, ::-1][:, : m.shape[1] // 2]).mean()) if m.shape[1] >= 2 else 0.0
-    bones = thin(mask)
-    degree = sum(shifted(bones, *d).astype(int) for d in eight)
-    corners = 0
-    if h >= 3 and w >= 3:
-        up, right, down, left = eight[-1, 0], eight[0, 1], eight[1, 0], eight[0, -1]
-        two = mask & (up.astype(int) + right + down + left == 2)
-        bend = sum((two & a & b & ~eight[d]).astype(int) for a, b, d in ((up, right, (-1, 1)), (right, down, (1, 1)), (down, left, (1, -1)), (left, up, (-1, -1))))
-        corners = int(bend[1:-1, 1:-1].sum())
-    quarter = [float(q.mean()) if q.size else 0.0 for q in (mask[: h // 2, : w // 2], mask[: h // 2, w // 2 :], mask[h // 2 :, : w // 2], mask[h // 2 :, w // 2 :])]
-    return np.array([
-        *resampled(col / col.max(), PROFILE), *scalars, contrast, *counter, *terminals, *bounds, *crossings, *resampled(row / row.max(), PROFILE),
-        min(1.0, parts(hole) / 4), mirror(mask), mirror(mask.T), min(1.0, (bones & (degree >= 3)).sum() / 10), min(1.0, (bones & (degree == 1)).sum() / 10),
-        min(1.0, corners / 20), *quarter, runs.mean() / img.shape[0] if len(runs) else 0.0,
-    ], dtype=np.float32)
-
-
-def gradient_histogram(img: np.ndarray) -> np.ndarray | None:
-    """Orientation histograms of 4 x 4 cells with one norm; smaller rasters are centred on white, those below 3 px give None."""
-    if min(img.shape) < 3:
-        return None
-    if max(img.shape) > SIDE:
-        pick = lambda k, n: np.minimum((np.arange(n) * k / n).astype(int), k - 1)
-        scale = SIDE / max(img.shape)
-        img = img[np.ix_(pick(img.shape[0], max(1, round(img.shape[0] * scale))), pick(img.shape[1], max(1, round(img.shape[1] * scale))))]
-    sq = np.full((SIDE, SIDE), 255.0)
-    oy, ox = (SIDE - img.shape[0]) // 2, (SIDE - img.shape[1]) // 2
-    sq[oy : oy + img.shape[0], ox : ox + img.shape[1]] = img
-    gy, gx = np.gradient(sq)
+def resampled(values: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """Linear interpolation of the first size[k] of each row at n evenly spaced places."""
+    place = np.arange(n)[None, :] * ((size - 1) / (n - 1))[:, None]
+    low = np.floor(place).astype(np.int64)
+    high, part = np.minimum(low + 1, size[:, None] - 1), place - low
+    take = lambda k: np.take_along_axis(values, k, axis=1)
+    return take(low) * (1 - part) + take(high) * part
+
+
+def share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b, 0 where b is 0."""
+    return np.divide(a, b, out=np.zeros(np.broadcast(a, b).shape), where=np.asarray(b) != 0)
+
+
+#: The direction a terminal points, away from its only neighbour at (dy, dx): up, right, down, left. Fixed values.
+POINTS = {(1, 0): 0, (1, 1): 0, (0, -1): 1, (1, -1): 1, (-1, 0): 2, (-1, -1): 2, (0, 1): 3, (-1, 1): 3}
+
+
+def descriptors(imgs: np.ndarray, normalised: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The 63 shape features of rasters (n, h, w) of one size, and which have ink at all (the others' rows are zeros).
+
+    In order: column profile (16), aspect, density, vertical centre, horizontal balance, serifs, stroke contrast, counters (4), terminals
+    (4), boundary (2), crossings (4), row profile (16), holes, symmetry (2), skeleton (2), corners, quadrants (4), stroke width. All
+    rasters are handled at once: their ink boxes are moved to the upper left corner, and what lies outside them is masked.
+    """
+    imgs = imgs if normalised else stretched(imgs)
+    every, full_h, full_w = imgs.shape
+    some = np.flatnonzero((imgs < INK_BELOW).any(axis=(1, 2)))
+    out = np.zeros((every, 63), np.float32)
+    has = np.zeros(every, bool)
+    has[some] = True
+    if not len(some):
+        return out, has
+    img = imgs[some]
+    ink = img < INK_BELOW
+    n = len(img)
+    rows, cols = ink.any(axis=2), ink.any(axis=1)
+    y0, x0 = rows.argmax(axis=1), cols.argmax(axis=1)
+    h, w = full_h - rows[:, ::-1].argmax(axis=1) - y0, full_w - cols[:, ::-1].argmax(axis=1) - x0
+    ys, xs = np.arange(full_h), np.arange(full_w)
+    corner = lambda a: np.take_along_axis(np.take_along_axis(a, ((ys + y0[:, None]) % full_h)[:, :, None], axis=1), ((xs + x0[:, None]) % full_w)[:, None, :], axis=2)
+    valid = (ys < h[:, None])[:, :, None] & (xs < w[:, None])[:, None, :]
+    mask = corner(ink) & valid
+    dark = np.where(mask, 255.0 - corner(img), 0.0)
+    area, pixels, total = h * w, mask.sum(axis=(1, 2)), dark.sum(axis=(1, 2))
+    column, row = dark.sum(axis=1), dark.sum(axis=2)
+    three = (h >= 3) & (w >= 3)
+
+    centre = ((ys + y0[:, None]) * row).sum(axis=1) / total / full_h
+    left = np.where(xs <= ((w - 1) // 2)[:, None], column, 0).sum(axis=1) / total
+    per_row = mask.sum(axis=2)
+    ends = np.clip(h // 8, 2, 4)
+    mean = lambda a, b: share(np.where((ys >= a[:, None]) & (ys < b[:, None]), per_row, 0).sum(axis=1), np.maximum(b - a, 1))
+    middle = mean(h // 3, 2 * h // 3)
+    serif = np.where((h >= 8) & (full_w >= 3) & (middle >= 1), np.clip((share(mean(0 * h, ends), middle) + share(mean(h - ends, h), middle)) / 2 - 1, 0, 1), 0)
+
+    contrast, stroke = np.ones(n), np.zeros(n)
+    if full_w >= 4 and full_h >= 4:
+        which, length = ink_runs(img)
+        count = np.bincount(which, minlength=n)
+        first = np.cumsum(count) - count
+        at = lambda tenths: np.maximum(length[np.minimum(first + count * tenths // 10, max(len(length) - 1, 0))], 1) if len(length) else np.ones(n)
+        contrast = np.where(count >= 4, 1 - at(1) / at(9), 1.0)
+        stroke = share(np.bincount(which, length, n), count) / full_h
+
+    white = valid & ~mask
+    edge = (ys[None, :, None] == 0) | (ys[None, :, None] == (h - 1)[:, None, None]) | (xs[None, None, :] == 0) | (xs[None, None, :] == (w - 1)[:, None, None])
+    hole = white & ~spread(white & edge, white)
+    holes = hole.sum(axis=(1, 2))
+    hy, hx = hole.any(axis=2), hole.any(axis=1)
+    extent = lambda a: a.shape[1] - a[:, ::-1].argmax(axis=1) - a.argmax(axis=1)
+    counter = [share(holes, area), share((hole * xs).sum(axis=(1, 2)), holes) / w, share((hole * ys[:, None]).sum(axis=(1, 2)), holes) / h, np.where(holes > 0, extent(hx) / extent(hy), 0)]
+
+    eight = {(dy, dx): moved(mask, dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx}
+    end = mask & (sum(x.astype(np.int8) for x in eight.values()) == 1)
+    ways = np.zeros((n, 4))
+    for d, k in POINTS.items():
+        ways[:, k] += (end & eight[d]).sum(axis=(1, 2))
+    terminals = share(ways, np.where(three, ways.sum(axis=1), 0)[:, None])
+
+    up, right, down, left_of = eight[-1, 0], eight[0, 1], eight[1, 0], eight[0, -1]
+    boundary = (mask & ~(up & right & down & left_of)).sum(axis=(1, 2))
+    bounds = [np.minimum(1, boundary / np.sqrt(pixels) / 10), 4 * np.pi * pixels / boundary**2]
+
+    change = (mask[:, :, 1:] != mask[:, :, :-1]) & valid[:, :, 1:]
+    crossings = [np.minimum(1, np.take_along_axis(change.sum(axis=2), np.minimum((k + 1) * h // 5, h - 1)[:, None], axis=1)[:, 0] / 20) for k in range(4)]
+
+    two = (h >= 2) & (w >= 2)
+    across = np.take_along_axis(mask, np.clip(w[:, None] - 1 - xs, 0, None)[:, None, :], axis=2) == mask
+    along = np.take_along_axis(mask, np.clip(h[:, None] - 1 - ys, 0, None)[:, :, None], axis=1) == mask
+    half_x, half_y = valid & (xs < (w // 2)[:, None])[:, None, :], valid & (ys < (h // 2)[:, None])[:, :, None]
+    symmetry = [np.where(two, share((a & b).sum(axis=(1, 2)), b.sum(axis=(1, 2))), 0) for a, b in ((across, half_x), (along, half_y))]
+
+    inner = valid & ~edge
+    bones = thin(mask, inner)
+    degree = sum(moved(bones, *d).astype(np.int8) for d in eight)
+    skeleton = [np.where(three, np.minimum(1, (bones & inner & c).sum(axis=(1, 2)) / 10), 0) for c in (degree >= 3, degree == 1)]
+
+    both = mask & inner & (up.astype(np.int8) + right + down + left_of == 2)
+    bend = sum((both & a & b & ~eight[d]).sum(axis=(1, 2)) for a, b, d in ((up, right, (-1, 1)), (right, down, (1, 1)), (down, left_of, (1, -1)), (left_of, up, (-1, -1))))
+    corners = np.where(three & (boundary >= 5), np.minimum(1, bend / 20), 0)
+
+    top, near = (ys < (h // 2)[:, None])[:, :, None], (xs < (w // 2)[:, None])[:, None, :]
+    quarters = [share((mask & q).sum(axis=(1, 2)), (valid & q).sum(axis=(1, 2))) for q in (top & near, top & ~near, ~top & near, ~top & ~near)]
+
+    profile = lambda a, size: resampled(a / a.max(axis=1, keepdims=True), size, PROFILE)
+    out[some] = np.column_stack([
+        profile(column, w), w / h, pixels / area, centre, left, serif, contrast, *counter, terminals, *bounds, *crossings, profile(row, h),
+        np.minimum(1, parts(hole) / 4), *symmetry, *skeleton, corners, *quarters, stroke,
+    ])
+    return out, has
+
+
+def descriptor(img: np.ndarray) -> np.ndarray | None:
+    """The features of one raster; None without ink."""
+    found, has = descriptors(img[None])
+    return found[0] if has[0] else None
+
+
+def lanczos(size: int, new: int) -> np.ndarray:
+    """Weights (new, size) of Lanczos resampling with three lobes, widened where it shrinks."""
+    ratio = size / new
+    wide = max(ratio, 1.0)
+    middle = (np.arange(new) + 0.5) * ratio
+    low = np.clip(np.floor(middle - 3 * wide), 0, size - 1).astype(int)
+    high = np.clip(np.ceil(middle + 3 * wide), low + 1, size).astype(int)
+    at = np.arange(size)[None, :]
+    t = (at - (middle[:, None] - 0.5)) / wide
+    k = np.where(np.abs(t) < 3, np.sinc(t) * np.sinc(t / 3), 0) * ((at >= low[:, None]) & (at < high[:, None]))
+    return k / k.sum(axis=1, keepdims=True)
+
+
+def gradient_histograms(imgs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Orientation histograms of 4 x 4 cells with one norm of rasters (n, h, w) of one size, and whether they are large enough (3 px).
+
+    Rasters are first scaled, up or down, until they fit a square, and centred on white.
+    """
+    n, h, w = imgs.shape
+    if min(h, w) < 3:
+        return np.zeros((n, CELLS * CELLS * ORIENTATIONS), np.float32), np.zeros(n, bool)
+    scale = np.float32(min(SIDE / np.float32(w), SIDE / np.float32(h)))
+    to = lambda k: max(1, int(np.floor(np.float32(k) * scale + np.float32(0.5))))
+    if (to(h), to(w)) != (h, w):
+        imgs = np.floor(np.clip(lanczos(h, to(h)) @ imgs.astype(float) @ lanczos(w, to(w)).T, 0, 255) + 0.5)
+        h, w = imgs.shape[1:]
+    sq = np.full((n, SIDE, SIDE), 255.0)
+    oy, ox = (SIDE - h) // 2, (SIDE - w) // 2
+    sq[:, oy : oy + h, ox : ox + w] = imgs
+    gy, gx = np.gradient(sq, axis=(1, 2))
     size = np.hypot(gx, gy)
     place = np.mod(np.arctan2(gy, gx), np.pi) / (np.pi / ORIENTATIONS)
-    low = np.floor(place).astype(int) % ORIENTATIONS
-    part = place - np.floor(place)
+    low = np.floor(place).astype(int)
+    part, low = place - low, low % ORIENTATIONS
     cell = np.arange(SIDE) * CELLS // SIDE
-    base = (cell[:, None] * CELLS + cell[None, :]) * ORIENTATIONS
-    out = np.bincount((base + low).ravel(), (size * (1 - part)).ravel(), CELLS * CELLS * ORIENTATIONS) + np.bincount((base + (low + 1) % ORIENTATIONS).ravel(), (size * part).ravel(), CELLS * CELLS * ORIENTATIONS)
-    norm = np.linalg.norm(out)
-    return (out / norm if norm > 1e-6 else out).astype(np.float32)
+    bins = CELLS * CELLS * ORIENTATIONS
+    base = np.arange(n)[:, None, None] * bins + (cell[:, None] * CELLS + cell[None, :]) * ORIENTATIONS
+    out = np.bincount((base + low).ravel(), (size * (1 - part)).ravel(), n * bins) + np.bincount((base + (low + 1) % ORIENTATIONS).ravel(), (size * part).ravel(), n * bins)
+    out = out.reshape(n, bins)
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.where(norm > 1e-6, out / np.maximum(norm, 1e-6), out).astype(np.float32), np.ones(n, bool)
+
+
+def gradient_histogram(img: np.ndarray) -> np.ndarray | None:
+    """The histograms of one raster; None below 3 px."""
+    found, ok = gradient_histograms(img[None])
+    return found[0] if ok[0] else None
 
 
 def seam(energy: np.ndarray) -> np.ndarray:
@@ -249,36 +349,70 @@ def best_shift(a: np.ndarray, b: np.ndarray, most: int = 3, enough: float = 0.92
     return best
 
 
-def skew_degrees(img: np.ndarray, most: float = 5.0, step: float = 0.05) -> float:
-    """Angle whose rows gather the horizontal edges best; 0 unless that stands out."""
-    g = img.astype(float)
-    edge = np.abs(g[2:, 1:-1] - g[:-2, 1:-1]) > 64
-    ys, xs = np.nonzero(edge)
-    if len(ys) < 20:
+def skew_edges(img: np.ndarray) -> np.ndarray:
+    """Horizontal edges at 600 pixels width at most: a vertical Sobel gradient above a fifth of the greatest."""
+    h, w = img.shape
+    scale = np.float32(600) / np.float32(w) if w > 600 else np.float32(1)
+    sh, sw = max(1, int(np.float32(h) * scale)), max(1, int(np.float32(w) * scale))
+    if h < 3 or w < 3:
+        return np.zeros((sh, sw), bool)
+    g = img.astype(np.int32)
+    rows = g[:, :-2] + 2 * g[:, 1:-1] + g[:, 2:]
+    sobel = np.zeros((h, w), np.int32)
+    sobel[1:-1, 1:-1] = np.abs(rows[2:] - rows[:-2])
+    back = np.float32(1) / scale
+    sy, sx = (np.minimum((np.arange(k, dtype=np.float32) * back).astype(int), m - 1) for k, m in ((sh, h), (sw, w)))
+    grad = sobel[np.ix_(sy, sx)]
+    grad[[0, -1]], grad[:, [0, -1]] = 0, 0
+    return grad > int(np.float32(grad.max()) * np.float32(0.2))
+
+
+def skew_degrees(img: np.ndarray, most: float = 5.0, step: float = 0.05, sure: bool = True) -> float:
+    """Angle of the text lines by votes of near-horizontal lines; 0 unless the peak is clear (sure=False: the best angle anyway).
+
+    Votes from 0.3 of the greatest count. The best angle must have twice the mean votes and 1.5 times those of any other but its
+    neighbours, stand out from these, and have two bands of lines 20 px apart; it is refined by a parabola.
+    """
+    ys, xs = np.nonzero(skew_edges(img))
+    if not len(ys):
+        return 0.0
+    sh, sw = skew_edges(img).shape
+    far = int(np.ceil(np.hypot(sh, sw)))
+    degrees = np.float32(90 - most) + np.arange(round(2 * most / step) + 1, dtype=np.float32) * np.float32(step)
+    votes = np.empty((len(degrees), 2 * far + 1), np.int64)
+    for k, t in enumerate(np.radians(degrees)):
+        rho = xs.astype(np.float32) * np.cos(t) + ys.astype(np.float32) * np.sin(t)
+        votes[k] = np.bincount((np.copysign(np.floor(np.abs(rho) + np.float32(0.5)), rho)).astype(int) + far, minlength=2 * far + 1)
+    if votes.max() < 10:
+        return 0.0
+    strong = votes >= int(np.float32(votes.max()) * np.float32(0.3))
+    sums = np.where(strong, votes, 0).sum(axis=1)
+    best = len(sums) - 1 - int(sums[::-1].argmax())
+    apart = np.abs(np.arange(len(sums)) - best) > 1
+    if not sure:
+        return float(degrees[best] - 90)
+    if best in (0, len(sums) - 1) or sums[best] < 2 * sums.mean() or sums[best] < 1.5 * sums[apart].max():
+        return 0.0
+    bend = float(2 * sums[best] - sums[best - 1] - sums[best + 1])
+    lines = np.flatnonzero(strong[best])
+    if bend <= 0.05 * sums[best] or 1 + int((np.diff(lines) > 20).sum()) < 2:
         return 0.0
-    angles = np.arange(-most, most + step / 2, step)
-    score = np.empty(len(angles))
-    for k, angle in enumerate(angles):
-        votes = np.bincount(np.round(ys - xs * np.tan(np.radians(angle)) + img.shape[1]).astype(int))
-        score[k] = votes[votes >= 0.3 * votes.max()].sum()
-    best = int(score.argmax())
-    return float(angles[best]) if score[best] >= 1.5 * score.mean() else 0.0
+    return float(degrees[best] - 90 + (sums[best + 1] - sums[best - 1]) / (2 * bend) * step)
 
 
 def rotated(img: np.ndarray, degrees: float) -> np.ndarray:
-    """The raster turned about its middle, bilinear, white outside."""
+    """The raster turned about its middle, bilinear; white where one of the four pixels lies outside."""
     h, w = img.shape
-    t = np.radians(degrees)
-    y, x = np.mgrid[0:h, 0:w].astype(float)
-    y, x = y - (h - 1) / 2, x - (w - 1) / 2
-    sx, sy = np.cos(t) * x + np.sin(t) * y + (w - 1) / 2, -np.sin(t) * x + np.cos(t) * y + (h - 1) / 2
-    p = np.pad(img.astype(float), 1, constant_values=255.0)
-    ok = (sx > -1) & (sx < w) & (sy > -1) & (sy < h)
-    fx, fy = np.floor(np.where(ok, sx, 0)).astype(int), np.floor(np.where(ok, sy, 0)).astype(int)
-    ax, ay = np.where(ok, sx, 0) - fx, np.where(ok, sy, 0) - fy
-    at = lambda dy, dx: p[fy + 1 + dy, fx + 1 + dx]
-    out = (at(0, 0) * (1 - ax) + at(0, 1) * ax) * (1 - ay) + (at(1, 0) * (1 - ax) + at(1, 1) * ax) * ay
-    return np.where(ok, np.round(out), 255).astype(np.uint8)
+    t = np.radians(np.float32(degrees))
+    y, x = np.mgrid[0:h, 0:w].astype(np.float32)
+    y, x = y - np.float32(h / 2), x - np.float32(w / 2)
+    sx, sy = np.cos(t) * x + (np.sin(t) * y + np.float32(w / 2)), -np.sin(t) * x + (np.cos(t) * y + np.float32(h / 2))
+    fx, fy = np.floor(sx).astype(int), np.floor(sy).astype(int)
+    ok = (fx >= 0) & (fy >= 0) & (fx + 1 < w) & (fy + 1 < h)
+    ax, ay = sx - fx, sy - fy
+    at = lambda dy, dx: img[np.where(ok, fy + dy, 0), np.where(ok, fx + dx, 0)].astype(np.float32)
+    out = at(0, 0) * (1 - ax) * (1 - ay) + at(0, 1) * ax * (1 - ay) + at(1, 0) * (1 - ax) * ay + at(1, 1) * ax * ay
+    return np.where(ok, np.floor(out + np.float32(0.5)), 255).astype(np.uint8)
 
 
 def map_rasters(rasters: DataFrame, kernel, kind: str, name: str, keep: tuple = ("id",)) -> DataFrame:
@@ -295,6 +429,35 @@ def map_rasters(rasters: DataFrame, kernel, kind: str, name: str, keep: tuple =
     return rasters.mapInArrow(run, ", ".join([*[f"{c} {kinds[c]}" for c in keep], f"{name} {kind}"]))
 
 
+def map_batches(rasters: DataFrame, kernel, name: str, keep: tuple = ("id",), partitions: int | None = None) -> DataFrame:
+    """Adds ``kernel(rasters of one size)`` as array column ``name``, null where the kernel says so, to rows of id, width, height, px.
+
+    Rasters are dealt over the partitions, as one small file can hold many, and those of one size in an Arrow batch are
+    handled at once, STACK pixels at a time.
+    """
+    kinds = dict(rasters.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            px, w, h = (batch.column(c).to_pylist() for c in ("px", "width", "height"))
+            found: list = [None] * len(px)
+            sizes: dict = {}
+            for k, p in enumerate(px):
+                if p is not None:
+                    sizes.setdefault((h[k], w[k]), []).append(k)
+            for (hh, ww), own in sizes.items():
+                step = max(1, STACK // max(1, hh * ww))
+                for a in range(0, len(own), step):
+                    some = own[a : a + step]
+                    values, ok = kernel(np.stack([raster(px[k], ww, hh) for k in some]))
+                    for k, v, good in zip(some, values, ok, strict=True):
+                        found[k] = v if good else None
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(found, pa.list_(pa.float32()))], [*keep, name])
+
+    dealt = rasters.repartition(partitions or rasters.sparkSession.sparkContext.defaultParallelism, *keep)
+    return dealt.mapInArrow(run, ", ".join([*[f"{c} {kinds[c]}" for c in keep], f"{name} array<float>"]))
+
+
 def memoized(rasters: DataFrame, kernel, kind: str, name: str, id_: str = "id") -> DataFrame:
     """The kernel once per distinct raster, joined back to all that have it."""
     hashed = rasters.withColumn("h_", F.sha2(F.concat_ws(":", F.hex("px"), F.col("width").cast("string")), 256))

@@ -1,7 +1,9 @@
-"""Queries of the image kernels, over rasters made from the embeddings and parts; these have no SQL twin."""
+"""Queries of the image kernels, over rasters drawn for the embeddings; these have no SQL twin and are held against brute force in the tests."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from scanlake.operators import kernels as K, sequences
@@ -9,32 +11,66 @@ from scanlake.queries import register
 from scanlake.session import table
 
 
-def rasters(spark, sf_dir):
-    """8 x 8 rasters of the embeddings, enlarged threefold."""
-    grey = F.transform("embedding", lambda v: F.lpad(F.hex(F.least(F.lit(255), F.greatest(F.lit(0), (128 + 300 * v).cast("int")))), 2, "0"))
-    wide = F.transform(F.sequence(F.lit(0), F.lit(575)), lambda i: F.get("g_", (F.floor(i / 72) * 8 + F.floor(F.pmod(i, F.lit(24)) / 3)).cast("int")))
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), grey.alias("g_"))
-    return e.select("id", F.lit(24).alias("width"), F.lit(24).alias("height"), F.unhex(F.array_join(wide, "")).alias("px"))
+def glyph(i: int, grey: np.ndarray) -> np.ndarray:
+    """A glyph-like raster of the i-th vector: bars, bowls with holes, serifs and dots in a box of its own size, on uneven paper."""
+    h, w = 18 + i % 15, 12 + i * 7 % 17
+    img = np.full((h, w), 245.0)
+    t, (y, x) = 1 + i % 3, np.mgrid[0:h, 0:w]
+    if i % 2:
+        img[2 : h - 2, 2 : 2 + t + 1] = 20
+    if i % 3 != 1:
+        r = np.hypot((y - h * 0.6) / (h * 0.3), (x - w * 0.55) / (w * 0.38))
+        img[np.abs(r - 0.75) < 0.1 + 0.1 * t] = 35
+    if i % 5 < 2:
+        img[2 : 2 + t, 1 : w - 1 - i % 3] = 10
+        img[h - 2 - t : h - 2, 1 : w - 2] = 10
+    if i % 7 == 0:
+        img[h // 2 : h // 2 + t, 2 : w - 2] = 60
+    if i % 11 == 0:
+        img[np.abs(y - x * h / w) < t] = 15
+    noise = np.resize(grey, h * w).reshape(h, w)
+    return np.clip(img + 14 * noise, 0, 255 if i % 13 else 200).astype(np.uint8)
+
+
+def page(i: int, grey: np.ndarray) -> np.ndarray:
+    """A page of text bands turned by up to 2 degrees."""
+    rng = np.random.default_rng(i)
+    img = np.full((160, 240), 255, np.uint8)
+    for y in range(20, 140, 24 + i % 5):
+        for x in range(20, 210, 9):
+            img[y : y + 8, x : x + int(rng.integers(3, 8))] = 20
+    return K.rotated(img, float(grey[0]) * 2)
+
+
+def rasters(spark, sf_dir, draw=glyph):
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("id").to_pylist()
+            imgs = [draw(i, np.asarray(v, float)) for i, v in zip(ids, batch.column("embedding").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.shape[1] for x in imgs], pa.int32()), pa.array([x.shape[0] for x in imgs], pa.int32()), pa.array([x.tobytes() for x in imgs], pa.binary())], ["id", "width", "height", "px"])
+
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return e.repartition(spark.sparkContext.defaultParallelism, "id").mapInArrow(run, f"id {dict(e.dtypes)['id']}, width int, height int, px binary")
 
 
 @register("features_63")
 def features_63(spark, sf_dir):
-    return K.map_rasters(rasters(spark, sf_dir), K.descriptor, "array<float>", "features")
+    return K.map_batches(rasters(spark, sf_dir), K.descriptors, "features")
 
 
 @register("hog_128")
 def hog_128(spark, sf_dir):
-    return K.map_rasters(rasters(spark, sf_dir), K.gradient_histogram, "array<float>", "hog")
+    return K.map_batches(rasters(spark, sf_dir), K.gradient_histograms, "hog")
 
 
 @register("seam_split")
 def seam_split(spark, sf_dir):
-    return K.memoized(rasters(spark, sf_dir), lambda img: __import__("numpy").array(K.cuts(img, 4), dtype="int32"), "array<int>", "cuts")
+    return K.memoized(rasters(spark, sf_dir), lambda img: np.array(K.cuts(img, 4), dtype=np.int32), "array<int>", "cuts")
 
 
 @register("skew_angle")
 def skew_angle(spark, sf_dir):
-    return K.map_rasters(rasters(spark, sf_dir), K.skew_degrees, "double", "skew")
+    return K.map_rasters(rasters(spark, sf_dir, page), lambda img: K.skew_degrees(img, sure=False), "double", "skew")
 
 
 @register("obs_alignment")
