@@ -23,6 +23,8 @@ from scanlake.llm.common import Scratch
 LENGTH, END = 2048, 0
 #: Sequences' worth of tokens that are packed together.
 GROUP = 256
+#: Sequences filled less than this are dealt and searched once more, those of all groups together.
+SLACK = 0.95
 #: Chunks a generation of a worker's memory holds; a worker keeps two, and those used last pass from the older to the newer.
 REMEMBERED = 320_000
 _known: dict[str, Stems] = {}
@@ -288,8 +290,9 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int =
     """Places every piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     The tokens' table is written once; its pieces are dealt by a salt into groups of about ``group`` sequences' worth of tokens,
-    whatever their keys, and each group is packed by the local search on its own. The sequences that a group leaves not
-    full are dealt once more, and the search goes on from them among those of others, so groups cost no sequence each. Null text counts as empty: the end
+    whatever their keys, and each group is packed by the local search on its own. The sequences that a group leaves
+    less than SLACK full are dealt once more, and the search goes on from them among those of others, so groups cost
+    hardly a sequence each. Null text counts as empty: the end
     token alone. A very long text is one row of tokens at a time in memory and goes on as its pieces. Repeated rows are
     packed each; an empty table gives no rows; other columns are not carried.
     """
@@ -318,9 +321,9 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int =
     schema = ", ".join(f"{c} {t}" for c, t in cut.dtypes if c != "salt") + ", sequence_id bigint, offset bigint, filled bigint"
     n = groups(cut)
     placed = scratch.save(cut.withColumn("grp", F.pmod("salt", F.lit(n))).groupBy("grp").applyInPandas(place(0, False), schema), "placed")
-    rest = placed.where(F.col("filled") < length)
+    rest = placed.where(F.col("filled") < SLACK * length)
     again = rest.withColumn("grp", F.pmod(F.xxhash64("sequence_id"), F.lit(groups(rest)))).groupBy("grp").applyInPandas(place(n, True), schema)
-    return placed.where(F.col("filled") == length).unionByName(again).drop("filled")
+    return placed.where(F.col("filled") >= SLACK * length).unionByName(again).drop("filled")
 
 
 def default_tokenizer() -> str:
