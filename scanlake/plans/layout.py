@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scanlake.operators import layout as L
+from scanlake.operators import layout as L, lines
 from scanlake.queries import register
 from scanlake.session import table
 from scanlake.sources.tsv import parse_tsv
@@ -149,3 +149,65 @@ def merge_runs(spark, sf_dir):
 @register("merge_runs_vertical", runs_sql("y", "x"))
 def merge_runs_vertical(spark, sf_dir):
     return L.merge_runs(runs(spark, sf_dir, "y", "x"), ["l_orderkey"], "y", "x")
+
+
+WORD_BOXES = """w AS (SELECT l_orderkey, l_orderkey % 20 AS line, (l_linenumber * 1000000 + l_partkey) * 100000 + l_suppkey AS ord, repeat(l_returnflag, 1 + l_suppkey % 3) AS text, CAST(l_linenumber * 30 + l_partkey % 9 AS BIGINT) AS x, CAST(l_partkey % 60 AS BIGINT) AS y, CAST(l_quantity AS BIGINT) AS width, CAST(6 + l_suppkey % 40 AS BIGINT) AS height, CAST(l_partkey * 7 % 101 AS DOUBLE) AS confidence, CAST(8 + l_linenumber AS DOUBLE) AS font_size_pt FROM lineitem)"""
+
+
+def boxes(spark, sf_dir):
+    long = lambda c: c.cast("long")
+    li, p, s = table(spark, sf_dir, "lineitem"), F.col("l_partkey"), F.col("l_suppkey")
+    return li.select(
+        "l_orderkey", (F.col("l_orderkey") % 20).alias("line"), ((F.col("l_linenumber") * 1000000 + p) * 100000 + s).alias("ord"), F.expr("repeat(l_returnflag, cast(1 + l_suppkey % 3 AS int))").alias("text"),
+        long(F.col("l_linenumber") * 30 + p % 9).alias("x"), long(p % 60).alias("y"), long(F.col("l_quantity")).alias("width"), long(6 + s % 40).alias("height"), (p * 7 % 101).cast("double").alias("confidence"), (8 + F.col("l_linenumber")).cast("double").alias("font_size_pt"),
+    )
+
+
+LINE_SQL = "string_agg(text, ' ' ORDER BY ord) AS text, CAST(min(x) AS BIGINT) AS x, CAST(min(y) AS BIGINT) AS y, CAST(max(x + width) - min(x) AS BIGINT) AS width, CAST(max(y + height) - min(y) AS BIGINT) AS height, round(avg(confidence), 6) AS confidence, CAST(count(*) AS BIGINT) AS n_words"
+
+
+@register(
+    "lines_without_outliers",
+    f"""WITH {WORD_BOXES}, m AS (SELECT l_orderkey, count(*) AS n, list_sort(list(height))[len(list(height)) // 2 + 1] AS med, arg_min(font_size_pt, ord) AS font_size_pt FROM w GROUP BY l_orderkey)
+    SELECT w.l_orderkey, {LINE_SQL}, any_value(m.font_size_pt) AS font_size_pt FROM w JOIN m ON w.l_orderkey = m.l_orderkey WHERE n < 2 OR height < 1.8 * med OR confidence >= 70 GROUP BY w.l_orderkey""",
+)
+def lines_without_outliers(spark, sf_dir):
+    return lines.lines_without_outliers(boxes(spark, sf_dir), ["l_orderkey"], "ord").withColumn("confidence", F.round("confidence", 6))
+
+
+@register(
+    "split_merged_lines",
+    f"""WITH {WORD_BOXES}, s AS (SELECT l_orderkey, list_sort(list(height)) AS hs FROM w GROUP BY l_orderkey), g AS (SELECT l_orderkey, hs, list_transform(range(1, len(hs)), lambda i: hs[i + 1] / hs[i]) AS jumps FROM s),
+    b AS (SELECT l_orderkey, CASE WHEN list_max(jumps) >= 2 AND hs[list_position(jumps, list_max(jumps))] >= 10 THEN hs[list_position(jumps, list_max(jumps)) + 1] END AS cut FROM g),
+    p AS (SELECT w.*, CASE WHEN height >= cut THEN 1 ELSE 0 END AS part FROM w JOIN b ON w.l_orderkey = b.l_orderkey),
+    e AS (SELECT l_orderkey, part, min(y) AS lo, max(y + height) AS hi FROM p GROUP BY ALL HAVING count(*) >= 3), r AS (SELECT l_orderkey, part, lo, hi, unnest(range(lo, hi)) AS y FROM e),
+    c AS (SELECT r.l_orderkey, r.part, r.lo, r.hi, r.y, coalesce(sum(p.confidence / 100), 0) AS cover FROM r LEFT JOIN p ON p.l_orderkey = r.l_orderkey AND p.part = r.part AND r.y >= p.y AND r.y < p.y + p.height GROUP BY ALL),
+    v AS (SELECT l_orderkey, part, min(y) AS a, max(y) + 1 AS z FROM (SELECT *, y - row_number() OVER (PARTITION BY l_orderkey, part ORDER BY y) AS g FROM c WHERE cover < 0.5) GROUP BY l_orderkey, part, g, lo, hi HAVING max(y) - min(y) >= 1 AND min(y) > lo AND max(y) + 1 < hi),
+    d AS (SELECT p.*, (SELECT count(*) FROM v WHERE v.l_orderkey = p.l_orderkey AND v.part = p.part AND p.y + p.height // 2 >= v.z) AS band, confidence < 60 AND EXISTS (SELECT 1 FROM v WHERE v.l_orderkey = p.l_orderkey AND v.part = p.part AND p.y + p.height // 2 >= v.a AND p.y + p.height // 2 < v.z) AS gone FROM p),
+    k AS (SELECT *, (SELECT count(DISTINCT d2.band) FROM d AS d2 WHERE NOT d2.gone AND d2.l_orderkey = d.l_orderkey AND d2.part = d.part) > 1 AS several FROM d)
+    SELECT l_orderkey, CAST(part AS INTEGER) AS part, CAST(CASE WHEN several THEN band ELSE 0 END AS INTEGER) AS band, {LINE_SQL}, arg_min(font_size_pt, ord) AS font_size_pt FROM k WHERE NOT (several AND gone) GROUP BY 1, 2, 3""",
+)
+def split_merged_lines(spark, sf_dir):
+    return lines.split_lines(boxes(spark, sf_dir), ["l_orderkey"], "ord").withColumn("confidence", F.round("confidence", 6))
+
+
+@register(
+    "merge_line_into",
+    f"""WITH RECURSIVE {WORD_BOXES}, z AS (SELECT *, l_orderkey // 4 AS into_line, l_orderkey % 4 <> 0 AS taken FROM w), o AS (SELECT *, row_number() OVER (PARTITION BY into_line ORDER BY x, taken, ord) AS i FROM z),
+    f AS (SELECT into_line, i, 1 AS head, x, y, x + width AS x2, y + height AS y2, text, confidence FROM o WHERE i = 1 UNION ALL
+      SELECT into_line, i, head, x, y, x2, y2, text, confidence FROM (SELECT o.into_line, o.i, CASE WHEN j THEN f.head ELSE f.head + 1 END AS head, CASE WHEN j THEN f.x ELSE o.x END AS x, CASE WHEN j THEN least(f.y, o.y) ELSE o.y END AS y, CASE WHEN j THEN greatest(f.x2, o.x + o.width) ELSE o.x + o.width END AS x2, CASE WHEN j THEN greatest(f.y2, o.y + o.height) ELSE o.y + o.height END AS y2,
+        CASE WHEN NOT j THEN o.text WHEN NOT c THEN f.text || o.text WHEN o.confidence > f.confidence AND strlen(o.text) >= strlen(f.text) THEN o.text ELSE f.text END AS text, CASE WHEN NOT j THEN o.confidence WHEN c THEN greatest(f.confidence, o.confidence) ELSE (f.confidence + o.confidence) / 2 END AS confidence
+        FROM f JOIN o ON o.into_line = f.into_line AND o.i = f.i + 1, LATERAL (SELECT f.x2 + 2 >= o.x AS j, greatest(f.x2 - o.x, 0) > (f.x2 - f.x) // 2 OR greatest(f.x2 - o.x, 0) > o.width // 2 AS c) t)),
+    m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY into_line, head ORDER BY i DESC) AS last FROM f) WHERE last = 1)
+    SELECT CAST(m.into_line AS BIGINT) AS into_line, string_agg(m.text, ' ' ORDER BY head) AS text, CAST(min(m.x) AS BIGINT) AS x, CAST(min(m.y) AS BIGINT) AS y, CAST(max(m.x2) - min(m.x) AS BIGINT) AS width, CAST(max(m.y2) - min(m.y) AS BIGINT) AS height, round(avg(m.confidence), 6) AS confidence, CAST(count(*) AS BIGINT) AS n_words, (SELECT font_size_pt FROM o WHERE o.into_line = m.into_line AND o.i = 1) AS font_size_pt FROM m GROUP BY m.into_line""",
+)
+def merge_line_into(spark, sf_dir):
+    b = boxes(spark, sf_dir).withColumn("into_line", F.floor(F.col("l_orderkey") / 4))
+    return lines.merged_lines(b, ["into_line"], F.col("l_orderkey") % 4 == 0, "ord").withColumn("confidence", F.round("confidence", 6))
+
+
+@register("lines_overlap", f"WITH {WORD_BOXES}, l AS (SELECT l_orderkey, l_orderkey % 50 AS page, min(x) AS x, min(y) AS y, max(x + width) AS x2, max(y + height) AS y2 FROM w GROUP BY l_orderkey) SELECT a.l_orderkey AS a, b.l_orderkey AS b FROM l AS a JOIN l AS b ON a.page = b.page AND a.l_orderkey < b.l_orderkey WHERE least(a.y2, b.y2) - greatest(a.y, b.y) >= 0.5 * least(a.y2 - a.y, b.y2 - b.y) AND least(a.y2, b.y2) > greatest(a.y, b.y) AND a.x < b.x2 AND b.x < a.x2")
+def lines_overlap(spark, sf_dir):
+    l_ = lines.line_rows(boxes(spark, sf_dir), ["l_orderkey"], "ord").withColumn("page", F.col("l_orderkey") % 50)
+    both = l_.alias("a").join(l_.alias("b"), (F.col("a.page") == F.col("b.page")) & (F.col("a.l_orderkey") < F.col("b.l_orderkey")))
+    return both.where(L.lines_overlap("a", "b")).select(F.col("a.l_orderkey").alias("a"), F.col("b.l_orderkey").alias("b"))
