@@ -18,7 +18,7 @@ DEPTH = 50
 #: Bytes of text of a block, the unit that is kept together (a longer document is a block of its own).
 BLOCK_BYTES = 8 << 20
 #: Anchors of a bucket, about, and bytes of text for each anchor.
-BUCKET_ANCHORS, BYTES_AN_ANCHOR = 1 << 18, 18
+BUCKET_ANCHORS, BYTES_AN_ANCHOR = 1 << 16, 18
 #: An anchor with more different surroundings than this is split by its whole windows.
 HOT = 4096
 
