@@ -46,3 +46,8 @@ def luma(r: Column, g: Column, b: Column) -> Column:
 def affine(x: Column, y: Column, m: list[Column]) -> tuple[Column, Column]:
     """A point through a 2 x 3 matrix given as [a, b, c, d, e, f]."""
     return m[0] * x + m[2] * y + m[4], m[1] * x + m[3] * y + m[5]
+
+
+def em_from_scale(scale: Column, units: Column) -> Column:
+    """Em size in pixels from pixels a font unit."""
+    return scale * units

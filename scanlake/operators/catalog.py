@@ -106,3 +106,85 @@ def kern_lookup(wanted: DataFrame, glyph_pairs: DataFrame, class_pairs: DataFram
 def support_mask(probes: DataFrame, keys: list[str], bit: str, supported: str) -> DataFrame:
     """Bit set of the probes that hold."""
     return probes.groupBy(*keys).agg(F.coalesce(F.bit_or(F.when(F.col(supported), F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), F.col(bit)).cast("int"))), F.lit(0)).cast("int").alias("mask"))
+
+
+def glyph_keys(groups: DataFrame, seq: str, keys: str = "keys") -> DataFrame:
+    """(seq, glyph_id, place, key): the members of content groups, a row each, in their order."""
+    return groups.select(seq, "glyph_id", F.posexplode(keys).alias("place", "key"))
+
+
+def glyphs_of_keys(wanted: DataFrame, groups: DataFrame, seq: str, key: str) -> DataFrame:
+    """Adds glyph_id, the (first) group of the sequence that the key belongs to; null without one."""
+    one = glyph_keys(groups, seq).groupBy(seq, F.col("key").alias(key)).agg(F.min("glyph_id").alias("glyph_id"))
+    return wanted.join(one, [seq, key], "left")
+
+
+def keys_of_glyphs(wanted: DataFrame, groups: DataFrame, seq: str) -> DataFrame:
+    """Adds keys, the members of the (seq, glyph_id) wanted; an empty list where there is no such group."""
+    kind = dict(groups.dtypes)["keys"]
+    return wanted.join(groups.select(seq, "glyph_id", "keys"), [seq, "glyph_id"], "left").withColumn("keys", F.coalesce("keys", F.array().cast(kind)))
+
+
+def keys_of_sequences(groups: DataFrame, seq: str) -> DataFrame:
+    """(seq, keys): all members of a sequence's groups, by group, then in their order; a key of two groups twice."""
+    return glyph_keys(groups, seq).groupBy(seq).agg(F.transform(F.array_sort(F.collect_list(F.struct("glyph_id", "place", "key"))), lambda x: x["key"]).alias("keys"))
+
+
+def known_keys(groups: DataFrame, seq: str) -> DataFrame:
+    """(key): the members of any group, once each."""
+    return glyph_keys(groups, seq).select("key").distinct()
+
+
+#: What stands for the family of a group whose first member is unknown.
+NO_FAMILY = (1 << 32) - 1
+
+
+def families_of_glyphs(groups: DataFrame, families: DataFrame, seq: str, key: str, family: str) -> DataFrame:
+    """(seq, glyph_id, family): that of each group's first member."""
+    first = groups.select(seq, "glyph_id", F.get("keys", F.lit(0)).alias(key))
+    one = families.groupBy(key).agg(F.min(family).cast("long").alias(family))
+    return first.join(one, key, "left").select(seq, "glyph_id", F.coalesce(family, F.lit(NO_FAMILY)).alias(family))
+
+
+def find_by_name(names: DataFrame, entries: DataFrame, name: str, key: str, has_kern: str) -> DataFrame:
+    """Adds found: the entry whose key is the name (without its subset prefix), else the preferred one of that postscript name."""
+    stripped = F.regexp_replace(name, r"^[^+]*\+", "")
+    exact = entries.select(F.col(key).alias("stripped_")).distinct().withColumn("exact_", F.col("stripped_"))
+    best = best_by_preference(entries, ["postscript_name"], key, has_kern).select(F.col("postscript_name").alias("stripped_"), F.col(key).alias("best_"))
+    d = names.withColumn("stripped_", stripped).join(exact, "stripped_", "left").join(best, "stripped_", "left")
+    return d.select(*names.columns, F.coalesce("exact_", "best_").alias("found"))
+
+
+def correct_candidate(lines: DataFrame, entries: DataFrame, truth: str, key: str) -> DataFrame:
+    """Adds correct_key, correct_score, correct_rank: the true font among a line's candidates (key, score), if the catalog has it.
+
+    Where the candidates lack it, the rank and score recorded with the line (gt_rank, gt_score; both or neither) stand in.
+    """
+    stripped = F.regexp_replace(truth, r"^[^+]*\+", "")
+    known = entries.select(F.col(key).alias("stripped_")).distinct().withColumn("known_", F.lit(True))
+    d = lines.withColumn("stripped_", stripped).join(known, "stripped_", "left")
+    place = F.array_position(F.transform("font_candidates", lambda c: c["key"]), F.col("stripped_"))
+    d = d.withColumn("place_", F.when(F.col("known_") & (place > 0), place.cast("int")))
+    recorded = F.col("known_") & F.col("gt_rank").isNotNull() & F.col("gt_score").isNotNull()
+    listed = F.col("place_").isNotNull()
+    rank = F.when(listed, F.col("place_")).when(recorded, F.col("gt_rank").cast("int"))
+    score = F.when(listed, F.get("font_candidates", F.col("place_") - 1)["score"]).when(recorded, F.col("gt_score"))
+    return d.select(*lines.columns, F.when(rank.isNotNull(), F.col("stripped_")).alias("correct_key"), score.alias("correct_score"), rank.alias("correct_rank"))
+
+
+def without_ligatures(key: Column) -> Column:
+    """Whether a key is that of a variant without ligatures."""
+    return key.contains("nolig")
+
+
+def is_ligature_case(sequence: Column, correct_key: Column, chosen_key: Column) -> Column:
+    """Whether an observation with a ligature character tells two fonts apart of which one has ligatures and one has not."""
+    return (without_ligatures(correct_key) != without_ligatures(chosen_key)) & sequence.rlike("[\ufb00-\ufb04]")
+
+
+def with_ligature_cases(shown: DataFrame, rows: DataFrame, key: list[str], index: str, case: Column) -> DataFrame:
+    """The rows shown, in order of index, and after them the ligature cases that aren't among them (column place)."""
+    first = shown.select(*key, index).withColumn("shown_", F.lit(True))
+    d = rows.join(first, [*key, index], "left").where(F.col("shown_") | case)
+    w = Window.partitionBy(*key).orderBy(F.col("shown_").isNull(), index)
+    return d.withColumn("place", F.row_number().over(w)).drop("shown_")
