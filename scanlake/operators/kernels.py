@@ -321,8 +321,7 @@ def windowed_ssim(a: np.ndarray, b: np.ndarray, dy: int = 0, side: int = 11, ste
     y[max(0, dy) : max(0, dy) + len(src), : b.shape[1]] = src
     c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
     if min(h, w) >= side:
-        k = np.exp(-((np.arange(side) - side // 2) ** 2) / (2 * sigma**2))
-        k = np.outer(k, k) / k.sum() ** 2
+        k = gaussian(side, sigma)
         view = lambda m: np.lib.stride_tricks.sliding_window_view(m, (side, side))[::step, ::step]
         p, q = view(x), view(y)
         some = ((p < 255).sum(axis=(2, 3)) >= 3) | ((q < 255).sum(axis=(2, 3)) >= 3)
@@ -349,6 +348,109 @@ def best_shift(a: np.ndarray, b: np.ndarray, most: int = 3, enough: float = 0.92
     return best
 
 
+def blurred(img: np.ndarray) -> np.ndarray:
+    """A 3 x 3 blur by (1, 2, 1) / 4 along rows, then columns, edges repeated, rounded after each; rasters below 3 px stay."""
+    if min(img.shape) < 3:
+        return img
+    for axis in (1, 0):
+        p = np.pad(img.astype(np.int32), [(0, 0) if k != axis else (1, 1) for k in (0, 1)], mode="edge")
+        take = lambda a, b: p[a : p.shape[0] + b] if axis == 0 else p[:, a : p.shape[1] + b]
+        img = ((take(0, -2) + 2 * take(1, -1) + take(2, p.shape[axis]) + 2) // 4).astype(np.uint8)
+    return img
+
+
+def gaussian(side: int = 11, sigma: float = 1.5) -> np.ndarray:
+    """Square Gaussian weights that add up to 1."""
+    k = np.exp(-((np.arange(side) - side // 2) ** 2) / (2 * sigma**2))
+    return np.outer(k, k) / k.sum() ** 2
+
+
+def trimmed(img: np.ndarray, below: int = 230, least: float = 0.01) -> np.ndarray:
+    """The raster without the outer rows and columns of which a hundredth or less is ink; as it is below 6 rows, without such rows, or where under 4 px would be left."""
+    h, w = img.shape
+    if not w or h < 6:
+        return img
+    ink = img < below
+    rows, cols = np.flatnonzero(ink.mean(axis=1) > least), np.flatnonzero(ink.mean(axis=0) > least)
+    if not len(rows):
+        return img
+    x0, x1 = (cols[0], cols[-1]) if len(cols) else (0, w - 1)
+    return img if rows[-1] - rows[0] < 3 or x1 - x0 < 3 else img[rows[0] : rows[-1] + 1, x0 : x1 + 1]
+
+
+def ink_cropped(img: np.ndarray) -> np.ndarray:
+    """The raster within its ink box, or as it is without ink."""
+    box = ink_box(img) if img.size else None
+    return img if box is None else img[box]
+
+
+def resized(img: np.ndarray, height: int, width: int) -> np.ndarray:
+    return np.floor(np.clip(lanczos(img.shape[0], height) @ img.astype(float) @ lanczos(img.shape[1], width).T, 0, 255) + 0.5).astype(np.uint8)
+
+
+def global_ssim(a: np.ndarray, b: np.ndarray) -> float:
+    """Structural similarity from whole-raster sums, the smaller one filled with white, within 0 and 1."""
+    h, w = max(a.shape[0], b.shape[0]), max(a.shape[1], b.shape[1])
+    if not h or not w:
+        return 0.0
+    x, y = np.full((h, w), 255.0), np.full((h, w), 255.0)
+    x[: a.shape[0], : a.shape[1]], y[: b.shape[0], : b.shape[1]] = a, b
+    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+    mx, my = x.mean(), y.mean()
+    den = (mx * mx + my * my + c1) * ((x * x).mean() - mx * mx + (y * y).mean() - my * my + c2)
+    return 0.0 if den < 1e-10 else float(np.clip((2 * mx * my + c1) * (2 * ((x * y).mean() - mx * my) + c2) / den, 0, 1))
+
+
+def trimmed_ssim(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two rasters trimmed and brought to the larger sides; 0 for an empty one."""
+    a, b = trimmed(a), trimmed(b)
+    if not a.size or not b.size:
+        return 0.0
+    h, w = max(a.shape[0], b.shape[0]), max(a.shape[1], b.shape[1])
+    return global_ssim(resized(a, h, w), resized(b, h, w))
+
+
+def correlation(a: np.ndarray, b: np.ndarray, dy: int = 0, bail: float | None = None) -> float:
+    """Correlation of a with b read dy rows further down, white outside; 0 below 4 pixels, 1 where either is flat.
+
+    With bail, the running bound (what is summed, and the most that the rest can add) is looked at every so many pixels, and
+    the first one below ends the sum.
+    """
+    h, w = a.shape
+    x, y = a.astype(float), np.full((h, w), 255.0)
+    lo, hi, wide = max(0, -dy), min(h, b.shape[0] - dy), min(w, b.shape[1])
+    if hi > lo:
+        y[lo:hi, :wide] = b[lo + dy : hi + dy, :wide]
+    n = x.size
+    if n < 4:
+        return 0.0
+    x, y = x.ravel(), y.ravel()
+    va, vb = (v @ v - v.sum() ** 2 / n for v in (x, y))
+    den = np.sqrt(max(va * vb, 0.0))
+    if den < 1e-10:
+        return 1.0
+    x, y = x - x.mean(), y - y.mean()
+    if bail is not None:
+        step = max(1, min(200, n // 4))
+        at = np.arange(step, n, step) - 1
+        bound = (np.cumsum(x * y)[at] + np.sqrt(np.maximum(va - np.cumsum(x * x)[at], 0) * np.maximum(vb - np.cumsum(y * y)[at], 0))) / den
+        if (low := np.flatnonzero(bound < bail)).size:
+            return float(np.clip(bound[low[0]], -1, 1))
+    return float(np.clip(x @ y / den, -1, 1))
+
+
+def best_correlation(a: np.ndarray, b: np.ndarray, most: int = 3, bail: float | None = None, enough: float = 0.96) -> tuple[float, int]:
+    """(value within 0 and 1, shift): the greatest correlation over shifts 0, -1, 1, -2, 2 ..., the first of equal ones; none after one that is ``enough``."""
+    best = (-1.0, 0)
+    for dy in [0, *[s * k for k in range(1, most + 1) for s in (-1, 1)]]:
+        value = correlation(a, b, dy, None if bail is None else 2 * bail - 1)
+        if value > best[0]:
+            best = (value, dy)
+            if value >= enough:
+                break
+    return (min(1.0, max(-1.0, best[0])) + 1) / 2, best[1]
+
+
 def skew_edges(img: np.ndarray) -> np.ndarray:
     """Horizontal edges at 600 pixels width at most: a vertical Sobel gradient above a fifth of the greatest."""
     h, w = img.shape

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from scanlake.operators import kernels as K, sequences
+from scanlake.operators import kernels as K, sequences, wordink
 from scanlake.queries import register
 from scanlake.session import table
 
@@ -73,6 +73,27 @@ def skew_angle(spark, sf_dir):
     return K.map_rasters(rasters(spark, sf_dir, page), lambda img: K.skew_degrees(img, sure=False), "double", "skew")
 
 
+@register("raster_similarity")
+def raster_similarity(spark, sf_dir):
+    """Each glyph against its blurred, lowered copy: trimmed similarity, greatest correlation and its shift, greatest windowed similarity and its shift."""
+
+    def compare(imgs):
+        low = [np.roll(K.blurred(x), 1, axis=0) for x in imgs]
+        return np.array([[K.trimmed_ssim(a, b), *K.best_correlation(a, b), *K.best_shift(a, b)] for a, b in zip(imgs, low, strict=True)], np.float32), np.ones(len(imgs), bool)
+
+    return K.map_batches(rasters(spark, sf_dir), compare, "values")
+
+
+@register("refined_words")
+def refined_words(spark, sf_dir):
+    """Boxes of three words on each page of text bands, off by some pixels, refined by the ink."""
+    pages = rasters(spark, sf_dir, page).withColumnRenamed("id", "page")
+    i = F.col("id")
+    words = pages.select(F.col("page").alias("id")).select(i.alias("page"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("word"))
+    words = words.select("page", F.lit(1).alias("line"), "word", (20 + 60 * F.col("word") + F.col("page") % 5).cast("int").alias("x"), (19 + F.col("page") % 3).cast("int").alias("y"), (54 + F.col("page") % 11).cast("int").alias("width"), F.lit(9).alias("height"))
+    return wordink.refined(words, pages, "page", "line", "word")
+
+
 @register("obs_alignment")
 def obs_alignment(spark, sf_dir):
     """Two character sequences of each order aligned in order with a bounded lookahead."""

@@ -251,3 +251,59 @@ def test_skew_edges():
     img[10:20, 100:1100] = 0
     edges = kernels.skew_edges(img)
     assert edges.shape == (15, 600) and edges[5, 300] and not edges[7, 300] and not edges[0].any()
+
+
+def test_blur_and_trims():
+    rng = np.random.default_rng(2)
+    img = rng.integers(0, 256, (5, 7)).astype(np.uint8)
+    at = lambda a, y, x: int(a[min(max(y, 0), 4), min(max(x, 0), 6)])
+    rows = np.array([[(at(img, y, x - 1) + 2 * at(img, y, x) + at(img, y, x + 1) + 2) // 4 for x in range(7)] for y in range(5)])
+    want = np.array([[(at(rows, y - 1, x) + 2 * at(rows, y, x) + at(rows, y + 1, x) + 2) // 4 for x in range(7)] for y in range(5)])
+    assert (kernels.blurred(img) == want).all() and (kernels.blurred(img[:2]) == img[:2]).all()
+    page_ = np.full((30, 200), 255, np.uint8)
+    page_[5:25, 30:170] = 10
+    page_[2, 100] = 0  # one pixel of 200 is less than a hundredth of its row
+    assert kernels.trimmed(page_).shape == (20, 140) and kernels.ink_cropped(page_).shape == (23, 140) and kernels.trimmed(page_[:5]).shape == (5, 200)
+    assert kernels.trimmed_ssim(page_, page_) == pytest.approx(1.0) and kernels.trimmed_ssim(page_, np.pad(page_, 9, constant_values=255)) == pytest.approx(1.0)
+    assert kernels.gaussian().sum() == pytest.approx(1.0) and kernels.gaussian()[5, 5] == kernels.gaussian().max()
+
+
+def test_correlations():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 256, (20, 15)).astype(np.uint8)
+    b = np.full((20, 15), 255, np.uint8)
+    b[2:] = a[:-2]
+    pairs = [(float(a[y, x]), float(b[y + 1, x]) if y + 1 < 20 else 255.0) for y in range(20) for x in range(15)]
+    assert kernels.correlation(a, b, 1) == pytest.approx(np.corrcoef(*zip(*pairs, strict=True))[0, 1])
+    value, dy = kernels.best_correlation(a, b)
+    assert dy == 2 and value > 0.85 and kernels.correlation(a, np.full((20, 15), 9, np.uint8)) == 1.0 and kernels.correlation(a[:1, :3], b) == 0.0
+    other = rng.integers(0, 256, (20, 15)).astype(np.uint8)
+    assert kernels.correlation(a, other, bail=0.9) >= kernels.correlation(a, other) and kernels.correlation(a, a, bail=0.9) == pytest.approx(1.0)
+
+
+def test_words_are_refined_by_ink():
+    from scanlake.operators import wordink as W
+
+    img = np.full((20, 60), 255, np.uint8)
+    img[5:15, 10:20] = 0
+    img[5:15, 25:40] = 0
+    one = W.Box(13, 7, 4, 5)
+    W.expand([one], img, 240, 250, 5)
+    assert (one.x, one.right, one.y, one.bottom) == (10, 20, 5, 15)
+    a, b = W.Box(10, 5, 18, 10), W.Box(22, 5, 18, 10)
+    W.part([a, b], img, 240)
+    assert (a.right, b.x, b.right) == (20, 25, 40)
+    a, b = W.Box(25, 5, 10, 10), W.Box(30, 5, 10, 10)  # no white space between the middles
+    W.part([a, b], img, 240)
+    assert a.right == 30 and b.x == 30
+    wide = W.Box(5, 5, 18, 10)
+    W.trim([wide], img, 240)
+    assert (wide.x, wide.right) == (10, 20)
+    empty = W.Box(45, 5, 10, 10)
+    W.trim([empty], img, 240)
+    assert (empty.x, empty.right) == (45, 55)
+    img[5:15, 20] = 128  # a half-dark edge
+    assert W.extent(img, (5, 15), (0, 24), 240) == pytest.approx((10.0, 20 + 127 / 255)) and W.extent(img, (5, 15), (45, 55), 240) == (45.0, 45.0)
+    assert W.extent(img, (10, 20), (0, 20), 240, vertical=True) == (5.0, 15.0)
+    assert W.walk(np.array([True, True, False, True]), 0, 4, True) == 2 and W.walk(np.array([True, False, True, True]), 4, 0, False) == 2
+    assert W.fractional_edges(np.array([0, 3]), 15) is None
