@@ -188,3 +188,28 @@ def with_ligature_cases(shown: DataFrame, rows: DataFrame, key: list[str], index
     d = rows.join(first, [*key, index], "left").where(F.col("shown_") | case)
     w = Window.partitionBy(*key).orderBy(F.col("shown_").isNull(), index)
     return d.withColumn("place", F.row_number().over(w)).drop("shown_")
+
+
+def overlap_mask(pairs: DataFrame, keys: list[str], bit: str) -> DataFrame:
+    """Bit set of the ligatures of which a pair of neighbouring letters overlaps: the first one's right edge (x_max) lies beyond the second one's left edge (x_min) placed at the first one's advance."""
+    return support_mask(pairs.withColumn("overlaps_", F.coalesce(F.col("x_max") - (F.col("advance") + F.col("x_min")) > 0, F.lit(False))), keys, bit, "overlaps_")
+
+
+def collapsed_mask(key: Column, supported: Column) -> Column:
+    """The ligatures a variant's text is collapsed to: none for one without ligatures."""
+    return F.when(without_ligatures(key), 0).otherwise(supported)
+
+
+def fused_mask(key: Column, supported: Column, overlapping: Column) -> Column:
+    """The ligatures whose letters touch in print: those that a text is collapsed to, and the supported ones whose letters overlap anyway."""
+    return collapsed_mask(key, supported).bitwiseOR(supported.bitwiseAND(overlapping))
+
+
+#: Fixed value: how far a three reaches below a nought, in noughts, in old-style figures.
+OLD_STYLE = 0.15
+
+
+def is_old_style(low_nought: Column, high_nought: Column, low_three: Column) -> Column:
+    """Whether the three of a font reaches below its nought (lower and upper edges, upwards, in hundredths of an em)."""
+    height = high_nought - low_nought
+    return F.coalesce((height >= 1) & (low_nought - low_three > OLD_STYLE * height), F.lit(False))

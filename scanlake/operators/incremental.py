@@ -70,3 +70,15 @@ def pruned_or_all(scores: DataFrame, line: str, keep: Column) -> DataFrame:
     passed = scores.where(keep)
     without = scores.join(passed.select(line).distinct(), line, "left_anti")
     return passed.withColumn("fallback", F.lit(False)).unionByName(without.withColumn("fallback", F.lit(True)))
+
+
+def older_than_any(made: DataFrame, sources: DataFrame, key: str, stamp: str) -> DataFrame:
+    """(key, older): whether something made is older than one of the sources it was made of; false without sources."""
+    latest = sources.groupBy(key).agg(F.max(stamp).alias("latest_"))
+    return made.join(latest, key, "left").select(key, F.coalesce(F.col(stamp) < F.col("latest_"), F.lit(False)).alias("older"))
+
+
+def has_stale_header(headers: DataFrame, key: str, header: str, tag: str) -> DataFrame:
+    """(key, stale): whether one of the headers lacks the tag among its words (an unreadable one, null, does)."""
+    lacks = ~F.coalesce(F.array_contains(F.split(F.regexp_replace(F.trim(header), r"\s+", " "), " "), tag), F.lit(False))
+    return headers.groupBy(key).agg(F.bool_or(lacks).alias("stale"))

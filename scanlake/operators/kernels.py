@@ -451,6 +451,118 @@ def best_correlation(a: np.ndarray, b: np.ndarray, most: int = 3, bail: float |
     return (min(1.0, max(-1.0, best[0])) + 1) / 2, best[1]
 
 
+def painted(img: np.ndarray, boxes: list[tuple[int, int, int, int]], colour, margin: int = 0) -> np.ndarray:
+    """The raster with (x, y, width, height) boxes and a margin around them in one colour."""
+    out = img.copy()
+    for x, y, w, h in boxes:
+        out[max(0, y - margin) : max(0, y + h + margin), max(0, x - margin) : max(0, x + w + margin)] = colour
+    return out
+
+
+#: Ink of the first raster alone, of the second alone, and the rest; what counts as ink.
+FIRST_ONLY, SECOND_ONLY, ALIKE, DIFFERENCE_INK = (220, 30, 30), (30, 80, 220), (255, 255, 255), 180
+
+
+def coloured_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where only one of two rasters has ink, in colour; the second is brought to the first one's size."""
+    b = b if a.shape == b.shape else resized(b, *a.shape)
+    one, other = a < DIFFERENCE_INK, b < DIFFERENCE_INK
+    out = np.full((*a.shape, 3), ALIKE, np.uint8)
+    out[one & ~other], out[other & ~one] = FIRST_ONLY, SECOND_ONLY
+    return out
+
+
+def ink_normalised(img: np.ndarray, height: int = SIDE, below: int = INK_BELOW) -> np.ndarray | None:
+    """The ink box with a white pixel around it, scaled to a height; None without ink or below 2 px of width."""
+    box = ink_box(img, below) if img.size else None
+    if box is None:
+        return None
+    canvas = np.pad(img[box], 1, constant_values=255)
+    h, w = canvas.shape
+    wide = int(np.ceil(np.float32(w) * np.float32(height) / np.float32(h)))
+    return canvas if h == height else None if wide < 2 else resized(canvas, height, wide)
+
+
+def ink_middle(img: np.ndarray) -> tuple[float, float] | None:
+    """Middle (x, y) of the first and last inked column and row; None without ink."""
+    box = ink_box(img) if img.size else None
+    return None if box is None else ((box[1].start + box[1].stop - 1) / 2, (box[0].start + box[0].stop - 1) / 2)
+
+
+def seam_limit(img: np.ndarray, seam: list[tuple[int, int]], row: int) -> int | None:
+    """Where a seam (row, column) parts a row: after it if its left neighbour is as dark as the right one or darker, else before it; None where it doesn't pass."""
+    cols = [c for r, c in seam if r == row]
+    if not cols:
+        return None
+    low, high = min(cols), max(cols)
+    left = img[row, low - 1] if low > 0 else 255
+    right = img[row, high + 1] if high + 1 < img.shape[1] else 255
+    return high + 1 if left <= right else low
+
+
+def seam_crop(img: np.ndarray, left: int, right: int, left_seam=None, right_seam=None, height: int | None = None, least: int = 2) -> tuple[np.ndarray, int] | None:
+    """(raster, x): what lies between two cuts, white beyond their seams; it reaches as far as the seams wind. None if it is narrower than ``least``."""
+    w = img.shape[1]
+    height = img.shape[0] if height is None else min(height, img.shape[0])
+    x0 = min(min([c for _, c in left_seam or []] + [left]), w)
+    x1 = min(max([c for _, c in right_seam] + [right]) + 1 if right_seam is not None else right, w)
+    if x1 <= x0 or x1 - x0 < least:
+        return None
+    out = img[:height, x0:x1].copy()
+    for y in range(height):
+        a = seam_limit(img, left_seam or [], y)
+        a = x0 if a is None else min(max(a, x0), x1)
+        b = seam_limit(img, right_seam or [], y)
+        b = x1 if b is None else max(min(max(b, x0), x1), a)
+        out[y, : a - x0] = 255
+        out[y, b - x0 :] = 255
+    return out, x0
+
+
+def sequence_crop(img: np.ndarray, i: int, n: int, bounds: list[int], seams: dict, height: int | None = None) -> np.ndarray | None:
+    """n characters from the i-th on, between their cuts and seams, scaled by their ink; None beyond the last cut."""
+    if i + n >= len(bounds):
+        return None
+    found = seam_crop(img, bounds[i], bounds[i + n], seams.get(bounds[i]), seams.get(bounds[i + n]), height, 2 * n)
+    return None if found is None else ink_normalised(found[0])
+
+
+#: Fixed value: what counts as ink for a character's box.
+BOX_INK = 200
+
+
+def character_metrics(img: np.ndarray, i: int, bounds: list[int], seams: dict, height: int | None = None) -> tuple[int, int, int, int, float, float] | None:
+    """(x_min, x_max, y_min, y_max, cx, cy) of a character's ink in its word; the middle is that of its fractional edges."""
+    from scanlake.operators.wordink import fractional_edges
+
+    found = seam_crop(img, bounds[i], bounds[i + 1], seams.get(bounds[i]), seams.get(bounds[i + 1]), height) if i + 1 < len(bounds) else None
+    box = None if found is None else ink_box(found[0], BOX_INK)
+    if box is None:
+        return None
+    dark, x0 = 255 - found[0].astype(int), found[1]
+    (fl, fr), (ft, fb) = (fractional_edges(dark.max(axis=k), 255 - INK_BELOW) for k in (0, 1))
+    return x0 + box[1].start, x0 + box[1].stop - 1, box[0].start, box[0].stop - 1, x0 + (fl + fr) / 2, (ft + fb) / 2
+
+
+def png(img: np.ndarray) -> bytes:
+    """A grey (h, w) or colour (h, w, 3) raster as a PNG file."""
+    import struct
+    import zlib
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    h, w = img.shape[:2]
+    rows = np.concatenate([np.zeros((h, 1), np.uint8), img.reshape(h, -1)], axis=1)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0 if img.ndim == 2 else 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+
+
+def data_uri(img: np.ndarray) -> str:
+    import base64
+
+    return "data:image/png;base64," + base64.b64encode(png(img)).decode()
+
+
 def skew_edges(img: np.ndarray) -> np.ndarray:
     """Horizontal edges at 600 pixels width at most: a vertical Sobel gradient above a fifth of the greatest."""
     h, w = img.shape

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanlake.functions.arrays import dot, sqdist, total, upper_median, upper_median_of
+from scanlake.functions.arrays import dot, project, sqdist, total, upper_median, upper_median_of
 
 
 def centroids(samples: DataFrame, key: str, vector: str, seq: str = "seq") -> DataFrame:
@@ -102,6 +102,22 @@ def fuse(parts: list[tuple[DataFrame, float]], query: str, floor: float = 1e-30)
     return d.select(query, F.transform("scores", lambda x: F.struct(x["id"].alias("id"), (F.exp(x["lp"] - F.col("top_")) / F.col("sum_")).alias("prob"))).alias("scores"))
 
 
+def projected(queries: DataFrame, matrices: DataFrame, vector: str, seq: str = "seq") -> DataFrame:
+    """The queries with their vector times their sequence's matrix (seq, weights: an array of rows, one row a sequence)."""
+    return queries.join(matrices.select(seq, "weights"), seq).withColumn(vector, project(F.col("weights"), F.col(vector))).drop("weights")
+
+
+def with_glyphs(cents: DataFrame, added: DataFrame) -> DataFrame:
+    """Centroids (seq, id, vec) with further ones; one that is there already is replaced. The scales are those of sigma_sq and med_nn of the result."""
+    return cents.join(added.select("seq", "id").distinct(), ["seq", "id"], "left_anti").unionByName(added.select("seq", "id", "vec"))
+
+
+def nearest_with_distances(rows: DataFrame, query: str, k: int) -> DataFrame:
+    """(query, id, prob, d, rank): the k nearest classes of calibrated queries, nearest first, then by id."""
+    order = F.array_sort(F.transform("scores", lambda x: F.struct(x["d"].alias("d"), x["id"].alias("id"), x["prob"].alias("prob"))))
+    return rows.select(query, F.inline(F.transform(F.slice(order, 1, k), lambda x, i: F.struct(x["id"].alias("id"), x["prob"].alias("prob"), x["d"].alias("d"), (i + 1).alias("rank")))))
+
+
 def zncc(a: Column, b: Column) -> Column:
     """Population correlation of two equally long arrays, 1 where either is flat, within -1 and 1."""
     n = F.size(a)

@@ -132,6 +132,18 @@ def trim(boxes: list[Box], img: np.ndarray, below: int) -> None:
             own.width = int(np.ceil(end)) - own.x
 
 
+def word_widths(img: np.ndarray, boxes: list[Box], x: int, y: int, below: int = 240) -> list[float]:
+    """The ink width of each word within a crop that starts at (x, y) of the page, fractional; the box's width where there is less than a pixel."""
+    h, w = img.shape
+    out = []
+    for own in boxes:
+        left, top = max(0, own.x - x), max(0, own.y - y)
+        wide, high = min(own.width, w - left), min(own.height, h - top)
+        ends = extent(img, (top, top + high), (left, left + wide), below) if left < w and top < h and wide >= 1 and high >= 1 else (0.0, 0.0)
+        out.append(ends[1] - ends[0] if ends[1] - ends[0] >= 1 else float(own.width))
+    return out
+
+
 def refine(boxes: list[Box], img: np.ndarray, below: int = 240, blur: int = 250, margin: int = 5) -> None:
     expand(boxes, img, below, blur, margin)
     part(boxes, img, below)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scanlake.functions import arrays as A, identity as I, scores, text as T
-from scanlake.operators import catalog as C, evaluate as E, fit
+from scanlake.operators import catalog as C, evaluate as E, fit, incremental as N, similarity as S
 from scanlake.plans.catalog import KEYS_SQL, keys
 from scanlake.plans.similarity import E_SQL, vectors
 from scanlake.queries import register
@@ -179,3 +179,48 @@ def log_probabilities(spark, sf_dir):
     lp = F.log(F.greatest(F.col("value") - 20, F.lit(0.001)) / 100) * 100
     e = table(spark, sf_dir, "events").where(F.abs(lp - F.round(lp)) < 0.499)
     return e.select("event_id", I.log_probability((F.col("value") - 20) / 100).alias("lp"))
+
+
+@register(
+    "overlap_masks",
+    """WITH p AS (SELECT l_suppkey AS font, l_linenumber % 5 AS bit, max(CASE WHEN l_quantity - (l_partkey % 40 + l_orderkey % 7) > 0 THEN 1 ELSE 0 END) AS o FROM lineitem GROUP BY ALL), m AS (SELECT font, CAST(sum(o * (1 << CAST(bit AS INTEGER))) AS INTEGER) AS mask FROM p GROUP BY font),
+    s AS (SELECT font, mask, CAST(font % 32 AS INTEGER) AS supported FROM m) SELECT font, mask, CASE WHEN font % 3 = 0 THEN 0 ELSE supported END | (supported & mask) AS fused FROM s""",
+)
+def overlap_masks(spark, sf_dir):
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("font"), (F.col("l_linenumber") % 5).alias("bit"), F.col("l_quantity").alias("x_max"), (F.col("l_partkey") % 40).alias("advance"), (F.col("l_orderkey") % 7).alias("x_min"))
+    m, key = C.overlap_mask(p, ["font"], "bit"), F.when(F.col("font") % 3 == 0, "A|nolig").otherwise("A|lig")
+    return m.select("font", "mask", C.fused_mask(key, (F.col("font") % 32).cast("int"), F.col("mask")).alias("fused"))
+
+
+@register("old_style_figures", "SELECT event_id, value >= 1 AND 0 - (-(event_id % 40) / 10.0) > 0.15 * value AS old FROM events")
+def old_style_figures(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", C.is_old_style(F.lit(0.0), F.col("value"), -(F.col("event_id") % 40) / 10.0).alias("old"))
+
+
+@register("older_weights", "WITH l AS (SELECT user_id, max(event_id) AS latest FROM events WHERE event_id % 3 = 0 GROUP BY user_id), w AS (SELECT user_id, min(event_id) + 40000 AS made FROM events GROUP BY user_id) SELECT w.user_id, coalesce(made < latest, false) AS older FROM w LEFT JOIN l ON l.user_id = w.user_id")
+def older_weights(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("at"))
+    return N.older_than_any(e.groupBy("user_id").agg((F.min("at") + 40000).alias("at")), e.where("at % 3 = 0"), "user_id", "at")
+
+
+@register("stale_headers", "SELECT s_nationkey, max(CASE WHEN s_suppkey % 17 = 0 THEN 1 ELSE 0 END) = 1 AS stale FROM supplier GROUP BY s_nationkey")
+def stale_headers(spark, sf_dir):
+    header = F.when(F.col("s_suppkey") % 34 == 0, F.lit(None)).when(F.col("s_suppkey") % 17 == 0, "seqs=5 th=2400").otherwise(" seqs=5\tth=240 ")
+    return N.has_stale_header(table(spark, sf_dir, "supplier").select("s_nationkey", header.alias("h")), "s_nationkey", "h", "th=240")
+
+
+@register(
+    "nearest_with_distances",
+    f"""WITH {E_SQL}, x AS (SELECT vec_id, label, pos % 8 AS dim, sum(v * (pos % 3 - 1)) AS v FROM e GROUP BY ALL), k AS (SELECT label % 2 AS seq, label, dim, avg(v) AS m FROM x GROUP BY ALL),
+    q AS (SELECT a.seq, sum((a.m - b.m) * (a.m - b.m)) AS d FROM k AS a JOIN k AS b ON a.seq = b.seq AND a.dim = b.dim AND a.label < b.label GROUP BY a.seq, a.label, b.label), g AS (SELECT seq, list_sort(list(d))[len(list(d)) // 2 + 1] AS s FROM q GROUP BY seq),
+    t AS (SELECT x.vec_id, k.label, k.seq, sum((x.v - k.m) * (x.v - k.m)) AS d FROM x JOIN k ON x.label % 2 = k.seq AND x.dim = k.dim GROUP BY ALL), r AS (SELECT t.*, exp(-(d - min(d) OVER (PARTITION BY vec_id)) / (2 * s)) AS y FROM t JOIN g ON t.seq = g.seq),
+    z AS (SELECT vec_id, label, d, y / sum(y) OVER (PARTITION BY vec_id) AS prob, row_number() OVER (PARTITION BY vec_id ORDER BY d, label) AS rank FROM r) SELECT vec_id, label, round(prob, 5) AS prob, round(d, 5) AS d, CAST(rank AS INTEGER) AS rank FROM z WHERE rank <= 2""",
+)
+def nearest_with_distances(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda d: F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.when(i % 8 == d, i % 3 - 1).otherwise(0).cast("double")))
+    p = S.projected(v, v.select("seq").distinct().withColumn("weights", rows), "embedding")
+    c = S.centroids(p, "label", "embedding")
+    cents = S.with_glyphs(c.where("id > 3"), c.where("id <= 3"))
+    found = S.nearest_with_distances(S.calibrated(S.distances(p, cents, "embedding"), S.sigma_sq(cents)), "vec_id", 2)
+    return found.select("vec_id", F.col("id").alias("label"), F.round("prob", 5).alias("prob"), F.round("d", 5).alias("d"), "rank")

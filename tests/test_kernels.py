@@ -307,3 +307,59 @@ def test_words_are_refined_by_ink():
     assert W.extent(img, (10, 20), (0, 20), 240, vertical=True) == (5.0, 15.0)
     assert W.walk(np.array([True, True, False, True]), 0, 4, True) == 2 and W.walk(np.array([True, False, True, True]), 4, 0, False) == 2
     assert W.fractional_edges(np.array([0, 3]), 15) is None
+
+
+def test_crops_between_seams():
+    img = np.full((6, 12), 255, np.uint8)
+    img[1:5, 2:5], img[1:5, 6:9] = 0, 100
+    seam = [(y, 5 + y % 2) for y in range(6)]
+    left, x = kernels.seam_crop(img, 0, 5, None, seam)
+    assert x == 0 and left.shape == (6, 7) and (left[:, 2:5] == img[:, 2:5]).all() and (left[0:6:2, 6] == 255).all()
+    right, x = kernels.seam_crop(img, 5, 12, seam, None)
+    assert x == 5 and right.shape == (6, 7) and (right[2, 1:4] == 100).all()
+    assert kernels.seam_crop(img, 5, 6) is None and kernels.seam_crop(img, 5, 4) is None
+    assert kernels.seam_limit(img, [(1, 5)], 1) == 6 and kernels.seam_limit(img, [(1, 5)], 0) is None
+    assert kernels.character_metrics(img, 0, [0, 5, 12], {}) == (2, 4, 1, 4, 3.5, 3.0) and kernels.character_metrics(img, 2, [0, 5, 12], {}) is None
+    assert kernels.sequence_crop(img, 0, 1, [0, 5, 12], {}).shape[0] == 24 and kernels.sequence_crop(img, 1, 2, [0, 5, 12], {}) is None
+    assert kernels.ink_normalised(img, 6).shape == (6, 9) and kernels.ink_normalised(img[:1]) is None and kernels.ink_middle(img) == (5.0, 2.5) and kernels.ink_middle(img[:1]) is None
+
+
+def test_paint_and_difference():
+    img = np.zeros((5, 6, 3), np.uint8)
+    out = kernels.painted(img, [(1, 1, 2, 1), (9, 9, 1, 1)], (9, 8, 7), 1)
+    assert (out[0:3, 0:4] == (9, 8, 7)).all() and (out[3:] == 0).all() and (out[:, 4:] == 0).all() and (img == 0).all()
+    a, b = np.full((2, 3), 255, np.uint8), np.full((2, 3), 255, np.uint8)
+    a[0, 0] = a[1, 1] = b[1, 1] = b[0, 2] = 0
+    d = kernels.coloured_difference(a, b)
+    assert tuple(d[0, 0]) == (220, 30, 30) and tuple(d[0, 2]) == (30, 80, 220) and tuple(d[1, 1]) == tuple(d[1, 0]) == (255, 255, 255)
+    assert kernels.coloured_difference(a, np.full((4, 6), 255, np.uint8)).shape == (2, 3, 3)
+
+
+def test_images_written_and_read(spark, tmp_path):
+    from scanlake.sources import files
+
+    rng = np.random.default_rng(1)
+    grey, colour = rng.integers(0, 256, (5, 4)).astype(np.uint8), rng.integers(0, 256, (3, 6, 3)).astype(np.uint8)
+    (tmp_path / "a.png").write_bytes(kernels.png(grey))
+    (tmp_path / "b.png").write_bytes(kernels.png(colour))
+    (tmp_path / "c.png").write_bytes(b"none")
+    got = {r["origin"][-5]: r for r in files.read_images(spark, str(tmp_path)).collect()}
+    r, g, b = (colour[:, :, k].astype(int) for k in range(3))
+    want = ((2126 * r + 7152 * g + 722 * b) // 10000).astype(np.uint8)
+    assert set(got) == {"a", "b"} and bytes(got["a"]["px"]) == grey.tobytes() and bytes(got["b"]["px"]) == want.tobytes() and (got["b"]["width"], got["b"]["height"]) == (6, 3)
+    assert kernels.data_uri(grey).startswith("data:image/png;base64,iVBOR")
+    rows = spark.createDataFrame([(1, 4, 5, grey.tobytes())], "id long, width int, height int, px binary")
+    files.write_rasters(rows, f"{tmp_path}/r")
+    assert bytes(files.read_rasters(spark, f"{tmp_path}/r").first()["px"]) == grey.tobytes()
+    words = spark.createDataFrame([(1, k, f"w{k}", k, 2, 3, 4, 9.5, 90.0, 5, 1, 1, 1, k) for k in (2, 0, 1)], "page int, ord int, text string, x long, y long, width long, height long, font_size_pt double, confidence double, level long, block_num long, par_num long, line_num long, word_num long")
+    files.write_words(words, f"{tmp_path}/w")
+    assert [tuple(r) for r in files.read_words(spark, f"{tmp_path}/w").orderBy("ord").collect()] == sorted(tuple(r) for r in words.collect())
+    assert [w["text"] for w in files.raw_boxes(words, ["page"], "ord").first()["raw_words"]] == ["w0", "w1", "w2"]
+
+
+def test_word_widths():
+    from scanlake.operators import wordink as W
+
+    img = np.full((10, 40), 255, np.uint8)
+    img[2:8, 5:15] = 0
+    assert W.word_widths(img, [W.Box(100, 50, 20, 10), W.Box(120, 50, 9, 10), W.Box(900, 50, 7, 5)], 100, 50) == [10.0, 9.0, 7.0]
