@@ -94,7 +94,14 @@ def refined_words(spark, sf_dir):
     return wordink.refined(words, pages, "page", "line", "word")
 
 
-@register("obs_alignment")
+@register(
+    "obs_alignment",
+    """WITH RECURSIVE o AS (SELECT l_orderkey, l_linenumber * 100000 + l_partkey AS pos, l_returnflag AS ch, l_discount AS prob FROM lineitem),
+    x AS (SELECT l_orderkey, list(struct_pack(pos := pos, ch := ch, prob := prob) ORDER BY pos, ch, prob) AS xs FROM o WHERE pos % 5 <> 0 GROUP BY l_orderkey), y AS (SELECT l_orderkey, list(ch ORDER BY pos, ch, prob) AS yc, list(prob ORDER BY pos, ch, prob) AS yp FROM o WHERE pos % 7 <> 0 GROUP BY l_orderkey),
+    b AS (SELECT x.l_orderkey, xs, coalesce(yc, []) AS yc, coalesce(yp, []) AS yp FROM x LEFT JOIN y ON x.l_orderkey = y.l_orderkey),
+    f AS (SELECT l_orderkey, xs, yc, yp, 0 AS i, 0 AS spot, CAST(0 AS BIGINT) AS hit FROM b UNION ALL SELECT l_orderkey, xs, yc, yp, i + 1, CAST(spot + h AS INTEGER), h FROM (SELECT *, CASE WHEN len(xs) = len(yc) THEN 1 ELSE coalesce(list_position(yc[spot + 1 : spot + 6], xs[i + 1].ch), 0) END AS h FROM f WHERE i < len(xs)))
+    SELECT l_orderkey, xs[i].pos AS pos, xs[i].ch AS ch, xs[i].prob AS prob, CASE WHEN hit > 0 THEN yp[spot] END AS other FROM f WHERE i > 0""",
+)
 def obs_alignment(spark, sf_dir):
     """Two character sequences of each order aligned in order with a bounded lookahead."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("pos"), F.col("l_returnflag").alias("ch"), F.col("l_discount").alias("prob"))

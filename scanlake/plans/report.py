@@ -31,7 +31,12 @@ def text_colour(spark, sf_dir):
     return R.text_colour(p, ["p_brand"], "v", "t", ["r"])
 
 
-@register("raster_fragments")
+@register(
+    "raster_fragments",
+    """WITH RECURSIVE c AS (SELECT user_id % 20 AS page, CAST(event_id % 12 AS BIGINT) AS x, CAST(event_id // 12 % 12 AS BIGINT) AS y FROM events GROUP BY ALL HAVING var_pop(value) > 900),
+    r AS (SELECT page, x, y, x * 100 + y AS home FROM c UNION SELECT c.page, c.x, c.y, r.home FROM r JOIN c ON c.page = r.page AND abs(c.x - r.x) + abs(c.y - r.y) = 1), h AS (SELECT page, x, y, min(home) AS home FROM r GROUP BY page, x, y)
+    SELECT page, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, CAST(count(*) AS BIGINT) AS n_cells FROM h GROUP BY page, home""",
+)
 def raster_fragments(spark, sf_dir):
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("page"), (F.col("event_id") % 12).alias("x"), (F.floor(F.col("event_id") / 12) % 12).alias("y"), "value")
     return R.fragments(e, "page", "x", "y", "value", 900.0)
