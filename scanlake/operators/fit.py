@@ -40,63 +40,74 @@ def normalize_scores(scores: DataFrame) -> DataFrame:
     return scores.withColumn("root", root).withColumn("weight", F.col("root") / F.sum("root").over(w)).drop("root")
 
 
-def scatter_moments(samples: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, i, j, s): sums of products of deviations within each class, by dimension pair (i <= j), without gathering a class.
+def class_moments(samples: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """(keys, n, mean, scatter): of each class its size, mean vector and the sums of products of deviations (all of a matrix, by rows).
 
-    Each Arrow batch adds up its own products, so d (d + 1) / 2 rows leave a batch and class, not a sample.
+    Each Arrow batch adds up its own products, so (d + 1)(d + 2) / 2 numbers leave a batch and class, and a class is never
+    gathered; its row holds d + d * d numbers.
     """
-    kind = dict(samples.dtypes)[key]
+    kinds = dict(samples.dtypes)
 
     def run(batches):
         for batch in batches:
-            x, ids = np.stack(batch.column("x").to_numpy(zero_copy_only=False)).astype(float) if batch.num_rows else np.zeros((0, 0)), batch.column("k")
-            x, names = np.c_[x, np.ones(len(x))], ids.to_pylist()
-            at = np.array([hash(n) for n in names])
-            for h in np.unique(at):
-                own = x[at == h]
-                i, j = np.triu_indices(own.shape[1])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(len(i), int(np.flatnonzero(at == h)[0])))), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array((own.T @ own)[i, j])], ["k", "i", "j", "s"])
-
-    rows = samples.select(F.col(key).alias("k"), F.transform(vector, lambda v: v.cast("double")).alias("x"))
-    sums = rows.mapInArrow(run, f"k {kind}, i int, j int, s double").groupBy("k", "i", "j").agg(F.sum("s").alias("s"))
-    last = Window.partitionBy("k")
-    sums = sums.withColumn("d", F.max("j").over(last)).withColumn("n", F.max(F.when((F.col("i") == F.col("d")) & (F.col("j") == F.col("d")), F.col("s"))).over(last))
-    one = sums.where("j = d AND i < d").select("k", F.col("i").alias("at"), (F.col("s") / F.col("n")).alias("mean"))
-    a, b = one.select("k", F.col("at").alias("i"), F.col("mean").alias("a")), one.select("k", F.col("at").alias("j"), F.col("mean").alias("b"))
-    return sums.where("j < d").join(a, ["k", "i"]).join(b, ["k", "j"]).select(F.col("k").alias(key), "i", "j", (F.col("s") - F.col("n") * F.col("a") * F.col("b")).alias("s"))
+            if not batch.num_rows:
+                continue
+            x = np.stack(batch.column("x_").to_numpy(zero_copy_only=False)).astype(float)
+            x = np.c_[x, np.ones(len(x))]
+            names = list(zip(*(batch.column(c).to_pylist() for c in keys), strict=True))
+            known: dict = {}
+            of = np.array([known.setdefault(n, len(known)) for n in names])
+            i, j = np.triu_indices(x.shape[1])
+            for k in range(len(known)):
+                own = np.flatnonzero(of == k)
+                first = pa.array(np.full(len(i), own[0]))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(first) for c in keys], pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array((x[own].T @ x[own])[i, j])], [*keys, "i", "j", "s"])
+
+    rows = samples.select(*keys, F.transform(vector, lambda v: v.cast("double")).alias("x_"))
+    sums = rows.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", i int, j int, s double").groupBy(*keys, "i", "j").agg(F.sum("s").alias("s"))
+    one = sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("i", "j"), "s"))).alias("m"), F.max("j").alias("d"))
+    at = lambda i, j: F.element_at("m", F.struct(F.least(i, j).alias("i"), F.greatest(i, j).alias("j")))
+    one = one.withColumn("n", at(F.col("d"), F.col("d"))).withColumn("mean", F.transform(F.sequence(F.lit(0), F.col("d") - 1), lambda i: at(i, F.col("d")) / F.col("n")))
+    product = lambda c: at(F.floor(c / F.col("d")).cast("int"), c % F.col("d")) - F.col("n") * F.get("mean", F.floor(c / F.col("d")).cast("int")) * F.get("mean", c % F.col("d"))
+    return one.select(*keys, F.col("n").cast("long").alias("n"), "mean", F.transform(F.sequence(F.lit(0), F.col("d") * F.col("d") - 1), product).alias("scatter"))
+
+
+def scatter_moments(samples: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, i, j, s): sums of products of deviations within each class, by dimension pair (i <= j)."""
+    cells = class_moments(samples, [key], vector).select(key, F.size("mean").alias("d"), F.posexplode("scatter").alias("c", "s"))
+    return cells.select(key, F.floor(F.col("c") / F.col("d")).cast("int").alias("i"), (F.col("c") % F.col("d")).alias("j"), "s").where("i <= j")
+
+
+def within(rows: pd.DataFrame) -> np.ndarray:
+    """The mean scatter within the classes whose moments the rows are."""
+    d = len(rows["mean"].iloc[0])
+    return sum(np.asarray(s) for s in rows["scatter"]).reshape(d, d) / rows["n"].sum()
 
 
 def lda(samples: DataFrame, seq: str, key: str, vector: str, dims: int = 8, ridge: float = 1e-3) -> DataFrame:
     """(seq, dim, weights): discriminant directions of each sequence from whitened class means.
 
-    One sequence's samples are fitted together, as the model is one of a bounded number of rendered samples.
-    Directions are signed so that their largest weight is positive.
+    Fitted on the classes' moments, a row each. Directions are signed so that their largest weight is positive.
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.stack(rows[vector].to_numpy()).astype(float), rows[key].to_numpy()
-        ids = np.unique(y)
-        means = np.stack([x[y == k].mean(axis=0) for k in ids])
-        centred = x - means[np.searchsorted(ids, y)]
-        within = centred.T @ centred / len(x) + ridge * np.eye(x.shape[1])
-        whiten = np.linalg.inv(np.linalg.cholesky(within))
+        rows = rows.sort_values(key)
+        means = np.stack(rows["mean"].to_numpy())
+        whiten = np.linalg.inv(np.linalg.cholesky(within(rows) + ridge * np.eye(means.shape[1])))
         m = (means - means.mean(axis=0)) @ whiten.T
         values, vectors = np.linalg.eigh(m.T @ m)
         top = vectors[:, np.argsort(-values)[:dims]].T @ whiten
         top *= np.sign(top[np.arange(len(top)), np.abs(top).argmax(axis=1)])[:, None]
         return pd.DataFrame({"seq": rows[seq].iloc[0], "dim": range(len(top)), "weights": list(top)})
 
-    return samples.groupBy(seq).applyInPandas(one, "seq string, dim int, weights array<double>")
+    return class_moments(samples, [seq, key], vector).groupBy(seq).applyInPandas(one, f"seq {dict(samples.dtypes)[seq]}, dim int, weights array<double>")
 
 
 def mahalanobis(samples: DataFrame, seq: str, key: str, vector: str, shrink: float = 0.9) -> DataFrame:
-    """(seq, row, inverse): rows of the inverse of the shrunk within-class scatter; a sequence whose scatter can't be inverted is left out."""
+    """(seq, row, inverse): rows of the inverse of the shrunk within-class scatter, from the classes' moments; a sequence whose scatter can't be inverted is left out."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.stack(rows[vector].to_numpy()).astype(float), rows[key].to_numpy()
-        for k in np.unique(y):
-            x[y == k] -= x[y == k].mean(axis=0)
-        s = x.T @ x / len(x)
+        s = within(rows)
         s = (1 - shrink) * s + shrink * np.trace(s) / len(s) * np.eye(len(s))
         try:
             inverse = np.linalg.inv(np.linalg.cholesky(s))
@@ -104,11 +115,25 @@ def mahalanobis(samples: DataFrame, seq: str, key: str, vector: str, shrink: flo
             return pd.DataFrame({"seq": [], "row": [], "inverse": []})
         return pd.DataFrame({"seq": rows[seq].iloc[0], "row": range(len(s)), "inverse": list(inverse.T @ inverse)})
 
-    return samples.groupBy(seq).applyInPandas(one, "seq string, row int, inverse array<double>")
+    return class_moments(samples, [seq, key], vector).groupBy(seq).applyInPandas(one, f"seq {dict(samples.dtypes)[seq]}, row int, inverse array<double>")
+
+
+#: Most samples of a sequence that a network or an embedding is trained on.
+MOST_SAMPLES = 1_000_000
+
+
+def bounded(samples: DataFrame, seq: str) -> DataFrame:
+    """The samples, or an error where a sequence has more than MOST_SAMPLES; they are counted before any is gathered."""
+    if samples.groupBy(seq).count().where(F.col("count") > MOST_SAMPLES).limit(1).count():
+        raise ValueError(f"a sequence has more than {MOST_SAMPLES} samples")
+    return samples
 
 
 def mlp(samples: DataFrame, seq: str, key: str, vector: str, hidden: int = 32, epochs: int = 40, rate: float = 0.01, seed: int = 7) -> DataFrame:
-    """(seq, layer, weights, bias, classes): a seeded one-hidden-layer network for each sequence, by Adam over full batches."""
+    """(seq, layer, weights, bias, classes): a seeded one-hidden-layer network for each sequence, by Adam over full batches.
+
+    A sequence's samples are trained on together; that they are MOST_SAMPLES at most is checked.
+    """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         x, ids = np.stack(rows[vector].to_numpy()).astype(float), np.unique(rows[key].to_numpy())
@@ -130,11 +155,14 @@ def mlp(samples: DataFrame, seq: str, key: str, vector: str, hidden: int = 32, e
         name = rows[seq].iloc[0]
         return pd.DataFrame({"seq": [name] * 2, "layer": [0, 1], "weights": [w[0].ravel(), w[2].ravel()], "bias": [w[1], w[3]], "classes": [ids.astype("int64")] * 2})
 
-    return samples.groupBy(seq).applyInPandas(one, "seq string, layer int, weights array<double>, bias array<double>, classes array<bigint>")
+    return bounded(samples, seq).groupBy(seq).applyInPandas(one, "seq string, layer int, weights array<double>, bias array<double>, classes array<bigint>")
 
 
 def triplet(samples: DataFrame, seq: str, key: str, vector: str, dims: int = 16, epochs: int = 30, margin: float = 0.2, rate: float = 0.05, seed: int = 7) -> DataFrame:
-    """(seq, dim, weights): a seeded linear embedding of each sequence trained on triplets, one drawn for every row and epoch."""
+    """(seq, dim, weights): a seeded linear embedding of each sequence trained on triplets, one drawn for every row and epoch.
+
+    A sequence's samples are trained on together; that they are MOST_SAMPLES at most is checked.
+    """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         x, y = np.stack(rows[vector].to_numpy()).astype(float), rows[key].to_numpy()
@@ -152,4 +180,4 @@ def triplet(samples: DataFrame, seq: str, key: str, vector: str, dims: int = 16,
                 w -= rate * 2 * ((ep * active).T @ dp - (en * active).T @ dn) / len(x)
         return pd.DataFrame({"seq": rows[seq].iloc[0], "dim": range(dims), "weights": list(w)})
 
-    return samples.groupBy(seq).applyInPandas(one, "seq string, dim int, weights array<double>")
+    return bounded(samples, seq).groupBy(seq).applyInPandas(one, "seq string, dim int, weights array<double>")

@@ -224,3 +224,21 @@ def nearest_with_distances(spark, sf_dir):
     cents = S.with_glyphs(c.where("id > 3"), c.where("id <= 3"))
     found = S.nearest_with_distances(S.calibrated(S.distances(p, cents, "embedding"), S.sigma_sq(cents)), "vec_id", 2)
     return found.select("vec_id", F.col("id").alias("label"), F.round("prob", 5).alias("prob"), F.round("d", 5).alias("d"), "rank")
+
+
+@register("class_moments", f"WITH {E_SQL}, moments AS (SELECT a.label, count(*) AS n, a.pos AS i, b.pos AS j, sum(a.v * b.v) - sum(a.v) * sum(b.v) / count(*) AS s FROM e AS a JOIN e AS b ON a.vec_id = b.vec_id AND a.pos <= b.pos WHERE b.pos <= 6 GROUP BY ALL) SELECT label, CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, round(s, 5) AS s FROM moments")
+def class_moments(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("label", F.slice("embedding", 1, 6).alias("v"))
+    return fit.scatter_moments(v, "label", "v").withColumn("s", F.round("s", 5))
+
+
+@register("discriminants")
+def discriminants(spark, sf_dir):
+    """Discriminant directions of the even and the odd labels; held against numpy in the tests."""
+    return fit.lda(vectors(spark, sf_dir), "seq", "label", "embedding", 4).withColumn("weights", F.transform("weights", lambda x: F.round(x, 4)))
+
+
+@register("whitening_metric")
+def whitening_metric(spark, sf_dir):
+    """Rows of the inverse within-class scatter; held against numpy in the tests."""
+    return fit.mahalanobis(vectors(spark, sf_dir), "seq", "label", "embedding").withColumn("inverse", F.transform("inverse", lambda x: F.round(x, 4)))

@@ -176,6 +176,34 @@ def test_models(spark):
     assert m[0, 1] == pytest.approx((z.T @ z)[0, 1])
 
 
+def test_models_from_moments(spark):
+    """Discriminants and metrics against the samples themselves; a class in many batches counts once."""
+    rng = np.random.default_rng(4)
+    rows = [(s, k, [float(x) for x in rng.normal(k, 1 + k % 2, 3)]) for s in ("a", "b") for k in range(4) for _ in range(40)]
+    d = spark.createDataFrame(rows, "seq string, id int, v array<float>").repartition(7)
+    x, y = np.array([r[2] for r in rows if r[0] == "b"], np.float32).astype(float), np.array([r[1] for r in rows if r[0] == "b"])
+    means = np.stack([x[y == k].mean(axis=0) for k in range(4)])
+    z = x - means[y]
+    got = {r["id"]: r for r in fit.class_moments(d.where("seq = 'b'"), ["id"], "v").collect()}
+    assert all(got[k]["n"] == 40 and np.allclose(got[k]["mean"], means[k]) and np.allclose(np.reshape(got[k]["scatter"], (3, 3)), z[y == k].T @ z[y == k]) for k in range(4))
+    within = z.T @ z / len(z)
+    whiten = np.linalg.inv(np.linalg.cholesky(within + 1e-3 * np.eye(3)))
+    m = (means - means.mean(axis=0)) @ whiten.T
+    values, vectors = np.linalg.eigh(m.T @ m)
+    top = vectors[:, np.argsort(-values)[:2]].T @ whiten
+    top *= np.sign(top[np.arange(2), np.abs(top).argmax(axis=1)])[:, None]
+    assert np.allclose([r["weights"] for r in fit.lda(d, "seq", "id", "v", 2).where("seq = 'b'").orderBy("dim").collect()], top)
+    shrunk = 0.1 * within + 0.9 * np.trace(within) / 3 * np.eye(3)
+    assert np.allclose([r["inverse"] for r in fit.mahalanobis(d, "seq", "id", "v").where("seq = 'b'").orderBy("row").collect()], np.linalg.inv(shrunk))
+
+
+def test_training_sets_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(fit, "MOST_SAMPLES", 3)
+    d = spark.createDataFrame([("s", k, [1.0 * k]) for k in range(4)], "seq string, id int, v array<double>")
+    with pytest.raises(ValueError):
+        fit.mlp(d, "seq", "id", "v")
+
+
 def test_audit_round_trip(spark, tmp_path):
     votes = [("a", 0.5)]
     rows = [(1, 1, "t", 90.0, "k", 0.9, True, "vectorized", (1, 2, 3, 4), [("k", float(i)) for i in range(12)], votes, votes, None, None, None, None)]
