@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Separators and words as the contracts define them; only these six characters part words.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Bytes of a batch of rows for Python, about, and the option that bounds it.
+BATCH_BYTES, BATCH_OPTION = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def words(text: Column) -> Column:
@@ -56,6 +59,21 @@ def sample(rows: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
     return rows.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 30)), key, F.xxhash64(*columns)).limit(most)
 
 
+def maybe_in(values: DataFrame, column: str, bits: int = 1 << 22):
+    """A function from a column to a condition that holds for every value of ``values`` and, the more of them there are, for others.
+
+    It is a set of hashed values of a bounded size, so rows can be left out before a shuffle whatever the values' number. Nulls
+    never pass.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    packed = values.select(place(F.col(column)).alias("p")).groupBy(F.expr("p div 64").cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
+    table = [0] * (bits // 64)
+    for row in packed.collect():
+        table[row["at"]] = row["bits"]
+    literal = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+    return lambda c: c.isNotNull() & (F.getbit(F.get(literal, F.floor(place(c) / 64).cast("int")), (place(c) % 64).cast("int")) == 1)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
@@ -85,9 +103,23 @@ class Scratch:
         self.files.deleteOnExit(path)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        """Writes a table and returns what reads it. While it is written, batches for Python hold BATCH_BYTES at most."""
+        path, before = f"{self.root}/{name}", self.spark.conf.get(BATCH_OPTION)
+        self.spark.conf.set(BATCH_OPTION, BATCH_BYTES)
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(BATCH_OPTION, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        self.files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), True)
+    def drop(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more, and asks the driver to let go of finished plans, whose shuffle files Spark then removes."""
+        for name in names:
+            self.files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), True)
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but these."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        self.drop(*({f.getPath().getName() for f in self.files.listStatus(path)} - set(names)))

@@ -23,10 +23,6 @@ BUCKET_ANCHORS, BYTES_AN_ANCHOR = 1 << 16, 18
 HOT = 4096
 
 
-#: Bytes of an Arrow batch.
-ARROW_BYTES = "8m"
-
-
 def packed(docs: DataFrame, block_bytes: int) -> DataFrame:
     """block, bytes, data: documents (doc_id, text) packed together, compressed."""
 
@@ -263,8 +259,6 @@ def dedup(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, w
         raise ValueError("depth must lie between 48 and 128")
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    # rows hold blobs of up to a block, so Arrow batches are kept to a few of them
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = scratch.save(packed(text.where("doc_id IS NOT NULL"), block_bytes), "blocks")
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
@@ -311,7 +305,9 @@ def dedup(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, w
     masks = masks.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("masks"))
     told = blocks.select("block", "data").join(flags, "block", "left").join(masks, "block", "left")
     out = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
-    done = told.select("data", "flags", "masks").mapInArrow(finish, out)
+    # written too, as only then batches are kept to a few rows of blobs
+    done = scratch.save(told.select("data", "flags", "masks").mapInArrow(finish, out), "done")
+    scratch.drop("blocks", "flags", "masks")
     body = F.coalesce("text", F.lit(""))
     whole = text.where("doc_id IS NULL").select("doc_id", F.octet_length(body).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(body, 256).alias("kept_sha256"), *[body.cast("binary").alias("kept")] * with_text)
     return done.unionByName(whole)
