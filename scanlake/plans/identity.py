@@ -23,7 +23,6 @@ def first_of(value: str, suffixes: list[str]) -> str:
 
 
 ITALICS = ["-italic-italic", "_italic_italic", "-italic", "_italic", "italic", "-oblique", "_oblique", "oblique"]
-PARTED = [mark + w for w in I.WEIGHT_WORDS for mark in "-_"]
 
 
 @register(

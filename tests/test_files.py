@@ -3,7 +3,6 @@
 import struct
 
 import pytest
-from pyspark.sql import functions as F
 
 from scanlake.sources import fonts, pdftext
 
