@@ -108,7 +108,7 @@ def manifest_headers(spark, sf_dir):
 
 @register(
     "matrix_products",
-    "WITH m AS (SELECT event_id, value / 100 AS a, event_id % 5 - 2.0 AS b, user_id % 3 + 1.0 AS c FROM events) SELECT event_id, round(a * b + 2 * c, 6) AS m0, round(a * c + 2 * 1.5, 6) AS m1, round(0.5 * b + 3 * c, 6) AS m2, round(0.5 * c + 3 * 1.5, 6) AS m3, round(b * b + c * c + 7, 6) AS m4, round(b * c + c * 1.5 + b, 6) AS m5 FROM m",
+    "WITH m AS (SELECT event_id, value / 100 AS a, CAST(event_id % 5 - 2 AS DOUBLE) AS b, CAST(user_id % 3 + 1 AS DOUBLE) AS c FROM events) SELECT event_id, round(a * b + 2 * c, 6) AS m0, round(a * c + 2 * 1.5::DOUBLE, 6) AS m1, round(0.5::DOUBLE * b + 3 * c, 6) AS m2, round(0.5::DOUBLE * c + 3 * 1.5::DOUBLE, 6) AS m3, round(b * b + c * c + 7, 6) AS m4, round(b * c + c * 1.5::DOUBLE + b, 6) AS m5 FROM m",
 )
 def matrix_products(spark, sf_dir):
     v, b, c = F.col("value") / 100, F.col("event_id") % 5 - F.lit(2.0), F.col("user_id") % 3 + F.lit(1.0)

@@ -206,8 +206,8 @@ def merge_line_into(spark, sf_dir):
     return lines.merged_lines(b, ["into_line"], F.col("l_orderkey") % 4 == 0, "ord").withColumn("confidence", F.round("confidence", 6))
 
 
-@register("lines_overlap", f"WITH {WORD_BOXES}, l AS (SELECT l_orderkey, l_orderkey % 50 AS page, min(x) AS x, min(y) AS y, max(x + width) AS x2, max(y + height) AS y2 FROM w GROUP BY l_orderkey) SELECT a.l_orderkey AS a, b.l_orderkey AS b FROM l AS a JOIN l AS b ON a.page = b.page AND a.l_orderkey < b.l_orderkey WHERE least(a.y2, b.y2) - greatest(a.y, b.y) >= 0.5 * least(a.y2 - a.y, b.y2 - b.y) AND least(a.y2, b.y2) > greatest(a.y, b.y) AND a.x < b.x2 AND b.x < a.x2")
+@register("lines_overlap", f"WITH {WORD_BOXES}, l AS (SELECT l_orderkey, l_orderkey // 50 AS page, min(x) AS x, min(y) AS y, max(x + width) AS x2, max(y + height) AS y2 FROM w GROUP BY l_orderkey) SELECT a.l_orderkey AS a, b.l_orderkey AS b FROM l AS a JOIN l AS b ON a.page = b.page AND a.l_orderkey < b.l_orderkey WHERE least(a.y2, b.y2) - greatest(a.y, b.y) >= 0.5 * least(a.y2 - a.y, b.y2 - b.y) AND least(a.y2, b.y2) > greatest(a.y, b.y) AND a.x < b.x2 AND b.x < a.x2")
 def lines_overlap(spark, sf_dir):
-    l_ = lines.line_rows(boxes(spark, sf_dir), ["l_orderkey"], "ord").withColumn("page", F.col("l_orderkey") % 50)
+    l_ = lines.line_rows(boxes(spark, sf_dir), ["l_orderkey"], "ord").withColumn("page", F.floor(F.col("l_orderkey") / 50))
     both = l_.alias("a").join(l_.alias("b"), (F.col("a.page") == F.col("b.page")) & (F.col("a.l_orderkey") < F.col("b.l_orderkey")))
     return both.where(L.lines_overlap("a", "b")).select(F.col("a.l_orderkey").alias("a"), F.col("b.l_orderkey").alias("b"))
