@@ -67,9 +67,9 @@ def maybe_in(values: DataFrame, column: str, bits: int = 1 << 22):
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     packed = values.select(place(F.col(column)).alias("p")).groupBy(F.expr("p div 64").cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
-    table = [0] * (bits // 64)
-    for row in packed.collect():
-        table[row["at"]] = row["bits"]
+    found, table = packed.toArrow(), [0] * (bits // 64)
+    for at, own in zip(found.column("at").to_pylist(), found.column("bits").to_pylist(), strict=True):
+        table[at] = own
     literal = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
     return lambda c: c.isNotNull() & (F.getbit(F.get(literal, F.floor(place(c) / 64).cast("int")), (place(c) % 64).cast("int")) == 1)
 

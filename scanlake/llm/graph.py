@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scanlake.llm.common import Scratch
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, name: str = "links") -> DataFrame:
     """links (u, v) of longs -> (u, v): every linked node but the smallest of its component, and that smallest.
 
     Alternates large-star and small-star rounds, each a minimum per node (combined before the shuffle) joined back to
@@ -19,7 +19,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     adaptive skew join deals them out. Loops and repeated links are allowed; an empty table gives no rows.
     """
     now = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, seen = scratch.save(now, "links0"), None
+    now, seen = scratch.save(now, f"{name}0"), None
     for k in count(1):
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if tuple(state) == seen or not state["n"]:
@@ -31,6 +31,6 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = scratch.save(small, f"links{k}")
+        now = scratch.save(small, f"{name}{k}")
         if k > 1:
-            scratch.drop(f"links{k - 2}")
+            scratch.drop(f"{name}{k - 2}")

@@ -108,7 +108,7 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, smoothing: float = 0.1,
     shares = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()}
     if len(shares) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
-    n = rows.select("lang", "text").mapInArrow(counted, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    n = rows.select("lang", "text").mapInArrow(counted, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     langs = sorted(shares)
     table = np.full(((1 << BITS) + 1, len(langs)), smoothing)
     table[n["bucket"], n["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(dtype=int)] += n["n"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanlake.llm.common import carried, sealed, words
+from scanlake.llm.common import carried, maybe_in, sealed, words
 
 #: Buckets of the hashed word unigrams and bigrams.
 BUCKETS = 1 << 14
@@ -37,13 +37,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> list[float]:
     doc_id count each; empty tables give ratios of 0.
     """
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))
-    packed = good.select(place.alias("p")).groupBy(F.expr("p div 64").cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
-    bits = [0] * (ID_BITS // 64)
-    for row in packed.collect():
-        bits[row["at"]] = row["bits"]
-    table = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
-    maybe = F.coalesce(F.getbit(F.get(table, F.floor(place / 64).cast("int")), (place % 64).cast("int")) == 1, F.lit(False))
+    maybe = maybe_in(good, "doc_id", ID_BITS)(F.col("doc_id"))
     d = docs.select("doc_id", "text", maybe.alias("maybe"))
     own = d.where("maybe").join(good.withColumn("good", F.lit(1)).hint("shuffle_merge"), "doc_id", "left")  # the labels grow with the corpus: never broadcast
     every = own.select(F.coalesce("good", F.lit(0)).alias("good"), "text").unionByName(d.where("NOT maybe").select(F.lit(0).alias("good"), "text"))

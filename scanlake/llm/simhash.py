@@ -189,7 +189,8 @@ def keep_one(docs: DataFrame, of=text_print, linked=None) -> DataFrame:
     links = linked(rows, firsts, scratch) if linked else near_links(firsts)
     part = components(links, scratch).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     named = firsts.join(part, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.same_").alias("same_"))
+    kept = scratch.save(named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.same_").alias("same_")), "kept")
+    scratch.keep("kept")
     # the join and the window (repeated rows are alike) share one key, so texts are shuffled once
     once = Window.partitionBy("same_").orderBy(F.xxhash64("row_"))
     found = rows.select("same_", "row_").join(kept, "same_", "left_semi").withColumn("nth_", F.row_number().over(once)).where("nth_ = 1")

@@ -191,10 +191,10 @@ def test_simhash_links_every_pair_within_three_bits(spark):
     assert groups(lambda k: root.get(prints[k], prints[k])) == groups(lambda k: want[k])
 
 
-@pytest.mark.parametrize("next_", [1, 12])
-def test_near_sets_are_exact(spark, monkeypatch, next_):
-    """Against all pairs, also where the groups of a token count as large."""
-    monkeypatch.setattr(near_sets, "NEXT", next_)
+@pytest.mark.parametrize("small", [1, 32])
+def test_near_sets_are_exact(spark, monkeypatch, small):
+    """Against all pairs, also where the groups of a key count as large."""
+    monkeypatch.setattr(near_sets, "SMALL", small)
     rng = random.Random(8)
     given = [(None, None), (None, ""), (5000, "One two")]
     for k in range(12):
@@ -215,6 +215,36 @@ def test_near_sets_are_exact(spark, monkeypatch, next_):
     assert len(kept) == len(want) == len(set(group)) > 12 and {(r.doc_id is None, r.doc_id or 0) for r in kept} == want
 
 
+@pytest.mark.parametrize("likeness", [0.8, 0.9, 0.6])
+def test_alike_sets_share_a_key(likeness):
+    rng = np.random.default_rng(6)
+    for n in [*range(1, 60), 200, 1000]:
+        for _ in range(4):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            lost = int(rng.integers(0, n + 1))
+            b = np.unique(np.r_[a[: n - lost], rng.integers(0, 1 << 63, int(rng.integers(0, n + 1)), dtype=np.uint64)])
+            if len(b) and len(np.intersect1d(a, b)) >= likeness * len(np.union1d(a, b)) - 1e-9 and not np.array_equal(a, b):
+                assert np.intersect1d(near_sets.part_keys(a, likeness), near_sets.part_keys(b, likeness)).size
+    for n in (5, 9, 33, 400):  # as far apart as alike sets can be
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for cut in range(int(n * (1 - likeness) + 1e-9) + 1):
+            b = np.sort(rng.permutation(a)[: n - cut])
+            assert np.intersect1d(near_sets.part_keys(a, likeness), near_sets.part_keys(b, likeness)).size or cut == 0 and n == len(b)
+
+
+def test_sketches_bound_what_sets_share():
+    rng = np.random.default_rng(2)
+    for sizes in ((300, 280), (2100, 2000), (5000, 4500), (1, 1)):
+        a = np.unique(rng.integers(0, 1 << 63, sizes[0], dtype=np.uint64) * np.uint64(2))
+        b = np.unique(np.r_[a[: len(a) // 2], rng.integers(0, 1 << 63, sizes[1] - len(a) // 2, dtype=np.uint64) * np.uint64(2)])
+        x, y = (np.frombuffer(near_sets.sketch(z), "<u2")[None] for z in (a, b))
+        shared = len(np.intersect1d(a, b))
+        assert shared <= near_sets.most_shared(x, y)[0] <= min(len(a), len(b))
+        assert sizes[0] == 1 or near_sets.most_shared(x, y)[0] < 0.95 * len(b)
+    full = np.full((1, 256), 65535, np.uint16)
+    assert near_sets.most_shared(full, full)[0] == np.iinfo(np.int64).max
+
+
 def test_url_filter(spark):
     urls = ["https://www.EXAMPLE.com/en/1", "http://example.com/en/", "http://a.example.com/en?x", "http://com", "x.net/es/", None, "", "ftp://m.net/fr/2#a", "http://net/de/", "http://anet/es/", "http://user.com/", "://", "http://www.example.com/en/%2F?a://b"]
     pages = spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)] + [(1, urls[1], "h")], "page_id bigint, url string, stack string")

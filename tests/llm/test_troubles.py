@@ -1,6 +1,5 @@
 """Every operator on clashing names, very long texts, empty tables and missing parts."""
 
-import hashlib
 import random
 import subprocess
 import sys
