@@ -26,6 +26,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: shingles of five words, a Jaccard similarity of 0.8.
 
+    Found by SimHashes and anchors, the rest by keys of parts of the sets; each pair is checked by its sets.
+
     The smallest doc_id stays, null last, then the smallest hash of the text; of repeated rows one. Texts without words
     are one group. An empty table gives no rows.
     """

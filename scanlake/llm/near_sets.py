@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of word shingle sets: every pair at or above a likeness, by keys of parts of the sets."""
+"""Near-duplicates by the Jaccard similarity of word shingle sets, every pair at or above a likeness: by SimHashes and anchors, the rest by keys of parts of the sets."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scanlake.llm.common import Scratch, maybe_in
 from scanlake.llm.graph import components
+from scanlake.llm import simhash
 from scanlake.llm.simhash import keep_one, shingles
 
 WIDTH, LIKENESS = 5, 0.8
@@ -40,6 +41,11 @@ def set_print(text: str | None, width: int = WIDTH) -> int:
     return print_of(shingle_set(text, width))
 
 
+def set_simhash(own: np.ndarray) -> int:
+    """The SimHash of a set's shingles."""
+    return simhash.majority((own[a : a + 65536] for a in range(0, len(own), 65536)), len(own))
+
+
 def sketch(own: np.ndarray) -> bytes:
     """How many shingles of a set lie in each of so many equal ranges of the hash."""
     size = LONG_SKETCH if len(own) >= LONG else SKETCH
@@ -54,14 +60,24 @@ def most_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def surveyed(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """(fp, n, sketch) of every distinct set."""
+    """(fp, n, sketch, simhash) of every distinct set."""
 
     def run(batches):
         for batch in batches:
             own = [shingle_set(x, width) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([print_of(x) for x in own], np.uint64).view(np.int64)), pa.array([len(x) for x in own], pa.int64()), pa.array([sketch(x) for x in own], pa.binary())], ["fp", "n", "sketch"])
+            fp, hashed = (pa.array(np.array([f(x) for x in own], np.uint64).view(np.int64)) for f in (print_of, set_simhash))
+            yield pa.RecordBatch.from_arrays([fp, pa.array([len(x) for x in own], pa.int64()), pa.array([sketch(x) for x in own], pa.binary()), hashed], ["fp", "n", "sketch", "simhash"])
+
+    return scratch.save(docs.select("text").mapInArrow(run, "fp bigint, n bigint, sketch binary, simhash bigint").dropDuplicates(["fp"]), "sketches")
 
-    return scratch.save(docs.select("text").mapInArrow(run, "fp bigint, n bigint, sketch binary").dropDuplicates(["fp"]), "sketches")
+
+def by_simhash(sketches: DataFrame, scratch: Scratch) -> DataFrame:
+    """u, v: the sets of one SimHash with the first of them, and the first ones of SimHashes that anchors link (see simhash.near_links)."""
+    firsts = scratch.save(sketches.groupBy("simhash").agg(F.min("fp").alias("first")), "simhashes")
+    same = sketches.join(firsts, "simhash").where("fp <> first").select(F.col("first").alias("u"), F.col("fp").alias("v"))
+    own = lambda c: firsts.select(F.col("simhash").alias(c), F.col("first").alias(f"{c}_first"))
+    near = simhash.near_links(firsts.select(F.col("simhash").alias("fp"))).join(own("u"), "u").join(own("v"), "v")
+    return same.unionByName(near.select(F.least("u_first", "v_first").alias("u"), F.greatest("u_first", "v_first").alias("v")))
 
 
 def mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -324,10 +340,13 @@ def alike(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, width: int, like
 def near_links(rows: DataFrame, firsts: DataFrame, scratch: Scratch, width: int = WIDTH, likeness: float = LIKENESS) -> DataFrame:
     """Links (u, v) that join all sets (set_print, as fp) of rows (text, and same_, a name of the row) that are alike; firsts has fp and first.same_.
 
-    Alike sets share a key (see part_keys). The members of a key are first compared in a chain, then, if there are SMALL at
-    most, with all that are in another component by that; so a large group of near copies doesn't make all its pairs. Members of
-    larger keys with several components, which texts that have a passage in common make, are keyed once more by their rarest
-    shingles, and compared in chains and across components again. Pairs are compared by sketches, which leave out none that is alike, and those left by their sets.
+    First come sets whose SimHashes are within simhash.THRESHOLD bits, found by anchors and checked by the sets themselves. Sets
+    alike at 0.8 are up to a quarter of the bits apart, which no covering reaches; the rest goes by keys, of which alike sets
+    share one (see part_keys). A key's members are first compared in a chain, where it leads from one component to another, then,
+    if there are SMALL at most, with all that are in another component by that; so a large group of near copies doesn't make all
+    its pairs. Members of larger keys with several components, which texts that have a passage in common make, are keyed once
+    more by their rarest shingles, and compared in chains and across components again. Pairs are compared by sketches, which
+    leave out none that is alike, and those left by their sets.
     """
     sketches = surveyed(rows, width, scratch)
     near = scratch.save(neighbours(keyed(rows, width, likeness)), "near")
@@ -336,17 +355,22 @@ def near_links(rows: DataFrame, firsts: DataFrame, scratch: Scratch, width: int
         some = scratch.save(pairs if sketched else possible(pairs, sketches, likeness), f"possible_{name}")
         return scratch.save(alike(some, rows, firsts, width, likeness), f"alike_{name}")
 
-    def rooted(members: DataFrame, stars: DataFrame) -> DataFrame:
-        return members.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    def rooted(members: DataFrame, stars: DataFrame, fp: str = "fp", root: str = "root") -> DataFrame:
+        return members.join(stars.select(F.col("u").alias(fp), F.col("v").alias(root)), fp, "left").withColumn(root, F.coalesce(root, fp))
+
+    def apart(pairs: DataFrame, stars: DataFrame) -> DataFrame:
+        return rooted(rooted(pairs, stars, "u", "root_u"), stars, "v", "root_v").where("root_u <> root_v").select("u", "v")
 
     # what links a component so far is one star, so later rounds have little left to do
-    stars = components(compared(near.where("token = 0").select("u", "v").distinct(), "chains"), scratch, "first_links")
+    stars = components(compared(by_simhash(sketches, scratch), "simhash"), scratch, "simhash_links")
+    chains = apart(near.where("token = 0").select("u", "v").distinct(), stars)
+    stars = components(stars.unionByName(compared(chains, "chains")), scratch, "first_links")
     rest = scratch.save(others(rooted(near.where("token <> 0").select("token", F.col("u").alias("fp")), stars), SMALL), "rest")
     links = stars.unionByName(compared(rest.where("u <> v"), "others"))
     large = scratch.save(texts_of(rest.where("u = v").select(F.col("u").alias("fp")), rows, firsts), "large")
     again = scratch.save(neighbours(rare_keys(large, width, likeness)), "near_large")
     stars = components(links.unionByName(compared(again.where("token = 0").select("u", "v").distinct(), "chains_large")), scratch, "second_links")
-    members = rooted(again.where("token <> 0").select("token", F.col("u").alias("fp")), stars).join(sketches, "fp")
+    members = rooted(again.where("token <> 0").select("token", F.col("u").alias("fp")), stars).join(sketches.drop("simhash"), "fp")
     return stars.unionByName(compared(possible_within(members, likeness), "large", sketched=True))
 
 

@@ -25,15 +25,19 @@ def shingles(text: str | None, width: int = 3) -> list[bytes]:
     return list(map(b" ".join, zip(*(w[k:] for k in range(width)), strict=False)))
 
 
+def majority(hashes, n: int) -> int:
+    """A bit is 1 if set in over half of n hashes, which come in arrays of some; 0 without any."""
+    ones = np.zeros(64, dtype=np.int64)
+    for h in hashes:
+        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+
+
 def simhash(parts: list[bytes]) -> int:
     """A bit is 1 if set in over half of the parts' XXH64 (seed 42); 0 without parts."""
     from xxhash import xxh64_intdigest
 
-    ones, n = np.zeros(64, dtype=np.int64), len(parts)
-    for a in range(0, n, 65536):
-        h = np.array([xxh64_intdigest(x, 42) for x in parts[a : a + 65536]], dtype=">u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return majority((np.array([xxh64_intdigest(x, 42) for x in parts[a : a + 65536]], dtype=np.uint64) for a in range(0, len(parts), 65536)), len(parts))
 
 
 def text_print(text: str | None) -> int:
