@@ -126,18 +126,18 @@ def keyed(docs: DataFrame, width: int, likeness: float) -> DataFrame:
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
-            token, fp = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-            for text in batch.column("text").to_pylist():
-                own = shingle_set(text, width)
-                name = print_of(own)
-                if name in seen:
-                    continue
-                seen.add(name)
-                keys = part_keys(own, likeness)
-                token.append(keys)
-                fp.append(np.full(len(keys), name, np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(fp).view(np.int64))], ["token", "fp"])
+
+        def rows():
+            for batch in batches:
+                for text in batch.column("text").to_pylist():
+                    own = shingle_set(text, width)
+                    name = print_of(own)
+                    if name not in seen:
+                        seen.add(name)
+                        keys = part_keys(own, likeness)
+                        yield np.stack([keys, np.full(len(keys), name, np.uint64)]).view(np.int64)
+
+        yield from dealt(rows(), ["token", "fp"])
 
     return docs.select("text").mapInArrow(run, "token bigint, fp bigint")
 
@@ -340,11 +340,10 @@ def alike(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, width: int, like
 def near_links(rows: DataFrame, firsts: DataFrame, scratch: Scratch, width: int = WIDTH, likeness: float = LIKENESS) -> DataFrame:
     """Links (u, v) that join all sets (set_print, as fp) of rows (text, and same_, a name of the row) that are alike; firsts has fp and first.same_.
 
-    First come sets whose SimHashes are within simhash.THRESHOLD bits, found by anchors and checked by the sets themselves. Sets
-    alike at 0.8 are up to a quarter of the bits apart, which no covering reaches; the rest goes by keys, of which alike sets
-    share one (see part_keys). A key's members are first compared in a chain, where it leads from one component to another, then,
-    if there are SMALL at most, with all that are in another component by that; so a large group of near copies doesn't make all
-    its pairs. Members of larger keys with several components, which texts that have a passage in common make, are keyed once
+    Sets whose SimHashes are within simhash.THRESHOLD bits are found by anchors and compared. Sets alike at 0.8 are up to a quarter
+    of the bits apart, which no covering reaches; the rest goes by keys, of which alike sets share one (see part_keys). A key's
+    members are first compared in a chain, together with the pairs by SimHash, then, if there are SMALL at most, with all that are
+    in another component by that; so a large group of near copies doesn't make all its pairs. Members of larger keys with several components, which texts that have a passage in common make, are keyed once
     more by their rarest shingles, and compared in chains and across components again. Pairs are compared by sketches, which
     leave out none that is alike, and those left by their sets.
     """
@@ -355,16 +354,12 @@ def near_links(rows: DataFrame, firsts: DataFrame, scratch: Scratch, width: int
         some = scratch.save(pairs if sketched else possible(pairs, sketches, likeness), f"possible_{name}")
         return scratch.save(alike(some, rows, firsts, width, likeness), f"alike_{name}")
 
-    def rooted(members: DataFrame, stars: DataFrame, fp: str = "fp", root: str = "root") -> DataFrame:
-        return members.join(stars.select(F.col("u").alias(fp), F.col("v").alias(root)), fp, "left").withColumn(root, F.coalesce(root, fp))
-
-    def apart(pairs: DataFrame, stars: DataFrame) -> DataFrame:
-        return rooted(rooted(pairs, stars, "u", "root_u"), stars, "v", "root_v").where("root_u <> root_v").select("u", "v")
+    def rooted(members: DataFrame, stars: DataFrame) -> DataFrame:
+        return members.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
     # what links a component so far is one star, so later rounds have little left to do
-    stars = components(compared(by_simhash(sketches, scratch), "simhash"), scratch, "simhash_links")
-    chains = apart(near.where("token = 0").select("u", "v").distinct(), stars)
-    stars = components(stars.unionByName(compared(chains, "chains")), scratch, "first_links")
+    first = by_simhash(sketches, scratch).unionByName(near.where("token = 0").select("u", "v")).distinct()
+    stars = components(compared(first, "chains"), scratch, "first_links")
     rest = scratch.save(others(rooted(near.where("token <> 0").select("token", F.col("u").alias("fp")), stars), SMALL), "rest")
     links = stars.unionByName(compared(rest.where("u <> v"), "others"))
     large = scratch.save(texts_of(rest.where("u = v").select(F.col("u").alias("fp")), rows, firsts), "large")
