@@ -101,9 +101,9 @@ def sampled(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
 
 def similarity_softmax(rows: DataFrame, sharpness: float = 10.0) -> DataFrame:
     """Adds prob to the scores (id, d) of each row: the softmax of the correlations d."""
-    e = lambda x: F.exp(sharpness * (x["d"] - F.col("top_")))
-    d = rows.withColumn("top_", F.array_max(F.transform("scores", lambda x: x["d"]))).withColumn("sum_", total(F.transform("scores", e)))
-    return d.withColumn("scores", F.transform("scores", lambda x: F.struct(x["id"].alias("id"), x["d"].alias("d"), (e(x) / F.col("sum_")).alias("prob")))).drop("top_", "sum_")
+    d = rows.withColumn("top_", F.array_max(F.transform("scores", lambda x: x["d"])))
+    d = d.withColumn("raw_", F.transform("scores", lambda x: F.exp(sharpness * (x["d"] - F.col("top_"))))).withColumn("sum_", total(F.col("raw_")))
+    return d.withColumn("scores", F.transform("scores", lambda x, i: F.struct(x["id"].alias("id"), x["d"].alias("d"), (F.get("raw_", i) / F.col("sum_")).alias("prob")))).drop("top_", "raw_", "sum_")
 
 
 def ocr_correction(votes: DataFrame, key: str, own: str, least: Column, ratio: float = 3.0) -> DataFrame:

@@ -43,13 +43,18 @@ def med_nn(cents: DataFrame, seq: str = "seq") -> DataFrame:
     return d.select(seq, upper_median_of(F.array_compact(near)).alias("med_nn"))
 
 
+def dealt(queries: DataFrame) -> DataFrame:
+    """The queries over all cores: a small file can hold many, and each takes as much work as its sequence has classes."""
+    return queries.repartition(queries.sparkSession.sparkContext.defaultParallelism)
+
+
 def distances(queries: DataFrame, cents: DataFrame, vector: str, seq: str = "seq", metric=sqdist) -> DataFrame:
     """Adds scores, the distance (id, d) of every query to each class of its sequence, by id.
 
     A query stays one row: its sequence's classes come with one row of an equality join on seq, whose size is bounded, and
     all that follows is computed within the row.
     """
-    q = queries.join(classes(cents, seq), seq)
+    q = dealt(queries).join(classes(cents, seq), seq)
     return q.withColumn("scores", F.transform("classes", lambda c: F.struct(c["id"].alias("id"), metric(F.col(vector), c["vec"]).alias("d")))).drop("classes")
 
 
@@ -62,8 +67,12 @@ def calibrated(rows: DataFrame, scale: DataFrame, seq: str = "seq") -> DataFrame
 
 
 def each(rows: DataFrame, query: str) -> DataFrame:
-    """The scores as a row each: query, then the scores' fields."""
-    return rows.select(query, F.inline("scores"))
+    """The scores as a row each: query, then the scores' fields.
+
+    Sliced whole, since for a bare column Spark would infer a filter on its size, and evaluate what it is made of once more
+    for that, below all the projections and within each of their lambdas.
+    """
+    return rows.select(query, F.inline(F.slice("scores", 1, F.size("scores"))))
 
 
 def top_k(rows: DataFrame, query: str, k: int, digits: int = 12) -> DataFrame:
@@ -118,14 +127,31 @@ def nearest_with_distances(rows: DataFrame, query: str, k: int) -> DataFrame:
     return rows.select(query, F.inline(F.transform(F.slice(order, 1, k), lambda x, i: F.struct(x["id"].alias("id"), x["prob"].alias("prob"), x["d"].alias("d"), (i + 1).alias("rank")))))
 
 
-def zncc(a: Column, b: Column) -> Column:
-    """Population correlation of two equally long arrays, 1 where either is flat, within -1 and 1."""
+def moments(a: Column) -> Column:
+    """Mean m and population variance v of an array."""
     n = F.size(a)
-    sa, sb = total(a) / n, total(b) / n
-    cov = dot(a, b) / n - sa * sb
-    va, vb = dot(a, a) / n - sa * sa, dot(b, b) / n - sb * sb
-    den = F.sqrt(F.greatest(va, F.lit(0.0)) * F.greatest(vb, F.lit(0.0)))
-    return F.when(den < 1e-10, 1.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / den)))
+    sums = F.array(F.struct((total(a) / n).alias("m"), (dot(a, a) / n).alias("s")))
+    return F.get(F.transform(sums, lambda x: F.struct(x["m"].alias("m"), (x["s"] - x["m"] * x["m"]).alias("v"))), F.lit(0))
+
+
+def correlation_of(mean_product: Column, a: Column, b: Column) -> Column:
+    """Correlation from the mean product of two arrays and their moments, 1 where either is flat, within -1 and 1."""
+    den = F.sqrt(F.greatest(a["v"], F.lit(0.0)) * F.greatest(b["v"], F.lit(0.0)))
+    return F.when(den < 1e-10, 1.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (mean_product - a["m"] * b["m"]) / den)))
+
+
+def zncc(a: Column, b: Column) -> Column:
+    """Population correlation of two equally long arrays, 1 where either is flat, within -1 and 1; each sum is taken once."""
+    sums = F.array(F.struct((dot(a, b) / F.size(a)).alias("p"), moments(a).alias("a"), moments(b).alias("b")))
+    return F.get(F.transform(sums, lambda x: correlation_of(x["p"], x["a"], x["b"])), F.lit(0))
+
+
+def correlations(queries: DataFrame, cents: DataFrame, vector: str, seq: str = "seq") -> DataFrame:
+    """As distances with zncc, but the moments are taken once a query and once a class, so that a pair takes one product sum."""
+    own = dealt(queries).withColumn("own_", moments(F.col(vector)))
+    sums = classes(cents, seq).select(seq, F.transform("classes", lambda c: F.struct(c["id"].alias("id"), c["vec"].alias("vec"), moments(c["vec"]).alias("mom"))).alias("classes"))
+    score = lambda c: correlation_of(dot(F.col(vector), c["vec"]) / F.size(vector), F.col("own_"), c["mom"])
+    return own.join(sums, seq).withColumn("scores", F.transform("classes", lambda c: F.struct(c["id"].alias("id"), score(c).alias("d")))).drop("classes", "own_")
 
 
 #: The two stabilising constants of the similarity index over values of 0 to 255.

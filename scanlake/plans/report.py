@@ -97,7 +97,7 @@ def subsample_eval(spark, sf_dir):
 )
 def zncc_softmax(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    d = S.distances(v, S.centroids(v, "label", "embedding"), "embedding", metric=S.zncc)
+    d = S.correlations(v, S.centroids(v, "label", "embedding"), "embedding")
     return S.each(R.similarity_softmax(d), "vec_id").select("vec_id", F.col("id").alias("label"), F.round("prob", 6).alias("prob"))
 
 
