@@ -46,9 +46,15 @@ def split_by_height(words: DataFrame, keys: list[str], height: str, tie: str, ra
     return d.withColumn("upper", F.coalesce((F.col("best_.b") >= least) & (F.col(height) >= F.col("best_.h")), F.lit(False))).drop("below_", "jump_", "best_")
 
 
-def coverage_valleys(boxes: DataFrame, key: str, y0: str, y1: str, confidence: str, least: float = 0.5, width: int = 2) -> DataFrame:
-    """(key, valley_start, valley_end): interior stretches of ``width`` rows or more whose confidence-weighted coverage is below ``least``."""
-    rows = boxes.select(key, F.explode(F.sequence(y0, F.col(y1) - 1)).alias("y"), (F.col(confidence) / 100).alias("c")).groupBy(key, "y").agg(F.sum("c").alias("cover"))
+def coverage_valleys(boxes: DataFrame, key: str, y0: str, y1: str, confidence: str, least: float = 0.5, width: int = 2, order: str | None = None) -> DataFrame:
+    """(key, valley_start, valley_end): interior stretches of ``width`` rows or more whose confidence-weighted coverage is below ``least``.
+
+    A row's boxes are added up by ``order`` (else by their ends and confidence), not as tasks deliver them, so that a sum of
+    doubles near ``least`` is the same whatever the partitions.
+    """
+    w = Window.partitionBy(key, "y").orderBy("at_")
+    rows = boxes.select(key, F.explode(F.sequence(y0, F.col(y1) - 1)).alias("y"), (F.col(confidence) / 100).alias("c"), F.struct(*([order] if order else []), y0, y1, confidence).alias("at_"))
+    rows = rows.withColumn("cover", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("last_", F.lead("at_").over(w).isNull()).where("last_").select(key, "y", "cover")
     span = boxes.groupBy(key).agg(F.min(y0).alias("lo"), (F.max(y1) - 1).alias("hi"))
     every = span.select(key, "lo", "hi", F.explode(F.sequence("lo", "hi")).alias("y")).join(rows, [key, "y"], "left")
     low = every.where(F.coalesce("cover", F.lit(0.0)) < least).withColumn("g", F.col("y") - F.row_number().over(Window.partitionBy(key).orderBy("y")))

@@ -71,8 +71,8 @@ def split_height_ratio(spark, sf_dir):
 )
 def coverage_profile_valleys(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    b = e.select("user_id", (F.col("event_id") % 400).alias("y0"), (F.col("event_id") % 400 + 1 + F.col("event_id") % 4).alias("y1"), (F.col("value") % 100).alias("conf"))
-    return L.coverage_valleys(b, "user_id", "y0", "y1", "conf")
+    b = e.select("user_id", "event_id", (F.col("event_id") % 400).alias("y0"), (F.col("event_id") % 400 + 1 + F.col("event_id") % 4).alias("y1"), (F.col("value") % 100).alias("conf"))
+    return L.coverage_valleys(b, "user_id", "y0", "y1", "conf", order="event_id")
 
 
 @register(

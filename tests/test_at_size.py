@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from scanlake import queries
+from scanlake.operators import layout
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -13,3 +16,19 @@ def test_correlations_are_computed_once(spark):
     # one product sum a pair, and one each for the variances of queries and classes
     assert text.count("zip_with") == 3
     assert "Repartition" in text
+
+
+def delivered(spark, rows, schema):
+    """The rows in one partition, in this order."""
+    return spark.createDataFrame(rows, schema).coalesce(1)
+
+
+def test_coverage_adds_up_by_order_not_as_rows_come(spark):
+    # 0.15 + 0.06 + 0.29 is 0.5; 0.15 + 0.29 + 0.06 is a little less
+    assert (0.15 + 0.06) + 0.29 == 0.5 > (0.15 + 0.29) + 0.06
+    ends = [(0, "p", 0, 2, 99.0), (9, "p", 5, 6, 99.0)]
+    for own, want in (([15.0, 6.0, 29.0], []), ([15.0, 29.0, 6.0], [("p", 2, 4)])):
+        boxes = [(i + 1, "p", 2, 5, c) for i, c in enumerate(own)]
+        for some in permutations(boxes):
+            found = layout.coverage_valleys(delivered(spark, [*ends, *some], "id int, page string, y0 long, y1 long, conf double"), "page", "y0", "y1", "conf", order="id")
+            assert [tuple(r) for r in found.collect()] == want
