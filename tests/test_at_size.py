@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import permutations
 
 from scanlake import queries
-from scanlake.operators import layout
+from scanlake.operators import layout, lines
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -32,3 +32,10 @@ def test_coverage_adds_up_by_order_not_as_rows_come(spark):
         for some in permutations(boxes):
             found = layout.coverage_valleys(delivered(spark, [*ends, *some], "id int, page string, y0 long, y1 long, conf double"), "page", "y0", "y1", "conf", order="id")
             assert [tuple(r) for r in found.collect()] == want
+
+
+def test_a_line_covered_by_exactly_half_is_not_split_whatever_the_order(spark):
+    ends = [(0, 1, 0, 2, 99.0), (9, 1, 5, 2, 99.0)]
+    for some in permutations([(1, 1, 2, 3, 15.0), (2, 1, 2, 3, 29.0), (3, 1, 2, 3, 6.0)]):
+        words = delivered(spark, [*ends, *some], "ord int, line int, y long, height long, confidence double")
+        assert {r["band"] for r in lines.split_merged(words, ["line"], "ord").collect()} == {0}
