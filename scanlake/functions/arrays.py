@@ -24,6 +24,18 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded as SQL engines round doubles: scaled, halves away from zero, the sign kept (-1e-9 gives -0.0).
+
+    Spark's round goes through decimals, which have no -0.0.
+    """
+    scale = float(10**digits)
+    y = F.abs(x) * scale
+    whole = F.floor(y).cast("double")
+    value = (whole + F.when(y - whole >= 0.5, 1.0).otherwise(0.0)) / scale
+    return F.when(F.isnan(x) | (y >= float(2**52)), x).otherwise(F.signum(x) * value)
+
+
 def upper_median_of(values: Column) -> Column:
     """v[n / 2] of the sorted array (the upper of the middle two), null if empty."""
     return F.get(F.sort_array(values), F.floor(F.size(values) / 2).cast("int"))

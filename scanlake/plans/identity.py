@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scanlake.functions import identity as I
+from scanlake.functions.arrays import rounded
 from scanlake.queries import register
 from scanlake.session import table
 
@@ -124,4 +125,4 @@ def matrix_products(spark, sf_dir):
 def norm_gradients(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("z"), F.transform("embedding", lambda _, i: ((i + 1) % 5 - 2).cast("double")).alias("d"))
     e = e.withColumn("norm", F.sqrt(F.aggregate("z", F.lit(0.0), lambda acc, x: acc + x * x)))
-    return e.select("vec_id", F.transform(I.norm_gradient(F.col("z"), F.col("norm"), F.col("d")), lambda x: F.round(x, 6)).alias("gradient"))
+    return e.select("vec_id", F.transform(I.norm_gradient(F.col("z"), F.col("norm"), F.col("d")), lambda x: rounded(x, 6)).alias("gradient"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import permutations
 
+import duckdb
+
 from scanlake import queries
 from scanlake.operators import layout, lines
 
@@ -39,3 +41,14 @@ def test_a_line_covered_by_exactly_half_is_not_split_whatever_the_order(spark):
     for some in permutations([(1, 1, 2, 3, 15.0), (2, 1, 2, 3, 29.0), (3, 1, 2, 3, 6.0)]):
         words = delivered(spark, [*ends, *some], "ord int, line int, y long, height long, confidence double")
         assert {r["band"] for r in lines.split_merged(words, ["line"], "ord").collect()} == {0}
+
+
+def test_gradients_keep_the_sign_of_zeros_as_in_sql(spark, tmp_path):
+    rows = [(0, [0.6, 0.8, 0.0, 0.0]), (1, [1.0, 1e-8, 0.0, 3e-8]), (2, [-1e-8, 0.0, 1.0, -2.5e-7]), (3, [0.1, 0.2, -0.3, 0.4])]
+    spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = queries.queries()["norm_gradients"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {i: str(g) for i, g in con.sql(queries.oracle_sql()["norm_gradients"]).fetchall()}
+    assert "-0.0" in "".join(want.values())
+    assert {r["vec_id"]: str(r["gradient"]) for r in found.collect()} == want
