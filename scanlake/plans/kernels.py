@@ -42,15 +42,28 @@ def page(i: int, grey: np.ndarray) -> np.ndarray:
     return K.rotated(img, float(grey[0]) * 2)
 
 
-def rasters(spark, sf_dir, draw=glyph):
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("id").to_pylist()
-            imgs = [draw(i, np.asarray(v, float)) for i, v in zip(ids, batch.column("embedding").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.shape[1] for x in imgs], pa.int32()), pa.array([x.shape[0] for x in imgs], pa.int32()), pa.array([x.tobytes() for x in imgs], pa.binary())], ["id", "width", "height", "px"])
+def drawn(batches, draw, most: int = K.HELD):
+    """Batches of rasters (id, width, height, px) drawn for batches of (id, embedding), each of about ``most`` bytes, as one of vectors makes far more."""
+
+    def packed(ids, imgs, kind):
+        return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array([x.shape[1] for x in imgs], pa.int32()), pa.array([x.shape[0] for x in imgs], pa.int32()), pa.array([x.tobytes() for x in imgs], pa.binary())], ["id", "width", "height", "px"])
+
+    for batch in batches:
+        kind, ids, imgs, held = batch.column("id").type, [], [], 0
+        for i, v in zip(batch.column("id").to_pylist(), batch.column("embedding"), strict=True):
+            ids.append(i)
+            imgs.append(draw(i, np.asarray(v.as_py(), float)))
+            held += imgs[-1].size
+            if held >= most:
+                yield packed(ids, imgs, kind)
+                ids, imgs, held = [], [], 0
+        if ids:
+            yield packed(ids, imgs, kind)
 
+
+def rasters(spark, sf_dir, draw=glyph):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return e.repartition(spark.sparkContext.defaultParallelism, "id").mapInArrow(run, f"id {dict(e.dtypes)['id']}, width int, height int, px binary")
+    return e.repartition(spark.sparkContext.defaultParallelism, "id").mapInArrow(lambda batches: drawn(batches, draw), f"id {dict(e.dtypes)['id']}, width int, height int, px binary")
 
 
 @register("features_63")

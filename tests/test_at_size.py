@@ -5,9 +5,12 @@ from __future__ import annotations
 from itertools import permutations
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 
 from scanlake import queries
-from scanlake.operators import layout, lines
+from scanlake.operators import kernels, layout, lines
+from scanlake.plans import kernels as drawing
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -52,3 +55,17 @@ def test_gradients_keep_the_sign_of_zeros_as_in_sql(spark, tmp_path):
     want = {i: str(g) for i, g in con.sql(queries.oracle_sql()["norm_gradients"]).fetchall()}
     assert "-0.0" in "".join(want.values())
     assert {r["vec_id"]: str(r["gradient"]) for r in found.collect()} == want
+
+
+def test_pages_are_drawn_and_read_a_few_at_a_time():
+    vectors = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array([[0.1, 0.2]] * 400, pa.list_(pa.float32()))], ["id", "embedding"])
+    page = lambda i, grey: np.full((160, 240), i % 256, np.uint8)
+    found = list(drawing.drawn(iter([vectors]), page))
+    assert [i for b in found for i in b.column("id").to_pylist()] == list(range(400))
+    assert len(found) > 1 and max(b.nbytes for b in found) < 2 * kernels.HELD
+    whole = pa.Table.from_batches(found).combine_chunks().to_batches()[0]
+    some = list(kernels.slices(whole))
+    assert pa.Table.from_batches(some).equals(pa.Table.from_batches([whole]))
+    assert len(some) > 1 and max(b.num_rows for b in some) * 160 * 240 < 2 * kernels.HELD
+    gaps = pa.RecordBatch.from_arrays([pa.array([None, b"", b"x" * 9, b"y", None], pa.binary())], ["px"])
+    assert [b.num_rows for b in kernels.slices(gaps, most=4)] == [2, 3] and not list(kernels.slices(gaps.slice(0, 0)))
