@@ -101,8 +101,8 @@ def raster_similarity(spark, sf_dir):
 def refined_words(spark, sf_dir):
     """Boxes of three words on each page of text bands, off by some pixels, refined by the ink."""
     pages = rasters(spark, sf_dir, page).withColumnRenamed("id", "page")
-    i = F.col("id")
-    words = pages.select(F.col("page").alias("id")).select(i.alias("page"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("word"))
+    # from the table, not from the pages, which would be drawn once more for that
+    words = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("page"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("word"))
     words = words.select("page", F.lit(1).alias("line"), "word", (20 + 60 * F.col("word") + F.col("page") % 5).cast("int").alias("x"), (19 + F.col("page") % 3).cast("int").alias("y"), (54 + F.col("page") % 11).cast("int").alias("width"), F.lit(9).alias("height"))
     return wordink.refined(words, pages, "page", "line", "word")
 

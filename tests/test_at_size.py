@@ -69,3 +69,8 @@ def test_pages_are_drawn_and_read_a_few_at_a_time():
     assert len(some) > 1 and max(b.num_rows for b in some) * 160 * 240 < 2 * kernels.HELD
     gaps = pa.RecordBatch.from_arrays([pa.array([None, b"", b"x" * 9, b"y", None], pa.binary())], ["px"])
     assert [b.num_rows for b in kernels.slices(gaps, most=4)] == [2, 3] and not list(kernels.slices(gaps.slice(0, 0)))
+
+
+def test_words_do_not_draw_their_pages_again(spark):
+    plan = queries.queries()["refined_words"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
