@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanlake.functions.text import strip_subset_prefix
+from scanlake.session import dealt_by
 
 
 def lookup_span(boxes: DataFrame, spans: DataFrame, page: str, box: str) -> DataFrame:
@@ -71,11 +72,11 @@ def interesting(rows: DataFrame, key: str, index: str, delta: str, n: int, best:
     """n rows a key at most, in order of index: the n / 2 greatest deltas (by size) of either sign, then the greatest of the rest.
 
     Deltas of 0 are never shown. Where a key has no delta at all (all null), the n rows with the least ``best`` are shown.
-    Ties go by index.
+    Ties go by index. A task gets PART_BYTES of the rows' files, however large they are.
     """
     half = n // 2
     size, side = F.abs(F.col(delta)), F.col(delta) > 0
-    d = rows.withColumn("none_", F.count(delta).over(Window.partitionBy(key)) == 0)
+    d = dealt_by(rows, key).withColumn("none_", F.count(delta).over(Window.partitionBy(key)) == 0)
     d = d.where((F.col("none_") & F.lit(best is not None)) | (F.col(delta) != 0))
     least = F.col(best) if best else F.lit(0)
     d = d.withColumn("k_", F.row_number().over(Window.partitionBy(key, side).orderBy(size.desc(), F.col(index))))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 from scanlake import queries
-from scanlake.operators import kernels, layout, lines
+from scanlake.operators import evaluate, kernels, layout, lines
 from scanlake.plans import kernels as drawing
 
 SMALL = "/root/testdata/sf0.001"
@@ -74,3 +74,18 @@ def test_pages_are_drawn_and_read_a_few_at_a_time():
 def test_words_do_not_draw_their_pages_again(spark):
     plan = queries.queries()["refined_words"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_rows_of_large_files_are_dealt_by_their_size(spark, tmp_path, monkeypatch):
+    from scanlake import session
+
+    rows = [(line, k, float((line * 7 + k * 3) % 11 - 5)) for line in range(300) for k in range(8)]
+    spark.createDataFrame(rows, "line long, k int, delta double").write.parquet(f"{tmp_path}/rows.parquet")
+    made = spark.read.parquet(f"{tmp_path}/rows.parquet")
+    small = sorted(map(tuple, evaluate.interesting(made, "line", "k", "delta", 5).collect()))
+    assert session.parts(made) == 1 and session.parts(spark.createDataFrame(rows, "line long, k int, delta double")) == 1
+    monkeypatch.setattr(session.parts, "__defaults__", (64,))
+    large = evaluate.interesting(made, "line", "k", "delta", 5)
+    assert session.parts(made) > 4 and "hashpartitioning(line" in large._jdf.queryExecution().executedPlan().toString()
+    assert f", {session.parts(made)})" in large._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, large.collect())) == small
