@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanlake.functions.text import strip_subset_prefix
-from scanlake.session import dealt_by
+from scanlake.session import dealt_by, parts
 
 
 def lookup_span(boxes: DataFrame, spans: DataFrame, page: str, box: str) -> DataFrame:
@@ -86,7 +88,45 @@ def interesting(rows: DataFrame, key: str, index: str, delta: str, n: int, best:
     return d.where(F.col("r_") <= n).drop("none_", "k_", "late_", "r_")
 
 
-def report_order(rows: DataFrame, section: str, similarity: str, wrong_text: str) -> DataFrame:
-    """Adds shown_in and place: rows with wrongly recognised text form the last section; least similar first, unknown before all."""
+#: Bounds between buckets of sorted rows are chosen among so many rows a bucket.
+SAMPLED = 40
+
+
+def buckets(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """Adds bucket_, 0 and up, which rises with the rows' order (nulls first): n ranges or fewer of about as many rows each.
+
+    The bounds are rows themselves, picked by a hash in a run of its own, so they are the same wherever bucket_ is computed.
+    They decide the ranges' sizes only; every row has its bucket.
+    """
+    key = F.struct(*order)
+    some = rows.select(key.alias("key_")).orderBy(F.xxhash64("key_")).limit(SAMPLED * n)
+    found = [r["key_"] for r in some.orderBy("key_").collect()][SAMPLED::SAMPLED]
+    kinds = {f.name: f.dataType for f in rows.select(*order).schema.fields}
+    fixed = lambda some: F.array(*[F.struct(*[F.lit(b[c]).cast(kinds[c]).alias(c) for c in order]) for b in some])
+    if not found:
+        return rows.withColumn("bucket_", F.lit(0))
+    step = math.isqrt(len(found))
+    reached = lambda bounds: F.size(F.filter(bounds, lambda b: b <= F.col("key_")))
+    d = rows.withColumn("key_", key).withColumn("coarse_", reached(fixed(found[::step])))
+    fine = (F.col("coarse_") - 1) * step
+    return d.withColumn("bucket_", F.when(F.col("coarse_") == 0, 0).otherwise(fine + reached(F.slice(fixed(found), fine + 1, step)))).drop("key_", "coarse_")
+
+
+def report_order(rows: DataFrame, section: str, similarity: str, wrong_text: str, n: int | None = None) -> DataFrame:
+    """Adds shown_in and place: rows with wrongly recognised text form the last section; least similar first, unknown before all.
+
+    There are few sections, so the rows of large files (or with n) are dealt in n ranges of their order; a row's place is that
+    within its range after the rows of its section in the ranges before.
+    """
     d = rows.withColumn("shown_in", F.when(F.col(wrong_text), "ocr_wrong").otherwise(F.col(section)))
-    return d.withColumn("place", F.row_number().over(Window.partitionBy("shown_in").orderBy(F.col(similarity).asc_nulls_first(), *[F.col(c) for c in ("page", "line") if c in rows.columns])))
+    order = [similarity, *[c for c in ("page", "line") if c in rows.columns]]
+    n = n or parts(rows)
+    sorted_ = [F.col(c).asc_nulls_first() for c in order]
+    if n == 1:
+        return d.withColumn("place", F.row_number().over(Window.partitionBy("shown_in").orderBy(*sorted_)))
+    d = buckets(d, ["shown_in", *order], n)
+    counts = d.groupBy(F.col("shown_in").alias("of_"), F.col("bucket_").alias("at_")).count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("of_").orderBy("at_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = d.repartition(n, "bucket_").withColumn("own_", F.row_number().over(Window.partitionBy("bucket_", "shown_in").orderBy(*sorted_)))
+    both = own.join(F.broadcast(counts.select("of_", "at_", before.alias("before_"))), F.col("shown_in").eqNullSafe(F.col("of_")) & (F.col("bucket_") == F.col("at_")))
+    return both.select(*rows.columns, "shown_in", (F.col("before_") + F.col("own_")).cast("int").alias("place"))

@@ -89,3 +89,17 @@ def test_rows_of_large_files_are_dealt_by_their_size(spark, tmp_path, monkeypatc
     assert session.parts(made) > 4 and "hashpartitioning(line" in large._jdf.queryExecution().executedPlan().toString()
     assert f", {session.parts(made)})" in large._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, large.collect())) == small
+
+
+def test_places_in_ranges_are_those_of_one_sort(spark):
+    like = [None, float("nan"), -0.5, 0.25, 0.25, 0.75, 1.0]
+    rows = [(k, [None, "a", "b"][k % 3], k % 11 == 0, like[k * k % 7]) for k in range(600)] + [(k, "a", False, 0.25) for k in range(600, 900)]
+    given = spark.createDataFrame(rows, "line long, class string, wrong boolean, similarity double").repartition(7)
+    one = evaluate.report_order(given, "class", "similarity", "wrong", 1)
+    many = evaluate.report_order(given, "class", "similarity", "wrong", 40)
+    assert one.dtypes == many.dtypes
+    found = lambda d: sorted(map(repr, d.collect()))
+    assert found(many) == found(one)
+    sizes = sorted(r["count"] for r in evaluate.buckets(given, ["class", "similarity", "line"], 20).groupBy("bucket_").count().collect())
+    assert len(sizes) > 10 and sizes[-1] < 200
+    assert evaluate.report_order(given.limit(0), "class", "similarity", "wrong", 5).count() == 0
